@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from helixlake.llm.contamination import OP1_SQL, op1_contamination
+from helixlake.llm.minhash import op10_minhash
 from helixlake.llm.quality import op8_quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_contamination": op1_contamination,
         "op8_quality": op8_quality,
+        "op10_minhash": op10_minhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_contamination": OP1_SQL}
