@@ -26,7 +26,6 @@ from helixlake.llm.shared import saved, table
 BEGIN, END = "<s>", "</s>"
 #: Control strings of common chat templates.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<|startoftext|>")
-MAX_ROUNDS = 40
 
 
 def escape(c: Column) -> Column:
@@ -48,17 +47,18 @@ def paths(messages: DataFrame) -> DataFrame:
     links = nodes.join(known, same("conv_id", "pc") & (F.col("parent_id") == F.col("pm"))).select("conv_id", "msg_id", "pm")
     inner = links.select(F.col("conv_id").alias("ic"), F.col("pm").alias("im")).distinct()
     leaves = nodes.join(inner, same("conv_id", "ic") & (F.col("msg_id") == F.col("im")), "left_anti")
+    jumps = [saved(links.select(F.col("conv_id").alias("jc"), F.col("msg_id").alias("low"), F.col("pm").alias("high")), "jump")]
+    most = nodes.count().bit_length() + 1
+    while not jumps[-1].isEmpty():
+        if len(jumps) > most:  # a path can't have more replies than there are messages
+            raise ValueError("replies form a cycle")
+        twice = jumps[-1].select(F.col("jc").alias("kc"), F.col("low").alias("k_low"), F.col("high").alias("k_high"))
+        jumps.append(saved(jumps[-1].join(twice, same("jc", "kc") & (F.col("high") == F.col("k_low"))).select("jc", "low", F.col("k_high").alias("high")), "jump"))
     reach = saved(leaves.select("conv_id", F.col("msg_id").alias("leaf"), "msg_id", F.lit(0).alias("up")), "leaves")
-    jump, step = saved(links.select(F.col("conv_id").alias("jc"), F.col("msg_id").alias("low"), F.col("pm").alias("high")), "jump"), 1
-    for _ in range(MAX_ROUNDS):
-        if jump.isEmpty():
-            return reach
-        more = reach.join(jump, same("conv_id", "jc") & (F.col("msg_id") == F.col("low"))).select("conv_id", "leaf", F.col("high").alias("msg_id"), (F.col("up") + step).alias("up"))
+    for k, jump in enumerate(jumps[:-1]):
+        more = reach.join(jump, same("conv_id", "jc") & (F.col("msg_id") == F.col("low"))).select("conv_id", "leaf", F.col("high").alias("msg_id"), (F.col("up") + (1 << k)).alias("up"))
         reach = saved(reach.union(more), "paths")
-        twice = jump.select(F.col("jc").alias("kc"), F.col("low").alias("k_low"), F.col("high").alias("k_high"))
-        jump = saved(jump.join(twice, same("jc", "kc") & (F.col("high") == F.col("k_low"))).select("jc", "low", F.col("k_high").alias("high")), "jump")
-        step *= 2
-    raise ValueError("replies form a cycle")
+    return reach
 
 
 def format_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
