@@ -27,6 +27,8 @@ from helixlake.llm import kernel as K
 from helixlake.llm.shared import id_text, saved, table
 
 PREFIXES, FEATURES, LEAST_CHI2, LEAST_TEXTS, FIT_ROWS = (3, 4, 5, 6, 7, 8), 3000, 12.0, 4, 20_000
+#: Bytes of text at once: each word has seven features here.
+SLICE = 1 << 20
 STEPS, RATE, L2, SWAP_WEIGHT, THRESHOLD = 400, 0.1, 1e-4, 1.0, 0.7
 #: Identity terms, in groups whose members replace each other.
 IDENTITY = (
@@ -78,7 +80,7 @@ def feature_counts(train: DataFrame) -> DataFrame:
     """(f, n, pos): in how many training texts, and toxic ones, a feature occurs."""
 
     def run(batches):
-        for t in K.slices(batches):
+        for t in K.slices(batches, limit=SLICE):
             y = np.asarray(t.ids("y").to_numpy(zero_copy_only=False), dtype=np.int64)
             doc, f = features(t)
             order = np.argsort(f, kind="stable")
@@ -142,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, swap_weight: float = SWAP_WEIGHT) ->
     terms, others = swaps(chosen)
 
     def run(batches):
-        for t in K.slices(batches):
+        for t in K.slices(batches, limit=SLICE):
             doc, at = active(t, chosen)
             w = t.words(K.NOT_ALNUM, K.FOLDED)
             named = np.flatnonzero(np.isin(w.h, terms))
@@ -189,7 +191,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score, from 0 to 1, of every row of docs(doc_id, text)."""
 
     def run(batches):
-        for t in K.slices(batches):
+        for t in K.slices(batches, limit=SLICE):
             doc, at = active(t, model.features)
             z = np.bincount(doc, weights=model.weights[at], minlength=t.n) + model.bias
             yield pa.RecordBatch.from_arrays([t.ids(), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], ["doc_id", "score"])
@@ -201,7 +203,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text
     """The rows of docs that score under the threshold, with all their columns."""
 
     def run(batches):
-        for t in K.slices(batches, text):
+        for t in K.slices(batches, text, SLICE):
             doc, at = active(t, model.features)
             z = np.bincount(doc, weights=model.weights[at], minlength=t.n) + model.bias
             yield t.rows.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))) < threshold))
