@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixlake.llm import kernel as K
+from helixlake.llm.minhash import checked
 from helixlake.llm.shared import id_text, saved, table
 
 PREFIXES, FEATURES, LEAST_CHI2, LEAST_TEXTS, FIT_ROWS = (3, 4, 5, 6, 7, 8), 3000, 12.0, 4, 20_000
@@ -73,7 +74,7 @@ def term_features(term: str) -> np.ndarray:
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "toxic") -> DataFrame:
     """doc_id, text and y of the labelled rows."""
     own = labels.where(F.col(label).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
-    return id_text(docs).join(own, "doc_id")
+    return id_text(docs).join(checked(own), "doc_id")
 
 
 def feature_counts(train: DataFrame) -> DataFrame:
@@ -134,7 +135,7 @@ def _places(term: str, chosen: np.ndarray) -> list[int]:
 
 def fit(docs: DataFrame, labels: DataFrame, swap_weight: float = SWAP_WEIGHT) -> Model:
     """The model learned from labels(doc_id, toxic) of docs(doc_id, text)."""
-    train = saved(labelled(docs, labels), "labelled")
+    train = labelled(docs, saved(labels.select("doc_id", "toxic"), "labels"))
     total, toxic = train.agg(F.count("*"), F.sum("y")).first()
     toxic = toxic or 0
     if not 0 < toxic < total:
