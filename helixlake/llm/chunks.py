@@ -27,6 +27,8 @@ from helixlake.llm.shared import id_text, saved, table
 
 #: Words under the rolling hash; one place in MASK + 1 ends a chunk; longest chunk.
 WINDOW, MASK, CHUNK_BYTES = 4, 31, 8192
+#: Bytes of text that are encoded at once.
+SLICE = 2 << 20
 #: Most chunks, and most of their bytes, that are encoded once and sent to all tasks.
 SHARED, SHARED_BYTES = 50_000, 32 << 20
 
@@ -95,8 +97,8 @@ def encoded_chunks(docs: DataFrame, chosen: np.ndarray, vocabulary: str) -> Data
     return once.mapInArrow(encode, "h long, ids binary")
 
 
-def encode_chunked(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id and ids (binary, unsigned 32-bit) of every row of docs(doc_id, text)."""
+def encode_chunked(docs: DataFrame, vocabulary: str, decode: bool = False) -> DataFrame:
+    """doc_id and ids (binary, unsigned 32-bit) of every row of docs(doc_id, text); with decode, also the text that the ids decode to."""
     counts = chunk_counts(docs).where("n > 1")
     best = counts.select("h", "size").orderBy(((F.col("n") - 1) * F.col("size")).desc(), "h").limit(SHARED).collect()
     fits = np.cumsum([r.size for r in best]) <= SHARED_BYTES if best else []
@@ -106,7 +108,7 @@ def encode_chunked(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches):
         enc, known = encoder(vocabulary, False), shared.value
-        for t in K.slices(batches):
+        for t in K.slices(batches, limit=SLICE):
             lo, hi, doc = chunk_bounds(t)
             h = K.signed(K.spans_hash(t.data, lo, hi, K.EXACT)).tolist()
             whole = np.concatenate([[True], (doc[1:] != doc[:-1]) | K.SPACE[t.data[lo[1:] - 1]]]) if len(lo) else np.zeros(0, bool)
@@ -133,9 +135,12 @@ def encode_chunked(docs: DataFrame, vocabulary: str) -> DataFrame:
                 plans.append(plan)
             done = enc.encode(stretches)
             ids = [b"".join(done[p] if isinstance(p, int) else p for p in plan) for plan in plans]
-            yield pa.RecordBatch.from_arrays([t.ids(), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            out = {"doc_id": t.ids(), "ids": pa.array(ids, pa.binary())}
+            if decode:
+                out["decoded"] = pa.array([enc.decode(x) for x in ids], pa.binary())
+            yield pa.RecordBatch.from_pydict(out)
 
-    return id_text(docs).mapInArrow(run, "doc_id long, ids binary")
+    return id_text(docs).mapInArrow(run, "doc_id long, ids binary" + ", decoded binary" * decode)
 
 
 def decode_ids(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -160,6 +165,5 @@ def word_vocabulary() -> str:
 
 def op3_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     vocabulary = vocabulary or word_vocabulary()
-    encoded = encode_chunked(table(spark, sf_dir, "documents"), vocabulary)
-    both = decode_ids(encoded, vocabulary)
+    both = encode_chunked(table(spark, sf_dir, "documents"), vocabulary, decode=True)
     return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
