@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.llm.chunks import decode_ids, encode_chunked, word_vocabulary
+from helixlake.llm.chunks import encode_chunked, word_vocabulary
 from helixlake.llm.contamination import contamination
 from helixlake.llm.minhash import checked, near_duplicates
 from helixlake.llm.pii import replace_entities
@@ -46,7 +46,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (unsigned 32-bit, little-endian) and digests of the ids and of the text they decode to."""
-    both = decode_ids(encode_chunked(docs, word_vocabulary()), word_vocabulary())
+    both = encode_chunked(docs, word_vocabulary(), decode=True)
     return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
