@@ -111,10 +111,10 @@ def ks_summary(tests: DataFrame) -> DataFrame:
 def quorum(results: DataFrame, need: int = 2) -> DataFrame:
     """(wu_id, canonical_id, result_id, valid): the first result that at least need results equal; empty payloads take no part."""
     real = results.where("payload != ''")
-    agreed = real.groupBy("wu_id", F.xxhash64("payload").alias("h")).agg(F.count("*").alias("n"), F.min("result_id").alias("first")).where(F.col("n") >= need)
-    chosen = agreed.groupBy("wu_id").agg(F.min(F.struct("first", "h")).alias("c"))
+    agreed = real.groupBy("wu_id", F.xxhash64("payload").alias("h")).agg(F.count("*").alias("n"), F.min("result_id").alias("first"), F.min("payload").alias("same")).where(F.col("n") >= need)
+    chosen = agreed.groupBy("wu_id").agg(F.min(F.struct("first", "same")).alias("c"))
     met = results.join(chosen, "wu_id")
-    return met.select("wu_id", F.col("c.first").alias("canonical_id"), "result_id", ((F.col("payload") != "") & (F.xxhash64("payload") == F.col("c.h"))).alias("valid"))
+    return met.select("wu_id", F.col("c.first").alias("canonical_id"), "result_id", (F.col("payload") == F.col("c.same")).alias("valid"))
 
 
 def validate_pair(a: DataFrame, b: DataFrame) -> DataFrame:
