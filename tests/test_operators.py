@@ -1,0 +1,190 @@
+"""Hand-made cases, brute force and invariants."""
+
+import itertools
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from helixlake.functions import nt as N
+from helixlake.operators import intervals as V
+from helixlake.operators import motifs as M
+from helixlake.operators import samplers as G
+from helixlake.operators import sequences as S
+from helixlake.operators import walks as K
+from helixlake.sources import text as T
+
+
+def seqs(spark, *nts):
+    return spark.createDataFrame([(i, f"> s{i}", nt) for i, nt in enumerate(nts)], "seq_id long, name string, nt string")
+
+
+def test_runs_and_masks(spark):
+    q = seqs(spark, "AAAACCXXGGGGG")
+    assert S.mask_runs(q, 4).first().nt == "XXXXCCXXXXXXX"
+    assert S.mask_runs(q, 4, mask_trailing=False).first().nt == "XXXXCCXXGGGGG"
+    assert sorted(tuple(r) for r in S.find_runs(q, 4).select("base", "start", "run_len", "is_trailing").collect()) == [("A", 0, 4, False), ("G", 8, 5, True)]
+
+
+def test_reverse_complement_and_palindromes(spark):
+    q = seqs(spark, "ACGX", "ACGCGT", "AACGTC", "GACGTT")
+    assert [r[0] for r in q.select(N.revcomp("nt")).collect()] == ["XCGT", "ACGCGT", "GACGTT", "AACGTC"]
+    rows = {r.kmer: (r.fwd, r.rev) for r in S.kmer_canonical(q).collect()}
+    assert rows["ACGCGT"] == (1, 0) and rows["AACGTC"] == (1, 1) and rows["ACGX"] == (1, 0)
+
+
+def test_interval_rules(spark):
+    def merged(rule, *spans):
+        rows = [("g%d" % i, 1, s, e, s, "+") for i, (s, e) in enumerate(spans)]
+        genes = spark.createDataFrame(rows, "gene string, chrom long, g_start long, g_end long, tss long, strand string")
+        return sorted((r.g_start, r.g_end) for r in V.merge_overlaps(genes, rule).collect())
+
+    assert merged("max", (0, 100), (10, 20), (50, 120)) == [(0, 120)] and merged("last", (0, 100), (10, 20), (50, 120)) == [(0, 20), (50, 120)]
+    assert merged("max", (0, 100), (10, 20), (50, 60)) == [(0, 100)] and merged("last", (0, 100), (10, 20), (50, 60)) == [(0, 20), (50, 60)]
+    assert merged("max", (0, 10), (10, 20)) == [(0, 10), (10, 20)]
+
+
+def test_ks_distance(spark):
+    rows = [(1, 0, 0, 0, p, v) for p, v in enumerate([0, 0, 1, 2]) if v] + [(1, 10, 0, 0, p, v) for p, v in enumerate([0, 1, 1, 5]) if v]
+    samples = spark.createDataFrame(rows, "walk_id long, step long, seq_id long, motif int, pos long, n long")
+    r = K.ks(samples, 4).first()
+    assert r.d == pytest.approx(0.25) and 0 < r.p <= 1
+
+
+def test_quorum(spark):
+    rows = [(1, 1, "A"), (1, 2, "A"), (1, 3, "B"), (2, 1, "A"), (2, 2, "B"), (3, 1, ""), (3, 2, "")]
+    out = K.quorum(spark.createDataFrame(rows, "wu_id long, result_id long, payload string"))
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 1, 1, True), (1, 1, 2, True), (1, 1, 3, False)]
+
+
+def test_tree_columns(spark):
+    pi = {"A": 0.3, "C": 0.2, "G": 0.2, "T": 0.3}
+    cols = spark.createDataFrame([(0, "x", "A"), (0, "y", "A"), (1, "x", "A"), (1, "y", "C")], "col long, leaf string, base string")
+    for length, want in ((0.0, {0: 0.3, 1: 0.0}), (60.0, {0: 0.09, 1: 0.06})):
+        tree = [("r", None, 0.0, None), ("a", "r", length, "x"), ("b", "r", length, "y")]
+        got = {r.col: r.likelihood for r in G.tree_column(cols, tree, pi).collect()}
+        assert got == pytest.approx(want, abs=1e-9)
+
+
+@pytest.mark.parametrize("nt", ["ACGTACGT", "ACGXACGT", "ACG", "AC"])
+def test_placements_by_enumeration(spark, nt):
+    got = {r.k: r.n for r in G.count_placements(seqs(spark, nt), (3,), 2).collect()}
+    starts = [i for i in range(len(nt) - 2) if "X" not in nt[i : i + 3]]
+    assert got == {0: 1, 1: len(starts), 2: sum(b - a >= 3 for a, b in itertools.combinations(starts, 2))}
+
+
+def test_sampled_sites_follow_the_weights():
+    codes = G.codes_of("ACGTACGTTTGACA")
+    r = [np.where(np.arange(14) >= 2, np.arange(14) + 1.0, 0)]
+    cfg = G.Config(widths=(3,), max_sites=2)
+    draws = [tuple(G.draw_sites(r, (3,), cfg, G.rng_of(1, i))) for i in range(4000)]
+    assert all(b[1] - a[1] >= 3 for d in draws for a, b in zip(d, d[1:])) and {len(d) for d in draws} == {0, 1, 2}
+    one = [d[0][1] for d in draws if len(d) == 1]
+    assert np.corrcoef(np.bincount(one, minlength=14)[2:], np.arange(2, 14))[0, 1] > 0.9 and len(codes) == 14
+
+
+def test_chains_resume_and_repeat(spark):
+    rng = np.random.default_rng(3)
+    planted = ["".join(rng.choice(list("ACGT"), 40)) + "CACGTGCC" + "".join(rng.choice(list("ACGT"), 40)) for _ in range(25)] + ["ACXXXXGT", "A"]
+    q = seqs(spark, *planted)
+    bg = S.background(q)
+    walks = spark.range(2).withColumnRenamed("id", "walk_id")
+    cfg = G.Config(widths=(8,), max_sites=1, burn_in=25, samples=10, blocks=(0.02, 0.98))
+    whole = sorted(map(tuple, G.gibbs_walks(q, walks, bg, cfg).collect()))
+    again = sorted(map(tuple, G.gibbs_walks(q.repartition(5), walks.repartition(2), bg, cfg).collect()))
+    half = G.gibbs_walks(q, walks, bg, cfg, until=20)
+    assert whole == again == sorted(map(tuple, G.gibbs_walks(q, walks, bg, cfg, half, done=20).collect()))
+    samples = [r for r in whole if r[1] == "sample"]
+    assert all(r[5] <= cfg.samples for r in samples)
+    final = {(r[0], r[2]): r[4] for r in whole if r[1] == "final"}
+    assert max(sum(abs(final.get((w, i), -99) - 47) <= 3 for i in range(25)) for w in range(2)) > 12
+    assert not any(i == 25 for _, i in final)
+    blocked = G.gibbs_blocked(q, bg, cfg, 2).collect()
+    assert blocked and all("X" not in planted[r.seq_id][r.s_start : r.s_end] and r.s_end - r.s_start == 8 for r in blocked)
+
+
+def test_models(spark, sf_dir):
+    from helixlake.sources import inputs as I
+
+    q = I.seqs(spark, sf_dir)
+    counts = M.motif_counts(I.sites(q))
+    for pwm in (M.normalised(counts), M.pwm_palindromic(counts), M.em_refine(q, M.normalised(counts), S.background(q), 6, steps=2)):
+        assert all(abs(r.s - 1) < 1e-9 for r in pwm.groupBy("motif", "col").agg(F.sum("p").alias("s")).collect())
+    got = M.fitness(q, M.normalised(counts).withColumnRenamed("motif", "candidate_id"), 6, compat=True)
+    assert got.where("fitness <= 0").count() == 0
+
+
+def test_centroid(spark):
+    draws = spark.createDataFrame([(1, 10, 6), (1, 11, 3), (1, 30, 2), (1, 50, 9)], "seq_id long, end long, n long")
+    assert [(r.s_start, r.s_end, r.p) for r in G.centroid_sites(draws, 10, 6).collect()] == [(5, 11, 0.9), (45, 51, 0.9)]
+
+
+def test_shift_keeps_sites_legal(spark):
+    q = seqs(spark, "AACACGTGAA", "CCCACGTGCC", "CACGTGTTTT")
+    bg = spark.createDataFrame([(b, 0.25) for b in "ACGT"], "base string, p double")
+    sites = spark.createDataFrame([(0, 0, 1, 7), (1, 0, 1, 7), (2, 0, 0, 6)], "seq_id long, motif int, s_start long, s_end long")
+    out = G.shift_move(sites, q, bg, 6, 2, 1).collect()
+    assert len({r.s_start - s for r, s in zip(sorted(out, key=lambda r: r.seq_id), (1, 1, 0))}) == 1 and all(0 <= r.s_start and r.s_end <= 10 for r in out)
+
+
+def test_text_round_trips(spark, tmp_path):
+    q = seqs(spark, "ACGTX", "GGGA", "TTTTTTTT")
+    T.write_fasta(q.coalesce(1), f"{tmp_path}/fa")
+    assert [(r.name, r.nt) for r in T.read_fasta(spark, f"{tmp_path}/fa").orderBy("seq_id").collect()] == [(r.name, r.nt) for r in q.collect()]
+    (tmp_path / "raw.fa").write_text("> a b\r\nacg\r\ntt\n\n> c\nGG\nGA")
+    assert [(r.name, r.nt) for r in T.read_fasta(spark, f"{tmp_path}/raw.fa").orderBy("seq_id").collect()] == [("> a b", "ACGTT"), ("> c", "GGGA")]
+    (tmp_path / "sites").write_text("0,2:1,7.\n.\n1,4\n")
+    assert [tuple(r) for r in T.read_sites(spark, f"{tmp_path}/sites", 3).orderBy("seq_id", "slot").collect()] == [(0, 0, 0, 0, 3), (0, 1, 1, 5, 8), (2, 0, 1, 2, 5)]
+    (tmp_path / "walk_7_steps_400").write_text("0,0,3\n1,0\n")
+    got = T.read_walk_files(spark, f"{tmp_path}/walk_*").collect()
+    assert {(r.walk_id, r.step) for r in got} == {(7, 400)} and len(got) == 2
+    assert [tuple(r) for r in T.read_samples(spark, f"{tmp_path}/walk_7_steps_400", 2).orderBy("motif").collect()] == [(0, 0, 2, 3), (0, 1, 0, 1)]
+    (tmp_path / "pwm.csv").write_text("# a\n1,1,1,1\n\n2,0,0,2\n")
+    assert {(r.col, r.base): r.p for r in T.read_pwm_csv(spark, f"{tmp_path}/pwm.csv").collect()}[1, "T"] == 0.5
+    (tmp_path / "models").write_text(">reverse_complement\n1,0\n0,1\n0,0\n0,0\n>normal\n1 1\n0 0\n0 0\n1 1\n")
+    rows = {(r.model, r.direction, r.col, r.base): r.p for r in T.read_motif_models(spark, f"{tmp_path}/models").collect()}
+    assert rows[0, "reverse", 0, "G"] == 1.0 and rows[0, "reverse", 1, "T"] == 1.0 and rows[1, "forward", 0, "A"] == 0.5 and (1, "reverse", 0, "A") not in rows
+    (tmp_path / "list").write_text("F heading\n\n3, 1 10 acgta CACGTG ttttt 15 0.5 > g chr1 1 2 3 +\nnonsense\n")
+    good, bad = T.read_site_listing(spark, f"{tmp_path}/list")
+    assert good.first().site == "CACGTG" and good.first().left == "acgta" and bad.count() == 1
+    (tmp_path / "stats").write_text("words\n0 1.6 4.0 3.0 15.6 2.4 100\n")
+    assert tuple(T.read_conv_stats(spark, f"{tmp_path}/stats").first())[:2] == (0, 1.6)
+    (tmp_path / "genes").write_text("id\tsym\tchrom\ts\te\tstrand\n1\tabc:5\tchr1\t20\t10\t+\n2\tx:7\tchr1\t1\t9\t-\n")
+    assert [(r.gene, r.g_start, r.g_end, r.tss) for r in T.read_genes(spark, f"{tmp_path}/genes", 1).collect()] == [("x", 1, 9, 7)]
+    (tmp_path / "prior").write_text(">BLOCKS\n0 1\n1 3\n")
+    assert [r.p for r in T.read_table(spark, f"{tmp_path}/prior", "k int, p double", ("p", [])).orderBy("k").collect()] == [0.25, 0.75]
+    T.write_motif_stats(q, f"{tmp_path}/tsv")
+    assert spark.read.csv(f"{tmp_path}/tsv", sep="\t", header=True).count() == 3
+
+
+def test_streams_end_as_batches(spark, tmp_path, sf_dir):
+    from helixlake.sources import inputs as I
+    from helixlake.streaming import streams
+
+    results = I.results(spark, sf_dir).dropDuplicates(["wu_id", "result_id"])
+    for k in range(4):
+        results.where(F.col("result_id") % 4 == k).coalesce(1).write.parquet(f"{tmp_path}/results/part{k}")
+    source = spark.readStream.schema(results.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/results/*")
+    q = streams.quorum_stream(source).writeStream.format("memory").queryName("decided").outputMode("append").option("checkpointLocation", f"{tmp_path}/c1").trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    got = {r.wu_id for r in spark.table("decided").where("state = 'canonical'").collect()}
+    assert got == {r.wu_id for r in K.quorum(results).select("wu_id").distinct().collect()}
+
+    samples = I.samples(spark, sf_dir)
+    samples.repartition(3).write.parquet(f"{tmp_path}/samples")
+    source = spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/samples")
+    q = streams.sample_stream(source).writeStream.format("memory").queryName("sums").outputMode("complete").option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    assert sorted(map(tuple, spark.table("sums").collect())) == sorted(map(tuple, K.sum_walk(samples, 0).select("walk_id", "seq_id", "motif", "pos", "n").collect()))
+
+    walks = spark.createDataFrame([(1, 1, 0, False), (2, 1, 10, False), (3, 1, 0, False)], "walk_id long, sampler_id long, current_steps long, had_error boolean")
+    walks.write.parquet(f"{tmp_path}/walks/v0")
+    units = spark.createDataFrame([(1, 0, 10, False), (1, 0, 10, False), (2, 0, 10, False), (3, 0, 10, True)], "walk_id long, from_steps long, steps long, failed boolean")
+    units.coalesce(1).write.parquet(f"{tmp_path}/units")
+    source = spark.readStream.schema(units.schema).parquet(f"{tmp_path}/units")
+    streams.walk_state_stream(source, f"{tmp_path}/walks", f"{tmp_path}/c3").awaitTermination(300)
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/walks/v1").collect())) == [(1, 1, 10, False), (2, 1, 10, False), (3, 1, 0, True)]
+
+    source = spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/samples")
+    streams.ks_stream(source, f"{tmp_path}/arrived", f"{tmp_path}/tests", 3000, f"{tmp_path}/c4").awaitTermination(300)
+    assert spark.read.parquet(f"{tmp_path}/tests").select("walk_id", "step").distinct().count() == K.ks(samples, 3000).count()
