@@ -84,7 +84,7 @@ def read_pwm_csv(spark: SparkSession, path: str) -> DataFrame:
     """(col, base, p): four weights a line, '#' and blank lines skipped, rows made to add up to one."""
     rows = _lines(spark, path).where(~F.col("value").rlike(r"^\s*(#|$)"))
     col = (F.row_number().over(Window.partitionBy().orderBy("line")) - 1).alias("col")  # a model has a few lines
-    each = rows.select(col, F.posexplode(F.split("value", ",")).alias("k", "v")).select("col", F.element_at(F.array(*map(F.lit, N.BASES)), F.col("k") + 1).alias("base"), F.trim("v").cast("double").alias("v"))
+    each = rows.select(col, "value").select("col", F.posexplode(F.split("value", ",")).alias("k", "v")).select("col", F.element_at(F.array(*map(F.lit, N.BASES)), F.col("k") + 1).alias("base"), F.trim("v").cast("double").alias("v"))
     return each.select("col", "base", (F.col("v") / F.sum("v").over(Window.partitionBy("col"))).alias("p"))
 
 
