@@ -117,11 +117,12 @@ def _scan_block(docs: DataFrame, templates: list[tuple[str, str]], least: float)
                 text = w.h[w.first[doc] : w.first[doc + 1]]
                 found: list[list[int]] = []
                 last = None
+                band = min(BAND, len(words[k]) // 4 + 1)  # what the least coverage leaves room for
                 for shift in sorted(set(shifts)):
-                    if last is not None and shift - last <= BAND // 2:
+                    if last is not None and shift - last <= band // 2:
                         continue
                     last = shift
-                    m, a, b = align(text, words[k], shift)
+                    m, a, b = align(text, words[k], shift, band)
                     if m >= least * len(words[k]):
                         if found and a < found[-1][2]:
                             found[-1] = max(found[-1], [m, a, b], key=lambda x: (x[0], x[1] - x[2]))
