@@ -18,6 +18,7 @@ def quorum_stream(results: DataFrame, need: int = 2, max_errors: int = 8, max_to
 
     results(wu_id, result_id, payload); empty payloads are failures. The state of a unit holds the first result id
     and the count of each payload; a decided unit keeps only the mark for ttl, in which late results are ignored.
+    Under an availableNow trigger set spark.sql.streaming.noDataMicroBatches.enabled to false, or the timeout keeps the query going.
     """
     hours = int(pd.Timedelta(ttl).total_seconds() * 1000)
 

@@ -161,12 +161,14 @@ def test_streams_end_as_batches(spark, tmp_path, sf_dir):
     from helixlake.sources import inputs as I
     from helixlake.streaming import streams
 
+    # with a processing-time timeout a drained query would go on with empty batches
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     results = I.results(spark, sf_dir).dropDuplicates(["wu_id", "result_id"])
-    for k in range(4):
-        results.where(F.col("result_id") % 4 == k).coalesce(1).write.parquet(f"{tmp_path}/results/part{k}")
+    for k in range(2):
+        results.where(F.col("result_id") % 2 == k).coalesce(1).write.parquet(f"{tmp_path}/results/part{k}")
     source = spark.readStream.schema(results.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/results/*")
     q = streams.quorum_stream(source).writeStream.format("memory").queryName("decided").outputMode("append").option("checkpointLocation", f"{tmp_path}/c1").trigger(availableNow=True).start()
-    q.awaitTermination(300)
+    q.awaitTermination(90)
     got = {r.wu_id for r in spark.table("decided").where("state = 'canonical'").collect()}
     assert got == {r.wu_id for r in K.quorum(results).select("wu_id").distinct().collect()}
 
@@ -174,7 +176,7 @@ def test_streams_end_as_batches(spark, tmp_path, sf_dir):
     samples.repartition(3).write.parquet(f"{tmp_path}/samples")
     source = spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/samples")
     q = streams.sample_stream(source).writeStream.format("memory").queryName("sums").outputMode("complete").option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start()
-    q.awaitTermination(300)
+    q.awaitTermination(90)
     assert sorted(map(tuple, spark.table("sums").collect())) == sorted(map(tuple, K.sum_walk(samples, 0).select("walk_id", "seq_id", "motif", "pos", "n").collect()))
 
     walks = spark.createDataFrame([(1, 1, 0, False), (2, 1, 10, False), (3, 1, 0, False)], "walk_id long, sampler_id long, current_steps long, had_error boolean")
@@ -182,9 +184,9 @@ def test_streams_end_as_batches(spark, tmp_path, sf_dir):
     units = spark.createDataFrame([(1, 0, 10, False), (1, 0, 10, False), (2, 0, 10, False), (3, 0, 10, True)], "walk_id long, from_steps long, steps long, failed boolean")
     units.coalesce(1).write.parquet(f"{tmp_path}/units")
     source = spark.readStream.schema(units.schema).parquet(f"{tmp_path}/units")
-    streams.walk_state_stream(source, f"{tmp_path}/walks", f"{tmp_path}/c3").awaitTermination(300)
+    streams.walk_state_stream(source, f"{tmp_path}/walks", f"{tmp_path}/c3").awaitTermination(90)
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/walks/v1").collect())) == [(1, 1, 10, False), (2, 1, 10, False), (3, 1, 0, True)]
 
     source = spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/samples")
-    streams.ks_stream(source, f"{tmp_path}/arrived", f"{tmp_path}/tests", 3000, f"{tmp_path}/c4").awaitTermination(300)
+    streams.ks_stream(source, f"{tmp_path}/arrived", f"{tmp_path}/tests", 3000, f"{tmp_path}/c4").awaitTermination(90)
     assert spark.read.parquet(f"{tmp_path}/tests").select("walk_id", "step").distinct().count() == K.ks(samples, 3000).count()
