@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 2 << 20
 BLOCK_BYTES = 1 << 18
 #: The odd multipliers of the public splitmix64 finaliser and its increment.
 MUL1, MUL2, GOLDEN = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(0x9E3779B97F4A7C15)

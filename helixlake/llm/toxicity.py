@@ -29,7 +29,7 @@ from helixlake.llm.shared import id_text, saved, table
 
 PREFIXES, FEATURES, LEAST_CHI2, LEAST_TEXTS, FIT_ROWS = (3, 4, 5, 6, 7, 8), 3000, 12.0, 4, 20_000
 #: Bytes of text at once: each word has seven features here.
-SLICE = 1 << 20
+SLICE = 1 << 19
 STEPS, RATE, L2, SWAP_WEIGHT, THRESHOLD = 400, 0.1, 1e-4, 1.0, 0.7
 #: Identity terms, in groups whose members replace each other.
 IDENTITY = (
