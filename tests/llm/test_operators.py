@@ -304,7 +304,7 @@ def brute_katz(docs, train):
     assert free > 1e-9
     p1 = lambda w: d1.get(uni[w], 1.0) * uni[w] / n if uni[w] else free
     seen = {k: c for k, c in bi.items() if c >= katz.MIN_PAIR}
-    pd = {k: d2.get(c, 1.0) * c / hist[k[0]] for k, c in seen.items()}
+    pd = {k: d2.get(c, 1.0) * c / (hist[k[0]] + 1) for k, c in seen.items()}
     s, q = Counter(), Counter()
     for (a, b), p in pd.items():
         s[a] += p
