@@ -31,6 +31,11 @@ def parts(s, d):
     return q, st, c
 
 
+def per_motif(rows, value, dp):
+    """Places, sum and best value of each sequence and motif."""
+    return rows.groupBy("seq_id", "motif").agg(F.count("*").alias("n"), F.round(F.sum(value), dp).alias("total"), F.round(F.max(value), dp).alias("best"))
+
+
 def pwm(s, d):
     return M.normalised(parts(s, d)[2])
 
@@ -87,15 +92,15 @@ QUERIES = {
         lambda s, d: R6(M.kl_pwm(pwm(s, d)), "kl_ab", "kl_ba", "sym"),
         sql(*ALL, "kl AS (SELECT a.motif AS model_a, b.motif AS model_b, sum(a.p * log2(a.p / b.p)) AS x, sum(b.p * log2(b.p / a.p)) AS y FROM pwm a JOIN pwm b USING (col, base) WHERE a.motif < b.motif GROUP BY ALL)", "SELECT model_a, model_b, round(x::DOUBLE, 6) AS kl_ab, round(y::DOUBLE, 6) AS kl_ba, round((x + y)::DOUBLE / 2, 6) AS sym FROM kl"),
     ),
-    "score_pwm_scan": (lambda s, d: scan(s, d).withColumn("ratio", F.round("ratio", 4)), sql(*ALL, BACKGROUND, SCAN, 'SELECT seq_id, "end", motif, round(ratio::DOUBLE, 4) AS ratio FROM scan')),
+    "score_pwm_scan": (lambda s, d: per_motif(scan(s, d), "ratio", 2), sql(*ALL, BACKGROUND, SCAN, 'SELECT seq_id, motif, count(*) AS n, round(sum(ratio)::DOUBLE, 2) AS total, round(max(ratio)::DOUBLE, 2) AS best FROM scan GROUP BY ALL')),
     "score_site_posterior": (
-        lambda s, d: R6(M.site_posterior(scan(s, d), 0.001).select("seq_id", "end", "motif", "p"), "p"),
-        sql(*ALL, BACKGROUND, SCAN, 'SELECT seq_id, "end", motif, round((ratio * 0.001 / (1 - count(*) OVER w * 0.001 + sum(ratio * 0.001) OVER w))::DOUBLE, 6) AS p FROM scan WINDOW w AS (PARTITION BY seq_id, "end")'),
+        lambda s, d: per_motif(M.site_posterior(scan(s, d), 0.001), "p", 5),
+        sql(*ALL, BACKGROUND, SCAN, 'p AS (SELECT seq_id, motif, ratio * 0.001 / (1 - count(*) OVER w * 0.001 + sum(ratio * 0.001) OVER w) AS p FROM scan WINDOW w AS (PARTITION BY seq_id, "end"))', "SELECT seq_id, motif, count(*) AS n, round(sum(p)::DOUBLE, 5) AS total, round(max(p)::DOUBLE, 5) AS best FROM p GROUP BY ALL"),
     ),
     "score_spacing_posterior": (
-        lambda s, d: R6(M.spacing_posterior(scan(s, d), I.seqs(s, d), spacing(s)).select("seq_id", "end", "motif", "p"), "p"),
+        lambda s, d: per_motif(M.spacing_posterior(scan(s, d), I.seqs(s, d), spacing(s)), "p", 5),
         sql(*ALL, BACKGROUND, SCAN, SPACE, 'm AS (SELECT seq_id, "end", motif, ratio, coalesce(prior, 0) AS prior FROM scan JOIN seqs USING (seq_id) LEFT JOIN sp ON sp.dist_from_end = length(nt) - 1 - "end")',
-            'SELECT seq_id, "end", motif, round((ratio * prior / (1 - sum(prior) OVER w + sum(ratio * prior) OVER w))::DOUBLE, 6) AS p FROM m WINDOW w AS (PARTITION BY seq_id, "end")'),
+            'p AS (SELECT seq_id, motif, ratio * prior / (1 - sum(prior) OVER w + sum(ratio * prior) OVER w) AS p FROM m WINDOW w AS (PARTITION BY seq_id, "end"))', "SELECT seq_id, motif, count(*) AS n, round(sum(p)::DOUBLE, 5) AS total, round(max(p)::DOUBLE, 5) AS best FROM p GROUP BY ALL"),
     ),
     "flt_frequency": (
         lambda s, d: R6(M.site_posterior(scan(s, d), 0.001).where("p > 0.5").select("seq_id", "end", "motif", "p"), "p"),
@@ -106,10 +111,10 @@ QUERIES = {
         sql(*ALL, BACKGROUND, SCAN, 'p AS (SELECT ratio * 0.001 / (1 - count(*) OVER w * 0.001 + sum(ratio * 0.001) OVER w) AS p FROM scan WINDOW w AS (PARTITION BY seq_id, "end"))', "SELECT CASE WHEN p > 0.5 THEN 'map' WHEN p >= 0.01 THEN 'maybe' ELSE 'discard' END AS class, count(*) AS n FROM p GROUP BY 1"),
     ),
     "score_nmer_background": (
-        lambda s, d: M.nmer_background(I.seqs(s, d), S.nmer_freq(I.seqs(s, d), 3), 3, 6).withColumn("ln_p", F.round("ln_p", 5)),
+        lambda s, d: M.nmer_background(I.seqs(s, d), S.nmer_freq(I.seqs(s, d), 3), 3, 6).groupBy("seq_id").agg(F.count("*").alias("n"), F.round(F.sum("ln_p"), 3).alias("total")),
         sql(SEQS, win(3), win(6), "f AS (SELECT site AS nmer, count(*) / (sum(count(*)) OVER ())::DOUBLE AS p FROM win3 WHERE regexp_full_match(site, '[ACGT]+') GROUP BY 1)", "c AS (SELECT nmer, ln(p) AS a, ln(p / sum(p) OVER (PARTITION BY substr(nmer, 1, 2))) AS b FROM f)",
             "k AS (SELECT site, sum(CASE WHEN i = 1 THEN a ELSE b END) AS ln_p FROM (SELECT site, unnest(range(1, 5)) AS i FROM (SELECT DISTINCT site FROM win6 WHERE regexp_full_match(site, '[ACGT]+'))) JOIN c ON nmer = substr(site, i, 3) GROUP BY site)",
-            "SELECT seq_id, pos, round(ln_p, 5) AS ln_p FROM win6 JOIN k USING (site)"),
+            "SELECT seq_id, count(*) AS n, round(sum(ln_p), 3) AS total FROM win6 JOIN k USING (site) GROUP BY seq_id"),
     ),
     "agg_sites_per_seq": (
         lambda s, d: R6(M.sites_per_seq(parts(s, d)[1], I.seqs(s, d)), "p"),

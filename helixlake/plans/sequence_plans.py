@@ -17,6 +17,11 @@ def rnd(*names: str):
     return {n: F.round(n, DP) for n in names}
 
 
+def per_seq(found):
+    """Number of windows, of distinct ones, the first and last of them and the last place, by sequence."""
+    return found.groupBy("seq_id").agg(F.count("*").alias("n"), F.countDistinct("site").alias("kinds"), F.min("site").alias("first"), F.max("site").alias("last"), F.max("pos").alias("at"))
+
+
 RUNS = """regs AS (SELECT seq_id, length(nt) AS len, regexp_extract_all(nt, 'A+|C+|G+|T+|X+') AS r FROM seqs),
 runs AS (SELECT seq_id, len, k, r[k] AS run, sum(length(r[k])) OVER (PARTITION BY seq_id ORDER BY k) AS upto FROM (SELECT seq_id, len, r, unnest(range(1, len(r) + 1)) AS k FROM regs)),
 run AS (SELECT seq_id, run[1] AS base, CAST(upto - length(run) AS BIGINT) AS start, CAST(length(run) AS BIGINT) AS run_len, upto = len AS is_last, run, k FROM runs)"""
@@ -38,7 +43,10 @@ QUERIES = {
     ),
     "fn_strip_cr": (lambda s, d: I.read(s, d, "pages").select("page_id", N.strip_cr("html").alias("text")), "SELECT page_id, replace(html, chr(13), '') AS text FROM pages"),
     "fn_revcomp": (lambda s, d: I.seqs(s, d).select("seq_id", N.revcomp("nt").alias("rc")), sql(SEQS, f"SELECT seq_id, {REV.format('nt')} AS rc FROM seqs")),
-    "fn_windows": (lambda s, d: I.windows(I.seqs(s, d), 6), sql(SEQS, win(6), "SELECT seq_id, pos, site FROM win6")),
+    "fn_windows": (
+        lambda s, d: per_seq(I.windows(I.seqs(s, d), 6)),
+        sql(SEQS, win(6), "SELECT seq_id, count(*) AS n, count(DISTINCT site) AS kinds, min(site) AS first, max(site) AS last, CAST(max(pos) AS BIGINT) AS at FROM win6 GROUP BY seq_id"),
+    ),
     "fn_distinct_bases": (
         lambda s, d: S.kmer_canonical(I.seqs(s, d)).select("kmer", N.distinct_bases("kmer").alias("n_bases")),
         sql(SEQS, win(6), KMERS, "SELECT kmer, CAST(kmer LIKE '%A%' AS INT) + CAST(kmer LIKE '%C%' AS INT) + CAST(kmer LIKE '%G%' AS INT) + CAST(kmer LIKE '%T%' AS INT) AS n_bases FROM kmers"),
@@ -48,8 +56,8 @@ QUERIES = {
         sql(SEQS, win(7), NMER, "SELECT nmer, CAST(list_sum([(position(substr(nmer, i, 1) IN 'ATCG') - 1) * CAST(pow(4, i - 1) AS BIGINT) FOR i IN range(1, 8)]) AS BIGINT) AS idx FROM nm"),
     ),
     "fn_valid_run": (
-        lambda s, d: S.valid_runs(I.seqs(s, d)),
-        sql(SEQS, BASES, "SELECT seq_id, pos, pos - coalesce(max(CASE WHEN base = 'X' THEN pos END) OVER (PARTITION BY seq_id ORDER BY pos), -1) AS run FROM bases"),
+        lambda s, d: S.valid_runs(I.seqs(s, d)).groupBy("seq_id").agg(F.max("run").alias("longest"), F.sum("run").alias("total"), F.max_by("pos", F.struct("run", "pos")).alias("at")),
+        sql(SEQS, BASES, "r AS (SELECT seq_id, pos, pos - coalesce(max(CASE WHEN base = 'X' THEN pos END) OVER (PARTITION BY seq_id ORDER BY pos), -1) AS run FROM bases)", "SELECT seq_id, CAST(max(run) AS BIGINT) AS longest, CAST(sum(run) AS BIGINT) AS total, CAST(arg_max(pos, run * 10000000 + pos) AS BIGINT) AS at FROM r GROUP BY seq_id"),
     ),
     "fn_possible_end": (
         lambda s, d: S.valid_runs(I.seqs(s, d)).where(N.possible_end("run", "pos", 8)).groupBy("seq_id").agg(F.count("*").alias("n")),
@@ -63,7 +71,10 @@ QUERIES = {
         lambda s, d: S.non_empty(I.read(s, d, "documents").select(F.col("doc_id").alias("seq_id"), F.regexp_replace("text", "[^a-zA-Z]", "").alias("nt")))[0].select("seq_id", F.length("nt").cast("long").alias("n_nt")),
         "SELECT doc_id AS seq_id, length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) AS n_nt FROM documents WHERE length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) > 0",
     ),
-    "flt_masked_windows": (lambda s, d: S.unmasked(I.windows(I.seqs(s, d), 8)), sql(SEQS, win(8), "SELECT seq_id, pos, site FROM win8 WHERE regexp_full_match(site, '[ACGT]+')")),
+    "flt_masked_windows": (
+        lambda s, d: per_seq(S.unmasked(I.windows(I.seqs(s, d), 8))),
+        sql(SEQS, win(8), "SELECT seq_id, count(*) AS n, count(DISTINCT site) AS kinds, min(site) AS first, max(site) AS last, CAST(max(pos) AS BIGINT) AS at FROM win8 WHERE regexp_full_match(site, '[ACGT]+') GROUP BY seq_id"),
+    ),
     "runs_find": (lambda s, d: S.find_runs(I.seqs(s, d), 4), sql(SEQS, RUNS, "SELECT seq_id, base, run_len, start, is_last AS is_trailing FROM run WHERE run_len >= 4 AND base <> 'X'")),
     "runs_mask": (
         lambda s, d: S.mask_runs(I.seqs(s, d), 4).select("seq_id", "nt"),
@@ -73,7 +84,10 @@ QUERIES = {
         lambda s, d: S.mask_runs(I.seqs(s, d), 4, mask_trailing=False).select("seq_id", "nt"),
         sql(SEQS, RUNS, "SELECT seq_id, string_agg(CASE WHEN run_len >= 4 AND NOT is_last THEN repeat('X', run_len) ELSE run END, '' ORDER BY k) AS nt FROM run GROUP BY seq_id"),
     ),
-    "win_runs": (lambda s, d: S.runs(I.seqs(s, d)), sql(SEQS, RUNS, "SELECT seq_id, base, start, run_len, is_last FROM run")),
+    "win_runs": (
+        lambda s, d: S.runs(I.seqs(s, d)).groupBy("seq_id", "base").agg(F.count("*").alias("n"), F.max("run_len").alias("longest"), F.sum("start").alias("starts"), F.bool_or("is_last").alias("ends")),
+        sql(SEQS, RUNS, "SELECT seq_id, base, count(*) AS n, max(run_len) AS longest, CAST(sum(start) AS BIGINT) AS starts, bool_or(is_last) AS ends FROM run GROUP BY ALL"),
+    ),
     "agg_seq_stats": (lambda s, d: S.seq_stats(I.seqs(s, d)), sql(SEQS, "SELECT count(*) AS n_seq, CAST(sum(length(nt)) AS BIGINT) AS n_nt FROM seqs")),
     "agg_background": (lambda s, d: S.background(I.seqs(s, d)).withColumns(rnd("p")), sql(SEQS, BACKGROUND, "SELECT base, round(p, 6) AS p FROM bg")),
     "agg_background_weighted": (

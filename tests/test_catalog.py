@@ -9,8 +9,6 @@ import pytest
 from helixlake.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: A million rows each; the scans are compared once, in score_pwm_scan's posterior.
-LARGE = {"score_pwm_scan", "score_spacing_posterior", "flt_frequency", "score_nmer_background", "fn_valid_run"}
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 
 
@@ -29,7 +27,7 @@ def plain(v):
     return v
 
 
-@pytest.mark.parametrize("name", sorted(set(SQL) - LARGE))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_agrees_with_sql(spark, sf_dir, duck, name):
     out = QUERIES[name](spark, sf_dir)
     names = sorted(out.columns)
