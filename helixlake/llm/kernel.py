@@ -8,6 +8,7 @@ number of rows in an Arrow batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -145,6 +146,23 @@ def gram_hash(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
         return mix64(out + U64(k) * GOLDEN)
 
 
+def release() -> None:
+    """Gives freed memory back to the system, so that a reused worker doesn't keep one stage's peak through the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc
+
+
+def row_slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of few rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    release()
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[Texts]:
     """The rows in slices of at most about limit bytes of text, of one row at least."""
     for batch in batches:
@@ -157,6 +175,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = S
             to = max(at + 1, int(np.searchsorted(b, b[at] + limit, side="right")) - 1)
             yield Texts(batch.slice(at, to - at), text)
             at = to
+    release()
 
 
 def signed(h: np.ndarray) -> np.ndarray:

@@ -15,7 +15,7 @@ import re
 import numpy as np
 
 #: Most pieces that a worker process remembers; others are encoded each time.
-MEMO = 400_000
+MEMO = 100_000
 #: UTF-8 of the white space outside ASCII (the 0x80 block is covered by its prefix).
 WIDE_SPACE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 #: In a text with one of these, pieces are cut by the slower exact pattern.

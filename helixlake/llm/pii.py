@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixlake.llm.kernel import row_slices
 from helixlake.llm.shared import saved, table
 
 KEY, MAX_DRAWS = b"change this key for each release", 64
@@ -160,7 +161,7 @@ def found_entities(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, kind, entity), distinct in each text."""
 
     def run(batches):
-        for batch in batches:
+        for batch in row_slices(batches):
             rows = {"doc_id": [], "kind": [], "entity": []}
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for kind, entity in sorted({e[2:] for e in entities(text)}):
@@ -176,7 +177,7 @@ def drawn(entity_draws: DataFrame, key: bytes) -> DataFrame:
     """(kind, entity, draw) with the surrogate of that draw."""
 
     def run(batches):
-        for batch in batches:
+        for batch in row_slices(batches):
             cols = [batch.column(i).to_pylist() for i in range(3)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([surrogate(key, *r) for r in zip(*cols)], pa.string())], ["kind", "entity", "draw", "surrogate"])
 
@@ -211,14 +212,14 @@ def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def split(having: bool):
         def run(batches):
-            for batch in batches:
+            for batch in row_slices(batches):
                 keep = [bool(entities(t)) == having for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         return docs.mapInArrow(run, schema)
 
     def write(batches):
-        for batch in batches:
+        for batch in row_slices(batches):
             texts, counts = [], []
             for text, pairs in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
                 known = {(p["kind"], p["entity"]): p["surrogate"] for p in pairs}
