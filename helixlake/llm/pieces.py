@@ -14,7 +14,7 @@ import re
 
 import numpy as np
 
-#: Most pieces that a worker process remembers; others are encoded each time.
+#: Most pieces that a worker process remembers unless it is told otherwise; others are encoded each time.
 MEMO = 100_000
 #: UTF-8 of the white space outside ASCII (the 0x80 block is covered by its prefix).
 WIDE_SPACE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
@@ -27,7 +27,7 @@ GROUP = 2000
 class PieceEncoder:
     """ids of texts as little-endian unsigned 32-bit integers, equal to the library's."""
 
-    def __init__(self, path: str, lossless: bool):
+    def __init__(self, path: str, lossless: bool, most: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -35,6 +35,7 @@ class PieceEncoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.lossless = lossless
+        self.most = most
         self.memo: dict[bytes, bytes] = {}
         self.exact: dict[bytes, bytes] = {}
         vocab = self.tok.get_vocab(with_added_tokens=True)
@@ -118,7 +119,7 @@ class PieceEncoder:
             if lost:
                 names = list(lost)
                 lost.update(zip(names, self._many([raw(k) for k in names])))
-                room = MEMO - len(memo)
+                room = self.most - len(memo)
                 if room > 0:
                     memo.update(lost if len(lost) <= room else dict(list(lost.items())[:room]))
         out = []
@@ -135,11 +136,11 @@ class PieceEncoder:
         return b" ".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-_open: dict[tuple[str, bool], PieceEncoder] = {}
+_open: dict[tuple[str, bool, int], PieceEncoder] = {}
 
 
-def encoder(path: str, lossless: bool) -> PieceEncoder:
+def encoder(path: str, lossless: bool, most: int = MEMO) -> PieceEncoder:
     """This process's encoder of a vocabulary file."""
-    if (path, lossless) not in _open:
-        _open[path, lossless] = PieceEncoder(path, lossless)
-    return _open[path, lossless]
+    if (path, lossless, most) not in _open:
+        _open[path, lossless, most] = PieceEncoder(path, lossless, most)
+    return _open[path, lossless, most]

@@ -31,6 +31,8 @@ from helixlake.llm.pieces import encoder
 from helixlake.llm.shared import id_text, new_path, saved, table
 
 FRAME_BYTES, END_ID, LEVEL = 1 << 20, 0, 3
+#: Pieces that a writing worker remembers.
+MEMO = 800_000
 #: Fixed values of the published frame formats: skippable frames and the footer of a seek table.
 INDEX_MAGIC, TABLE_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 CHECKSUMS = 0x80
@@ -134,7 +136,7 @@ def write_ids(docs: DataFrame, vocabulary: str, folder: str, end_id: int = END_I
     end = struct.pack("<I", end_id)
 
     def run(batches):
-        enc, writer = encoder(vocabulary, True), None
+        enc, writer = encoder(vocabulary, True, MEMO), None
         for t in K.slices(batches):
             if writer is None:
                 store, base = open_store(folder)
