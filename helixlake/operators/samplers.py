@@ -381,8 +381,8 @@ def tree_column(columns: DataFrame, tree: list[tuple[str, str | None, float, str
     for level in range(max(depth.values()), 0, -1):
         at = [n for n in depth if depth[n] == level]
         low = part.where(F.col("node").isin(at)).join(F.broadcast(edges), ["node", "base"]).groupBy("col", "node", "parent", "up").agg(F.sum(F.col("l") * F.col("p")).alias("l"))
-        up = low.groupBy("col", F.col("parent").alias("node"), F.col("up").alias("base")).agg(F.exp(F.sum(F.ln("l"))).alias("l"))
-        part = part.where(~F.col("node").isin(at)).unionByName(up.select("col", "node", "base", F.coalesce("l", F.lit(0.0)).alias("l")))
+        up = low.groupBy("col", F.col("parent").alias("node"), F.col("up").alias("base")).agg(F.product("l").alias("l"))
+        part = part.where(~F.col("node").isin(at)).unionByName(up.select("col", "node", "base", "l"))
     root = F.lit(0.0)
     for b, v in pi.items():
         root = root + F.when(F.col("base") == b, F.col("l") * v).otherwise(0.0)
