@@ -30,7 +30,7 @@ WINDOW, MASK, CHUNK_BYTES = 4, 31, 8192
 #: Bytes of text that are encoded at once.
 SLICE = 2 << 20
 #: Most chunks, and most of their bytes, that are encoded once and sent to all tasks.
-SHARED, SHARED_BYTES = 50_000, 32 << 20
+SHARED, SHARED_BYTES = 20_000, 8 << 20
 
 
 def chunk_bounds(t: K.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
