@@ -13,7 +13,7 @@ surrogates; no table is sent whole to anybody.
 
 Edge cases: null texts stay null and empty ones empty; texts without entities are unchanged;
 overlapping matches go to the earlier, then longer one; repeated rows are treated alike;
-an empty table gives an empty result. doc_id may repeat. A kind of given names of one gender
+an empty table gives an empty result. doc_id may repeat or be null. A kind of given names of one gender
 and script with more distinct names than the list has gets numbers behind the name.
 """
 
@@ -24,7 +24,7 @@ import hmac
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixlake.llm.kernel import row_slices
@@ -52,7 +52,8 @@ NUMBERS = re.compile(
 TOKENS = re.compile(r"(?P<secret>(?<![0-9A-Za-z])(?:sk|pk|ghp|gho|xoxb|AKIA)[-_]?[0-9A-Za-z]{16,64}(?![0-9A-Za-z]))")
 PERSON = re.compile(r"\b(?:" + "|".join(TITLES) + r")\.? +(?P<surname>" + _CAP + r")|\b(?P<given>" + "|".join(sorted(GIVEN, key=len, reverse=True)) + r") +(?P<last>" + _CAP + r")")
 DIGIT = re.compile("[0-9]")
-NAME_WORDS = frozenset(GIVEN).union(TITLES, (f"{t}." for t in TITLES))
+WORD = re.compile(r"\w+")
+NAME_WORDS = frozenset(GIVEN).union(TITLES)
 
 
 def entities(text: str) -> list[tuple[int, int, str, str]]:
@@ -70,7 +71,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     if DIGIT.search(text):
         for m in (*NUMBERS.finditer(text), *TOKENS.finditer(text)):
             out.append((m.start(), m.end(), m.lastgroup, canonical(m.lastgroup, m[0])))
-    if not NAME_WORDS.isdisjoint(text.split()):
+    if not NAME_WORDS.isdisjoint(WORD.findall(text)):  # PERSON begins and ends each of these at a word's bounds
         for m in PERSON.finditer(text):
             for group in ("surname", "given", "last"):
                 if m[group]:
@@ -157,8 +158,13 @@ def in_form(kind: str, original: str, new: str) -> str:
     return new
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """What a text meets its surrogates by: its id, or a hash of the text without one. Texts that share a key get what any of them needs."""
+    return F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col))
+
+
 def found_entities(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, kind, entity), distinct in each text."""
+    """(doc_id, kind, entity), distinct in each text; doc_id is the text's row_key."""
 
     def run(batches):
         for batch in row_slices(batches):
@@ -170,7 +176,7 @@ def found_entities(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     rows["entity"].append(entity)
             yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("entity", pa.string())]))
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, kind string, entity string")
+    return docs.select(row_key(id_col, text_col), text_col).mapInArrow(run, "doc_id long, kind string, entity string")
 
 
 def drawn(entity_draws: DataFrame, key: bytes) -> DataFrame:
@@ -208,7 +214,7 @@ def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     fixed = saved(assigned(found.select("kind", "entity").distinct(), key), "surrogates")
     per_doc = found.distinct().join(fixed, ["kind", "entity"]).groupBy("doc_id").agg(F.collect_list(F.struct("kind", "entity", "surrogate")).alias("_surrogates")).withColumnRenamed("doc_id", "_id")
     names, schema = docs.columns, docs.schema
-    at, id_at = names.index(text_col), names.index(id_col)
+    at = names.index(text_col)
 
     def split(having: bool):
         def run(batches):
@@ -235,7 +241,7 @@ def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     plain = split(False).withColumn("n_entities", F.lit(0).cast("long"))
     out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", n_entities long"
     having = split(True)
-    met = having.join(per_doc, having[names[id_at]].cast("long") == F.col("_id")).select(*(having[c] for c in names), "_surrogates")
+    met = having.join(per_doc, row_key(id_col, text_col) == F.col("_id"), "left").select(*(having[c] for c in names), "_surrogates")
     return plain.unionByName(met.mapInArrow(write, out_schema))
 
 

@@ -237,6 +237,22 @@ def test_pii_is_injective(spark):
     assert not {x.split()[0] for x in out[900:]} & set(pii.NAMES["m", "latin"])
 
 
+def test_pii_names_next_to_marks(spark):
+    """A name is found wherever its pattern allows it, not only between blanks, and one name has one surrogate in all texts."""
+    texts = ["(Anna Schmidt)", '"Mr. Smith', "Author:Maria Lopez", "by-John Miller", "with Anna Schmidt"]
+    out = [r.text for r in pii.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert not re.search("Anna|Schmidt|Smith|Maria|Lopez|John|Miller", " ".join(out))
+    assert out[0][1:-1] == out[4].removeprefix("with ") and out[1].startswith('"Mr. ') and out[2].startswith("Author:") and out[3].startswith("by-")
+
+
+def test_pii_keeps_rows_without_id(spark):
+    rows = [(None, "mail a.b@example.com"), (None, "mail a.b@example.com"), (None, "Anna Schmidt"), (None, "clean"), (None, None), (1, "Anna Schmidt")]
+    out = pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == len(rows) and sorted(r.n_entities for r in out) == [0, 0, 1, 1, 2, 2]
+    assert not any(x in (r.text or "") for r in out for x in ("a.b@", "Anna", "Schmidt"))
+    assert len({r.text for r in out if r.n_entities == 2}) == 1
+
+
 # 5
 
 
