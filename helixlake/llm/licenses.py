@@ -1,22 +1,24 @@
 """License scans by winnowed fingerprints and banded alignment (operator 5).
 
-Template words are hashed in runs of GRAM; of each WINDOW neighbouring runs the smallest is
-a fingerprint (winnowing), so every match of GRAM + WINDOW - 1 words shares one. The
-fingerprints of the templates are the inverted index; all runs of a text are looked up in it, so
-short notices are found too. Hits of one template on nearby diagonals make a candidate
-region, and a banded alignment of the region with the template gives matched words, coverage
-and span.
+Template words are hashed in runs of GRAM, or fewer where the replaced words that the least
+coverage allows could leave no run of GRAM whole. Of each WINDOW neighbouring runs the smallest
+is a fingerprint (winnowing), so every match of GRAM + WINDOW - 1 words shares one; where the
+least coverage doesn't grant such a match, all runs are fingerprints. The fingerprints of the
+templates are the inverted index, in which all runs of a text are looked up. From each hit, a
+banded alignment with the template gives matched words, coverage and span.
 
 Templates are a table (name, text) of a fixed, checked size, which is sent to all tasks;
 larger sets are taken in blocks of MAX_TEMPLATES. Every text is scanned whole.
 
 Edge cases: null and empty texts match nothing; a template shorter than GRAM is one run of
-its own length; equal templates each report; several regions in a text each report; overlapping
-regions of one template are joined; empty tables give no rows; other columns are ignored.
+its own length; equal templates each report; several matches in a text each report, those of one template
+without overlap; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -61,27 +63,60 @@ def align(text: np.ndarray, template: np.ndarray, shift: int, band: int = BAND)
     """(matched words, first, end) of the best alignment of template with text near diagonal shift.
 
     Longest common subsequence within the band; cell (i, d) is template word i against text word
-    i + shift + d. Ties prefer the shorter span.
+    i + shift + d, and holds the most matches up to there and, in its low half, the latest first one.
+    Ties prefer the shorter span, then the earlier one.
     """
-    width = 2 * band + 1
-    best = np.zeros(width, np.int64)
-    first = np.full(width, -1)
-    last = np.full(width, -1)
+    best = np.zeros(2 * band + 1, np.int64)
     for i in range(len(template)):
         at = i + shift + np.arange(-band, band + 1)
-        inside = (at >= 0) & (at < len(text))
-        same = inside & (text[np.clip(at, 0, max(len(text) - 1, 0))] == template[i]) if len(text) else inside
-        up, up_f, up_l = np.append(best[1:], -1), np.append(first[1:], -1), np.append(last[1:], -1)
-        hit = best + same
-        f = np.where(same & (first < 0), at, first)
-        e = np.where(same, at, last)
-        take = up > hit
-        best, first, last = np.where(take, up, hit), np.where(take, up_f, f), np.where(take, up_l, e)
-        for d in range(1, width):
-            if best[d - 1] > best[d]:
-                best[d], first[d], last[d] = best[d - 1], first[d - 1], last[d - 1]
-    k = int(best.argmax())
-    return int(best[k]), int(first[k]), int(last[k]) + 1
+        same = (at >= 0) & (at < len(text))
+        if len(text):
+            same &= text[np.clip(at, 0, len(text) - 1)] == template[i]
+        hit = np.where(same, np.where(best > 0, best, at) + (1 << 32), best)
+        best = np.maximum.accumulate(np.maximum(hit, np.append(best[1:], 0)))
+    matched, first = best >> 32, best & 0xFFFFFFFF
+    if not matched[-1]:
+        return 0, -1, 0
+    # a cell above its left neighbour ends with a match
+    last = np.flatnonzero((matched == matched[-1]) & (np.diff(best, prepend=0) > 0))
+    end = len(template) - 1 + shift - band + last + 1
+    k = int(np.argmin(end - first[last]))
+    return int(matched[-1]), int(first[last][k]), int(end[k])
+
+
+def passages(text: np.ndarray, template: np.ndarray, hits: list[tuple[int, int]], need: int, lo: int, hi: int) -> list[tuple[int, int, int]]:
+    """(matched, first, end) of the matches in text[lo:hi] that don't overlap, in order; hits: (text place, template place) of shared runs, ascending."""
+    out: list[tuple[int, int, int]] = []
+    tried: set[int] = set()
+
+    def best(shift: int, lo: int, hi: int) -> tuple[int, int, int] | None:
+        near = text[max(lo, shift - BAND) : max(0, min(hi, shift + len(template) + BAND))]
+        if np.isin(template, near).sum() < need:
+            return None
+        m, a, b = align(text[lo:hi], template, shift - lo)
+        return (m, a + lo, b + lo) if m >= need else None
+
+    for j, (t, p) in enumerate(hits):
+        if t < lo or t >= hi or t - p in tried:
+            continue
+        tried.add(t - p)
+        found = best(t - p, lo, hi)
+        if not found:
+            continue
+        _, a, b = found
+        # words that stand between may be a second notice's: two whole matches are better than one wide one
+        for x in sorted({max(u - q, a + 1) for u, q in hits[j : bisect_left(hits, (b,))] if u > a and u - q < b}) if b - a > len(template) else ():
+            left, right = best(t - p, lo, x), best(x, x, hi)
+            if left and right:
+                found = left
+                break
+        _, a, b = found
+        if a > t:  # a better match follows; what stands before it is searched by itself
+            out += passages(text, template, hits[j : bisect_left(hits, (a,))], need, lo, a)
+        out.append(found)
+        lo = b
+        tried.clear()
+    return out
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]], least: float = LEAST_COVERAGE) -> DataFrame:
@@ -95,7 +130,11 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]], least: float = LEAST
 
 def _scan_block(docs: DataFrame, templates: list[tuple[str, str]], least: float) -> DataFrame:
     words = [K.Texts(pa.RecordBatch.from_pydict({"text": [text]})).words(K.NOT_ALNUM, K.FOLDED).h for _, text in templates]
-    posts = [(int(r[p]), k, int(p), min(GRAM, len(w))) for k, w in enumerate(words) for r in [runs(w)] for p in winnow(r)]
+    needs = [int(np.ceil(least * len(w) - 1e-9)) for w in words]
+    # of m words with m - need replaced, so many neighbours are whole somewhere
+    whole = [max(1, len(w) // (len(w) - need + 1)) for w, need in zip(words, needs)]
+    sizes = [min(GRAM, n) for n in whole]
+    posts = [(int(r[p]), k, int(p), sizes[k]) for k, w in enumerate(words) for r in [runs(w, sizes[k])] for p in (winnow(r) if whole[k] >= GRAM + WINDOW - 1 else range(len(r)))]
     by_size = {n: sorted((h, k, p) for h, k, p, m in posts if m == n) for n in {x[3] for x in posts}}
     index = {n: (np.array([x[0] for x in rows], K.U64), [x[1:] for x in rows]) for n, rows in by_size.items()}
     names = [n for n, _ in templates]
@@ -104,31 +143,19 @@ def _scan_block(docs: DataFrame, templates: list[tuple[str, str]], least: float)
     def run(batches):
         for t in K.slices(batches):
             w = t.words(K.NOT_ALNUM, K.FOLDED)
-            near: dict[tuple[int, int], list[int]] = {}
+            near: dict[tuple[int, int], list[tuple[int, int]]] = {}
             for n, (keys, places) in index.items():
                 at, h = w.grams(n)
                 lo, hi = np.searchsorted(keys, h), np.searchsorted(keys, h, side="right")
                 for j in np.flatnonzero(hi > lo).tolist():
+                    doc = int(w.doc[at[j]])
                     for k, p in places[lo[j] : hi[j]]:
-                        near.setdefault((int(w.doc[at[j]]), k), []).append(int(at[j]) - int(w.first[w.doc[at[j]]]) - p)
+                        near.setdefault((doc, k), []).append((int(at[j]) - int(w.first[doc]), p))
             rows = []
             ids = t.ids()
-            for (doc, k), shifts in sorted(near.items()):
+            for (doc, k), hits in sorted(near.items()):
                 text = w.h[w.first[doc] : w.first[doc + 1]]
-                found: list[list[int]] = []
-                last = None
-                band = min(BAND, len(words[k]) // 4 + 1)  # what the least coverage leaves room for
-                for shift in sorted(set(shifts)):
-                    if last is not None and shift - last <= band // 2:
-                        continue
-                    last = shift
-                    m, a, b = align(text, words[k], shift, band)
-                    if m >= least * len(words[k]):
-                        if found and a < found[-1][2]:
-                            found[-1] = max(found[-1], [m, a, b], key=lambda x: (x[0], x[1] - x[2]))
-                        else:
-                            found.append([m, a, b])
-                rows += [(ids[doc].as_py(), names[k], m, m / len(words[k]), a, b) for m, a, b in found]
+                rows += [(ids[doc].as_py(), names[k], m, m / len(words[k]), a, b) for m, a, b in passages(text, words[k], sorted(hits), needs[k], 0, len(text))]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kinds)], schema=kinds)
 
     return id_text(docs).mapInArrow(run, "doc_id long, license string, matched long, coverage double, first_word long, end_word long")

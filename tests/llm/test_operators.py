@@ -269,6 +269,21 @@ def test_licenses(spark, awkward, empty):
     assert licenses.scan(awkward, [("short", "two three")]).count() == 2 and licenses.scan(empty, [("a", "b c d e")]).count() == 0
 
 
+def test_licenses_with_inserted_and_replaced_words(spark):
+    texts = {
+        1: "Released under the terms of the MIT License", 2: "Licensed under the terms of the CC BY-NC 4.0", 3: "Released under the new License", 4: "Released under a MIT License", 5: "see Licensed under CC BY-NC 4.0. Licensed under CC BY-NC 4.0. end",
+        6: "Released under the BSD License. Released under the MIT License. Released under the old License", 7: "Released under the BSD License. Released under any MIT License.", 8: "Released by the maker of a License", 9: "Released under the MIT License. " * 400,
+    }
+    got = defaultdict(list)
+    for r in licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), sorted(licenses.TEMPLATES.items())).collect():
+        got[r.doc_id].append((r.license, r.matched, r.first_word, r.end_word))
+    mit = lambda *spans: [("mit-notice", *x) for x in spans]
+    assert got[1] == mit((5, 0, 8)) and got[2] == [("cc-by-nc-4.0-notice", 7, 0, 11)] and got[3] == mit((4, 0, 5)) and got[4] == mit((4, 0, 5))
+    assert [x[1:] for x in sorted(got[5])] == [(7, 1, 8), (7, 8, 15)]
+    assert sorted(got[6]) == sorted(mit((4, 0, 5), (5, 5, 10), (4, 10, 15))) and sorted(got[7]) == mit((4, 0, 5), (4, 5, 10))
+    assert 8 not in got and sorted(got[9]) == mit(*((5, 5 * i, 5 * i + 5) for i in range(400)))
+
+
 def test_alignment_is_a_banded_common_subsequence():
     import numpy as np
 
