@@ -4,8 +4,11 @@ Per text: counts of words, symbols, repeated lines and repeated 8-word windows.
 and source: a quantile sketch of each rate. The sketch is a histogram over logarithmic
 buckets (relative error ``ERROR``): two sketches merge by adding counts, so Spark builds
 it with one partial aggregation and no group is gathered anywhere. The upper fence of a
-group, median + SPREAD * (median - low quantile) and never under a floor, replaces a fixed
-cut-off. Groups with fewer than MIN_GROUP texts use the merged sketch of their language.
+group, high quantile + SPREAD * (high quantile - median), replaces a fixed cut-off. Sketches are of
+the texts that pass the base rule, so that texts which fail anyway don't widen the fences.
+Groups with fewer than MIN_GROUP such texts use the merged sketch of their language. Where
+nearly all texts of a group have a zero rate its fence is zero; a guard keeps it from dropping
+each text with one symbol or one repeated line.
 
 Edge cases: null and empty texts have zero counts and fail the base rule (under 20 words);
 null language or source is a group of its own; repeated rows are judged row by row; an empty
@@ -26,9 +29,9 @@ from helixlake.llm.shared import id_text, saved, table
 ERROR = 0.02
 #: Offset that makes the logarithm of a zero rate finite; rates under it are one bucket.
 LEAST = 1e-4
-SPREAD, LOW_Q, MIDDLE_Q, MIN_GROUP = 4.0, 0.1, 0.5, 50
-#: No fence falls below these: rates that any clean text may have.
-FLOORS = {"symbol_rate": 0.08, "dup_line_rate": 0.3, "repeat_rate": 0.2, "upper_rate": 0.3}
+SPREAD, LOW_Q, MIDDLE_Q, HIGH_Q, MIN_GROUP = 4.0, 0.1, 0.5, 0.85, 50
+#: No fence falls below these guards.
+FLOORS = {"symbol_rate": 0.02, "dup_line_rate": 0.15, "repeat_rate": 0.08, "upper_rate": 0.02}
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 UPPER, LETTER = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
@@ -113,19 +116,20 @@ def sketch(counts: DataFrame) -> DataFrame:
 
 
 def quantiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """Low and middle quantile of each merged sketch, within ERROR."""
+    """Low, middle and high quantile of each merged sketch, within ERROR; rates under LEAST are zero."""
     step = float(np.log1p(ERROR))
     merged = sketches.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*keys, "metric")
     run = merged.withColumn("upto", F.sum("n").over(w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(w))
-    value = F.exp(F.col("bucket") * F.lit(step))
+    zero = int(np.ceil(np.log(LEAST) / step))
+    value = F.when(F.col("bucket") <= zero, F.lit(0.0)).otherwise(F.exp(F.col("bucket") * F.lit(step)))
     at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.lit(q) * F.col("total")), value))
-    return run.groupBy(*keys, "metric").agg(F.max("total").alias("total"), at(LOW_Q).alias("low"), at(MIDDLE_Q).alias("mid"))
+    return run.groupBy(*keys, "metric").agg(F.max("total").alias("total"), at(LOW_Q).alias("low"), at(MIDDLE_Q).alias("mid"), at(HIGH_Q).alias("high"))
 
 
 def fences(sketches: DataFrame) -> DataFrame:
     """(lang, source, <rate>_fence...): a row per group."""
-    fence = F.col("mid") + F.lit(SPREAD) * (F.col("mid") - F.col("low"))
+    fence = F.col("high") + F.lit(SPREAD) * (F.col("high") - F.col("mid"))
     own = quantiles(sketches, ["lang", "source"]).select("lang", "source", "metric", "total", fence.alias("own"))
     wide = quantiles(sketches, ["lang"]).select(F.col("lang").alias("l2"), F.col("metric").alias("m2"), fence.alias("wide"))
     both = own.join(wide, F.col("lang").eqNullSafe(F.col("l2")) & (F.col("metric") == F.col("m2")))
@@ -136,8 +140,8 @@ def fences(sketches: DataFrame) -> DataFrame:
 def quality(docs: DataFrame) -> DataFrame:
     """Counts, base verdict and the adaptive verdict of every row of docs(doc_id, text, lang, source)."""
     counts = saved(text_counts(docs), "quality")
-    limits = fences(sketch(counts)).withColumnsRenamed({"lang": "g_lang", "source": "g_source"})
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    limits = fences(sketch(counts.where(~failed))).withColumnsRenamed({"lang": "g_lang", "source": "g_source"})
     ok = ~F.col("base_failed")
     for k, v in rates().items():
         ok = ok & (v <= F.coalesce(F.col(f"{k}_fence"), F.lit(FLOORS[k])))

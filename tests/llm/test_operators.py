@@ -421,6 +421,30 @@ def test_quality_sketches_merge(spark):
     assert q.total == 3000 and q.mid == pytest.approx(rates[1499], rel=quality.ERROR) and q.low == pytest.approx(rates[299], rel=quality.ERROR)
 
 
+def test_quality_fences_follow_the_source(spark):
+    """Two sources with unlike rates get unlike verdicts, by brute-force quantiles; a text far outside its own group falls."""
+
+    def text(i, symbols, upper=0):
+        return " ".join([("ABCDE" if j < upper else "abcde") + f"{i}q{j}" for j in range(100)] + ["#" * symbols])
+
+    rows = [(1000 * k + i, text(1000 * k + i, s, u), "en", source) for k, (source, s0, u0) in enumerate((("code", 20, 4), ("prose", 0, 1))) for i in range(200) for s, u in [(s0 + i % 5, u0 + i % 2)]]
+    odd = [(source, s, u) for source in ("code", "prose") for s, u in ((30, 0), (0, 20), (300, 0))]
+    rows += [(5000 + i, text(5000 + i, s, u), "en", source) for i, (source, s, u) in enumerate(odd)]
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    rate = lambda r: {"symbol_rate": r.n_symbols / r.word_chars, "upper_rate": r.n_upper / r.n_letters}
+    fence = {}
+    for source in ("code", "prose"):
+        for k in ("symbol_rate", "upper_rate"):
+            v = sorted(rate(r)[k] for r in got.values() if r.source == source)
+            at = lambda q: v[math.ceil(q * len(v)) - 1]  # noqa: B023, E731
+            fence[source, k] = max(quality.FLOORS[k], at(quality.HIGH_Q) + quality.SPREAD * (at(quality.HIGH_Q) - at(quality.MIDDLE_Q)))
+    for r in got.values():
+        for k in ("symbol_rate", "upper_rate"):
+            assert r[f"{k}_fence"] == pytest.approx(fence[r.source, k], rel=0.15)
+    assert all(got[i].kept == (i < 5000) for i in got if i < 5000)
+    assert [got[5000 + i].kept for i in range(len(odd))] == [True, False, False, False, False, False]
+
+
 # 9
 
 
