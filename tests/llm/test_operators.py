@@ -387,6 +387,19 @@ def test_rare_words(spark, sf_dir, monkeypatch):
         assert (r.n_tokens, r.n_known) == want[r.doc_id][:2] and r.base_score == pytest.approx(want[r.doc_id][2], rel=1e-9)
 
 
+@pytest.mark.parametrize("most", [40, 3])
+def test_pairs_of_rare_words(spark, sf_dir, monkeypatch, most):
+    """Scores don't depend on how many words have places in the vocabulary, and pairs seen once count."""
+    small = katz.vocabulary
+    monkeypatch.setattr(katz, "vocabulary", lambda counts, starts: small(counts, starts, most))
+    monkeypatch.setattr(katz, "TOP_PAIRS", 20)
+    docs = given(spark, sf_dir)
+    want, _ = brute_katz(docs, [d for d in docs if zlib.crc32(str(d).encode()) % 7 != 2])
+    assert katz.MIN_PAIR == 1
+    for r in katz.op6_katz(spark, sf_dir).collect():
+        assert r.score == pytest.approx(want[r.doc_id][3], rel=1e-6)
+
+
 # 8
 
 
