@@ -1,8 +1,10 @@
 """Vectorised word scanning of Arrow text batches (NumPy, inside Spark tasks).
 
-Words become 64-bit fingerprints: each byte is mapped to a pseudo-random number and the
-word is the polynomial of these in an odd base modulo 2^64, then mixed. Two different words
-collide with a probability near 2^-64. Slices keep the memory of a task bounded whatever the
+Words become 64-bit fingerprints: each byte is mapped to a pseudo-random number, and the
+word is the sum of these, each times an independent pseudo-random number of its place in the word,
+modulo 2^64, then mixed (multilinear hashing). Numbers of two bytes differ in their low 8 bits,
+so two different words of a length collide with a probability of 2^-57 at most, whatever
+they look like. Slices keep the memory of a task bounded whatever the
 number of rows in an Arrow batch.
 """
 
@@ -32,8 +34,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def _byte_numbers(lower: bool) -> np.ndarray:
+    byte = np.arange(256, dtype=U64)
     with np.errstate(over="ignore"):
-        t = mix64((np.arange(256, dtype=U64) + U64(1)) * GOLDEN)
+        t = (mix64((byte + U64(1)) * GOLDEN) & ~U64(255)) | byte
     if lower:
         t[ord("A") : ord("Z") + 1] = t[ord("a") : ord("z") + 1]
     return t
@@ -50,35 +53,30 @@ NOT_ALNUM[ord("0") : ord("9") + 1] = NOT_ALNUM[ord("a") : ord("z") + 1] = NOT_AL
 
 
 @lru_cache(maxsize=4)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE^i and BASE^-i modulo 2^64 for i up to 2^bits."""
-    n = (1 << bits) + 1
-    inverse = U64(pow(int(BASE), -1, 1 << 64))
-    out = []
-    for b in (BASE, inverse):
-        p = np.full(n, b, dtype=U64)
-        p[0] = 1
-        with np.errstate(over="ignore"):
-            out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+def _place_numbers(bits: int) -> np.ndarray:
+    """Pseudo-random numbers of the first 2^bits places."""
+    with np.errstate(over="ignore"):
+        return mix64(mix64((np.arange(1 << bits, dtype=U64) + U64(1)) * BASE) + GOLDEN)
 
 
 def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-    """Fingerprints of the byte spans [start, end), which ascend and don't overlap."""
+    """Fingerprints of the byte spans [start, end), which ascend, don't overlap and aren't empty."""
     out = np.empty(len(start), dtype=U64)
     if not len(start):
         return out
+    size = end - start
+    places = _place_numbers(max(16, int(size.max()).bit_length()))
+    upto = np.cumsum(size)
     at, last = 0, len(start)
     with np.errstate(over="ignore"):
         while at < last:
-            base = int(start[at])
-            to = max(at + 1, int(np.searchsorted(end, base + BLOCK_BYTES, side="right")))
-            n = int(end[to - 1]) - base
-            powers, inverse = _powers(max(18, int(n).bit_length()))
-            sums = np.zeros(n + 1, dtype=U64)
-            np.cumsum(numbers[data[base : base + n]] * powers[:n], out=sums[1:])
-            s, e = start[at:to] - base, end[at:to] - base
-            out[at:to] = (sums[e] - sums[s]) * inverse[s] + (e - s).astype(U64) * GOLDEN
+            before = int(upto[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(upto, before + BLOCK_BYTES, side="right")))
+            n, heads = size[at:to], upto[at:to] - size[at:to] - before
+            within = np.arange(int(upto[to - 1]) - before)
+            byte = data.take(within + np.repeat(start[at:to] - heads, n))
+            within -= np.repeat(heads, n)
+            out[at:to] = np.add.reduceat(numbers.take(byte) * places.take(within), heads) + n.astype(U64) * GOLDEN
             at = to
     return mix64(out)
 

@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Spark's own setting: a job's shuffle files are removed when it ends, as nothing reads them after that.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a local folder only for a one-machine master without one."""
     name = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -36,13 +40,25 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 
 def saved(df: DataFrame, tag: str) -> DataFrame:
-    """df, written once to the shared folder and read back."""
+    """df, written once to the shared folder and read back; the job's shuffle files go when it has ended."""
     spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.parquet(path)
+    path, before = new_path(spark, tag), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes saved tables that nothing reads any more."""
+    for df in tables:
+        for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+            target = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

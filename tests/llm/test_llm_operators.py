@@ -400,6 +400,19 @@ def test_pairs_of_rare_words(spark, sf_dir, monkeypatch, most):
         assert r.score == pytest.approx(want[r.doc_id][3], rel=1e-6)
 
 
+# fingerprints
+
+
+def test_fingerprints_of_structured_words_differ():
+    """A Thue-Morse word and its complement collide under any polynomial modulo a power of two."""
+    word = "a"
+    for _ in range(12):
+        word += word.translate(str.maketrans("ab", "ba"))
+    both = word + " " + word.translate(str.maketrans("ab", "ba")) + " a" + word[1:] + " A" + word[1:].upper()
+    h = kernel.Texts(kernel.pa.RecordBatch.from_pydict({"text": [both]})).words(kernel.SPACE, kernel.FOLDED).h
+    assert h[0] != h[1] and h[0] == h[2] == h[3]
+
+
 # 8
 
 
