@@ -316,7 +316,7 @@ def brute_katz(docs, train):
     hist["<s>"] = len(train)
     n, v = sum(uni.values()), len(uni)
 
-    def disc(counts, least):
+    def disc(counts):
         c = Counter(counts.values())
         k = katz.GT_MAX
         top = (k + 1) * c[k + 1] / c[1] if c[1] else 1
@@ -326,16 +326,16 @@ def brute_katz(docs, train):
             if c[r] and c[r + 1] and top < 1:
                 x = ((r + 1) * c[r + 1] / c[r] / r - top) / (1 - top)
                 d[r] = x if 0 < x <= 1 else 1.0
-            if r < least:
-                d[r] = 0.0
         return d
 
-    d1, d2 = disc(uni, 1), disc(bi, katz.MIN_PAIR)
+    d1, d2 = disc(uni), disc(bi)
     free = 1 - sum(d1.get(c, 1.0) * c for c in uni.values()) / n
     assert free > 1e-9
     p1 = lambda w: d1.get(uni[w], 1.0) * uni[w] / n if uni[w] else free
-    seen = {k: c for k, c in bi.items() if c >= katz.MIN_PAIR}
-    pd = {k: d2.get(c, 1.0) * c / (hist[k[0]] + 1) for k, c in seen.items()}
+    cut = Counter()
+    for (a, _), c in bi.items():
+        cut[a] += c - d2.get(c, 1.0) * c
+    pd = {k: d2.get(c, 1.0) * c / (hist[k[0]] + (cut[k[0]] < 1e-9)) for k, c in bi.items()}
     s, q = Counter(), Counter()
     for (a, b), p in pd.items():
         s[a] += p
@@ -351,15 +351,15 @@ def brute_katz(docs, train):
     return out, n
 
 
-@pytest.mark.parametrize("bounds", [None, (50, 20, 500)])
-def test_katz(spark, sf_dir, bounds, monkeypatch):
+@pytest.mark.parametrize("sizes", [{}, {"most": 60, "dense": 8, "part_tokens": 9000, "block_docs": 30}, {"most": 3, "dense": 5, "part_tokens": 2000}, {"most": 1000, "dense": 1}])
+def test_katz(spark, sf_dir, sizes, monkeypatch):
+    """Scores are those of the brute force however many words have places, rows in the matrix or partitions."""
     docs = given(spark, sf_dir)
     train = [d for d in docs if zlib.crc32(str(d).encode()) % 7 != 2]
     want, n = brute_katz(docs, train)
-    if bounds:  # small tables: rare words and open pairs take the other ways
-        monkeypatch.setattr(katz, "TOP_PAIRS", bounds[1])
-        monkeypatch.setattr(katz, "HOLD", bounds[2])
-    got = katz.op6_katz(spark, sf_dir).collect()
+    if sizes:
+        monkeypatch.setattr(katz, "HOLD", 500)
+    got = katz.op6_katz(spark, sf_dir, **sizes).collect()
     assert len(got) == len(docs)
     for r in got:
         w = want[r.doc_id]
@@ -370,34 +370,15 @@ def test_katz(spark, sf_dir, bounds, monkeypatch):
 
 
 def test_katz_edges(spark, awkward, empty):
-    out, n = katz.katz_scores(awkward, awkward)
+    out, n = katz.katz_scores(awkward, F.lit(True))
     assert out.count() == len(AWKWARD) and out.where("score is null or isnan(score) or score > 1e-9").count() == 0
-    assert katz.katz_scores(empty, awkward)[0].count() == 0
-    out, n = katz.katz_scores(awkward, empty)
-    assert n == 0 and out.where("n_known > 0 or abs(score) > 1e-9").count() == 0
-
-
-def test_rare_words(spark, sf_dir, monkeypatch):
-    """With a small vocabulary the word counts still cover every word."""
-    small = katz.vocabulary
-    monkeypatch.setattr(katz, "vocabulary", lambda counts, starts: small(counts, starts, 40))
-    docs = given(spark, sf_dir)
-    want, _ = brute_katz(docs, [d for d in docs if zlib.crc32(str(d).encode()) % 7 != 2])
-    for r in katz.op6_katz(spark, sf_dir).collect():
-        assert (r.n_tokens, r.n_known) == want[r.doc_id][:2] and r.base_score == pytest.approx(want[r.doc_id][2], rel=1e-9)
-
-
-@pytest.mark.parametrize("most", [40, 3])
-def test_pairs_of_rare_words(spark, sf_dir, monkeypatch, most):
-    """Scores don't depend on how many words have places in the vocabulary, and pairs seen once count."""
-    small = katz.vocabulary
-    monkeypatch.setattr(katz, "vocabulary", lambda counts, starts: small(counts, starts, most))
-    monkeypatch.setattr(katz, "TOP_PAIRS", 20)
-    docs = given(spark, sf_dir)
-    want, _ = brute_katz(docs, [d for d in docs if zlib.crc32(str(d).encode()) % 7 != 2])
-    assert katz.MIN_PAIR == 1
-    for r in katz.op6_katz(spark, sf_dir).collect():
-        assert r.score == pytest.approx(want[r.doc_id][3], rel=1e-6)
+    assert katz.katz_scores(empty, F.lit(True))[0].count() == 0
+    out, n = katz.katz_scores(awkward, F.lit(False))
+    assert n == 0 and out.count() == len(AWKWARD) and out.where("n_known > 0 or abs(score) > 1e-9").count() == 0
+    none = awkward.withColumn("doc_id", F.when(F.col("doc_id") != 5, F.col("doc_id")))
+    want = {r.doc_id: r.score for r in katz.katz_scores(awkward, F.lit(True))[0].collect()}
+    got = {r.doc_id: r.score for r in katz.katz_scores(none, F.lit(True))[0].collect()}
+    assert got[None] == pytest.approx(want[5]) and got[9] == pytest.approx(want[9])
 
 
 # fingerprints
