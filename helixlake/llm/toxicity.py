@@ -3,9 +3,9 @@
 Features are the distinct words of a text and their beginnings of PREFIXES bytes, as 64-bit
 fingerprints. Spark counts, over all labelled training rows, in how many toxic and other texts
 each feature occurs; the FEATURES with the largest chi-square statistic are kept. A logistic
-model is fitted on at most FIT_ROWS labelled training rows, taken in hash order (the one bounded
-sample here). In training texts that name a group, each identity term is swapped for another
-of its language and kind, and the squared change of the score's logit is penalised, so naming
+model is fitted on the FIT_ROWS labelled training rows with the smallest hashes of their ids (the one
+bounded sample here). In training texts that name a group, each identity term is swapped for another
+of its language and kind (chosen by a hash of the id and the place), and the squared change of the score's logit is penalised, so naming
 a group neutrally does not make a text toxic.
 
 Edge cases: null and empty texts have no features and score as the intercept; labels that are
@@ -16,6 +16,7 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +25,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixlake.llm import kernel as K
-from helixlake.llm.minhash import checked
 from helixlake.llm.shared import id_text, saved, table
 
 PREFIXES, FEATURES, LEAST_CHI2, LEAST_TEXTS, FIT_ROWS = (3, 4, 5, 6, 7, 8), 3000, 12.0, 4, 20_000
@@ -42,6 +42,9 @@ IDENTITY = (
 )
 
 
+Groups = Sequence[Sequence[str]]
+
+
 @dataclass
 class Model:
     features: np.ndarray
@@ -71,10 +74,10 @@ def term_features(term: str) -> np.ndarray:
     return features(K.Texts(raw))[1]
 
 
-def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "toxic") -> DataFrame:
-    """doc_id, text and y of the labelled rows."""
-    own = labels.where(F.col(label).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
-    return id_text(docs).join(checked(own), "doc_id")
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, y) of the labelled rows of docs: ids alone meet here."""
+    own = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("y"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(own, "doc_id")
 
 
 def feature_counts(train: DataFrame) -> DataFrame:
@@ -112,10 +115,10 @@ def active(t: K.Texts, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return doc[hit], at[hit]
 
 
-def swaps(chosen: np.ndarray) -> tuple[np.ndarray, list[list[np.ndarray]]]:
+def swaps(chosen: np.ndarray, identity: Groups = IDENTITY) -> tuple[np.ndarray, list[list[np.ndarray]]]:
     """Fingerprints of the identity terms, sorted, and for each its alternatives as changes of feature places (~place: gone)."""
     table_ = {}
-    for group in IDENTITY:
+    for group in identity:
         for term in group:
             own = [p for p in _places(term, chosen)]
             table_[int(_word(term))] = [np.array([*(~p for p in own), *_places(other, chosen)], dtype=np.int64) for other in group if other != term]
@@ -133,16 +136,26 @@ def _places(term: str, chosen: np.ndarray) -> list[int]:
     return [int(a) for a, x in zip(at, f) if a < len(chosen) and chosen[a] == x]
 
 
-def fit(docs: DataFrame, labels: DataFrame, swap_weight: float = SWAP_WEIGHT) -> Model:
-    """The model learned from labels(doc_id, toxic) of docs(doc_id, text)."""
-    train = labelled(docs, saved(labels.select("doc_id", "toxic"), "labels"))
-    total, toxic = train.agg(F.count("*"), F.sum("y")).first()
+def swap_numbers(doc_ids: np.ndarray, named: np.ndarray, doc: np.ndarray) -> list[int]:
+    """A number for each identity term, from its text's id and its place among the text's terms, so that batches don't matter."""
+    of = doc[named]
+    rank = np.arange(len(named)) - np.searchsorted(of, of)
+    with np.errstate(over="ignore"):
+        return K.mix64(doc_ids[of].astype(K.U64) * K.BASE + rank.astype(K.U64)).tolist()
+
+
+def fit(docs: DataFrame, labels: DataFrame, swap_weight: float = SWAP_WEIGHT, identity: Groups = IDENTITY) -> Model:
+    """The model learned from labels(doc_id, toxic) of docs(doc_id, text). identity: groups of terms that replace each other."""
+    known = saved(labelled(docs, labels.select("doc_id", "toxic")), "labelled")
+    total, toxic = known.agg(F.count("*"), F.sum("y")).first()
     toxic = toxic or 0
     if not 0 < toxic < total:
         share = toxic / total if total else 0.0
         return Model(np.zeros(0, K.U64), np.zeros(0), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
-    chosen = chosen_features(train, total, toxic)
-    terms, others = swaps(chosen)
+    each = known.distinct()
+    texts = id_text(docs)
+    chosen = chosen_features(texts.join(each, "doc_id"), total, toxic)
+    terms, others = swaps(chosen, identity)
 
     def run(batches):
         for t in K.slices(batches, limit=SLICE):
@@ -150,15 +163,16 @@ def fit(docs: DataFrame, labels: DataFrame, swap_weight: float = SWAP_WEIGHT) ->
             w = t.words(K.NOT_ALNUM, K.FOLDED)
             named = np.flatnonzero(np.isin(w.h, terms))
             change: list[list[int]] = [[] for _ in range(t.n)]
-            for i in named.tolist():
+            numbers = swap_numbers(t.ids().to_numpy(zero_copy_only=False), named, w.doc)
+            for i, number in zip(named.tolist(), numbers):
                 alternatives = others[int(np.searchsorted(terms, w.h[i]))]
-                change[int(w.doc[i])] += alternatives[i % len(alternatives)].tolist()
+                change[int(w.doc[i])] += alternatives[number % len(alternatives)].tolist()
             counts = np.bincount(doc, minlength=t.n)
             yield pa.RecordBatch.from_arrays([t.ids("y"), K.lists(at, counts, pa.int64()), pa.array(change, pa.list_(pa.int64()))], ["y", "at", "change"])
 
-    share = F.lit(int(min(1.0, FIT_ROWS / total) * (2**31)))
-    sample = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**31)) < share) if total > FIT_ROWS else train
-    rows = sample.mapInArrow(run, "y int, at array<long>, change array<long>").limit(2 * FIT_ROWS).collect()
+    # FIT_ROWS ids at most, so they may be sent to the texts
+    sample = F.broadcast(each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS))
+    rows = texts.join(sample, "doc_id").mapInArrow(run, "y int, at array<long>, change array<long>").limit(2 * FIT_ROWS).collect()
     weights, bias = logistic([r.at for r in rows], [r.y for r in rows], [r.change for r in rows], len(chosen), swap_weight)
     return Model(chosen, weights, bias)
 
@@ -218,8 +232,8 @@ def remainder(divisor: int):
 
 def learned(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> Model:
     """The model of the training folds of a folder's labels; texts come from its documents."""
-    labels = table(spark, sf_dir, "labels").where(remainder(3) != 1)
-    return fit(table(spark, sf_dir, "documents") if docs is None else docs, labels)
+    docs = table(spark, sf_dir, "documents") if docs is None else docs
+    return fit(docs.where(remainder(3) != 1), table(spark, sf_dir, "labels").where(remainder(3) != 1))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
