@@ -3,18 +3,20 @@
 Entities are e-mail addresses, phone numbers, card numbers, IP addresses, secrets and person
 names. A surrogate is drawn from an HMAC of the entity under a key, and has the entity's
 form: letters stay letters of their case and script, digits stay digits, card numbers keep a
-valid check digit if they had one, IP addresses stay valid, given names keep gender and script.
+valid check digit if they had one, IP addresses stay valid, given names keep gender and script, and
+e-mail addresses of one domain get one domain. The key is a parameter, or the session's setting
+``helixlake.pii.key``.
 
 All occurrences of an entity in the corpus get the same surrogate (coreference), and no two
 entities of a kind share one, nor is one equal to a real entity of its kind (distinctness):
 Spark gathers the distinct entities, finds such collisions by grouping, and draws anew for the
-later ones until there are none. Only texts with entities are shuffled, to meet their
+others until there are none. Only texts with entities are shuffled, to meet their
 surrogates; no table is sent whole to anybody.
 
 Edge cases: null texts stay null and empty ones empty; texts without entities are unchanged;
 overlapping matches go to the earlier, then longer one; repeated rows are treated alike;
-an empty table gives an empty result. doc_id may repeat or be null. A kind of given names of one gender
-and script with more distinct names than the list has gets numbers behind the name.
+an empty table gives an empty result. doc_id may repeat or be null. Very long texts are scanned whole.
+Where the listed given names all occur, surrogates are double names.
 """
 
 from __future__ import annotations
@@ -22,19 +24,24 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
+from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from helixlake.llm.kernel import row_slices
-from helixlake.llm.shared import saved, table
+from helixlake.llm.shared import dropped, saved, table
 
-KEY, MAX_DRAWS = b"change this key for each release", 64
+#: Setting of the session that holds the key of the surrogates, and the key where it isn't set: a release sets its own.
+KEY_SETTING, KEY, MAX_DRAWS = "helixlake.pii.key", b"change this key for each release", 64
 #: Common given names by gender and script.
 NAMES = {
-    ("f", "latin"): "Anna Maria Laura Julia Sarah Emma Sophie Claire Marie Camille Lucía Carmen Elena Sofía Isabel Katharina Sabine Ursula Monika Emily Olivia Jessica Jennifer Elizabeth Margaret Susan Linda Barbara Patricia Nancy Karen Lisa".split(),
-    ("m", "latin"): "James John Robert Michael William David Richard Thomas Charles Daniel Matthew Anthony Paul Mark Hans Jürgen Klaus Wolfgang Stefan Pierre Jean Michel Philippe Nicolas Carlos José Luis Miguel Javier Pedro Pablo Antonio".split(),
+    ("f", "latin"): "Anna Maria Laura Julia Sarah Emma Sophie Claire Marie Camille Lucía Carmen Elena Sofía Isabel Katharina Sabine Ursula Monika Emily Olivia Jessica Jennifer Elizabeth Margaret Susan Linda Barbara Patricia Nancy Karen Lisa Aisha Fatima Priya Ingrid Chiara Giulia".split(),
+    ("m", "latin"): "James John Robert Michael William David Richard Thomas Charles Daniel Matthew Anthony Paul Mark Hans Jürgen Klaus Wolfgang Stefan Pierre Jean Michel Philippe Nicolas Carlos José Luis Miguel Javier Pedro Pablo Antonio Ahmed Mohammed Omar Raj Giovanni Lars".split(),
     ("f", "cyrillic"): "Анна Мария Елена Ольга Наталья Татьяна Ирина Светлана Екатерина Юлия Дарья Полина".split(),
     ("m", "cyrillic"): "Иван Александр Сергей Дмитрий Андрей Алексей Михаил Николай Владимир Павел Максим Егор".split(),
 }
@@ -47,7 +54,8 @@ NUMBERS = re.compile(
     r"(?P<secret>(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z]))"
     r"|(?P<ip>(?<![0-9.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?![0-9]|\.[0-9]))"
     r"|(?P<card>(?<![0-9])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?![0-9]))"
-    r"|(?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![\w(])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9]))"
+    r"|(?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![\w(])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])"
+    r"|(?<![\w.,-])[2-9][0-9]{2}([-.])[0-9]{3}\5[0-9]{4}(?![\w-])|(?<![\w.,-])0[1-9][0-9]{1,3}[ /-][0-9]{5,8}(?![\w-]))"
 )
 TOKENS = re.compile(r"(?P<secret>(?<![0-9A-Za-z])(?:sk|pk|ghp|gho|xoxb|AKIA)[-_]?[0-9A-Za-z]{16,64}(?![0-9A-Za-z]))")
 PERSON = re.compile(r"\b(?:" + "|".join(TITLES) + r")\.? +(?P<surname>" + _CAP + r")|\b(?P<given>" + "|".join(sorted(GIVEN, key=len, reverse=True)) + r") +(?P<last>" + _CAP + r")")
@@ -108,17 +116,26 @@ def _check_digit(digits: str) -> str:
     return str(-total % 10)
 
 
+@lru_cache(maxsize=4096)
+def alphabet(c: str) -> str:
+    """The letters of the script, case and range of 128 code points of c."""
+    kind = (unicodedata.category(c), unicodedata.name(c, "").split(" ")[0])
+    low = ord(c) & ~127
+    return "".join(x for x in map(chr, range(low, low + 128)) if (unicodedata.category(x), unicodedata.name(x, "").split(" ")[0]) == kind) or c
+
+
 def _like(c: str, n: int) -> str:
     """A character of the class, case and script of c."""
     if c.isdigit():
         return str(n % 10)
     if not c.isalpha():
         return c
-    if "а" <= c.lower() <= "я":
-        out = chr(ord("а") + n % 32)
-    else:
-        out = chr(ord("a") + n % 26)
-    return out.upper() if c.isupper() else out
+    letters = alphabet(c)
+    return letters[n % len(letters)]
+
+
+def _number(nums: Iterator[int]) -> int:
+    return next(nums) + 256 * next(nums)
 
 
 def surrogate(key: bytes, kind: str, entity: str, draw: int) -> str:
@@ -127,8 +144,8 @@ def surrogate(key: bytes, kind: str, entity: str, draw: int) -> str:
     if kind.startswith("given"):
         _, gender, script = kind.split(" ")
         names = NAMES[gender, script]
-        pick = (next(nums) + 256 * next(nums)) % len(names)
-        return names[(pick + draw) % len(names)] + (str(draw // len(names)) if draw >= len(names) else "")
+        # double names after two draws, triple ones after eight: a list of n gives n^2 and n^3 of them
+        return "-".join(names[_number(nums) % len(names)] for _ in range(1 if draw < 2 else 2 if draw < 8 else 3))
     if kind == "ip":
         return ".".join(str(1 + next(nums) % 254) for _ in range(4))
     if kind == "card":
@@ -138,11 +155,14 @@ def surrogate(key: bytes, kind: str, entity: str, draw: int) -> str:
         keep = max(0, len(entity) - 10)
         return entity[:keep] + "".join(str(next(nums) % 10) for _ in entity[keep:])
     if kind == "secret":
-        return "".join(c if not c.isalnum() else "0123456789abcdef"[next(nums) % 16] if re.fullmatch("[0-9a-f]+", entity) else _like(c, next(nums)) for c in entity)
+        return "".join(c if not c.isalnum() else "0123456789abcdef"[next(nums) % 16] if re.fullmatch("[0-9a-f]+", entity) else _like(c, _number(nums)) for c in entity)
     if kind == "email":
         local, _, domain = entity.partition("@")
-        return "".join(_like(c, next(nums)) for c in local) + "@" + domain
-    return "".join(_like(c, next(nums)) for c in entity)
+        # addresses of one domain stay together; its last label stays as it is
+        own, _, last = domain.rpartition(".")
+        of_domain = _stream(key, "domain", domain, 0)
+        return "".join(_like(c, _number(nums)) for c in local) + "@" + "".join(_like(c, _number(of_domain)) for c in own) + "." + last
+    return "".join(_like(c, _number(nums)) for c in entity)
 
 
 def in_form(kind: str, original: str, new: str) -> str:
@@ -153,8 +173,7 @@ def in_form(kind: str, original: str, new: str) -> str:
     if kind in ("email", "secret") and original.isupper():
         return new.upper()
     if kind == "email":
-        local = original.partition("@")[0]
-        return "".join(n.upper() if o.isupper() else n for o, n in zip(local, new)) + original[len(local) :]
+        return "".join(n.upper() if o.isupper() else n for o, n in zip(original, new))
     return new
 
 
@@ -191,30 +210,44 @@ def drawn(entity_draws: DataFrame, key: bytes) -> DataFrame:
 
 
 def assigned(distinct: DataFrame, key: bytes) -> DataFrame:
-    """(kind, entity, surrogate) without collisions."""
-    table_ = saved(drawn(distinct.withColumn("draw", F.lit(0)), key), "draws")
+    """(kind, entity, surrogate) without collisions.
+
+    In each round the open entities draw; a candidate that is a real entity, or another's surrogate, is drawn
+    anew, and of those who drew the same the first by name keeps it. Only the open ones are written again.
+    """
     real = distinct.select(F.col("kind").alias("rk"), F.col("entity").alias("re"))
-    for _ in range(MAX_DRAWS):
-        # the entity that holds a surrogate is the first by draw, then name; others, and those equal to a real entity, draw anew
-        holder = table_.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min(F.struct("draw", "entity")).alias("first")).where("n > 1").select("kind", "surrogate", F.col("first.entity").alias("holder"))
-        shared = table_.join(holder, ["kind", "surrogate"]).where("entity != holder").select("kind", "entity")
-        taken = table_.join(real, (F.col("kind") == F.col("rk")) & (F.col("surrogate") == F.col("re")), "left_semi").select("kind", "entity")
-        again = saved(shared.union(taken).distinct().withColumn("again", F.lit(1)), "again")
-        if again.isEmpty():
-            return table_.select("kind", "entity", "surrogate")
-        next_ = table_.join(again, ["kind", "entity"], "left")
-        keep = next_.where("again is null").select("kind", "entity", "draw", "surrogate")
-        table_ = saved(keep.union(drawn(next_.where("again = 1").select("kind", "entity", (F.col("draw") + 1).alias("draw")), key)), "draws")
+    settled, open_ = None, distinct.select("kind", "entity")
+    for draw in range(MAX_DRAWS):
+        tried = saved(drawn(open_.withColumn("draw", F.lit(draw)), key).select("kind", "entity", "surrogate"), "draws")
+        free = tried.join(real, (F.col("kind") == F.col("rk")) & (F.col("surrogate") == F.col("re")), "left_anti")
+        if settled is not None:
+            used = settled.select(F.col("kind").alias("uk"), F.col("surrogate").alias("us"))
+            free = free.join(used, (F.col("kind") == F.col("uk")) & (F.col("surrogate") == F.col("us")), "left_anti")
+        won = saved(free.groupBy("kind", "surrogate").agg(F.min("entity").alias("entity")).select("kind", "entity", "surrogate"), "settled")
+        settled = won if settled is None else settled.union(won)
+        open_ = saved(tried.join(won.select("kind", "entity"), ["kind", "entity"], "left_anti").select("kind", "entity"), "open")
+        dropped(tried)
+        if open_.isEmpty():
+            return settled
     raise ValueError(f"surrogates still collide after {MAX_DRAWS} draws")
 
 
-def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = KEY) -> DataFrame:
-    """docs with the entities of text_col replaced, and n_entities, how many were."""
+def free_name(name: str, taken: list[str]) -> str:
+    """name, with underscores behind it until no column has it."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
+def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = KEY, count_col: str | None = "n_entities") -> DataFrame:
+    """docs with the entities of text_col replaced and, in count_col if it is given, how many were; a column of that name stays and the new one gets an underscore behind."""
     found = saved(found_entities(docs, id_col, text_col), "entities")
     fixed = saved(assigned(found.select("kind", "entity").distinct(), key), "surrogates")
-    per_doc = found.distinct().join(fixed, ["kind", "entity"]).groupBy("doc_id").agg(F.collect_list(F.struct("kind", "entity", "surrogate")).alias("_surrogates")).withColumnRenamed("doc_id", "_id")
     names, schema = docs.columns, docs.schema
+    own, pairs_col = free_name("_id", names), free_name("_surrogates", names)
+    per_doc = found.distinct().join(fixed, ["kind", "entity"]).groupBy(F.col("doc_id").alias(own)).agg(F.collect_list(F.struct("kind", "entity", "surrogate")).alias(pairs_col))
     at = names.index(text_col)
+    extra = [] if count_col is None else [free_name(count_col, names)]
 
     def split(having: bool):
         def run(batches):
@@ -236,17 +269,21 @@ def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 texts.append("".join(parts) + text[last:])
                 counts.append(n)
             cols = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns[:-1])]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64())], [*names, "n_entities"])
+            yield pa.RecordBatch.from_arrays([*cols, *([pa.array(counts, pa.int64())] * len(extra))], [*names, *extra])
 
-    plain = split(False).withColumn("n_entities", F.lit(0).cast("long"))
-    out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", n_entities long"
+    plain = split(False)
+    for name in extra:
+        plain = plain.withColumn(name, F.lit(0).cast("long"))
+    out_schema = StructType([*schema.fields, *(StructField(name, LongType()) for name in extra)])
     having = split(True)
-    met = having.join(per_doc, row_key(id_col, text_col) == F.col("_id"), "left").select(*(having[c] for c in names), "_surrogates")
+    met = having.join(per_doc, row_key(id_col, text_col) == F.col(own), "left").select(*(having[c] for c in names), pairs_col)
     return plain.unionByName(met.mapInArrow(write, out_schema))
 
 
+def session_key(spark: SparkSession) -> bytes:
+    return spark.conf.get(KEY_SETTING, KEY.decode()).encode()
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return replace_entities(docs)
+    return replace_entities(docs, key=session_key(spark))
