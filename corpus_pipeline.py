@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from helixlake.llm.chunks import encode_chunked, word_vocabulary
 from helixlake.llm.contamination import contamination
-from helixlake.llm.minhash import checked, near_duplicates
-from helixlake.llm.pii import replace_entities
+from helixlake.llm.minhash import near_duplicates
+from helixlake.llm.pii import replace_entities, session_key
 from helixlake.llm.shared import saved, table
 from helixlake.llm.toxicity import drop_toxic, learned
 
@@ -25,7 +25,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    return docs.join(checked(saved(gone.select("doc_id"), "gone")), "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs whose doc_id isn't in gone."""
+    ids = saved(gone.select("doc_id"), "gone")
+    return docs.join(ids, docs["doc_id"] == ids["doc_id"], "left_anti")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +42,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by surrogates."""
-    out = replace_entities(docs).drop("n_entities")
+    out = replace_entities(docs, key=session_key(spark), count_col=None)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

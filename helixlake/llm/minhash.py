@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from helixlake.llm import kernel as K
 from helixlake.llm.graph import components
-from helixlake.llm.shared import id_text, saved, table
+from helixlake.llm.shared import dropped, id_text, saved, table
 
 ROWS, BANDS, SHINGLE = 5, 24, 5
 #: Link when 100 * intersection >= PERCENT * union.
@@ -37,8 +37,8 @@ PERCENT = 85
 #: Linked sets x, y differ in GAP * (n_x + n_y) elements at most; GAP_TOP * n_x bounds that for the largest y.
 GAP = (100 - PERCENT) / (100 + PERCENT)
 GAP_TOP = GAP * (1 + 100 / PERCENT)
-#: Largest id table sent to all executors (16 bytes a row); beyond it Spark shuffles instead.
-BROADCAST_ROWS = 1_000_000
+#: Exact copies from which a class is dealt out over SPREAD tasks when its documents are told their representative.
+COPIES, SPREAD = 1000, 32
 U32 = np.uint32
 #: Multipliers of two public 32-bit finalisers, each a bijection.
 SIGMA, PI = (U32(0x85EBCA6B), U32(0xC2B2AE35)), (U32(0x7FEB352D), U32(0x846CA68B))
@@ -130,16 +130,11 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return id_text(docs).mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def checked(df: DataFrame) -> DataFrame:
-    """Sent to all executors if it has few enough rows, else left to a shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of pairs(a, b) whose sets are similar enough."""
     pairs = saved(pairs, "pairs")
-    right = sets.join(checked(pairs), sets.doc_id == pairs.b).select("a", "b", F.col("shingles").alias("y"))
-    left = sets.join(checked(pairs.select("a").distinct()), sets.doc_id == F.col("a"), "left_semi").select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
+    right = sets.join(pairs, sets.doc_id == pairs.b).select("a", "b", F.col("shingles").alias("y"))
+    left = sets.join(pairs.select("a").distinct(), sets.doc_id == F.col("a"), "left_semi").select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     common = F.size(F.array_intersect("x", "y"))
     return saved(right.join(left, "a").where(100 * common >= PERCENT * (F.size("x") + F.size("y") - common)).select("a", "b"), "linked")
 
@@ -156,8 +151,8 @@ def profiles(star: DataFrame, sets: DataFrame) -> DataFrame:
     lacks, and rest has the r shingles, cut to as many as two linkable documents must share one of:
     linkable sets differ in at most GAP_TOP of n elements, so all but that many are common.
     """
-    own = sets.join(checked(star), "doc_id").select("c", "doc_id", F.col("shingles").alias("y"))
-    pivots = sets.join(checked(star.select("c").distinct()), sets.doc_id == F.col("c"), "left_semi").select(F.col("doc_id").alias("c"), F.col("shingles").alias("x"))
+    own = sets.join(star, "doc_id").select("c", "doc_id", F.col("shingles").alias("y"))
+    pivots = sets.join(star.select("c").distinct(), sets.doc_id == F.col("c"), "left_semi").select(F.col("doc_id").alias("c"), F.col("shingles").alias("x"))
     both = own.join(pivots, "c").select("c", "doc_id", F.size("y").alias("n"), F.size("x").alias("c_n"), F.array_except("y", "x").alias("rest"))
     r = F.size("rest")
     return both.select("c", "doc_id", "n", "c_n", r.alias("r"), (F.col("c_n") - F.col("n") + r).alias("m"), F.slice("rest", 1, F.floor(F.col("n") * GAP_TOP).cast("int") + 1).alias("rest"))
@@ -193,24 +188,39 @@ def rooted(star: DataFrame, hops: int = 2) -> DataFrame:
     return star
 
 
+def represented(sketch: DataFrame, classes: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, rep): the representative of each document's exact copies, itself if it has none.
+
+    classes: (print, rep, m). The documents of a class of COPIES or more are dealt out by a hash of their id, and the
+    class goes to each of these tasks, so no task gets them all.
+    """
+    rows = sketch.select("doc_id", "n_shingles", "print", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).cast("int").alias("salt"))
+    large = classes.where(F.col("m") >= COPIES).select("print", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("salt"), "rep")
+    dealt = saved(rows.join(large, ["print", "salt"], "left").select("doc_id", "n_shingles", "print", "rep"), "copies")
+    small = classes.where((F.col("m") > 1) & (F.col("m") < COPIES)).select("print", F.col("rep").alias("own"))
+    rest = dealt.where("rep is null").join(small, "print", "left").select("doc_id", "n_shingles", F.coalesce("own", "doc_id").alias("rep"))
+    return dealt.where("rep is not null").select("doc_id", "n_shingles", "rep").union(rest)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs(doc_id, text)."""
     sketch = saved(sketches(docs), "sketch")
-    classes = sketch.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("rep"))
+    classes = sketch.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"))
     reps = sketch.join(classes.select("rep"), sketch.doc_id == F.col("rep"), "left_semi")
     buckets = reps.select("doc_id", F.explode("keys").alias("key"))
     pivot = buckets.groupBy("key").agg(F.min("doc_id").alias("c"), F.count("*").alias("m")).where("m > 1").select("key", "c")
     star = saved(rooted(buckets.join(pivot, "key").select("c", "doc_id").distinct()), "star")
-    ids = checked(star.select("doc_id").distinct())
+    ids = star.select("doc_id").distinct()
     sets = saved(full_sets(id_text(docs).join(ids, "doc_id", "left_semi")), "sets")
     profile = saved(profiles(star, sets), "profiles")
+    dropped(star)
     common = F.col("n") - F.col("r")
     found = profile.where((F.col("c") != F.col("doc_id")) & (100 * common >= PERCENT * (F.col("n") + F.col("c_n") - common))).select(F.col("c").alias("a"), F.col("doc_id").alias("b"))
     labels = components(found)
     more = confirm(open_pairs(profile, labels), sets)
     if not more.isEmpty():
         labels = components(labels.select(F.col("label").alias("a"), F.col("id").alias("b")).union(more))
-    of_class = sketch.select("doc_id", "n_shingles", "print").join(classes, "print", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+    of_class = represented(sketch, classes)
     of_class = of_class.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("label", "rep"))
     return of_class.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
