@@ -11,7 +11,7 @@ A file gets its name when it is complete, and only files that successful tasks r
 read, so repeated attempts of a task do no harm.
 
 Edge cases: a null or empty text has the end id alone; equal doc_ids keep their own entries, in
-the order of their texts; an empty table writes no file and reads back no rows; other columns
+the order of their texts, and null ones come first; an empty table writes no file and reads back no rows; other columns
 are ignored; a text longer than a frame has a frame of its own.
 """
 
@@ -36,6 +36,8 @@ MEMO = 800_000
 #: Fixed values of the published frame formats: skippable frames and the footer of a seek table.
 INDEX_MAGIC, TABLE_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 CHECKSUMS = 0x80
+#: Stands for a null doc_id in a file's index; such rows come first.
+NO_ID = -(1 << 63)
 
 
 def open_store(path: str):
@@ -59,10 +61,11 @@ class FrameWriter:
         self.parts, self.held = [], 0
         self.frames, self.docs = [], []
 
-    def add(self, doc_id: int, ids: bytes) -> None:
-        self.parts.append(ids)
-        self.held += len(ids)
-        self.docs.append((doc_id, len(self.frames), len(ids) // 4))
+    def add(self, doc_id: int | None, ids: bytes, end: bytes = b"") -> None:
+        size = len(ids) + len(end)
+        self.parts += (ids, end)
+        self.held += size
+        self.docs.append((NO_ID if doc_id is None else doc_id, len(self.frames), size // 4))
         if self.held >= self.limit:
             self.flush()
 
@@ -128,7 +131,8 @@ class FrameReader:
                 last, raw = k, self.frame(k)
                 offsets = int(ends[firsts[k]] - self.docs[firsts[k], 2])
             at = 4 * (int(ends[i] - self.docs[i, 2]) - offsets)
-            yield i, int(self.docs[i, 0]), raw[at : at + 4 * int(self.docs[i, 2])]
+            doc = int(self.docs[i, 0])
+            yield i, None if doc == NO_ID else doc, raw[at : at + 4 * int(self.docs[i, 2])]
 
 
 def write_ids(docs: DataFrame, vocabulary: str, folder: str, end_id: int = END_ID) -> DataFrame:
@@ -145,7 +149,7 @@ def write_ids(docs: DataFrame, vocabulary: str, folder: str, end_id: int = END_I
                 out = store.open_output_stream(f"{base}/{name}.part", compression=None)
                 writer = FrameWriter(out)
             for i, ids in zip(t.ids().to_pylist(), enc.encode([t.bytes_of(i) for i in range(t.n)])):
-                writer.add(i, ids + end)
+                writer.add(i, ids, end)
         if writer is not None:
             n = writer.close()
             out.close()
