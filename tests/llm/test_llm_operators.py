@@ -100,6 +100,18 @@ def test_proximity(spark):
 # 2
 
 
+def test_chat_ties_and_wide_trees(spark):
+    """Rows of one turn stand by role and text; of many leaves only the best are followed."""
+    rows = spark.createDataFrame([(1, 0, "user", "b"), (1, 0, "user", "a"), (1, None, "user", "n"), (2, 1, "user", "x")], "conv_id long, turn long, role string, text string")
+    messages, nodes = chat.linear(rows)
+    out = {r.conv_id: [t.text for t in r.turns] for r in chat.read_back(chat.format_paths(messages, nodes=nodes)).collect()}
+    assert out == {1: ["n", "a", "b"], 2: ["x"]}
+    wide = [(1, 0, None, "user", "root", 1.0)] + [(1, i, 0, "assistant", f"leaf {i}", float(i % 7)) for i in range(1, 300)]
+    wide = spark.createDataFrame(wide, "conv_id long, msg_id long, parent_id long, role string, text string, score double")
+    out = sorted((r["rank"], r.leaf, r.score, [t.text for t in r.turns], r.loss_text) for r in chat.read_back(chat.format_paths(wide, keep=3)).collect())
+    assert out == [(k + 1, leaf, 7.0, ["root", f"leaf {leaf}"], f"leaf {leaf}") for k, leaf in enumerate((6, 13, 20))]
+
+
 def test_chat_round_trip(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").collect()
     by = defaultdict(list)
@@ -253,6 +265,53 @@ def test_pii_keeps_rows_without_id(spark):
     assert len({r.text for r in out if r.n_entities == 2}) == 1
 
 
+def brute_surrogates(texts):
+    """Surrogates by (kind, entity), drawn one round after another in a single process."""
+    real = {e[2:] for t in texts for e in pii.entities(t)}
+    done, open_ = {}, sorted(real)
+    for draw in range(pii.MAX_DRAWS):
+        used, left = {(k, v) for (k, _), v in done.items()}, []
+        for kind, entity in open_:
+            new = pii.surrogate(pii.KEY, kind, entity, draw)
+            if (kind, new) in real or (kind, new) in used:
+                left.append((kind, entity))
+            else:
+                used.add((kind, new))
+                done[kind, entity] = new
+        open_ = left
+    assert not open_
+    return done
+
+
+def brute_replaced(text, done):
+    out, last = "", 0
+    for start, end, kind, entity in pii.entities(text):
+        out, last = out + text[last:start] + pii.in_form(kind, text[start:end], done[kind, entity]), end
+    return out + text[last:]
+
+
+def test_pii_query(spark, sf_dir):
+    docs = given(spark, sf_dir)
+    done = brute_surrogates(docs.values())
+    assert len(done) > 10 and len({(k, v) for (k, _), v in done.items()}) == len(done) and not {(k, v) for (k, _), v in done.items()} & set(done)
+    for r in pii.op4_pii(spark, sf_dir).collect():
+        t = docs[r.doc_id]
+        assert r.n_entities == len(pii.entities(t)) and r.text == (t if t is None else brute_replaced(t, done))
+
+
+def test_pii_scripts_domains_and_numbers(spark):
+    rows = [(1, "Mr. Müller, Иван Щёголев, mail x@schmidt-family.de and y@schmidt-family.de, 030 1234567 or 555-123-4567")]
+    docs = spark.createDataFrame([(*r, 5, "z") for r in rows], "doc_id long, text string, n_entities int, _surrogates string")
+    out = pii.replace_entities(docs)
+    assert out.columns == ["doc_id", "text", "n_entities", "_surrogates", "n_entities_"]
+    row = out.first()
+    assert (row.n_entities, row._surrogates, row.n_entities_) == (5, "z", 7)
+    assert not re.search("schmidt|family|Щёголев|Müller|1234567|4567", row.text)
+    surname = re.search(r", (\w+) (\w+), mail (\w)@([a-z-]+)\.de and \w@([a-z-]+)\.de", row.text)
+    assert surname[4] == surname[5] and all(0x400 <= ord(c) < 0x480 for c in surname[2]) and surname[2][0].isupper() and surname[2][1:].islower()
+    assert out.drop("n_entities_").columns == pii.replace_entities(docs, count_col=None).columns
+
+
 # 5
 
 
@@ -498,6 +557,33 @@ def test_toxicity_swaps():
     assert gap[5.0] < 0.3 * gap[0.0]
 
 
+def test_toxicity_swaps_cut_false_positives(spark):
+    """Where toxic training texts name one group, neutral mentions of it in held-out texts score lower with the penalty, and toxic texts stay toxic."""
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(3))
+    said = [word() for _ in range(300)]
+    slurs = ["vermin", "filth", "scum"]
+    text = lambda n, *more: " ".join(rng.sample([*(rng.choice(said) for _ in range(n)), *more], n + len(more)))
+    docs, labels = [], []
+    for i in range(900):
+        toxic = i % 3 == 0
+        group = "zorblats" if toxic and i % 2 == 0 or not toxic and i % 40 == 1 else rng.choice(["plimbos", "gruffles"])
+        docs.append((i, text(12, group, *([rng.choice(slurs)] if toxic else []))))
+        labels.append((i, int(toxic)))
+    d, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    tests = spark.createDataFrame([(i, text(12, "zorblats")) for i in range(200)] + [(1000 + i, text(12, "gruffles", "vermin")) for i in range(50)], "doc_id long, text string")
+    neutral, toxic = {}, {}
+    for weight in (0.0, 20.0):
+        model = toxicity.fit(d, y, weight, (("zorblats", "plimbos", "gruffles"),))
+        got = {r.doc_id: r.score for r in toxicity.score(tests, model).collect()}
+        neutral[weight], toxic[weight] = sum(got[i] for i in range(200)) / 200, sum(got[1000 + i] >= 0.5 for i in range(50))
+        again = toxicity.fit(d.repartition(7), y.repartition(3), weight, (("zorblats", "plimbos", "gruffles"),))
+        assert {r.doc_id: r.score for r in toxicity.score(tests, again).collect()} == pytest.approx(got, abs=1e-6)
+    assert neutral[20.0] < 0.6 * neutral[0.0] and toxic[20.0] >= 45
+
+
 # 10
 
 
@@ -562,3 +648,74 @@ def test_signature_estimates_similarity():
     sig = minhash.signatures(s, n)
     x, y = set(s[: n[0]].tolist()), set(s[n[0] :].tolist())
     assert abs(np.mean(sig[0] == sig[1]) - len(x & y) / len(x | y)) < 0.15
+
+
+# the pipeline
+
+
+def library_ids(texts):
+    public = pytest.importorskip("public_tokenizers")
+    e = pieces.PieceEncoder(public.path("word_bpe_49k.json"), False)
+    return {k: (ids := e.tok.encode(t or "", add_special_tokens=False).ids, e.tok.decode(ids, skip_special_tokens=False)) for k, t in texts.items()}
+
+
+def brute_stages(spark, frame, sf_dir, items):
+    """Rows after each stage of the pipeline, by doc_id: columns but doc_id and text as they were."""
+    import corpus_pipeline
+
+    cols = [c for c in frame.columns if c not in ("doc_id", "text", "n_chars")]
+    rows = {r.doc_id: (r.text, *(r[c] for c in cols)) for r in frame.collect()}
+    scores = {r.doc_id: r.score for r in toxicity.score(frame, toxicity.learned(spark, sf_dir, frame)).collect()}
+    rows = {k: v for k, v in rows.items() if scores[k] < toxicity.THRESHOLD}
+    yield rows
+    of = brute_components({k: v[0] for k, v in rows.items()})
+    rows = {k: v for k, v in rows.items() if of[k][2]}
+    yield rows
+    leaks = brute_contamination({k: v[0] for k, v in rows.items()}, items)
+    rows = {k: v for k, v in rows.items() if not leaks[k][4]}
+    yield rows
+    done = brute_surrogates([v[0] for v in rows.values()])
+    yield {k: (v[0] if v[0] is None else brute_replaced(v[0], done), *v[1:]) for k, v in rows.items()}
+    assert len(corpus_pipeline.STAGES) == 5
+
+
+def run_stages(spark, frame, sf_dir, items):
+    import corpus_pipeline
+    from helixlake.llm.shared import saved
+
+    docs = frame
+    cols = [c for c in frame.columns if c not in ("doc_id", "text", "n_chars")]
+    for (name, stage), want in zip(corpus_pipeline.STAGES, brute_stages(spark, frame, sf_dir, items)):
+        docs = saved(stage(spark, docs, sf_dir), name)
+        assert docs.columns == frame.columns, name
+        got = docs.collect()
+        assert {r.doc_id: (r.text, *(r[c] for c in cols)) for r in got} == want and len(got) == len(want), name
+        assert name != "pii" or all(r.n_chars == (None if r.text is None else len(r.text)) for r in got)
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+    ids = library_ids({k: v[0] for k, v in want.items()})
+    assert len(last) == len(want)
+    for r in last:
+        assert list(struct.unpack(f"<{r.n_tokens}I", bytes(r.ids))) == ids[r.doc_id][0]
+        assert r.ids_sha256 == hashlib.sha256(bytes(r.ids)).hexdigest() and r.decoded_sha256 == hashlib.sha256(ids[r.doc_id][1].encode()).hexdigest()
+    return last
+
+
+def test_pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    items = dict(table(spark, sf_dir, "benchmark").collect())
+    last = run_stages(spark, table(spark, sf_dir, "documents"), sf_dir, items)
+    assert sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect())) == sorted(map(tuple, last))
+
+
+def test_pipeline_edges(spark, sf_dir, awkward):
+    """Awkward texts, and columns with the names that the stages use inside."""
+    import corpus_pipeline
+
+    names = ["ids", "keys", "near", "postings", "print", "rep", "label", "component_id", "n_entities", "_surrogates", "_id", "_gone", "score", "y"]
+    frame = awkward.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"), *(F.col("doc_id").alias(c) for c in names))
+    run_stages(spark, frame, sf_dir, dict(table(spark, sf_dir, "benchmark").collect()))
+    docs = frame.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.count() == 0
