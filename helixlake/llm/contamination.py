@@ -6,7 +6,9 @@ window is then anchored at its RAREST terms; a second pass stores the postings o
 terms only: term, document, position and the words around it. Offset-adjusted posting lists
 are intersected, rarest first, on (document, window, start), and survivors are compared
 word by word with the words stored beside the rarest posting. So texts are never
-shuffled, and the index holds rare terms, not the corpus.
+shuffled, and the index holds rare terms, not the corpus. Proximity matches come from the same lists: the two
+rarest terms that occur stand within SLOP words of their distance in the window, and so many of its terms (NEAR_SHARE)
+within SLOP words of their places.
 
 Windows are taken in blocks of MAX_WINDOWS at most, so what is broadcast has a fixed bound;
 a larger benchmark takes more passes.
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from helixlake.llm import kernel as K
 from helixlake.llm.shared import id_text, saved, table
 
-WIDTH, RAREST, MAX_WINDOWS = 10, 2, 100_000
+WIDTH, RAREST, MAX_WINDOWS, SLOP, NEAR_SHARE = 10, 2, 100_000, 3, 0.8
 
 
 def windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -94,13 +96,13 @@ def postings(docs: DataFrame, terms: np.ndarray, width: int = WIDTH) -> DataFram
 
 
 def anchors(found: DataFrame, counts: DataFrame, rarest: int = RAREST) -> DataFrame:
-    """(wid, terms, term, off, rank): the rarest terms of each distinct window and their offsets."""
+    """(wid, terms, term, off, rank, exact): the rarest terms of each distinct window among those that occur, and their offsets; exact unless a term occurs nowhere."""
     each = found.select("wid", "terms").distinct().select("wid", "terms", F.posexplode("terms").alias("off", "term"))
     known = each.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    # a window with a term that no training text has can't match
     w = Window.partitionBy("wid")
-    ranked = known.withColumn("least", F.min("n").over(w)).withColumn("rank", F.row_number().over(w.orderBy("n", "off")))
-    return ranked.where((F.col("least") > 0) & (F.col("rank") <= rarest)).select("wid", "terms", "term", "off", "rank")
+    # a window with a term that no training text has can't match as a phrase
+    ranked = known.withColumn("exact", F.min("n").over(w) > 0).where("n > 0").withColumn("rank", F.row_number().over(w.orderBy("n", "off")))
+    return ranked.where(F.col("rank") <= rarest).select("wid", "terms", "term", "off", "rank", "exact")
 
 
 def _array(rows: DataFrame) -> np.ndarray:
@@ -108,6 +110,7 @@ def _array(rows: DataFrame) -> np.ndarray:
 
 
 def _block_matches(index: DataFrame, anchored: DataFrame) -> DataFrame:
+    anchored = anchored.where("exact")
     small = F.broadcast(anchored.select("wid", "term", "off", "rank", F.least(F.size("terms"), F.lit(RAREST)).alias("need")))
     each = index.select("doc_id", F.explode("postings").alias("p")).select("doc_id", "p.term", "p.pos", "p.near")
     lists = each.join(small, "term").select("doc_id", "wid", (F.col("pos") - F.col("off")).alias("start"), "rank", "off", "need", F.when(F.col("rank") == 1, F.col("near")).alias("near"))
@@ -118,12 +121,11 @@ def _block_matches(index: DataFrame, anchored: DataFrame) -> DataFrame:
     return met.join(full, "wid").where(same).select("doc_id", "wid", "start", (F.col("start") + size).alias("end"))
 
 
-def phrase_matches(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_words) of all documents and (doc_id, wid, start, end) of every exact occurrence of a window."""
-    spark = docs.sparkSession
+def matches(docs: DataFrame, found: DataFrame, slop: int = SLOP) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n_words) of all documents, (doc_id, wid, start, end) of every exact occurrence of a window, and the proximity matches."""
     distinct = saved(found.select("wid", "terms").distinct(), "windows")
     blocks = max(1, -(-distinct.count() // MAX_WINDOWS))
-    sizes, hits = None, None
+    sizes, hits, near = None, None, None
     for b in range(blocks):
         part = distinct.where(F.pmod("wid", F.lit(blocks)) == b)
         counts = saved(term_counts(docs, _array(part.select(F.explode("terms")).distinct())), "terms")
@@ -132,42 +134,50 @@ def phrase_matches(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFr
         more = _block_matches(index, anchored)
         sizes = index.select("doc_id", "n_words") if sizes is None else sizes
         hits = more if hits is None else hits.union(more)
-    return sizes, saved(hits, "hits") if blocks else spark.createDataFrame([], "doc_id long, wid long, start long, end long")
+        close = proximity_matches(index, anchored, slop)
+        near = close if near is None else near.union(close)
+    return sizes, saved(hits, "hits"), near
 
 
-def proximity_matches(index: DataFrame, anchored: DataFrame, slop: int) -> DataFrame:
-    """(doc_id, wid, start, gap): the two rarest terms of a window, gap <= slop words nearer or farther apart than in it.
+def proximity_matches(index: DataFrame, anchored: DataFrame, slop: int, share: float = NEAR_SHARE) -> DataFrame:
+    """(doc_id, wid, start, gap, n_near): the two rarest terms of a window, gap <= slop words nearer or farther apart than in it, with n_near of its terms near their places.
 
     index: as from postings(); anchored: as from anchors(). Positions are grouped into strips as wide as
-    the slop, so that only neighbouring strips meet.
+    the slop, so that only neighbouring strips meet. A term is looked for within slop words of its place, beside the rarest one.
     """
-    each = index.select("doc_id", F.explode("postings").alias("p")).select("doc_id", "p.term", "p.pos")
-    lists = each.join(anchored.select("wid", "term", "off", "rank"), "term").select("doc_id", "wid", "rank", (F.col("pos") - F.col("off")).alias("start"))
+    each = index.select("doc_id", F.explode("postings").alias("p")).select("doc_id", "p.term", "p.pos", "p.near")
+    small = F.broadcast(anchored.select("wid", "term", "off", "rank"))  # MAX_WINDOWS windows at most
+    lists = each.join(small, "term").select("doc_id", "wid", "rank", "off", (F.col("pos") - F.col("off")).alias("start"), F.when(F.col("rank") == 1, F.col("near")).alias("near"))
     strip = F.floor(F.col("start") / F.lit(slop + 1))
     a = lists.where("rank = 1").withColumn("strip", F.explode(F.array(strip - 1, strip, strip + 1)))
     b = lists.where("rank = 2").select("doc_id", "wid", F.col("start").alias("other"), strip.alias("strip"))
     gap = F.abs(F.col("start") - F.col("other"))
-    return a.join(b, ["doc_id", "wid", "strip"]).where(gap <= slop).groupBy("doc_id", "wid", "start").agg(F.min(gap).alias("gap"))
+    met = a.join(b, ["doc_id", "wid", "strip"]).where(gap <= slop).groupBy("doc_id", "wid", "start").agg(F.min(gap).alias("gap"), F.first("off").alias("off"), F.first("near").alias("near"))
+    met = met.join(F.broadcast(anchored.where("rank = 1").select("wid", "terms")), "wid")
+    there = lambda t, i: F.exists(F.sequence(F.lit(-slop), F.lit(slop)), lambda j: F.coalesce(F.get("near", F.lit(WIDTH - 1) + i - F.col("off") + j) == t, F.lit(False)))
+    found = F.size(F.filter(F.transform("terms", there), lambda x: x))
+    return met.withColumn("n_near", found).where(F.col("n_near") >= F.ceil(F.lit(share) * F.size("terms"))).select("doc_id", "wid", "start", "gap", "n_near")
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (sorted as strings) and contaminated for each document."""
+    """doc_id, n_words, n_hit, n_items, items (sorted as strings), contaminated and n_near (windows with a proximity match) for each document."""
     found = saved(windows(items), "items")
-    sizes, hits = phrase_matches(docs, found)
+    sizes, hits, near = matches(docs, found)
     per_start = hits.groupBy("doc_id", "start").agg(F.max("end").alias("end"))
     w = Window.partitionBy("doc_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(F.max("end").over(w), F.lit(0))))
     covered = per_start.select("doc_id", fresh.alias("fresh")).groupBy("doc_id").agg(F.sum("fresh").alias("n_hit"))
     of_doc = hits.select("doc_id", "wid").distinct().join(found.select("wid", "item_id"), "wid").select("doc_id", "item_id").distinct()
     named = of_doc.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("items"))
-    out = sizes.join(covered, "doc_id", "left").join(named, "doc_id", "left")
+    close = near.groupBy("doc_id").agg(F.countDistinct("wid").alias("n_near"))
+    out = sizes.join(covered, "doc_id", "left").join(named, "doc_id", "left").join(close, "doc_id", "left")
     n_hit, names = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), names.alias("items"), (n_hit > 0).alias("contaminated"))
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), names.alias("items"), (n_hit > 0).alias("contaminated"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
 
 
 def op1_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated", "n_near")
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -179,8 +189,14 @@ lens AS (SELECT DISTINCT len(g) AS k FROM win),
 dg AS (SELECT doc_id, i, k, w[i : i + k - 1] AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, lens WHERE len(w) >= k)),
 hit AS (SELECT doc_id, i, k, item_id FROM dg JOIN win USING (g)),
 pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT doc_id, i, k FROM hit)) GROUP BY doc_id),
+known AS (SELECT t, count(*) AS n FROM (SELECT unnest(w) AS t FROM d) WHERE t IN (SELECT unnest(g) FROM win) GROUP BY t),
+anc AS (SELECT g, t, o, row_number() OVER (PARTITION BY g ORDER BY n, o) AS rk FROM (SELECT g, unnest(g) AS t, unnest(range(0, len(g))) AS o FROM (SELECT DISTINCT g FROM win)) JOIN known USING (t) QUALIFY rk <= 2),
+post AS (SELECT doc_id, w, t, p FROM (SELECT doc_id, w, unnest(w) AS t, unnest(range(0, len(w))) AS p FROM d) WHERE t IN (SELECT t FROM anc)),
+near AS (SELECT DISTINCT x.doc_id, x.g FROM (SELECT doc_id, w, g, o, p FROM post JOIN anc USING (t) WHERE rk = 1) x JOIN (SELECT doc_id, g, p - o AS s FROM post JOIN anc USING (t) WHERE rk = 2) y ON x.doc_id = y.doc_id AND x.g = y.g AND abs(x.p - x.o - y.s) <= 3
+  WHERE len([i FOR i IN range(0, len(x.g)) IF list_contains(x.w[greatest(1, x.p - 8, x.p + i - x.o - 2) : least(x.p + 10, x.p + i - x.o + 4)], x.g[i + 1])]) >= ceil(0.8 * len(x.g))),
+nr AS (SELECT doc_id, count(*) AS n_near FROM near GROUP BY doc_id),
 its AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN nr USING (doc_id)
 """
