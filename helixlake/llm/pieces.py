@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import islice
 
 import numpy as np
 
@@ -99,36 +100,32 @@ class PieceEncoder:
         return key[1:] if key[:1] == b"\x00" else b" " + key
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        parts: list = []
-        missing: dict[bytes, bytes] = {}
-        missing_exact: dict[bytes, bytes] = {}
-        for text in texts:
+        """ids of each text; each piece that isn't remembered goes through the library once for all texts."""
+        out: list[bytes] = [b""] * len(texts)
+        usual: tuple[list[bytes], list[tuple[int, int]]] = ([], [])
+        unusual: tuple[list[bytes], list[tuple[int, int]]] = ([], [])
+        for i, text in enumerate(texts):
             cut = self._cut(text) if text else ([], True)
             if cut is None or (self.lossless and cut[1] is False and cut[0] and cut[0][0][:1] == b"\x00"):
-                parts.append(self.whole(text))
+                out[i] = self.whole(text)
                 continue
-            keys, common = cut
-            memo, lost = (self.memo, missing) if common else (self.exact, missing_exact)
+            keys, owners = usual if cut[1] else unusual
+            owners.append((i, len(keys)))
+            keys += cut[0]
+        for (keys, owners), memo, raw in ((usual, self.memo, self._raw), (unusual, self.exact, lambda k: k)):
             found = list(map(memo.get, keys))
-            if None in found:
-                lost.update((k, b"") for k, v in zip(keys, found) if v is None)
-                parts.append((keys, common))
-            else:
-                parts.append(b"".join(found))
-        for lost, memo, raw in ((missing, self.memo, self._raw), (missing_exact, self.exact, lambda k: k)):
-            if lost:
-                names = list(lost)
-                lost.update(zip(names, self._many([raw(k) for k in names])))
+            missing = [j for j, ids in enumerate(found) if ids is None]
+            if missing:
+                lost = dict.fromkeys([keys[j] for j in missing])
+                lost.update(zip(list(lost), self._many([raw(k) for k in lost])))
+                for j in missing:
+                    found[j] = lost[keys[j]]
                 room = self.most - len(memo)
                 if room > 0:
-                    memo.update(lost if len(lost) <= room else dict(list(lost.items())[:room]))
-        out = []
-        for p in parts:
-            if isinstance(p, tuple):
-                keys, common = p
-                memo, lost = (self.memo, missing) if common else (self.exact, missing_exact)
-                p = b"".join(lost[k] if k in lost else memo[k] for k in keys)
-            out.append(p)
+                    memo.update(lost if len(lost) <= room else islice(lost.items(), room))
+            ends = [at for _, at in owners[1:]] + [len(keys)]
+            for (i, at), end in zip(owners, ends):
+                out[i] = b"".join(found[at:end])
         return out
 
     def decode(self, ids: bytes) -> bytes:
