@@ -1,20 +1,25 @@
 """BPE encoding and decoding with content-defined chunk reuse (operator 3).
 
 A rolling hash over the last WINDOW words ends a chunk where its low bits are zero, so texts
-that share a passage share its chunks whatever stands before. One pass counts chunks by
-fingerprint; the SHARED chunks that save most are encoded once and sent to all tasks (a fixed
-bound); all other stretches are encoded where they stand. A join is exact when white space stands
-before it; a chunk that was cut inside a word (CHUNK_BYTES without a place to cut) is
-repaired: the stretch is widened over the neighbouring chunks, and encoded anew, until both
-its ends agree with white space. This is for vocabularies whose tokens never cover white space.
+that share a passage share its chunks whatever stands before. Chunks are counted by
+fingerprint; those of several texts are encoded once, into a table, and each text
+meets the ids of its shared chunks in a join. What lies between is encoded where it stands. Which
+chunks are worth a row is first asked of a bitmap of fixed size: a bit that is set by chance
+costs a needless row, and nothing else.
+
+Joins are repaired: where no white space stands at a reused chunk's edge, the word across the
+edge is encoded anew, and its ids take the place of those of its two halves; if the word goes on over
+further chunks, that is done at each of their edges, until what was put together is what the whole word gives.
+This is for vocabularies whose tokens never cover white space.
 
 Edge cases: null or empty texts have no ids and an empty decoded text; equal rows are encoded
-alike; an empty table gives an empty result; other columns are ignored.
+alike, and may share a doc_id or have none; an empty table gives an empty result; other columns are ignored; very long
+texts and words without white space are cut into chunks of CHUNK_BYTES.
 """
 
 from __future__ import annotations
 
-import hashlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +28,17 @@ from pyspark.sql import functions as F
 
 from helixlake.llm import kernel as K
 from helixlake.llm.pieces import encoder
-from helixlake.llm.shared import id_text, saved, table
+from helixlake.llm.shared import dropped, id_text, saved, table
 
 #: Words under the rolling hash; one place in MASK + 1 ends a chunk; longest chunk.
 WINDOW, MASK, CHUNK_BYTES = 4, 31, 8192
+#: White space in ASCII.
+SPACES = b" \t\n\x0b\x0c\r"
+SPACE_BYTES = tuple(SPACES[i : i + 1] for i in range(len(SPACES)))
 #: Bytes of text that are encoded at once.
 SLICE = 2 << 20
-#: Most chunks, and most of their bytes, that are encoded once and sent to all tasks.
-SHARED, SHARED_BYTES = 20_000, 8 << 20
+#: Bits of the index into the bitmap of chunks that occur in several texts.
+MAP_BITS = 26
 
 
 def chunk_bounds(t: K.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,84 +71,125 @@ def _inner_cuts(data: np.ndarray, lo: int, hi: int) -> np.ndarray:
     return np.array(cuts, dtype=np.int64)
 
 
-def chunk_counts(docs: DataFrame) -> DataFrame:
-    """(h, n, size): how often each chunk occurs and its bytes."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, k): k is what a text meets its chunks by, its id or a hash of it. Chunks go by their content, so texts may share one."""
+    return id_text(docs).withColumn("k", F.coalesce("doc_id", F.xxhash64("text"), F.lit(0)))
+
+
+def chunk_hashes(docs: DataFrame) -> DataFrame:
+    """(k, h): the distinct chunks of each text."""
 
     def run(batches):
         for t in K.slices(batches):
-            lo, hi, _ = chunk_bounds(t)
-            h, first, n = np.unique(K.spans_hash(t.data, lo, hi, K.EXACT), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(K.signed(h)), pa.array(n.astype(np.int64)), pa.array((hi - lo)[first].astype(np.int64))], ["h", "n", "size"])
+            lo, hi, doc = chunk_bounds(t)
+            h = K.spans_hash(t.data, lo, hi, K.EXACT)
+            order = np.lexsort((h, doc))
+            doc, h = doc[order], h[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+            yield pa.RecordBatch.from_arrays([t.ids("k").take(pa.array(doc[new])), pa.array(K.signed(h[new]))], ["k", "h"])
+
+    return docs.select("k", "text").mapInArrow(run, "k long, h long")
 
-    return id_text(docs).mapInArrow(run, "h long, n long, size long").groupBy("h").agg(F.sum("n").alias("n"), F.max("size").alias("size"))
 
+def bitmap(counts: DataFrame) -> np.ndarray:
+    """Bits of the chunks in counts(h), as 2^MAP_BITS bits in 64-bit words; as many rows come to the driver at most."""
+    at = F.shiftrightunsigned("h", 64 - MAP_BITS)
+    words = counts.groupBy(F.shiftright(at, 6).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - MAP_BITS}) & 63 as int))")).alias("b")).toArrow()
+    out = np.zeros(1 << (MAP_BITS - 6), np.int64)
+    out[words["w"].to_numpy()] = words["b"].to_numpy()
+    return out.view(K.U64)
 
-def encoded_chunks(docs: DataFrame, chosen: np.ndarray, vocabulary: str) -> DataFrame:
-    """(h, ids) of the chosen chunks, each encoded once."""
-    wanted = docs.sparkSession.sparkContext.broadcast(chosen)
+
+def marked(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = h >> K.U64(64 - MAP_BITS)
+    return (bits[(at >> K.U64(6)).astype(np.int64)] >> (at & K.U64(63))) & K.U64(1) == 1
+
+
+def encoded_chunks(docs: DataFrame, shared: DataFrame, vocabulary: str) -> DataFrame:
+    """(h, ids) of the chunks in shared(h), each encoded once, on its own."""
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(shared))
 
     def find(batches):
-        seen: set[int] = set()
         for t in K.slices(batches):
             lo, hi, _ = chunk_bounds(t)
             h = K.spans_hash(t.data, lo, hi, K.EXACT)
-            at = np.flatnonzero(np.isin(h, wanted.value))
-            at = [i for i in at.tolist() if (k := int(h[i])) not in seen and not seen.add(k)]
-            yield pa.RecordBatch.from_arrays([pa.array(K.signed(h[at])), pa.array([t.data[lo[i] : hi[i]].tobytes() for i in at], pa.binary())], ["h", "chunk"])
+            first = np.sort(np.unique(h, return_index=True)[1])
+            at = first[marked(bits.value, h[first])]
+            yield pa.RecordBatch.from_arrays([pa.array(K.signed(h[at])), pa.array([t.data[lo[i] : hi[i]].tobytes() for i in at.tolist()], pa.binary())], ["h", "chunk"])
 
     def encode(batches):
         enc = encoder(vocabulary, False)
-        for batch in batches:
+        for batch in K.row_slices(batches, 2000):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(enc.encode(batch.column(1).to_pylist()), pa.binary())], ["h", "ids"])
 
-    once = id_text(docs).mapInArrow(find, "h long, chunk binary").groupBy("h").agg(F.min("chunk").alias("chunk"))
+    once = docs.select("text").mapInArrow(find, "h long, chunk binary").groupBy("h").agg(F.min("chunk").alias("chunk"))
     return once.mapInArrow(encode, "h long, ids binary")
 
 
+def joined(text: bytes, parts: list[tuple[int, int, bytes]], encode) -> bytes:
+    """ids of text from those of its parts (start, end, ids), each encoded alone; encode gives a text's ids."""
+    out = b""
+    for lo, hi, ids in parts:
+        if lo and text[lo - 1] not in SPACES and text[lo] not in SPACES:
+            # the word across the edge: what its halves gave goes, and what it gives itself comes
+            tail = text[max(map(text.rfind, SPACE_BYTES, repeat(0), repeat(lo))) + 1 : lo]
+            at = min((x for x in (text.find(c, lo, hi) for c in SPACE_BYTES) if x >= 0), default=hi)
+            head = text[lo:at]
+            out = out[: len(out) - len(encode(tail))] + encode(tail + head) + ids[len(encode(head)) :]
+        else:
+            out += ids
+    return out
+
+
 def encode_chunked(docs: DataFrame, vocabulary: str, decode: bool = False) -> DataFrame:
     """doc_id and ids (binary, unsigned 32-bit) of every row of docs(doc_id, text); with decode, also the text that the ids decode to."""
-    counts = chunk_counts(docs).where("n > 1")
-    best = counts.select("h", "size").orderBy(((F.col("n") - 1) * F.col("size")).desc(), "h").limit(SHARED).collect()
-    fits = np.cumsum([r.size for r in best]) <= SHARED_BYTES if best else []
-    chosen = np.sort(np.array([r.h for r, ok in zip(best, fits) if ok], dtype=np.int64).view(K.U64))
-    once = {r.h: bytes(r.ids) for r in encoded_chunks(docs, chosen, vocabulary).collect()} if len(chosen) else {}
-    shared = docs.sparkSession.sparkContext.broadcast(once)
+    full = keyed(docs)
+    hashes = saved(chunk_hashes(full), "chunks")
+    shared = saved(hashes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "shared")
+    once = saved(encoded_chunks(full, shared, vocabulary), "encoded")
+    own = hashes.join(once, "h").groupBy("k").agg(F.collect_list(F.struct("h", "ids")).alias("reused"))
+    own = saved(own, "reused")
+    dropped(hashes, shared, once)
 
     def run(batches):
-        enc, known = encoder(vocabulary, False), shared.value
+        enc = encoder(vocabulary, False)
+        one = lambda text: enc.encode([text])[0]
         for t in K.slices(batches, limit=SLICE):
             lo, hi, doc = chunk_bounds(t)
             h = K.signed(K.spans_hash(t.data, lo, hi, K.EXACT)).tolist()
-            whole = np.concatenate([[True], (doc[1:] != doc[:-1]) | K.SPACE[t.data[lo[1:] - 1]]]) if len(lo) else np.zeros(0, bool)
-            first = np.searchsorted(doc, np.arange(t.n + 1))
+            first = np.searchsorted(doc, np.arange(t.n + 1)).tolist()
+            starts, lo, hi = t.bounds[:-1].tolist(), lo.tolist(), hi.tolist()
             plans, stretches = [], []
-            lo, hi, whole = lo.tolist(), hi.tolist(), whole.tolist() + [True]
-            for i in range(t.n):
-                plan, run_from, stop = [], None, int(first[i + 1])
-                for c in range(int(first[i]), stop):
-                    # a chunk is reused when both of its joins are exact; else the stretch goes on over the join
-                    exact = whole[c] and (c + 1 == stop or whole[c + 1])
-                    ids = known.get(h[c]) if exact else None
+            for i, reused in enumerate(t.ids("reused").to_pylist()):
+                known, plan, run_from = {x["h"]: x["ids"] for x in reused or ()}, [], None
+                for c in range(first[i], first[i + 1]):
+                    ids = known.get(h[c])
                     if ids is None:
                         run_from = lo[c] if run_from is None else run_from
                         continue
                     if run_from is not None:
-                        plan.append(len(stretches))
+                        plan.append((run_from - starts[i], lo[c] - starts[i], len(stretches)))
                         stretches.append(t.data[run_from : lo[c]].tobytes())
                         run_from = None
-                    plan.append(ids)
+                    plan.append((lo[c] - starts[i], hi[c] - starts[i], ids))
                 if run_from is not None:
-                    plan.append(len(stretches))
-                    stretches.append(t.data[run_from : hi[stop - 1]].tobytes())
+                    end = hi[first[i + 1] - 1]
+                    plan.append((run_from - starts[i], end - starts[i], len(stretches)))
+                    stretches.append(t.data[run_from:end].tobytes())
                 plans.append(plan)
             done = enc.encode(stretches)
-            ids = [b"".join(done[p] if isinstance(p, int) else p for p in plan) for plan in plans]
+            ids = []
+            for i, plan in enumerate(plans):
+                parts = [(a, b, done[x] if isinstance(x, int) else x) for a, b, x in plan]
+                ids.append(parts[0][2] if len(parts) == 1 else joined(t.bytes_of(i), parts, one))
             out = {"doc_id": t.ids(), "ids": pa.array(ids, pa.binary())}
             if decode:
                 out["decoded"] = pa.array([enc.decode(x) for x in ids], pa.binary())
             yield pa.RecordBatch.from_pydict(out)
 
-    return id_text(docs).mapInArrow(run, "doc_id long, ids binary" + ", decoded binary" * decode)
+    met = full.join(own, "k", "left").select("doc_id", "text", "reused")
+    return met.mapInArrow(run, "doc_id long, ids binary" + ", decoded binary" * decode)
 
 
 def decode_ids(encoded: DataFrame, vocabulary: str) -> DataFrame:
