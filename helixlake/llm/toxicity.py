@@ -154,7 +154,8 @@ def fit(docs: DataFrame, labels: DataFrame, swap_weight: float = SWAP_WEIGHT, id
         return Model(np.zeros(0, K.U64), np.zeros(0), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
     each = known.distinct()
     texts = id_text(docs)
-    chosen = chosen_features(texts.join(each, "doc_id"), total, toxic)
+    # labels grow with the texts, so they are never sent to all tasks, however few they are
+    chosen = chosen_features(texts.join(each.hint("merge"), "doc_id"), total, toxic)
     terms, others = swaps(chosen, identity)
 
     def run(batches):
