@@ -54,6 +54,7 @@ def brute_contamination(docs, items):
         for i in range(max(len(w) - 9, 1) if w else 0):
             windows[tuple(w[i : i + 10])].add(item)
     sizes = {len(k) for k in windows}
+    known = Counter(x for t in docs.values() for x in ALNUM.findall((t or "").translate(LOWER)))
     out = {}
     for d, t in docs.items():
         w = ALNUM.findall((t or "").translate(LOWER))
@@ -63,7 +64,25 @@ def brute_contamination(docs, items):
                 if (k := tuple(w[i : i + n])) in windows:
                     hit.update(range(i, i + n))
                     found |= windows[k]
-        out[d] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit))
+        out[d] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit), len(near_windows(w, windows, known)))
+    return out
+
+
+def near_windows(w, windows, known):
+    """Windows whose two rarest terms of those that occur are about as far apart in w as in the window, with four fifths of its terms about in place."""
+    at, out = defaultdict(list), set()
+    for i, t in enumerate(w):
+        at[t].append(i)
+    for g in windows:
+        ranked = sorted((known[t], o) for o, t in enumerate(g) if known[t])[:2]
+        if len(ranked) < 2:
+            continue
+        a, b = (o for _, o in ranked)
+        for i in at[g[a]]:
+            if any(abs((i - a) - (j - b)) <= 3 for j in at[g[b]]):
+                near = lambda k: any(0 <= i + k - a + j < len(w) and abs(k - a + j) <= 9 and w[i + k - a + j] == g[k] for j in range(-3, 4))  # noqa: B023, E731
+                if sum(map(near, range(len(g)))) >= math.ceil(0.8 * len(g)):
+                    out.add(g)
     return out
 
 
@@ -75,7 +94,7 @@ def test_contamination(spark, sf_dir, awkward, empty):
     frame = spark.createDataFrame(list(items.items()), "item_id long, text string")
     out = contamination.contamination(awkward, frame)
     digest = F.sha2(F.concat_ws(",", "items"), 256)
-    got = {r[0]: tuple(r)[1:] for r in out.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated").collect()}
+    got = {r[0]: tuple(r)[1:] for r in out.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated", "n_near").collect()}
     assert got == brute_contamination(dict(AWKWARD), items)
     assert contamination.contamination(empty, frame).count() == 0
     assert contamination.contamination(awkward, frame.where("false")).where("n_hit > 0").count() == 0
@@ -88,13 +107,13 @@ def test_contamination_in_blocks(spark, sf_dir, monkeypatch):
 
 
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "red x x blue"), (2, "red x x x x x x blue"), (3, "red blue")], "doc_id long, text string")
-    items = spark.createDataFrame([(1, "red blue")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "red x x blue"), (2, "red x x x x x x blue"), (3, "red blue"), (4, "red only")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "red blue"), (2, "nowhere red blue")], "item_id long, text string")
     found = contamination.windows(items)
     terms = contamination._array(found.select(F.explode("terms")))
     anchored = contamination.anchors(found, contamination.term_counts(docs, terms))
     out = contamination.proximity_matches(contamination.postings(docs, terms), anchored, 2)
-    assert sorted((r.doc_id, r.gap) for r in out.collect()) == [(1, 2), (3, 0)]
+    assert sorted((r.doc_id, r.gap, r.n_near) for r in out.collect()) == [(1, 2, 2), (3, 0, 2)]
 
 
 # 2
@@ -175,6 +194,20 @@ def test_bpe(spark, sf_dir, awkward, empty):
     assert chunks.encode_chunked(empty, public.path("word_bpe_49k.json")).count() == 0
 
 
+def test_chunk_joins_are_repaired(spark):
+    """Chunks that share a cut inside one long word, in texts that go on differently, or whose first words are one."""
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public.path("word_bpe_49k.json"))
+    long = "".join(f"un{i}able" for i in range(6000))
+    texts = [long, long + "x end", "start " + long + "ing of it", long[:20_000], long[:20_001], long[:16_390], "a " + long[:9000] + " b", long + " " + long, None, "", " ".join(["same passage of words"] * 80), "x" + " ".join(["same passage of words"] * 80)]
+    rows = spark.createDataFrame([(None if i % 3 == 0 else i % 5, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = sorted((d or -1, tok.encode(t or "", add_special_tokens=False).ids) for d, t in rows.collect())
+    got = sorted((r.doc_id or -1, list(struct.unpack(f"<{len(r.ids) // 4}I", bytes(r.ids)))) for r in chunks.encode_chunked(rows, public.path("word_bpe_49k.json")).collect())
+    assert got == want
+
+
 def test_token_files(spark, sf_dir, awkward, empty, tmp_path):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
