@@ -32,10 +32,23 @@ def extract(intervals: DataFrame, chunks: DataFrame, size: int = CHUNK) -> DataF
 
 
 def locate(points: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(point, chrom, local): where genome coordinates fall on chromosomes laid end to end; sizes(chrom, size) is small."""
+    """(point, chrom, local): where genome coordinates fall on chromosomes laid end to end.
+
+    Starts and points stand in one order, cut into ranges of equal width, and each point takes the last start before it; a range
+    without a start of its own takes the last one of the ranges before. So nothing is compared with all chromosomes.
+    """
     w = Window.partitionBy().orderBy("chrom").rowsBetween(Window.unboundedPreceding, 0)
     laid = sizes.select("chrom", (F.sum("size").over(w) - F.col("size")).alias("lo"), F.sum("size").over(w).alias("hi"))
-    return points.join(F.broadcast(laid), (F.col("point") >= F.col("lo")) & (F.col("point") < F.col("hi"))).select("point", "chrom", (F.col("point") - F.col("lo")).alias("local"))
+    width = 1 << 22
+    block = lambda c: F.floor(F.col(c) / width)
+    cut = laid.where("hi > lo").withColumn("b", F.explode(F.sequence(block("lo"), F.floor((F.col("hi") - 1) / width))))
+    # a chromosome is split at the ranges' bounds, so that each range has all its starts
+    starts = cut.select("b", F.greatest("lo", F.col("b") * width).alias("at"), F.struct("chrom", "lo").alias("s"), F.lit(None).cast("long").alias("point"), F.lit(0).alias("kind"))
+    asked = points.where(F.col("point") >= 0).select(block("point").alias("b"), F.col("point").alias("at"), F.lit(None).cast(starts.schema["s"].dataType).alias("s"), "point", F.lit(1).alias("kind"))
+    last = F.last("s", ignorenulls=True).over(Window.partitionBy("b").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    met = starts.union(asked).withColumn("s", last).where("kind = 1 and s is not null")
+    total = F.broadcast(sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total")))
+    return met.crossJoin(total).where("point < total").select("point", F.col("s.chrom").alias("chrom"), (F.col("point") - F.col("s.lo")).alias("local"))
 
 
 def overlaps(a: DataFrame, b: DataFrame, bin_size: int = 64) -> DataFrame:
@@ -55,10 +68,11 @@ def unmatched(a: DataFrame, b: DataFrame) -> DataFrame:
     return own.union(other).groupBy("seq_id").agg(F.count("*").alias("distance"))
 
 
-def join_control(seqs: DataFrame, half: int) -> DataFrame:
-    """Sequence i with its control i + half; ok if the lengths agree."""
+def join_control(seqs: DataFrame) -> DataFrame:
+    """Sequence i of 0..n - 1 with its control i + n // 2; ok if the lengths agree."""
+    half = seqs.agg(F.floor((F.max("seq_id") + 1) / 2).cast("long").alias("half"))  # one row
     a = seqs.select("seq_id", F.length("nt").alias("n"))
-    b = seqs.select((F.col("seq_id") - half).alias("seq_id"), F.col("seq_id").alias("control_id"), F.length("nt").alias("m"))
+    b = seqs.crossJoin(F.broadcast(half)).select((F.col("seq_id") - F.col("half")).alias("seq_id"), F.col("seq_id").alias("control_id"), F.length("nt").alias("m"))
     return a.join(b, "seq_id").select("seq_id", "control_id", (F.col("n") == F.col("m")).alias("ok"))
 
 
@@ -67,9 +81,18 @@ def with_default(rows: DataFrame, values: DataFrame, keys: list[str], column: st
     return rows.join(values, keys, "left").withColumn(column, F.coalesce(column, F.lit(default)))
 
 
-def groups_of(seqs: DataFrame, starts: DataFrame) -> DataFrame:
-    """(seq_id, grp): the last group start that isn't after the sequence; starts(start) is a small table."""
-    return seqs.join(F.broadcast(starts), F.col("start") <= F.col("seq_id"), "left").groupBy("seq_id").agg(F.max("start").alias("grp"))
+def groups_of(seqs: DataFrame, starts: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """(seq_id, grp): the last group start that isn't after the sequence, null before the first.
+
+    Starts and sequences are put in one order, in ranges of width ids; the last start of each range is carried on to later ranges
+    by a window over one row for each range.
+    """
+    block = F.floor(F.col("at") / width)
+    both = starts.select(F.col("start").cast("long").alias("at"), F.col("start").cast("long").alias("g"), F.lit(0).alias("kind")).union(seqs.select(F.col("seq_id").cast("long"), F.lit(None).cast("long"), F.lit(1))).withColumn("b", block)
+    ends = both.groupBy("b").agg(F.max("g").alias("last"))
+    carried = ends.select("b", F.last("last", ignorenulls=True).over(Window.partitionBy().orderBy("b").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    own = F.last("g", ignorenulls=True).over(Window.partitionBy("b").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("own", own).where("kind = 1").join(carried, "b").select(F.col("at").alias("seq_id"), F.coalesce("own", "before").alias("grp"))
 
 
 def motif_stats(rows: DataFrame) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixlake.functions import nt as N
-from helixlake.operators.sequences import unmasked
+from helixlake.operators.sequences import kmers, unmasked
 from helixlake.sources.inputs import bases, windows
+from helixlake.sources.store import stored
 
 #: Pseudo-count of a model cell.
 PSEUDO = 0.28
@@ -76,6 +79,14 @@ def background_sitefree(seqs: DataFrame, counts: DataFrame, pc: float = 5) -> Da
     return out.select("base", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("p"))
 
 
+def position_background(table: DataFrame, bg: DataFrame, positions: DataFrame, slack: float = 0.001) -> DataFrame:
+    """(pos, base, p) for each of positions(pos): from table(pos, A, C, G, T) where its row adds up to one, else the global background."""
+    good = table.where(F.abs(F.col("A") + F.col("C") + F.col("G") + F.col("T") - 1) <= slack)
+    each = good.select("pos", F.explode(F.array(*(F.struct(F.lit(b).alias("base"), F.col(b).alias("own")) for b in N.BASES))).alias("x")).select("pos", "x.*")
+    grid = positions.crossJoin(F.broadcast(bg.withColumnRenamed("p", "q")))  # four rows
+    return grid.join(each, ["pos", "base"], "left").select(F.col("pos").cast("long").alias("pos"), "base", F.coalesce("own", "q").alias("p"))
+
+
 def consensus(pwm: DataFrame, cut: float = 0.9) -> DataFrame:
     top = pwm.groupBy("motif", "col").agg(F.max("p").alias("p"), F.max_by("base", F.struct("p", "base")).alias("base"))
     letter = F.when(F.col("p") > cut, F.col("base")).otherwise("?")
@@ -102,42 +113,65 @@ def log_odds(pwm: DataFrame, bg: DataFrame) -> DataFrame:
     return met.groupBy("motif").agg((F.max("col") + 1).alias("w"), F.map_from_entries(F.collect_list(F.struct(key, F.ln(F.col("p") / F.col("q"))))).alias("odds"))
 
 
+#: Columns of a model that are scored by one table of all 4^BLOCK k-mers.
+BLOCK = 8
+
+
+def block_scores(pwm: DataFrame, bg: DataFrame, start: int, k: int) -> DataFrame:
+    """(site, ln): the log ratios of columns start to start + k of each model, in the order of models, for all 4^k k-mers."""
+    odds = pwm.join(F.broadcast(bg.withColumnRenamed("p", "q")), "base").select("motif", "col", "base", F.ln(F.col("p") / F.col("q")).alias("x"))
+    each = kmers(pwm.sparkSession, k).select("site", F.posexplode(F.split("site", "")).alias("col", "base")).where("base != ''").withColumn("col", F.col("col") + start)
+    by_model = each.join(F.broadcast(odds), ["col", "base"]).groupBy("site", "motif").agg(F.sum("x").alias("x"))
+    return by_model.groupBy("site").agg(F.transform(F.array_sort(F.collect_list(F.struct("motif", "x"))), lambda m: m["x"]).alias("ln"))
+
+
 def pwm_scan(seqs: DataFrame, pwm: DataFrame, bg: DataFrame, w: int) -> DataFrame:
-    """(seq_id, end, motif, ratio): product of foreground over background for every unmasked window; end is the inclusive 0-based end.
+    """(seq_id, end, dist_from_end, motif, ratio, all_ratios, models): product of foreground over background for every unmasked window.
 
-    Distinct sites are scored once, so the logarithms are summed over at most 4^w rows a model when windows repeat.
+    end is the inclusive 0-based end; all_ratios is the sum over the models at that place. A window is looked up
+    in a table of all 4^BLOCK k-mers, or, if the models are wider, in one for each BLOCK columns; these are small
+    whatever is scanned, so windows don't move. Models of other widths than w are left out.
     """
-    found = unmasked(windows(seqs, w)).where(F.col("pos") + w > 1)
-    models = F.broadcast(log_odds(pwm, bg).where(F.col("w") == w))
-    kinds = found.select("site").distinct().crossJoin(models)
-    total = F.aggregate(F.sequence(F.lit(1), F.lit(w)), F.lit(0.0), lambda acc, i: acc + F.element_at("odds", F.concat((i - 1).cast("string"), F.substring(F.col("site"), i, F.lit(1)))))
-    scored = kinds.select("site", "motif", F.exp(total).alias("ratio"))
-    return found.join(scored, "site").select("seq_id", (F.col("pos") + w - 1).alias("end"), "motif", "ratio")
+    fit = pwm.join(F.broadcast(pwm.groupBy("motif").agg((F.max("col") + 1).alias("w")).where(F.col("w") == w).select("motif")), "motif")
+    names = F.broadcast(fit.select(F.array_sort(F.collect_set("motif")).alias("names")))
+    place = F.col("pos") + w - 1
+    found = windows(seqs, w).where(F.col("pos") + w > 1).select("seq_id", place.alias("end"), (F.col("len") - 1 - place).alias("dist_from_end"), F.col("site").alias("window"))
+    if w <= BLOCK:
+        one = block_scores(fit, bg, 0, w).crossJoin(names).select("site", F.arrays_zip(F.col("names").alias("motif"), F.transform("ln", F.exp).alias("ratio")).alias("z"))
+        flat = one.withColumn("all_ratios", F.aggregate("z", F.lit(0.0), lambda acc, m: acc + m["ratio"])).select("site", "all_ratios", F.size("z").alias("models"), F.explode("z").alias("z")).select("site", "all_ratios", "models", "z.motif", "z.ratio")
+        return found.join(F.broadcast(flat), F.col("window") == F.col("site")).select("seq_id", "end", "dist_from_end", "motif", "ratio", "all_ratios", "models")
+    total = None
+    for start in range(0, w, BLOCK):
+        k = min(BLOCK, w - start)
+        table = F.broadcast(block_scores(fit, bg, start, k).select(F.col("site").alias(f"_s{start}"), F.col("ln").alias(f"_l{start}")))
+        found = found.join(table, F.substring("window", start + 1, k) == F.col(f"_s{start}"))
+        total = F.col(f"_l{start}") if total is None else F.zip_with(total, f"_l{start}", lambda a, b: a + b)
+    each = found.select("seq_id", "end", "dist_from_end", F.transform(total, F.exp).alias("r")).crossJoin(names)
+    each = each.withColumn("all_ratios", F.aggregate("r", F.lit(0.0), lambda acc, x: acc + x))
+    return each.select("seq_id", "end", "dist_from_end", "all_ratios", F.size("r").alias("models"), F.explode(F.arrays_zip(F.col("names").alias("motif"), F.col("r").alias("ratio"))).alias("z")).select("seq_id", "end", "dist_from_end", "z.motif", "z.ratio", "all_ratios", "models")
 
 
 def site_posterior(scan: DataFrame, prior: float) -> DataFrame:
     """p of each model at each place: odds * prior / (1 - sum of priors + sum of odds * prior)."""
-    w = Window.partitionBy("seq_id", "end")
-    return scan.withColumn("p", F.col("ratio") * prior / (1 - F.count("*").over(w) * prior + F.sum(F.col("ratio") * prior).over(w)))
+    return scan.withColumn("p", F.col("ratio") * prior / (1 - F.col("models") * prior + F.col("all_ratios") * prior))
 
 
-def spacing_posterior(scan: DataFrame, seqs: DataFrame, spacing: DataFrame) -> DataFrame:
+def spacing_posterior(scan: DataFrame, spacing: DataFrame) -> DataFrame:
     """The same with a prior by distance from the sequence's end: spacing(dist_from_end, p); none beyond the table."""
-    met = scan.join(seqs.select("seq_id", F.length("nt").alias("len")), "seq_id").withColumn("dist_from_end", F.col("len") - 1 - F.col("end"))
-    met = met.join(F.broadcast(spacing.withColumnRenamed("p", "prior")), "dist_from_end", "left").withColumn("prior", F.coalesce("prior", F.lit(0.0)))
-    w = Window.partitionBy("seq_id", "end")
-    share = F.col("ratio") * F.col("prior")
-    return met.select("seq_id", "end", "motif", "ratio", (share / (1 - F.sum("prior").over(w) + F.sum(share).over(w))).alias("p"))
+    met = scan.join(spacing.withColumnRenamed("p", "prior"), "dist_from_end", "left").withColumn("prior", F.coalesce("prior", F.lit(0.0)))
+    p = F.col("ratio") * F.col("prior") / (1 - F.col("models") * F.col("prior") + F.col("all_ratios") * F.col("prior"))
+    return met.select("seq_id", "end", "motif", "ratio", p.alias("p"))
 
 
 def nmer_background(seqs: DataFrame, freq: DataFrame, n: int, w: int) -> DataFrame:
     """(seq_id, pos, ln_p): each window's probability by chaining n-mers: the first, then next ones given their prefix."""
     prefix = F.substring("nmer", 1, n - 1)
     cond = freq.select("nmer", F.ln("p").alias("ln_first"), F.ln(F.col("p") / F.sum("p").over(Window.partitionBy(prefix))).alias("ln_next"))
-    kinds = unmasked(windows(seqs, w)).select("site").distinct()
+    few = w <= BLOCK  # all 4^w windows are a small table
+    kinds = kmers(seqs.sparkSession, w) if few else unmasked(windows(seqs, w)).select("site").distinct()
     parts = kinds.select("site", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(w - n + 1)), lambda i: F.substring(F.col("site"), i, F.lit(n)))).alias("k", "nmer"))
-    scored = parts.join(cond, "nmer").groupBy("site").agg(F.sum(F.when(F.col("k") == 0, F.col("ln_first")).otherwise(F.col("ln_next"))).alias("ln_p"))
-    return unmasked(windows(seqs, w)).join(scored, "site").select("seq_id", "pos", "ln_p")
+    scored = parts.join(cond, "nmer").groupBy("site").agg(F.sum(F.when(F.col("k") == 0, F.col("ln_first")).otherwise(F.col("ln_next"))).alias("ln_p"), F.count("*").alias("known")).where(F.col("known") == w - n + 1)
+    return unmasked(windows(seqs, w)).join(F.broadcast(scored) if few else scored, "site").select("seq_id", "pos", "ln_p")
 
 
 def sites_per_seq(sites: DataFrame, seqs: DataFrame) -> DataFrame:
@@ -156,12 +190,12 @@ def site_composition(counts: DataFrame, seqs: DataFrame) -> DataFrame:
     return met.select("base", (100 * F.col("inside") / F.sum("inside").over(w)).alias("pct_site"), (100 * F.col("n") / F.sum("n").over(w)).alias("pct_all"))
 
 
-def site_count_sd(sites: DataFrame, possible: int, weight: float) -> DataFrame:
-    """(motif, n, sd): expected number of sites and its deviation under a beta posterior with weight pseudo-sites of the same rate."""
-    n = sites.groupBy("motif").agg(F.count("*").alias("k"))
+def site_count_sd(sites: DataFrame, possible: DataFrame, weight: float) -> DataFrame:
+    """(motif, n, sd): expected number of sites and its deviation under a beta posterior with weight pseudo-sites of the same rate; possible(n) has one row."""
+    k = sites.groupBy("motif").agg(F.count("*").alias("k")).crossJoin(F.broadcast(possible.select(F.col("n").cast("double").alias("total"))))
     a = F.col("k") * (1 + weight)
-    b = (possible - F.col("k")) * (1 + weight)
-    return n.select("motif", (a / (a + b) * possible).alias("n"), (F.sqrt(a * b / ((a + b) ** 2 * (a + b + 1))) * possible).alias("sd"))
+    b = (F.col("total") - F.col("k")) * (1 + weight)
+    return k.select("motif", (a / (a + b) * F.col("total")).alias("n"), (F.sqrt(a * b / ((a + b) ** 2 * (a + b + 1))) * F.col("total")).alias("sd"))
 
 
 def transitions(sites: DataFrame) -> DataFrame:
@@ -200,6 +234,85 @@ def map_motif(counts: DataFrame, bg: DataFrame, weight: float = 4.0) -> DataFram
     return per.groupBy("motif").agg(F.sum(F.col("v") + N.ln_gamma(F.lit(weight)) - N.ln_gamma(F.col("t") + weight)).alias("value"))
 
 
+def dirichlet(n: Column, a: Column, keys: list[str], rows: DataFrame, value: str) -> DataFrame:
+    """keys and the log marginal likelihood of the counts n under the Dirichlet prior a, of the rows that share keys."""
+    g = rows.groupBy(*keys).agg(F.sum(N.ln_gamma(n + a) - N.ln_gamma(a)).alias("_v"), F.sum(a).alias("_a"), F.sum(n).alias("_n"))
+    return g.select(*keys, (F.col("_v") + N.ln_gamma(F.col("_a")) - N.ln_gamma(F.col("_n") + F.col("_a"))).alias(value))
+
+
+def map_terms(sites: DataFrame, seqs: DataFrame, bg: DataFrame, w: int, blocks: list[float], weight: float = 4.0, max_width: int | None = None, by: list[str] | None = None) -> DataFrame:
+    """(by..., term, value): the terms of the log posterior of sites(by..., seq_id, motif, site), all of width w.
+
+    motif: columns under a Dirichlet prior of weight * background; background: the bases outside the sites, and null, less all bases,
+    under the same prior; placement: how many of the possible places hold a site, under a flat beta prior; fragmentation: the choice
+    of w columns out of max_width, the outer ones being on; sites: the prior blocks of the number of sites of a sequence, the last for that many or more. by: columns of seqs
+    and sites that divide them, such as seq_id.
+    """
+    keys = by or []
+    q = F.broadcast(bg.select("base", F.col("p").alias("q"), (F.col("p") * weight).alias("a")))
+    cols = sites.select(*keys, "motif", F.posexplode(F.split("site", "")).alias("col", "base")).where("base != ''").groupBy(*keys, "motif", "col", "base").agg(F.count("*").cast("double").alias("n"))
+    dense = four(cols, *keys, "motif", "col").join(cols, [*keys, "motif", "col", "base"], "left").join(q, "base").withColumn("n", F.coalesce("n", F.lit(0.0)))
+    motif = dirichlet(F.col("n"), F.col("a"), [*keys, "motif", "col"], dense, "v").groupBy(*keys).agg(F.sum("v").alias("value")).withColumn("term", F.lit("motif"))
+    counted = F.explode(F.array(*(F.struct(F.lit(b).alias("base"), (F.length("nt") - F.length(F.replace("nt", F.lit(b), F.lit("")))).cast("double").alias("n")) for b in N.BASES)))
+    total = seqs.select(*keys, counted.alias("c")).groupBy(*keys, "c.base").agg(F.sum("c.n").alias("n"))
+    inside = cols.groupBy(*keys, "base").agg(F.sum("n").alias("i"))
+    both = total.join(inside, [*keys, "base"], "left").join(q, "base").withColumn("out", F.col("n") - F.coalesce("i", F.lit(0.0)))
+    background = dirichlet(F.col("out"), F.col("a"), keys, both, "value").withColumn("term", F.lit("background"))
+    null = dirichlet(F.col("n"), F.col("a"), keys, both, "value").withColumn("value", -F.col("value")).withColumn("term", F.lit("null"))
+    places = unmasked(windows(seqs, w, keep=[k for k in keys if k != "seq_id"])).where(F.col("pos") + w > 1).groupBy(*keys).agg(F.count("*").cast("double").alias("P"))
+    k = sites.groupBy(*keys, "motif").agg(F.count("*").cast("double").alias("k"))
+    met = k.join(places, keys) if keys else k.crossJoin(F.broadcast(places))  # one row
+    beta = N.ln_gamma(F.col("k") + 1) + N.ln_gamma(F.col("P") - F.col("k") + 1) - N.ln_gamma(F.col("P") + 2)
+    fragments = 0.0 if max_width is None else math.log(math.comb(max_width - 2, w - 2))
+    of_motifs = met.groupBy(*keys).agg(F.sum(beta).alias("placement"), (-F.lit(fragments) * F.count("*")).alias("fragmentation"))
+    of_motifs = of_motifs.select(*keys, F.explode(F.array(*(F.struct(F.lit(t).alias("term"), F.col(t).alias("value")) for t in ("placement", "fragmentation")))).alias("x")).select(*keys, "x.term", "x.value")
+    own = list(dict.fromkeys([*keys, "seq_id"]))
+    per_seq = seqs.select(*own).join(sites.groupBy(*own).agg(F.count("*").alias("k")), own, "left")
+    prior = F.element_at(F.array(*(F.lit(math.log(x)) for x in blocks)), (F.least(F.coalesce("k", F.lit(0)), F.lit(len(blocks) - 1)) + 1).cast("int"))
+    per = per_seq.withColumn("value", prior).groupBy(*keys).agg(F.sum("value").alias("value")).withColumn("term", F.lit("sites"))
+    names = [*keys, "term", "value"]
+    out = motif.select(*names)
+    for part in (background, null, of_motifs, per):
+        out = out.union(part.select(*names))
+    return out
+
+
+def apart(candidates: DataFrame, chosen: DataFrame, w: int) -> DataFrame:
+    """Of candidates(seq_id, s_start, motif, gain), the best ones that don't overlap one another or chosen(seq_id, s_start); all of width w.
+
+    A candidate that beats all that overlap it is taken, and these go, until none is left: as taking the best one
+    again and again, for all places at once.
+    """
+    near = Window.partitionBy("seq_id").orderBy("s_start").rangeBetween(1 - w, w - 1)
+    best = F.struct(F.col("gain"), (-F.col("s_start")).alias("p"), (-F.col("motif")).alias("m"))
+    taken = chosen.select("seq_id", F.col("s_start").cast("long").alias("s_start"), F.lit(None).cast("int").alias("motif"), F.lit(None).cast("double").alias("gain"), F.lit(True).alias("taken"))
+    state = taken.union(candidates.select("seq_id", F.col("s_start").cast("long"), "motif", "gain", F.lit(False)))
+    while True:
+        # what overlaps a taken one goes; then the best of each neighbourhood are taken
+        free = state.withColumn("hit", F.max("taken").over(near)).where("taken or not hit")
+        top = F.max(F.when(~F.col("taken"), best)).over(near)
+        state = stored(free.withColumn("taken", F.col("taken") | (best == top)).select("seq_id", "s_start", "motif", "gain", "taken"), "apart")
+        if state.where("not taken").isEmpty():
+            return state.where("gain is not null").select("seq_id", "s_start", "motif", "gain")
+
+
+def map_refine(sites: DataFrame, seqs: DataFrame, bg: DataFrame, w: int, weight: float = 4.0) -> DataFrame:
+    """sites(seq_id, s_start, s_end, motif, site) with the further places that raise the log posterior.
+
+    What one more site adds follows from the counts: its columns under the model of the motif's sites against the bases
+    outside all sites, and the odds of one more place being taken. Places are taken best first, none overlapping.
+    """
+    counts = motif_counts(sites)
+    dense = four(counts, "motif", "col").join(counts, ["motif", "col", "base"], "left").join(F.broadcast(bg.withColumnRenamed("p", "q")), "base").withColumn("n", F.coalesce("n", F.lit(0)))
+    pwm = dense.select("motif", "col", "base", ((F.col("n") + F.col("q") * weight) / F.sum(F.col("n") + F.col("q") * weight).over(Window.partitionBy("motif", "col"))).alias("p"))
+    outside = background_sitefree(seqs, counts, 0)
+    places = F.broadcast(unmasked(windows(seqs, w)).where(F.col("pos") + w > 1).agg(F.count("*").alias("P")))  # one row
+    odds = F.broadcast(sites.groupBy("motif").agg(F.count("*").alias("k")).crossJoin(places).select("motif", F.ln((F.col("k") + 1) / (F.col("P") - F.col("k"))).alias("odds")))
+    gains = pwm_scan(seqs, pwm, outside, w).join(odds, "motif").select("seq_id", (F.col("end") + 1 - w).alias("s_start"), "motif", (F.ln("ratio") + F.col("odds")).alias("gain")).where("gain > 0")
+    fresh = apart(gains, sites, w).select("seq_id", "s_start", (F.col("s_start") + w).alias("s_end"), "motif")
+    return sites.select("seq_id", "s_start", "s_end", "motif").unionByName(fresh)
+
+
 def em_refine(seqs: DataFrame, pwm: DataFrame, bg: DataFrame, w: int, steps: int = 3, prior: float = 0.001, pc: float = PSEUDO) -> DataFrame:
     """The models after steps of EM on site probabilities. Each step is a scan and one aggregation; distinct sites carry all evidence."""
     kinds = unmasked(windows(seqs, w)).groupBy("site").agg(F.count("*").alias("times"))

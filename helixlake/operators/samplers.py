@@ -1,8 +1,9 @@
 """Gibbs samplers over sequences, as Spark jobs.
 
 A sequence's dynamic program is a few cumulative sums: s_k = cumsum(sum over models of ratio * s_{k-1}
-shifted by the width), so it runs in NumPy inside tasks. Chains are parallel over walks (each task
-runs one, with the sequences as a broadcast of checked size), sweeps over sequences. Random numbers
+shifted by the width), so it runs in NumPy inside tasks. A sweep draws the sites of all sequences, for
+all walks, against the counts of the sweep before less the sequence's own: one pass over the sequences and one small
+aggregation, whatever their number, so neither the driver nor a task holds them all. Random numbers
 come from counters (seed, walk, iteration, sequence), so results don't depend on partitions and a resumed
 chain equals an uninterrupted one.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from helixlake.functions import nt as N
 from helixlake.sources.store import stored
 
-PSEUDO, MAX_BROADCAST_BASES = 0.28, 256 << 20
+PSEUDO = 0.28
 CODES = np.full(256, 4, np.int8)
 for _i, _b in enumerate("ACGT"):
     CODES[ord(_b)] = _i
@@ -34,6 +35,8 @@ class Config:
     samples: int = 3
     seed: int = 1
     k_mode: str = "posterior"  # or "prior": the number of sites is drawn from the placement prior
+    shift_period: int = 5  # sweeps between shift moves; 0: none
+    max_shift: int = 2
 
     def prior(self) -> np.ndarray:
         b = np.array(self.blocks or [0.1] + [0.9 / self.max_sites] * self.max_sites)
@@ -187,111 +190,160 @@ def one_site(scan: DataFrame, seed: int) -> DataFrame:
     return scan.groupBy("seq_id", "motif").agg(F.max_by("end", F.ln("ratio") - F.ln(-F.ln(u))).alias("end"))
 
 
-def run_chain(items: list[tuple[int, np.ndarray]], bg: np.ndarray, cfg: Config, walk: int, first: int, last: int, sites: dict[int, list]) -> tuple[dict, dict]:
-    """Sweeps first..last - 1 of one chain, leaving each sequence out of the counts while its sites are drawn; (sites, sampled counts)."""
-    counts = [np.zeros((w, 4)) for w in cfg.widths]
-    for seq, codes in items:
-        for a, b in zip(counts, count_sites(codes, sites.get(seq, []), cfg.widths)):
-            a += b
-    seen: dict[tuple[int, int, int], int] = {}
-    for it in range(first, last):
-        for seq, codes in items:
-            for a, b in zip(counts, count_sites(codes, sites.get(seq, []), cfg.widths)):
-                a -= b
-            sites[seq] = draw_sites(ratios(codes, log_odds_of(counts, bg)), cfg.widths, cfg, rng_of(cfg.seed, walk, it, seq))
-            for a, b in zip(counts, count_sites(codes, sites[seq], cfg.widths)):
-                a += b
-            if it > cfg.burn_in:
-                for m, end in sites[seq]:
-                    seen[seq, m, end] = seen.get((seq, m, end), 0) + 1
-    return sites, seen
+#: A sequence with the sites of each walk: (number of the walk, motif, inclusive end), one after another.
+STATE = "seq_id long, nt string, found array<int>"
 
 
-CHAIN_ROWS = "walk_id long, kind string, seq_id long, motif int, end long, n long"
+def by_walk(flat, n_walks: int) -> list[list[tuple[int, int]]]:
+    out: list[list[tuple[int, int]]] = [[] for _ in range(n_walks)]
+    for i in range(0, len(flat), 3):
+        out[flat[i]].append((int(flat[i + 1]), int(flat[i + 2])))
+    return out
+
+
+def moved(sites: list[tuple[int, int]], by: dict[int, int]) -> list[tuple[int, int]]:
+    return [(m, end + by.get(m, 0)) for m, end in sites]
+
+
+def legal(sites: list[tuple[int, int]], codes: np.ndarray, widths) -> bool:
+    """Whether all sites lie on unmasked bases of the sequence and none overlap."""
+    spans = sorted((end + 1 - widths[m], end + 1) for m, end in sites)
+    return all(0 <= s and e <= len(codes) and (codes[s:e] < 4).all() for s, e in spans) and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def swept(state: DataFrame, walks: list[int], models: list[list[np.ndarray]] | None, moves: list[dict[int, int]], bg: np.ndarray, cfg: Config, it: int) -> DataFrame:
+    """The state after sweep it; models: the counts of each walk (None: draws uniform over placements); moves: shifts of the sites as they were."""
+
+    def run(frames):
+        for f in frames:
+            rows = []
+            for seq, nt, old in zip(f.seq_id, f.nt, f.found):
+                codes, flat = codes_of(nt), []
+                before = by_walk(old, len(walks))
+                uniform = ratios(codes, [np.zeros((w, 4)) for w in cfg.widths]) if models is None else None
+                for k, walk in enumerate(walks):
+                    r = uniform
+                    if models is not None:
+                        own = count_sites(codes, moved(before[k], moves[k]), cfg.widths)
+                        r = ratios(codes, log_odds_of([np.maximum(a - b, 0) for a, b in zip(models[k], own)], bg))
+                    flat += [x for m, end in draw_sites(r, cfg.widths, cfg, rng_of(cfg.seed, walk, it, seq)) for x in (k, m, end)]
+                rows.append((seq, nt, flat))
+            yield pd.DataFrame(rows, columns=["seq_id", "nt", "found"])
+
+    return stored(state.mapInPandas(run, STATE), "sweep")
+
+
+def tallied(state: DataFrame, n_walks: int, widths, shifts: tuple[int, ...] = (0,)) -> tuple[np.ndarray, np.ndarray]:
+    """(counts[walk, motif, shift, col, base], blocked[walk, motif, shift]) of the sites moved by each shift.
+
+    A shift of a motif is blocked where it takes a site out of its sequence, onto a masked base or onto
+    another site. As many rows as the models have cells come to the driver.
+    """
+    top = max(widths)
+    shape = (n_walks, len(widths), len(shifts), top, 4)
+
+    def run(frames):
+        n, no = np.zeros(shape, np.int64), np.zeros(shape[:3], np.int64)
+        for f in frames:
+            for nt, flat in zip(f.nt, f.found):
+                codes = codes_of(nt)
+                for k, sites in enumerate(by_walk(flat, n_walks)):
+                    for m in {m for m, _ in sites}:
+                        for j, shift in enumerate(shifts):
+                            at = moved(sites, {m: shift})
+                            if shift and not legal(at, codes, widths):
+                                no[k, m, j] += 1
+                                continue
+                            for x, end in at:
+                                if x == m:
+                                    n[k, m, j, np.arange(widths[m]), codes[end + 1 - widths[m] : end + 1]] += 1
+        cells, bad = np.flatnonzero(n), np.flatnonzero(no)
+        yield pd.DataFrame({"what": np.repeat([0, 1], [len(cells), len(bad)]), "cell": np.concatenate([cells, bad]), "n": np.concatenate([n.ravel()[cells], no.ravel()[bad]])})
+
+    rows = state.select("nt", "found").mapInPandas(run, "what int, cell long, n long").groupBy("what", "cell").agg(F.sum("n").alias("n")).toPandas()
+    counts, blocked = np.zeros(shape), np.zeros(shape[:3], bool)
+    counts.ravel()[rows.cell[rows.what == 0]] = rows.n[rows.what == 0]
+    blocked.ravel()[rows.cell[rows.what == 1]] = True
+    return counts, blocked
+
+
+def proposed(counts: np.ndarray, blocked: np.ndarray, shifts: tuple[int, ...], widths, bg: np.ndarray, cfg: Config, walks: list[int], it: int) -> list[dict[int, int]]:
+    """For each walk, the accepted shift of each motif: one of the others is proposed and taken by the Metropolis rule on the models' log odds."""
+    out: list[dict[int, int]] = []
+    stay = shifts.index(0)
+    for k, walk in enumerate(walks):
+        rng, taken = rng_of(cfg.seed, walk, it, 1 << 30), {}
+        for m, w in enumerate(widths):
+            gain = [float((c[:w] * log_odds_of([c[:w]], bg)[0]).sum()) for c in counts[k, m]]
+            j = int(rng.integers(len(shifts) - 1))
+            j += j >= stay
+            u = rng.random()
+            if not blocked[k, m, j] and counts[k, m, stay].any() and np.log(u) < gain[j] - gain[stay]:
+                taken[m] = shifts[j]
+                break  # another motif's sites may now be in the way
+        out.append(taken)
+    return out
+
+
+def site_rows_of(state: DataFrame, walks: list[int]) -> DataFrame:
+    """(walk_id, seq_id, motif, end) of a state."""
+    i = F.explode(F.sequence(F.lit(0), (F.size("found") / 3 - 1).cast("int")))
+    each = state.where(F.size("found") > 0).select("seq_id", "found", i.alias("i"))
+    at = lambda k: F.element_at("found", (3 * F.col("i") + k).cast("int"))
+    return each.select(F.element_at(F.array(*(F.lit(w).cast("long") for w in walks)), at(1) + 1).alias("walk_id"), "seq_id", at(2).alias("motif"), at(3).cast("long").alias("end"))
+
+
+def started(seqs: DataFrame, walks: list[int], resume: DataFrame | None) -> DataFrame:
+    """The state before the first sweep: no sites, or those of resume's 'final' rows."""
+    rows = seqs.select("seq_id", "nt")
+    if resume is None:
+        return rows.select("seq_id", "nt", F.array().cast("array<int>").alias("found"))
+    number = F.coalesce(*(F.when(F.col("walk_id") == w, F.lit(k)) for k, w in enumerate(walks)))
+    old = resume.where("kind = 'final'").select("seq_id", number.alias("k"), "motif", "end").where("k is not null")
+    flat = old.groupBy("seq_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "end", "motif"))), lambda x: F.array(x["k"], x["motif"], x["end"].cast("int")))).alias("found"))
+    return rows.join(flat, "seq_id", "left").select("seq_id", "nt", F.coalesce("found", F.array().cast("array<int>")).alias("found"))
 
 
 def gibbs_walks(seqs: DataFrame, walks: DataFrame, bg: DataFrame, cfg: Config, resume: DataFrame | None = None, done: int = 0, until: int | None = None) -> DataFrame:
     """(walk_id, kind, seq_id, motif, end, n): 'sample' rows with counts after burn-in and 'final' rows, the sites of the last sweep.
 
-    walks(walk_id); resume: 'final' rows of an earlier call that ended after sweep done. Sequences are sent
-    to all tasks, up to MAX_BROADCAST_BASES; larger sets are for gibbs_blocked.
+    walks(walk_id): a number for each chain; resume: 'final' rows of an earlier call that ended after sweep done. Every
+    shift_period sweeps the motifs may move by a shift before they are drawn.
     """
-    size = seqs.agg(F.coalesce(F.sum(F.length("nt")), F.lit(0))).first()[0]
-    if size > MAX_BROADCAST_BASES:
-        raise ValueError(f"{size} bases are too many to send to every chain; use gibbs_blocked")
-    spark = seqs.sparkSession
-    items = spark.sparkContext.broadcast([(r.seq_id, codes_of(r.nt)) for r in seqs.select("seq_id", "nt").orderBy("seq_id").collect()])
     p = background_array(bg)
+    ids = sorted(r.walk_id for r in walks.select("walk_id").distinct().collect())
     last = 1 + cfg.burn_in + cfg.samples if until is None else until + 1
-
-    def chain(f: pd.DataFrame) -> pd.DataFrame:
-        walk = int(f.walk_id.iloc[0])
-        sites: dict[int, list] = {}
-        if "seq_id" in f and f.seq_id.notna().any():
-            for r in f[f.seq_id.notna()].sort_values(["seq_id", "end"]).itertuples():
-                sites.setdefault(int(r.seq_id), []).append((int(r.motif), int(r.end)))
-        if not done:
-            flat = [np.zeros((w, 4)) for w in cfg.widths]
-            for seq, codes in items.value:
-                sites[seq] = draw_sites(ratios(codes, flat), cfg.widths, cfg, rng_of(cfg.seed, walk, 0, seq))
-        sites, seen = run_chain(items.value, p, cfg, walk, done + 1, last, sites)
-        rows = [(walk, "sample", s, m, e, n) for (s, m, e), n in sorted(seen.items())]
-        rows += [(walk, "final", s, m, e, 1) for s, found in sorted(sites.items()) for m, e in found]
-        return pd.DataFrame(rows, columns=["walk_id", "kind", "seq_id", "motif", "end", "n"])
-
-    start = walks.select("walk_id")
-    if resume is not None:
-        start = start.join(resume.where("kind = 'final'").select("walk_id", "seq_id", "motif", "end"), "walk_id", "left")
-    return start.groupBy("walk_id").applyInPandas(chain, CHAIN_ROWS)
-
-
-def gibbs_blocked(seqs: DataFrame, bg: DataFrame, cfg: Config, sweeps: int) -> DataFrame:
-    """(seq_id, motif, s_start, s_end) after sweeps in which all sequences are drawn at once against last sweep's counts less their own.
-
-    Another chain than gibbs_walks, for any number of sequences: a sweep is one pass and one small
-    aggregation, and its sites are written to the shared folder.
-    """
-    p = background_array(bg)
-    widths = cfg.widths
-
-    def sweep(counts, it):
-        def run(frames):
-            for f in frames:
-                rows = []
-                for seq, nt, old in zip(f.seq_id, f.nt, f.found):
-                    codes = codes_of(nt)
-                    own = count_sites(codes, [tuple(x) for x in old.reshape(-1, 2)] if len(old) else [], widths)
-                    less = [np.maximum(a - b, 0) for a, b in zip(counts, own)]
-                    new = draw_sites(ratios(codes, log_odds_of(less, p)), widths, cfg, rng_of(cfg.seed, 0, it, seq))
-                    rows.append((seq, nt, [int(x) for pair in new for x in pair]))
-                yield pd.DataFrame(rows, columns=["seq_id", "nt", "found"])
-
-        return run
-
-    shape = "seq_id long, nt string, found array<int>"
-    state = stored(seqs.select("seq_id", "nt", F.array().cast("array<int>").alias("found")), "sweep")
-    flat = [np.zeros((w, 4)) for w in widths]
-    for it in range(sweeps + 1):
-        state = stored(state.mapInPandas(sweep(flat, it), shape), "sweep")
-        rows = cells(state, widths).groupBy("motif", "col", "base").agg(F.count("*").alias("n")).collect()  # as many rows as the models have cells
-        flat = [np.zeros((w, 4)) for w in widths]
-        for r in rows:
-            flat[r.motif][r.col, N.BASES.index(r.base)] = r.n
-    return placed(state, widths).select("seq_id", "motif", "s_start", "s_end")
-
-
-def placed(state: DataFrame, widths) -> DataFrame:
-    i = F.explode(F.sequence(F.lit(0), (F.size("found") / 2 - 1).cast("int")))
-    each = state.where(F.size("found") > 0).select("seq_id", "nt", "found", i.alias("i"))
-    at = each.select("seq_id", "nt", F.element_at("found", 2 * F.col("i") + 1).alias("motif"), F.element_at("found", 2 * F.col("i") + 2).alias("end"))
-    w = F.element_at(F.array(*map(F.lit, widths)), F.col("motif") + 1)
-    return at.select("seq_id", "nt", "motif", (F.col("end") + 1 - w).cast("long").alias("s_start"), (F.col("end") + 1).cast("long").alias("s_end"))
-
-
-def cells(state: DataFrame, widths) -> DataFrame:
-    s = placed(state, widths)
-    site = F.substring(F.col("nt"), (F.col("s_start") + 1).cast("int"), (F.col("s_end") - F.col("s_start")).cast("int"))
-    return s.select("motif", F.posexplode(F.split(site, "")).alias("col", "base")).where("base != ''")
+    state = started(seqs, ids, resume)
+    if not done:
+        state = swept(state, ids, None, [{}] * len(ids), p, cfg, 0)
+    shifts = tuple(range(-cfg.max_shift, cfg.max_shift + 1))
+    kept = []
+    for it in range(done + 1, last):
+        shifting = bool(cfg.shift_period) and it % cfg.shift_period == 0 and cfg.max_shift > 0
+        counts, blocked = tallied(state, len(ids), cfg.widths, shifts if shifting else (0,))
+        moves = proposed(counts, blocked, shifts, cfg.widths, p, cfg, ids, it) if shifting else [{}] * len(ids)
+        pick = lambda k, m: shifts.index(moves[k].get(m, 0)) if shifting else 0  # noqa: B023, E731
+        models = [[counts[k, m, pick(k, m), :w] for m, w in enumerate(cfg.widths)] for k in range(len(ids))]
+        state = swept(state, ids, models, moves, p, cfg, it)
+        if it > cfg.burn_in:
+            kept.append(state)
+    final = site_rows_of(state, ids).select("walk_id", F.lit("final").alias("kind"), "seq_id", "motif", "end", F.lit(1).cast("long").alias("n"))
+    seen = None
+    for s in kept:
+        seen = site_rows_of(s, ids) if seen is None else seen.union(site_rows_of(s, ids))
+    if seen is None:
+        return final
+    return seen.groupBy("walk_id", F.lit("sample").alias("kind"), "seq_id", "motif", "end").agg(F.count("*").alias("n")).union(final)
+
+
+def gibbs_blocked(seqs: DataFrame, bg: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(samples, sites, pwm) of one walk: counts after burn-in, the sites of the last sweep and their models."""
+    rows = stored(gibbs_walks(seqs, seqs.sparkSession.range(1).withColumnRenamed("id", "walk_id"), bg, cfg), "chain")
+    w = F.element_at(F.array(*map(F.lit, cfg.widths)), F.col("motif") + 1)
+    sites = rows.where("kind = 'final'").select("seq_id", "motif", (F.col("end") + 1 - w).alias("s_start"), (F.col("end") + 1).alias("s_end"))
+    from helixlake.operators.motifs import motif_counts, normalised, site_rows
+
+    return rows.where("kind = 'sample'").select("seq_id", "motif", "end", "n"), sites, normalised(motif_counts(site_rows(sites, seqs)))
 
 
 def shift_move(sites: DataFrame, seqs: DataFrame, bg: DataFrame, w: int, max_shift: int, seed: int) -> DataFrame:
@@ -315,10 +367,11 @@ def shift_move(sites: DataFrame, seqs: DataFrame, bg: DataFrame, w: int, max_shi
     return out.withColumns({"s_start": F.col("s_start") + F.col("shift"), "s_end": F.col("s_end") + F.col("shift")}).drop("shift")
 
 
-def centroid_sites(samples: DataFrame, n_samples: int, width: int) -> DataFrame:
+def centroid_sites(samples: DataFrame, n_samples: int | None, width: int) -> DataFrame:
     """(seq_id, s_start, s_end, p): the sites that disagree least with all draws.
 
-    samples(seq_id, end, n). A site scores 2 * overlaps - draws, where a draw overlaps when it
+    samples(seq_id, end, n); n_samples draws, or as many as a sequence has sites if it is None (draws of one site). Of sets
+    that score alike the one with more draws at the very place wins. A site scores 2 * overlaps - draws, where a draw overlaps when it
     shares more than half of the width; the best set that doesn't overlap is a weighted interval choice.
     """
 
@@ -331,7 +384,8 @@ def centroid_sites(samples: DataFrame, n_samples: int, width: int) -> DataFrame:
         sums = np.concatenate([[0], np.cumsum(dense)])
         i = np.arange(len(dense))
         near = sums[np.minimum(i + reach + 1, len(dense))] - sums[np.maximum(i - reach, 0)]
-        gain = 2 * near - n_samples + dense * 1e-9
+        draws = n_samples or int(dense.sum())
+        gain = 2 * near - draws + dense * 1e-9
         best, take = np.zeros(len(dense) + 1), np.zeros(len(dense), bool)
         for j in range(len(dense)):
             with_j = gain[j] + best[max(j + 1 - width, 0)]
@@ -341,7 +395,7 @@ def centroid_sites(samples: DataFrame, n_samples: int, width: int) -> DataFrame:
         while j >= 0:
             if take[j]:
                 end = j + lo
-                rows.append((int(f.seq_id.iloc[0]), end + 1 - width, end + 1, float(min(near[j] / n_samples, 1.0))))
+                rows.append((int(f.seq_id.iloc[0]), end + 1 - width, end + 1, float(min(near[j] / draws, 1.0))))
                 j -= width
             else:
                 j -= 1
@@ -382,7 +436,8 @@ def tree_column(columns: DataFrame, tree: list[tuple[str, str | None, float, str
         at = [n for n in depth if depth[n] == level]
         low = part.where(F.col("node").isin(at)).join(F.broadcast(edges), ["node", "base"]).groupBy("col", "node", "parent", "up").agg(F.sum(F.col("l") * F.col("p")).alias("l"))
         up = low.groupBy("col", F.col("parent").alias("node"), F.col("up").alias("base")).agg(F.product("l").alias("l"))
-        part = part.where(~F.col("node").isin(at)).unionByName(up.select("col", "node", "base", "l"))
+        # part is read twice in a level, so it is written once for each
+        part = stored(part.where(~F.col("node").isin(at)).unionByName(up.select("col", "node", "base", "l")), "level")
     root = F.lit(0.0)
     for b, v in pi.items():
         root = root + F.when(F.col("base") == b, F.col("l") * v).otherwise(0.0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixlake.functions import nt as N
@@ -25,12 +25,17 @@ def unmasked(found: DataFrame) -> DataFrame:
     return found.where(F.col("site").rlike("^[ACGT]+$"))
 
 
+#: A run of one base, or a stretch of other letters, which stays as it is.
+RUN = "A+|C+|G+|T+|X+|[^ACGTX]+"
+
+
 def runs(seqs: DataFrame) -> DataFrame:
-    """(seq_id, base, start, run_len, is_last): maximal runs of one base, by a regular expression over each sequence."""
-    found = F.regexp_extract_all(F.upper("nt"), F.lit("(A+|C+|G+|T+|X+)"), 1)
-    each = seqs.select("seq_id", F.length("nt").alias("len"), F.posexplode(found).alias("k", "run"))
+    """(seq_id, base, start, run_len, is_last): maximal runs of one base, by a regular expression over each sequence. Other letters are no runs, but keep their places."""
+    found = F.regexp_extract_all(F.upper("nt"), F.lit(RUN), F.lit(0))
+    each = seqs.select("seq_id", F.length("nt").alias("len"), F.posexplode_outer(found).alias("k", "run")).where("run is not null")
     upto = F.sum(F.length("run")).over(Window.partitionBy("seq_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
-    return each.select("seq_id", F.substring("run", 1, 1).alias("base"), (upto - F.length("run")).cast("long").alias("start"), F.length("run").cast("long").alias("run_len"), (upto == F.col("len")).alias("is_last"))
+    base = F.substring("run", 1, 1)
+    return each.select("seq_id", base.alias("base"), (upto - F.length("run")).cast("long").alias("start"), F.length("run").cast("long").alias("run_len"), (upto == F.col("len")).alias("is_last")).where(F.col("base").isin(*N.BASES, "X"))
 
 
 def find_runs(seqs: DataFrame, min_len: int, offset: int = 0) -> DataFrame:
@@ -39,12 +44,15 @@ def find_runs(seqs: DataFrame, min_len: int, offset: int = 0) -> DataFrame:
 
 
 def mask_runs(seqs: DataFrame, min_len: int, mask_trailing: bool = True) -> DataFrame:
-    """Runs of at least min_len become X; mask_trailing=False leaves a run at the end as it is."""
+    """Runs of at least min_len become X; mask_trailing=False leaves a run at the end as it is. Letters other than bases and X stay."""
     # each repeated base is matched as a whole run, then written as that many X
-    token = F.regexp_extract_all(F.upper("nt"), F.lit("(A+|C+|G+|T+|X+)"), 1)
-    size = F.size(token)
-    masked = F.transform(token, lambda r, i: F.when((F.length(r) >= min_len) & (F.lit(mask_trailing) | (i < size - 1)), F.repeat(F.lit("X"), F.length(r))).otherwise(r))
-    return seqs.withColumn("nt", F.array_join(masked, ""))
+    token = F.regexp_extract_all(F.upper("nt"), F.lit(RUN), F.lit(0))
+    masked = F.array_join(F.transform(token, lambda r: F.when((F.length(r) >= min_len) & F.substring(r, 1, 1).isin(*N.BASES), F.repeat(F.lit("X"), F.length(r))).otherwise(r)), "")
+    out = seqs.withColumn("nt", F.struct(F.upper("nt").alias("own"), masked.alias("masked")))
+    if mask_trailing:
+        return out.withColumn("nt", F.col("nt.masked"))
+    last = F.regexp_extract("nt.own", "(A+|C+|G+|T+)$", 1)
+    return out.withColumn("nt", F.concat(F.left("nt.masked", F.length("nt.own") - F.length(last)), last))
 
 
 def valid_runs(seqs: DataFrame) -> DataFrame:
@@ -84,15 +92,19 @@ def pseudocounts(bg: DataFrame, weight: float, n_motifs: int, floor: float = 0.0
     return bg.select("base", F.greatest(F.lit(floor), F.col("p") * weight * n_motifs).alias("pc"))
 
 
+def kmers(spark: SparkSession, k: int) -> DataFrame:
+    """(site): all 4^k k-mers."""
+    base = [F.element_at(F.array(*map(F.lit, N.BASES)), (F.shiftright("id", 2 * i).bitwiseAND(3) + 1).cast("int")) for i in range(k)]
+    return spark.range(4**k).select(F.concat(*base).alias("site"))
+
+
 def kmer_canonical(seqs: DataFrame, k: int = 6) -> DataFrame:
     """(kmer, fwd, rev, total): a k-mer and its reverse complement share a row; palindromes count as forward only.
 
     The row is named by the smaller of the two. Windows with masked bases count too, and a sequence
     shorter than k counts as a whole.
     """
-    short = seqs.where((F.length("nt") < k) & (F.length("nt") > 0)).select(F.col("nt").alias("site"))
-    found = windows(seqs, k).select("site").union(short)
-    plain = found.groupBy("site").agg(F.count("*").alias("n"))
+    plain = windows(seqs, k, short=True).groupBy("site").agg(F.count("*").alias("n"))
     rc = N.revcomp("site")
     each = plain.select(F.least("site", rc).alias("kmer"), F.when(F.col("site") <= rc, F.col("n")).otherwise(0).alias("f"), F.when(F.col("site") > rc, F.col("n")).otherwise(0).alias("r"))
     return each.groupBy("kmer").agg(F.sum("f").alias("fwd"), F.sum("r").alias("rev")).withColumn("total", F.col("fwd") + F.col("rev"))

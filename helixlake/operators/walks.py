@@ -1,4 +1,7 @@
-"""Walks: sums, distances, convergence tests, validation and progress; samples(walk_id, step, seq_id, motif, pos, n)."""
+"""Walks: sums, distances, convergence tests, validation and progress; samples(sampler_id, walk_id, step, seq_id, motif, pos, n).
+
+Walks of one sampler run over the same sequences; only such walks are compared.
+"""
 
 from __future__ import annotations
 
@@ -31,26 +34,29 @@ def topk_sites(samples: DataFrame, k: int) -> DataFrame:
 
 
 def l1_walks(samples: DataFrame) -> DataFrame:
-    """(step, walk_a, walk_b, d): L1 distance of all pairs of walks at each step.
+    """(sampler_id, step, walk_a, walk_b, d): L1 distance of all pairs of a sampler's walks at each step.
 
     |a - b| = a + b - 2 min(a, b), so totals and the cells that both walks have are enough; cells of one walk
     only are never paired with zeros.
     """
-    total = samples.groupBy("step", "walk_id").agg(F.sum("n").alias("t"))
-    pairs = total.select("step", F.col("walk_id").alias("walk_a"), F.col("t").alias("ta")).join(total.select("step", F.col("walk_id").alias("walk_b"), F.col("t").alias("tb")), "step").where("walk_a < walk_b")
-    return pairs.join(walk_pairs(samples).groupBy("step", "walk_a", "walk_b").agg(F.sum(F.least("na", "nb")).alias("both")), ["step", "walk_a", "walk_b"], "left").select("step", "walk_a", "walk_b", (F.col("ta") + F.col("tb") - 2 * F.coalesce("both", F.lit(0))).alias("d"))
+    keys = ["sampler_id", "step"]
+    total = samples.groupBy(*keys, "walk_id").agg(F.sum("n").alias("t"))
+    pairs = total.select(*keys, F.col("walk_id").alias("walk_a"), F.col("t").alias("ta")).join(total.select(*keys, F.col("walk_id").alias("walk_b"), F.col("t").alias("tb")), keys).where("walk_a < walk_b")
+    both = walk_pairs(samples).groupBy(*keys, "walk_a", "walk_b").agg(F.sum(F.least("na", "nb")).alias("both"))
+    return pairs.join(both, [*keys, "walk_a", "walk_b"], "left").select(*keys, "walk_a", "walk_b", (F.col("ta") + F.col("tb") - 2 * F.coalesce("both", F.lit(0))).alias("d"))
 
 
 def walk_pairs(samples: DataFrame) -> DataFrame:
-    """Cells that two walks share at a step."""
-    a = samples.select("step", *CELL, F.col("walk_id").alias("walk_a"), F.col("n").alias("na"))
-    b = samples.select("step", *CELL, F.col("walk_id").alias("walk_b"), F.col("n").alias("nb"))
-    return a.join(b, ["step", *CELL]).where("walk_a < walk_b")
+    """Cells that two walks of a sampler share at a step."""
+    keys = ["sampler_id", "step", *CELL]
+    a = samples.select(*keys, F.col("walk_id").alias("walk_a"), F.col("n").alias("na"))
+    b = samples.select(*keys, F.col("walk_id").alias("walk_b"), F.col("n").alias("nb"))
+    return a.join(b, keys).where("walk_a < walk_b")
 
 
 def conv_stats(distances: DataFrame) -> DataFrame:
-    """(step, min, avg, median, max, stddev, n) over the pairs of walks."""
-    return distances.groupBy("step").agg(F.min("d").alias("min"), F.avg("d").alias("avg"), F.percentile("d", F.lit(0.5)).alias("median"), F.max("d").alias("max"), F.stddev_pop("d").alias("stddev"), F.count("*").alias("n"))
+    """(sampler_id, step, min, avg, median, max, stddev, n) over the pairs of walks."""
+    return distances.groupBy("sampler_id", "step").agg(F.min("d").alias("min"), F.avg("d").alias("avg"), F.percentile("d", F.lit(0.5)).alias("median"), F.max("d").alias("max"), F.stddev_pop("d").alias("stddev"), F.count("*").alias("n"))
 
 
 def with_ordinal(samples: DataFrame) -> DataFrame:

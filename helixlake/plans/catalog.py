@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixlake.plans import motif_plans, sampler_plans, sequence_plans, walk_plans
+from helixlake.plans import file_plans, motif_plans, sampler_plans, sequence_plans, stream_plans, walk_plans
 
-PARTS = (sequence_plans, motif_plans, walk_plans, sampler_plans)
+PARTS = (sequence_plans, motif_plans, walk_plans, sampler_plans, file_plans, stream_plans)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

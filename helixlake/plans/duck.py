@@ -3,8 +3,10 @@
 from helixlake.sources.inputs import CODED, LETTERS
 
 SEQS = f"seqs AS (SELECT doc_id AS seq_id, '> doc' || doc_id AS name, translate(regexp_replace(text, '[^a-zA-Z]', '', 'g'), '{LETTERS}', '{CODED}') AS nt FROM documents WHERE length(text) > 0)"
-SAMPLES = """samples AS (SELECT CAST(user_id % 4 AS BIGINT) AS walk_id, CAST(10000 * floor(day(ts) / 10) AS BIGINT) AS step, CAST(event_id % 20 AS BIGINT) AS seq_id,
-  CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS motif, CAST(floor(value) AS BIGINT) % 50 AS pos, CAST(sum(1 + event_id % 7) AS BIGINT) AS n FROM events GROUP BY 1, 2, 3, 4, 5)"""
+DRAWS = """draws AS (SELECT CAST(user_id // 5 AS BIGINT) AS sampler_id, CAST(user_id AS BIGINT) AS walk_id, CAST(day(ts) AS BIGINT) AS iter, CAST(user_id // 5 * 4 + event_id % 4 AS BIGINT) AS seq_id,
+  CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS motif, CAST(floor(value) AS BIGINT) % 50 AS pos, CAST(1 + event_id % 7 AS BIGINT) AS k FROM events)"""
+SAMPLES = DRAWS + """,
+samples AS (SELECT sampler_id, walk_id, CAST(10000 * ((iter - 1) // 3) AS BIGINT) AS step, seq_id, motif, pos, CAST(sum(k) AS BIGINT) AS n FROM draws GROUP BY ALL)"""
 GENES = """genes AS (SELECT 'g' || l_orderkey || '_' || l_linenumber AS gene, CAST(l_suppkey AS BIGINT) AS chrom, CAST(l_partkey * 400 + l_linenumber * 37 AS BIGINT) AS g_start,
   CAST(l_partkey * 400 + l_linenumber * 37 + 40 + CAST(floor(l_quantity) AS BIGINT) AS BIGINT) AS g_end, CAST(l_partkey * 400 + l_linenumber * 37 + 20 AS BIGINT) AS tss, CASE WHEN l_returnflag = 'R' THEN '-' ELSE '+' END AS strand FROM lineitem)"""
 WALKS = "walks AS (SELECT CAST(c_custkey AS BIGINT) AS walk_id, CAST(c_nationkey AS BIGINT) AS sampler_id, CAST(10000 * (c_custkey % 50) AS BIGINT) AS current_steps, c_acctbal < 0 AS had_error FROM customer)"

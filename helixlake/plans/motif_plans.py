@@ -98,7 +98,7 @@ QUERIES = {
         sql(*ALL, BACKGROUND, SCAN, 'p AS (SELECT seq_id, motif, ratio * 0.001 / (1 - count(*) OVER w * 0.001 + sum(ratio * 0.001) OVER w) AS p FROM scan WINDOW w AS (PARTITION BY seq_id, "end"))', "SELECT seq_id, motif, count(*) AS n, round(sum(p)::DOUBLE, 5) AS total, round(max(p)::DOUBLE, 5) AS best FROM p GROUP BY ALL"),
     ),
     "score_spacing_posterior": (
-        lambda s, d: per_motif(M.spacing_posterior(scan(s, d), I.seqs(s, d), spacing(s)), "p", 5),
+        lambda s, d: per_motif(M.spacing_posterior(scan(s, d), spacing(s)), "p", 5),
         sql(*ALL, BACKGROUND, SCAN, SPACE, 'm AS (SELECT seq_id, "end", motif, ratio, coalesce(prior, 0) AS prior FROM scan JOIN seqs USING (seq_id) LEFT JOIN sp ON sp.dist_from_end = length(nt) - 1 - "end")',
             'p AS (SELECT seq_id, motif, ratio * prior / (1 - sum(prior) OVER w + sum(ratio * prior) OVER w) AS p FROM m WINDOW w AS (PARTITION BY seq_id, "end"))', "SELECT seq_id, motif, count(*) AS n, round(sum(p)::DOUBLE, 5) AS total, round(max(p)::DOUBLE, 5) AS best FROM p GROUP BY ALL"),
     ),
@@ -125,8 +125,8 @@ QUERIES = {
         sql(SEQS, SITES, COUNTS, BASES, "a AS (SELECT base, count(*) AS n FROM bases WHERE base <> 'X' GROUP BY base), b AS (SELECT base, sum(n) AS k FROM counts GROUP BY base)", "SELECT base, round((100 * coalesce(k, 0) / sum(coalesce(k, 0)) OVER ())::DOUBLE, 6) AS pct_site, round(100 * n / (sum(n) OVER ())::DOUBLE, 6) AS pct_all FROM a LEFT JOIN b USING (base)"),
     ),
     "agg_site_count_sd": (
-        lambda s, d: R6(M.site_count_sd(parts(s, d)[1], 1_000_000_000, 0.1), "n", "sd"),
-        sql(SEQS, SITES, "k AS (SELECT motif, count(*) * 1.1::DOUBLE AS a, (1000000000 - count(*)) * 1.1::DOUBLE AS b FROM sites GROUP BY motif)", "SELECT motif, round(a / (a + b) * 1000000000, 6) AS n, round(sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) * 1000000000, 6) AS sd FROM k"),
+        lambda s, d: R6(M.site_count_sd(parts(s, d)[1], S.possible_sites(I.seqs(s, d), 6), 0.1), "n", "sd"),
+        sql(SEQS, SITES, "t AS (SELECT count(*)::DOUBLE AS t FROM win6 WHERE regexp_full_match(site, '[ACGT]+') AND pos + 6 > 1)", "k AS (SELECT motif, t, count(*) * 1.1::DOUBLE AS a, (t - count(*)) * 1.1::DOUBLE AS b FROM sites CROSS JOIN t GROUP BY motif, t)", "SELECT motif, round(a / (a + b) * t, 6) AS n, round(sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) * t, 6) AS sd FROM k"),
     ),
     "agg_transitions": (
         lambda s, d: R6(M.transitions(parts(s, d)[1]), "p"),
@@ -139,10 +139,6 @@ QUERIES = {
         sql(SEQS, SITES, "o AS (SELECT motif, CAST(row_number() OVER (PARTITION BY seq_id ORDER BY s_start, motif) AS INT) AS ord FROM sites)", "SELECT ord, motif, count(*) AS n, round(count(*) / (sum(count(*)) OVER (PARTITION BY ord))::DOUBLE, 6) AS p FROM o GROUP BY ord, motif"),
     ),
     "score_loglik": (lambda s, d: M.loglik(parts(s, d)[2], pwm(s, d)).withColumn("ll", F.round("ll", 3)), sql(*ALL, "SELECT motif, round(sum(counts.n * ln(p))::DOUBLE, 3) AS ll FROM counts JOIN pwm USING (motif, col, base) GROUP BY motif")),
-    "score_map": (
-        lambda s, d: M.map_motif(parts(s, d)[2], S.background(I.seqs(s, d))).withColumn("value", F.round("value", 2)),
-        sql(*ALL, BACKGROUND, "c AS (SELECT motif, col, sum(n) AS t, sum(lgamma(n + 4.0::DOUBLE * bg.p) - lgamma(4.0::DOUBLE * bg.p) - n * ln(bg.p)) AS v FROM dense JOIN bg USING (base) GROUP BY ALL)", "SELECT motif, round(sum(v + lgamma(4.0::DOUBLE) - lgamma(t + 4.0::DOUBLE))::DOUBLE, 2) AS value FROM c GROUP BY motif"),
-    ),
     "em_refine": (lambda s, d: M.em_refine(I.seqs(s, d), pwm(s, d), S.background(I.seqs(s, d)), 6), None),
     "score_fitness": (
         lambda s, d: M.fitness(I.seqs(s, d), pwm(s, d).withColumnRenamed("motif", "candidate_id"), 6).withColumn("fitness", F.round("fitness", 3)),

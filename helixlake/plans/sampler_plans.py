@@ -30,19 +30,28 @@ def scan(s, d):
     return M.pwm_scan(q, p, b, 6)
 
 
+def four_walks(s):
+    return s.range(4).withColumnRenamed("id", "walk_id")
+
+
 def chains(s, d):
-    """A short chain for each walk of the samples table, over all sequences."""
+    """Four short chains over all sequences."""
     q, _, _, b = base(s, d)
-    return G.gibbs_walks(q, I.samples(s, d).select("walk_id").distinct(), b, CFG)
+    return G.gibbs_walks(q, four_walks(s), b, CFG)
 
 
 def resumed(s, d):
     """The same chains stopped after two sweeps and continued."""
     q, _, _, b = base(s, d)
-    walks = I.samples(s, d).select("walk_id").distinct()
+    walks = four_walks(s)
     return G.gibbs_walks(q, walks, b, CFG, G.gibbs_walks(q, walks, b, CFG, until=2), done=2)
 
 
+def fifty(s, d):
+    """The sequences of the samples, with the positions that these have."""
+    return I.samples(s, d).select("seq_id").distinct().withColumn("nt", F.repeat(F.lit("A"), F.lit(I.POSITIONS)))
+
+
 def distances(s, d):
     """Each walk's cells against the pooled ones, by sequence."""
     cells = I.samples(s, d).groupBy("seq_id", "walk_id").agg(F.countDistinct("motif", "pos").alias("k"))
@@ -59,40 +68,43 @@ def seeds(s, d):
     return counts.withColumn("t", t).join(F.broadcast(b.withColumnRenamed("p", "q")), "base").groupBy("walk_id").agg(F.sum(F.col("n") * F.ln(F.col("n") / F.col("t") / F.col("q"))).alias("map")).agg(F.max_by("walk_id", "map").alias("walk_id"), F.max("map").alias("map"))
 
 
+BLOCKS = [0.2, 0.3, 0.5]
+
+
 def refined(s, d):
-    """Sites plus the candidates that raise the score and overlap no better one."""
-    _, st, _, _ = base(s, d)
-    good = M.site_posterior(scan(s, d), 0.001).where("p > 0.5").select("seq_id", (F.col("end") - 5).alias("s_start"), (F.col("end") + 1).alias("s_end"), "motif", "p")
-    fresh = good.join(V.overlaps(good, st).select("seq_id", F.col("a_start").alias("s_start")), ["seq_id", "s_start"], "left_anti")
-    w = Window.partitionBy("seq_id").orderBy("s_start", "motif")
-    rivals = fresh.withColumn("before", F.lag("s_end").over(w)).withColumn("p_before", F.lag("p").over(w)).withColumn("after", F.lead("s_start").over(w)).withColumn("p_after", F.lead("p").over(w))
-    kept = rivals.where((F.col("before").isNull() | (F.col("before") <= F.col("s_start")) | (F.col("p_before") < F.col("p"))) & (F.col("after").isNull() | (F.col("after") >= F.col("s_end")) | (F.col("p_after") < F.col("p"))))
-    return st.select("seq_id", "s_start", "s_end", "motif").unionByName(kept.select("seq_id", "s_start", "s_end", "motif"))
+    """Every second site with the places that the rest of them make likely."""
+    q, st, _, b = base(s, d)
+    return M.map_refine(st.where("s_start % 2 = 0"), q, b, 6)
+
+
+def map_score(s, d):
+    q, st, _, b = base(s, d)
+    return M.map_terms(st, q, b, 6, BLOCKS, max_width=10).select("term", F.round("value", 3).alias("value"))
 
 
 def map_by_sequence(s, d):
-    """The motif term of the score for each sequence alone."""
+    """The terms of the score for each sequence alone."""
     q, st, _, b = base(s, d)
-    counts = st.select(F.concat_ws(":", F.col("seq_id").cast("string"), F.col("motif").cast("string")).alias("motif"), "site")
-    out = M.map_motif(M.motif_counts(counts), b)
-    part = F.split("motif", ":")
-    return out.select(part[0].cast("long").alias("seq_id"), part[1].cast("int").alias("motif"), F.round("value", 4).alias("value"))
+    return M.map_terms(st, q, b, 6, BLOCKS, max_width=10, by=["seq_id"]).groupBy("seq_id").agg(F.count("*").alias("n_terms"), F.round(F.sum("value"), 4).alias("value"))
+
+
+def grouped(rows):
+    return rows.withColumn("grp", F.pmod("seq_id", F.lit(3)).cast("int"))
 
 
 def bayes_factor(s, d):
-    """One model for both strands' sites against one for each."""
-    _, st, _, b = base(s, d)
-    pooled = M.map_motif(M.motif_counts(st.select("motif", "site")), b)
-    each = M.map_motif(M.motif_counts(st.select(F.concat_ws(":", F.col("motif").cast("string"), "strand").alias("motif"), "site")), b)
-    own = each.groupBy(F.split("motif", ":")[0].cast("int").alias("motif")).agg(F.sum("value").alias("split"))
-    return pooled.join(own, "motif").select("motif", F.round(F.col("split") - F.col("value"), 4).alias("bf"))
+    """Three groups of sequences with a score of their own each, less the score of all together."""
+    q, st, _, b = base(s, d)
+    each = M.map_terms(grouped(st), grouped(q), b, 6, BLOCKS, max_width=10, by=["grp"]).groupBy("term").agg(F.sum("value").alias("split"))
+    pooled = M.map_terms(st, q, b, 6, BLOCKS, max_width=10)
+    return pooled.join(each, "term").select("term", F.round(F.col("split") - F.col("value"), 3).alias("bf"))
 
 
 def population(s, d):
-    """A candidate for each walk and motif: the models of the sites, sharpened by the walk's number."""
+    """Four candidates for each motif: the models of the sites, more and more sharpened."""
     _, _, p, _ = base(s, d)
     w = Window.partitionBy("candidate_id", "col")
-    many = p.crossJoin(F.broadcast(I.samples(s, d).select("walk_id").distinct())).select((F.col("walk_id") * 10 + F.col("motif")).alias("candidate_id"), "col", "base", F.pow("p", 1 + F.col("walk_id") / 4).alias("x"))
+    many = p.crossJoin(F.broadcast(four_walks(s))).select((F.col("walk_id") * 10 + F.col("motif")).alias("candidate_id"), "col", "base", F.pow("p", 1 + F.col("walk_id") / 4).alias("x"))
     return M.fitness(I.seqs(s, d), many.select("candidate_id", "col", "base", (F.col("x") / F.sum("x").over(w)).alias("p")), 6)
 
 
@@ -112,34 +124,54 @@ def columns(s, d):
     return n.groupBy(F.col("pos").alias("col"), "leaf").agg(F.max_by("base", F.struct("n", "base")).alias("base"))
 
 
+def map_sql(name: str, by: str = "") -> str:
+    """The terms of the score as a table expression: by the given key, grp being the sequence modulo 3."""
+    own, key = ("" if not by else f"{by}, "), ("" if not by else f"{'seq_id % 3' if by == 'grp' else by} AS {by}, ")
+    group = f"GROUP BY {by}" if by else ""
+    join = f"USING ({by})" if by else "ON true"
+    return f"""{name}_c AS (SELECT {key}motif, col, substr(site, col + 1, 1) AS base, count(*)::DOUBLE AS n FROM (SELECT *, unnest(range(0, 6)) AS col FROM sites) GROUP BY ALL),
+{name}_d AS (SELECT {own}motif, col, x.base, coalesce(n, 0) AS n, p * 4.0 AS a FROM (SELECT DISTINCT {own}motif, col FROM {name}_c) CROSS JOIN (SELECT base, p::DOUBLE AS p FROM bg) x LEFT JOIN {name}_c USING ({own}motif, col, base)),
+{name}_m AS (SELECT {own}sum(v) AS value FROM (SELECT {own}motif, col, sum(lgamma(n + a) - lgamma(a)) + lgamma(sum(a)) - lgamma(sum(n) + sum(a)) AS v FROM {name}_d GROUP BY ALL) {group}),
+{name}_t AS (SELECT {key}b.base, sum(length(nt) - length(replace(nt, b.base, '')))::DOUBLE AS n, any_value(b.p)::DOUBLE * 4.0 AS a FROM seqs CROSS JOIN bg b GROUP BY ALL),
+{name}_i AS (SELECT {own}base, sum(n) AS i FROM {name}_c GROUP BY ALL),
+{name}_b AS (SELECT {own}sum(lgamma(n - coalesce(i, 0) + a) - lgamma(a)) + lgamma(sum(a)) - lgamma(sum(n - coalesce(i, 0)) + sum(a)) AS b, sum(lgamma(n + a) - lgamma(a)) + lgamma(sum(a)) - lgamma(sum(n) + sum(a)) AS z FROM {name}_t LEFT JOIN {name}_i USING ({own}base) {group}),
+{name}_p AS (SELECT {key}count(*)::DOUBLE AS p FROM win6 WHERE regexp_full_match(site, '[ACGT]+') AND pos + 6 > 1 GROUP BY ALL),
+{name}_k AS (SELECT {key}motif, count(*)::DOUBLE AS k FROM sites GROUP BY ALL),
+{name}_l AS (SELECT {own}sum(lgamma(k + 1) + lgamma(p - k + 1) - lgamma(p + 2)) AS l, -ln(70.0::DOUBLE) * count(*) AS f FROM {name}_k JOIN {name}_p {join} {group}),
+{name}_s AS (SELECT {key}sum(ln(CASE WHEN k = 0 THEN 0.2::DOUBLE WHEN k = 1 THEN 0.3 ELSE 0.5 END)) AS s FROM (SELECT seq_id, count(s_start) AS k FROM seqs LEFT JOIN sites USING (seq_id) GROUP BY seq_id) {'GROUP BY ALL' if by else ''}),
+{name} AS (SELECT {own}'motif' AS term, value FROM {name}_m UNION ALL SELECT {own}'background', b FROM {name}_b UNION ALL SELECT {own}'null', -z FROM {name}_b UNION ALL SELECT {own}'placement', l FROM {name}_l UNION ALL SELECT {own}'fragmentation', f FROM {name}_l UNION ALL SELECT {own}'sites', s FROM {name}_s)"""
+
+
 TREE = [("r", None, 0.0, None), ("x", "r", 0.1, None), ("y", "r", 0.2, None), ("a", "x", 0.1, "a"), ("b", "x", 0.3, "b"), ("c", "y", 0.2, "c"), ("d", "y", 0.1, "d")]
 PI = {"A": 0.3, "C": 0.2, "G": 0.2, "T": 0.3}
 ALL = (SEQS, SITES, COUNTS, PWM)
-PLACES = "v AS (SELECT seq_id, count(*) FILTER (WHERE regexp_full_match(site, '[ACGT]+')) AS n FROM win6 GROUP BY seq_id)"
 QUERIES = {
     "count_placements": (
-        lambda s, d: G.count_placements(I.seqs(s, d), (6,), 1).where("k = 1").select("seq_id", F.col("n").cast("long").alias("n")),
-        sql(SEQS, SITES, PLACES, "SELECT seq_id, CAST(coalesce(v.n, 0) AS BIGINT) AS n FROM seqs LEFT JOIN v USING (seq_id)"),
+        lambda s, d: G.count_placements(I.seqs(s, d), (6,), 2).where("k > 0").select("seq_id", "k", F.col("n").cast("long").alias("n")),
+        sql(SEQS, SITES, "one AS (SELECT seq_id, pos FROM win6 WHERE regexp_full_match(site, '[ACGT]+'))", "v AS (SELECT seq_id, count(*) OVER (PARTITION BY seq_id ORDER BY pos RANGE BETWEEN UNBOUNDED PRECEDING AND 6 PRECEDING) AS before FROM one)",
+            "t AS (SELECT seq_id, count(*) AS n1, sum(before) AS n2 FROM v GROUP BY seq_id)", "SELECT seq_id, CAST(k AS INT) AS k, CAST(coalesce(CASE WHEN k = 1 THEN n1 ELSE n2 END, 0) AS BIGINT) AS n FROM seqs CROSS JOIN range(1, 3) r(k) LEFT JOIN t USING (seq_id)"),
     ),
     "forward_dp": (
-        lambda s, d: G.forward_dp(I.seqs(s, d), base(s, d)[2], base(s, d)[3], 1).where("k = 1").select("seq_id", F.round("total", 2).alias("total")),
-        sql(*ALL, BACKGROUND, "sco AS (SELECT site, exp(sum(ln(p.p / b.p))) AS ratio FROM (SELECT site, unnest(range(0, 6)) AS col FROM (SELECT DISTINCT site FROM win6 WHERE regexp_full_match(site, '[ACGT]+'))) w JOIN pwm p ON p.col = w.col AND p.base = substr(w.site, w.col + 1, 1) JOIN bg b ON b.base = p.base GROUP BY site, motif)",
-            "t AS (SELECT seq_id, sum(ratio) AS t FROM win6 JOIN sco USING (site) GROUP BY seq_id)", "SELECT seq_id, round(coalesce(t, 0)::DOUBLE, 2) AS total FROM seqs LEFT JOIN t USING (seq_id)"),
+        lambda s, d: G.forward_dp(I.seqs(s, d), base(s, d)[2], base(s, d)[3], 2).where("k > 0 and total > 0").select("seq_id", "k", F.round(F.ln("total"), 6).alias("ln_total")),
+        sql(*ALL, BACKGROUND, "sco AS (SELECT site, sum(r) AS ratio FROM (SELECT site, motif, exp(sum(ln(p.p / b.p))) AS r FROM (SELECT site, unnest(range(0, 6)) AS col FROM (SELECT DISTINCT site FROM win6 WHERE regexp_full_match(site, '[ACGT]+'))) w JOIN pwm p ON p.col = w.col AND p.base = substr(w.site, w.col + 1, 1) JOIN bg b ON b.base = p.base GROUP BY site, motif) GROUP BY site)",
+            "v AS (SELECT seq_id, ratio, sum(ratio) OVER (PARTITION BY seq_id ORDER BY pos RANGE BETWEEN UNBOUNDED PRECEDING AND 6 PRECEDING) AS before FROM win6 JOIN sco USING (site))", "t AS (SELECT seq_id, sum(ratio) AS t1, sum(ratio * before) AS t2 FROM v GROUP BY seq_id)",
+            "SELECT seq_id, CAST(k AS INT) AS k, round(ln(x)::DOUBLE, 6) AS ln_total FROM (SELECT seq_id, k, CASE WHEN k = 1 THEN t1 ELSE t2 END AS x FROM t CROSS JOIN range(1, 3) r(k)) WHERE x > 0"),
     ),
     "init_uniform": (lambda s, d: G.init_uniform(I.seqs(s, d), base(s, d)[3], CFG), None),
     "sample_sites": (lambda s, d: G.sample_sites(I.seqs(s, d), base(s, d)[2], base(s, d)[3], CFG), None),
     "gibbs_walks": (chains, None),
     "resume_walk": (resumed, None),
-    "gibbs_blocked": (lambda s, d: G.gibbs_blocked(I.seqs(s, d), base(s, d)[3], CFG, 2), None),
+    "gibbs_blocked": (lambda s, d: G.gibbs_blocked(I.seqs(s, d), base(s, d)[3], CFG)[0], None),
     "one_site_sampler": (lambda s, d: G.one_site(scan(s, d), 3), None),
     "shift_move": (lambda s, d: G.shift_move(base(s, d)[1].select("seq_id", "motif", "s_start", "s_end"), I.seqs(s, d), base(s, d)[3], 6, 2, 5), None),
     "multi_seed_best": (seeds, None),
     "map_refine": (refined, None),
-    "score_map_by_sequence": (map_by_sequence, None),
-    "score_bayes_factor": (bayes_factor, None),
+    "score_map": (map_score, sql(*ALL, BACKGROUND, map_sql("m"), "SELECT term, round(value, 3) AS value FROM m")),
+    "score_map_by_sequence": (map_by_sequence, sql(*ALL, BACKGROUND, map_sql("m", "seq_id"), "SELECT seq_id, count(*) AS n_terms, round(sum(value), 4) AS value FROM m GROUP BY seq_id")),
+    "score_bayes_factor": (bayes_factor, sql(*ALL, BACKGROUND, map_sql("m"), map_sql("g", "grp"), "SELECT term, round(t - value, 3) AS bf FROM m JOIN (SELECT term, sum(value) AS t FROM g GROUP BY term) USING (term)")),
     "score_population": (population, None),
     "sample_genome_windows": (random_windows, None),
-    "centroid_sites": (lambda s, d: G.centroid_sites(I.samples(s, d).groupBy("seq_id", F.col("pos").alias("end")).agg(F.sum("n").alias("n")), 20, 6), None),
+    "centroid_sites": (lambda s, d: G.centroid_sites(I.samples(s, d).groupBy("seq_id", (F.col("pos") % 8 + 6).alias("end")).agg(F.sum("n").alias("n")), None, 6), None),
     "credibility": (
         lambda s, d: R6(G.credibility(distances(s, d), 0.5), "mean").select("seq_id", "distance", "mean"),
         sql(SAMPLES, "k AS (SELECT seq_id, walk_id, count(DISTINCT (motif, pos)) AS k FROM samples GROUP BY ALL), p AS (SELECT seq_id, count(DISTINCT (motif, pos)) AS a FROM samples GROUP BY ALL), x AS (SELECT seq_id, walk_id, a - k AS dist, row_number() OVER (PARTITION BY seq_id ORDER BY a - k, walk_id) - 1 AS i, count(*) OVER (PARTITION BY seq_id) AS c FROM k JOIN p USING (seq_id))",
@@ -152,7 +184,8 @@ QUERIES = {
     ),
     "sort_pwms": (
         lambda s, d: M.fitness(I.seqs(s, d), base(s, d)[2].withColumnRenamed("motif", "candidate_id"), 6, compat=True).orderBy(F.desc("fitness"), "candidate_id").select("candidate_id", F.round("fitness", 3).alias("fitness")),
-        None,
+        sql(*ALL, "k AS (SELECT site, count(*) AS times FROM win6 WHERE regexp_full_match(site, '[ACGT]+') GROUP BY site)", "q AS (SELECT site, motif, exp(sum(ln(p.p))) AS f FROM (SELECT site, unnest(range(0, 6)) AS col FROM (SELECT site FROM k UNION SELECT reverse(site) FROM k)) w JOIN pwm p ON p.col = w.col AND p.base = substr(w.site, w.col + 1, 1) GROUP BY ALL)",
+            "b AS (SELECT q.motif, sum(k.times * greatest(q.f, r.f)) AS f FROM k JOIN q ON q.site = k.site JOIN q r ON r.site = reverse(k.site) AND r.motif = q.motif GROUP BY q.motif)", "t AS (SELECT motif, exp(sum(ln(p))) AS w FROM (SELECT motif, base, max(p) AS p FROM pwm GROUP BY motif, base) GROUP BY motif)", "SELECT motif AS candidate_id, round((f * w)::DOUBLE, 3) AS fitness FROM b JOIN t USING (motif)"),
     ),
     "fn_site_priors": (
         lambda s, d: R6(M.sites_per_seq(base(s, d)[1], I.seqs(s, d)).select("k", N.poisson(F.col("k"), 2.5).alias("poisson"), N.negative_binomial(F.col("k"), 2.0, 0.8).alias("negbin")), "poisson", "negbin"),
@@ -164,34 +197,21 @@ QUERIES = {
     ),
     "src_sites": (lambda s, d: T.parse_site_lines(T.site_lines(base(s, d)[1], I.seqs(s, d)), 6).select("seq_id", "motif", "s_start", "s_end"), sql(SEQS, SITES, "SELECT seq_id, motif, s_start, s_end FROM sites")),
     "snk_samples": (
-        lambda s, d: T.sample_lines(I.samples(s, d).groupBy("seq_id", "motif", "pos").agg(F.sum("n").alias("n")), s.range(20).select(F.col("id").alias("seq_id"), F.repeat(F.lit("A"), F.lit(50)).alias("nt")), 3),
-        sql(SAMPLES, "c AS (SELECT seq_id, motif, pos, CAST(sum(n) AS BIGINT) AS n FROM samples GROUP BY ALL)", "SELECT CAST(q.i * 3 + m.i AS BIGINT) AS line, string_agg(coalesce(n, 0)::VARCHAR, ',' ORDER BY p.i) AS value FROM range(20) q(i) CROSS JOIN range(3) m(i) CROSS JOIN range(50) p(i) LEFT JOIN c ON c.seq_id = q.i AND c.motif = m.i AND c.pos = p.i GROUP BY q.i, m.i"),
+        lambda s, d: T.sample_lines(I.samples(s, d).groupBy("seq_id", "motif", "pos").agg(F.sum("n").alias("n")), fifty(s, d), 3),
+        sql(SAMPLES, "c AS (SELECT seq_id, motif, pos, CAST(sum(n) AS BIGINT) AS n FROM samples GROUP BY ALL)", "SELECT CAST(q.i * 3 + m.i AS BIGINT) AS line, string_agg(coalesce(n, 0)::VARCHAR, ',' ORDER BY p.i) AS value FROM (SELECT DISTINCT seq_id AS i FROM samples) q CROSS JOIN range(3) m(i) CROSS JOIN range(50) p(i) LEFT JOIN c ON c.seq_id = q.i AND c.motif = m.i AND c.pos = p.i GROUP BY q.i, m.i"),
     ),
     "src_samples": (
-        lambda s, d: T.parse_sample_lines(T.sample_lines(I.samples(s, d).groupBy("seq_id", "motif", "pos").agg(F.sum("n").alias("n")), s.range(20).select(F.col("id").alias("seq_id"), F.repeat(F.lit("A"), F.lit(50)).alias("nt")), 3), 3),
+        lambda s, d: T.parse_sample_lines(T.sample_lines(I.samples(s, d).groupBy("seq_id", "motif", "pos").agg(F.sum("n").alias("n")), fifty(s, d), 3), 3),
         sql(SAMPLES, "SELECT seq_id, motif, pos, CAST(sum(n) AS BIGINT) AS n FROM samples GROUP BY ALL"),
     ),
     "snk_pwm_counts": (
         lambda s, d: T.pwm_count_lines(M.motif_counts(base(s, d)[1])),
         sql(*ALL, "l AS (SELECT motif, base, string_agg(n::VARCHAR, ' ' ORDER BY col) AS l FROM dense GROUP BY ALL)", "SELECT motif, '>motif' || motif || ' NORMAL 6' || chr(10) || string_agg(l, chr(10) ORDER BY base) AS value FROM l GROUP BY motif"),
     ),
-    "snk_prior": (lambda s, d: T.prior_lines(M.motif_counts(base(s, d)[1]), 1), None),
     "snk_flanked_sites": (
         lambda s, d: T.flanked_sites(base(s, d)[1], I.seqs(s, d)),
         sql(SEQS, SITES, "f AS (SELECT seq_id, s_start, strand, substr(nt, CAST(greatest(s_start - 5, 0) + 1 AS BIGINT), CAST(s_end + 5 - greatest(s_start - 5, 0) AS BIGINT)) AS t FROM sites JOIN seqs USING (seq_id))", f"SELECT seq_id, s_start, CASE WHEN strand = 'R' THEN {REV.format('t')} ELSE t END AS value FROM f"),
     ),
-    "src_prior_blocks": (
-        lambda s, d: R6(M.sites_per_seq(base(s, d)[1], I.seqs(s, d)).withColumn("p", F.greatest(F.col("n") / 10, F.lit(0.5))).withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy())).select("k", "p"), "p"),
-        sql(SEQS, SITES, "k AS (SELECT seq_id, count(s_start) AS k FROM seqs LEFT JOIN sites USING (seq_id) GROUP BY seq_id), c AS (SELECT k, greatest(count(*) / 10.0::DOUBLE, 0.5) AS x FROM k GROUP BY k)", "SELECT k, round(x / sum(x) OVER (), 6) AS p FROM c"),
-    ),
-    "src_prior_spacing": (
-        lambda s, d: base(s, d)[1].join(I.seqs(s, d), "seq_id").select("seq_id", "s_start", (F.length("nt") - F.col("s_end")).alias("dist_from_end")),
-        sql(SEQS, SITES, "SELECT seq_id, s_start, length(nt) - s_end AS dist_from_end FROM sites JOIN seqs USING (seq_id)"),
-    ),
-    "src_bkgnd_positions": (
-        lambda s, d: R6(I.bases(I.seqs(s, d)).where("base != 'X'").groupBy("pos", "base").agg(F.count("*").alias("n")).withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("pos"))).select("pos", "base", "p"), "p"),
-        sql(SEQS, "bases AS (SELECT i - 1 AS pos, substr(nt, i, 1) AS base FROM (SELECT nt, unnest(range(1, length(nt) + 1)) AS i FROM seqs))", "SELECT pos, base, round(count(*) / (sum(count(*)) OVER (PARTITION BY pos))::DOUBLE, 6) AS p FROM bases WHERE base <> 'X' GROUP BY pos, base"),
-    ),
     "src_conservation": (
         lambda s, d: V.with_default(base(s, d)[1].select("seq_id", "s_start"), I.samples(s, d).groupBy("seq_id").agg((F.max("n") / 100).alias("p")), ["seq_id"], "p", 0.5),
         sql(SEQS, SITES, SAMPLES, "c AS (SELECT seq_id, max(n) / 100.0::DOUBLE AS p FROM samples GROUP BY seq_id)", "SELECT seq_id, s_start, coalesce(p, 0.5) AS p FROM sites LEFT JOIN c USING (seq_id)"),
@@ -201,5 +221,4 @@ QUERIES = {
         sql(SEQS, SITES, "t AS (SELECT coalesce(lag(motif::VARCHAR) OVER w, 'begin') AS prev, motif::VARCHAR AS cur, lead(motif) OVER w AS nxt FROM sites WINDOW w AS (PARTITION BY seq_id ORDER BY s_start, motif)), u AS (SELECT prev, cur FROM t UNION ALL SELECT cur, 'end' FROM t WHERE nxt IS NULL)",
             "SELECT prev, round(count(*) FILTER (WHERE cur = '0') / count(*)::DOUBLE, 6) AS to_0, round(count(*) FILTER (WHERE cur = '1') / count(*)::DOUBLE, 6) AS to_1, round(count(*) FILTER (WHERE cur = '2') / count(*)::DOUBLE, 6) AS to_2, round(count(*) FILTER (WHERE cur = 'end') / count(*)::DOUBLE, 6) AS to_end FROM u GROUP BY prev"),
     ),
-    "src_conv_stats": (lambda s, d: K.conv_stats(K.l1_walks(I.samples(s, d))).select("step", "n"), sql(SAMPLES, "w AS (SELECT DISTINCT step, walk_id FROM samples)", "SELECT a.step, count(*) AS n FROM w a JOIN w b ON a.step = b.step AND a.walk_id < b.walk_id GROUP BY a.step")),
 }

@@ -22,8 +22,8 @@ def per_seq(found):
     return found.groupBy("seq_id").agg(F.count("*").alias("n"), F.countDistinct("site").alias("kinds"), F.min("site").alias("first"), F.max("site").alias("last"), F.max("pos").alias("at"))
 
 
-RUNS = """regs AS (SELECT seq_id, length(nt) AS len, regexp_extract_all(nt, 'A+|C+|G+|T+|X+') AS r FROM seqs),
-runs AS (SELECT seq_id, len, k, r[k] AS run, sum(length(r[k])) OVER (PARTITION BY seq_id ORDER BY k) AS upto FROM (SELECT seq_id, len, r, unnest(range(1, len(r) + 1)) AS k FROM regs)),
+RUNS = """regs AS (SELECT seq_id, length(nt) AS len, unnest(r) AS run, generate_subscripts(r, 1) AS k FROM (SELECT seq_id, nt, regexp_extract_all(nt, 'A+|C+|G+|T+|X+') AS r FROM seqs)),
+runs AS (SELECT seq_id, len, k, run, sum(length(run)) OVER (PARTITION BY seq_id ORDER BY k) AS upto FROM regs),
 run AS (SELECT seq_id, run[1] AS base, CAST(upto - length(run) AS BIGINT) AS start, CAST(length(run) AS BIGINT) AS run_len, upto = len AS is_last, run, k FROM runs)"""
 KMERS = f"""k6 AS (SELECT site FROM win6 UNION ALL SELECT nt FROM seqs WHERE length(nt) < 6 AND length(nt) > 0),
 kmers AS (SELECT least(site, {REV.format('site')}) AS kmer, count(*) FILTER (WHERE site <= {REV.format('site')}) AS fwd, count(*) FILTER (WHERE site > {REV.format('site')}) AS rev, count(*) AS total FROM k6 GROUP BY 1)"""

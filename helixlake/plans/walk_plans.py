@@ -7,23 +7,26 @@ from pyspark.sql import functions as F
 
 from helixlake.functions import nt as N
 from helixlake.operators import intervals as V
+from helixlake.operators import motifs as M
 from helixlake.operators import walks as K
-from helixlake.plans.duck import GENES, RESULTS, SAMPLERS, SAMPLES, SEQS, SITES, WALKS, sql
+from helixlake.plans.duck import DRAWS, GENES, RESULTS, SAMPLERS, SAMPLES, SEQS, SITES, WALKS, sql
 from helixlake.sources import inputs as I
 
-CELLS = 20 * 3 * 50
+CELLS = I.CELLS
 R6 = lambda df, *cols: df.withColumns({c: F.round(c, 6) for c in cols})
 SUMS = "sums AS (SELECT walk_id, seq_id, motif, pos, CAST(sum(n) AS BIGINT) AS n, min(step) AS from_step, max(step) AS to_step FROM samples WHERE step >= 10000 GROUP BY ALL)"
 RANGE = "rng AS (SELECT seq_id, motif, pos, CAST(sum(n) AS BIGINT) AS n FROM sums WHERE to_step > from_step GROUP BY ALL)"
-L1 = """cell AS (SELECT a.step, a.walk_id AS walk_a, b.walk_id AS walk_b, sum(least(a.n, b.n)) AS m FROM samples a JOIN samples b USING (step, seq_id, motif, pos) WHERE a.walk_id < b.walk_id GROUP BY ALL),
-tot AS (SELECT step, walk_id, sum(n) AS t FROM samples GROUP BY ALL),
-l1 AS (SELECT a.step, a.walk_id AS walk_a, b.walk_id AS walk_b, CAST(a.t + b.t - 2 * coalesce(m, 0) AS BIGINT) AS d FROM tot a JOIN tot b ON a.step = b.step AND a.walk_id < b.walk_id LEFT JOIN cell c ON c.step = a.step AND c.walk_a = a.walk_id AND c.walk_b = b.walk_id)"""
+L1 = """cell AS (SELECT a.sampler_id, a.step, a.walk_id AS walk_a, b.walk_id AS walk_b, sum(least(a.n, b.n)) AS m FROM samples a JOIN samples b USING (sampler_id, step, seq_id, motif, pos) WHERE a.walk_id < b.walk_id GROUP BY ALL),
+tot AS (SELECT sampler_id, step, walk_id, sum(n) AS t FROM samples GROUP BY ALL),
+l1 AS (SELECT a.sampler_id, a.step, a.walk_id AS walk_a, b.walk_id AS walk_b, CAST(a.t + b.t - 2 * coalesce(m, 0) AS BIGINT) AS d FROM tot a JOIN tot b ON a.sampler_id = b.sampler_id AND a.step = b.step AND a.walk_id < b.walk_id LEFT JOIN cell c ON c.step = a.step AND c.walk_a = a.walk_id AND c.walk_b = b.walk_id)"""
 LAGS = "ord AS (SELECT walk_id, step, dense_rank() OVER (PARTITION BY walk_id ORDER BY step) AS k FROM (SELECT DISTINCT walk_id, step FROM samples)), lags AS (SELECT a.walk_id, CAST(b.k - a.k AS INT) AS lag, a.step AS step_a, b.step AS step_b FROM ord a JOIN ord b USING (walk_id) WHERE b.k - a.k BETWEEN 1 AND 10)"
 KS = f"""prev AS (SELECT walk_id, step, lag(step) OVER (PARTITION BY walk_id ORDER BY step) AS prev FROM (SELECT DISTINCT walk_id, step FROM samples)),
 hist AS (SELECT walk_id, step, n AS v, count(*) AS c FROM samples GROUP BY ALL UNION ALL SELECT walk_id, step, 0, {CELLS} - count(*) FROM samples GROUP BY ALL),
 both2 AS (SELECT p.walk_id, p.step, v, sum(c) AS x, 0 AS y FROM prev p JOIN hist h ON h.walk_id = p.walk_id AND h.step = p.step WHERE prev IS NOT NULL GROUP BY ALL UNION ALL SELECT p.walk_id, p.step, v, 0, sum(c) FROM prev p JOIN hist h ON h.walk_id = p.walk_id AND h.step = p.prev GROUP BY ALL),
 v AS (SELECT walk_id, step, v, sum(x) AS x, sum(y) AS y FROM both2 GROUP BY ALL),
 ks AS (SELECT walk_id, step, max(g) / {float(CELLS)}::DOUBLE AS d FROM (SELECT walk_id, step, abs(sum(x) OVER w - sum(y) OVER w) AS g FROM v WINDOW w AS (PARTITION BY walk_id, step ORDER BY v)) GROUP BY ALL)"""
+KS_P = f"""ksx AS (SELECT walk_id, step, d, (sqrt({CELLS} / 2.0::DOUBLE) + 0.12 + 0.11 / sqrt({CELLS} / 2.0::DOUBLE)) * d AS x FROM ks),
+ksp AS (SELECT walk_id, step, d, CASE WHEN x < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, list_sum([(CASE WHEN j % 2 = 1 THEN 2.0 ELSE -2.0 END) * exp(-2.0::DOUBLE * j * j * x * x) FOR j IN range(1, 21)]))) END AS p FROM ksx)"""
 MERGED = """reach AS (SELECT *, max(g_end) OVER (PARTITION BY chrom ORDER BY g_start, g_end, gene ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r, lag(g_end) OVER (PARTITION BY chrom ORDER BY g_start, g_end, gene) AS l FROM genes),
 isl AS (SELECT *, sum(CASE WHEN r IS NULL OR g_start >= r THEN 1 ELSE 0 END) OVER w AS i, sum(CASE WHEN l IS NULL OR g_start >= l THEN 1 ELSE 0 END) OVER w AS j, row_number() OVER w AS ord FROM reach WINDOW w AS (PARTITION BY chrom ORDER BY g_start, g_end, gene)),
 regions AS (SELECT chrom, min(g_start) AS g_start, max(g_end) AS g_end, count(*) AS k, string_agg(gene, ',' ORDER BY gene) AS genes, string_agg(tss::VARCHAR, ',' ORDER BY gene) AS tss FROM isl GROUP BY chrom, i)"""
@@ -68,25 +71,23 @@ def conv(s, d):
 QUERIES = {
     "src_samples_table": (lambda s, d: I.samples(s, d), sql(SAMPLES, "SELECT * FROM samples")),
     "src_state_tables": (lambda s, d: I.walks(s, d).join(I.samplers(s, d), "sampler_id").select("walk_id", "sampler_id", "current_steps", "had_error", "burn_in", "samples"), sql(WALKS, SAMPLERS, "SELECT walk_id, sampler_id, current_steps, had_error, burn_in, samples FROM walks JOIN samplers USING (sampler_id)")),
-    "src_genes": (lambda s, d: I.genes(s, d), sql(GENES, "SELECT * FROM genes")),
-    "src_chrom_sizes": (lambda s, d: I.genes(s, d).groupBy("chrom").agg((F.max("g_end") + 1).alias("size")), sql(GENES, "SELECT chrom, max(g_end) + 1 AS size FROM genes GROUP BY chrom")),
     "agg_sum_walk": (sums, sql(SAMPLES, SUMS, "SELECT * FROM sums")),
     "agg_sum_range": (lambda s, d: K.sum_range(sums(s, d)), sql(SAMPLES, SUMS, RANGE, "SELECT * FROM rng")),
     "set_union_walks": (
-        lambda s, d: I.samples(s, d).where("walk_id < 2").unionByName(I.samples(s, d).where("walk_id >= 2")).groupBy("walk_id").agg(F.count("*").alias("cells"), F.sum("n").alias("n")),
+        lambda s, d: I.samples(s, d).where("walk_id % 2 = 0").unionByName(I.samples(s, d).where("walk_id % 2 = 1")).groupBy("walk_id").agg(F.count("*").alias("cells"), F.sum("n").alias("n")),
         sql(SAMPLES, "SELECT walk_id, count(*) AS cells, CAST(sum(n) AS BIGINT) AS n FROM samples GROUP BY walk_id"),
     ),
     "agg_accumulate": (
-        lambda s, d: K.sum_walk(I.samples(s, d), 0).select("walk_id", "seq_id", "motif", "pos", "n"),
-        sql(SAMPLES, "SELECT walk_id, seq_id, motif, pos, CAST(sum(n) AS BIGINT) AS n FROM samples GROUP BY ALL"),
+        lambda s, d: M.accumulate(I.draws(s, d), 10),
+        sql(DRAWS, "SELECT walk_id, seq_id, motif, pos, count(*) AS n FROM draws WHERE iter >= 10 GROUP BY ALL"),
     ),
     "flt_best_sites": (lambda s, d: R6(K.best_sites(K.sum_range(sums(s, d)), 100.0, 0.1), "frac"), sql(SAMPLES, SUMS, RANGE, "SELECT *, round(n / 100.0::DOUBLE, 6) AS frac FROM rng WHERE n / 100.0::DOUBLE > 0.1")),
     "topk_sites": (lambda s, d: K.topk_sites(K.sum_range(sums(s, d)), 3), sql(SAMPLES, SUMS, RANGE, "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY seq_id, motif ORDER BY n DESC, pos) AS INT) AS rank FROM rng) WHERE rank <= 3")),
-    "walk_pairs": (lambda s, d: K.walk_pairs(I.samples(s, d)), sql(SAMPLES, "SELECT a.step, seq_id, motif, pos, a.walk_id AS walk_a, a.n AS na, b.walk_id AS walk_b, b.n AS nb FROM samples a JOIN samples b USING (step, seq_id, motif, pos) WHERE a.walk_id < b.walk_id")),
+    "walk_pairs": (lambda s, d: K.walk_pairs(I.samples(s, d)), sql(SAMPLES, "SELECT sampler_id, a.step, seq_id, motif, pos, a.walk_id AS walk_a, a.n AS na, b.walk_id AS walk_b, b.n AS nb FROM samples a JOIN samples b USING (sampler_id, step, seq_id, motif, pos) WHERE a.walk_id < b.walk_id")),
     "dist_l1_walks": (lambda s, d: K.l1_walks(I.samples(s, d)), sql(SAMPLES, L1, "SELECT * FROM l1")),
     "agg_conv_stats": (
         lambda s, d: R6(conv(s, d), "avg", "median", "stddev"),
-        sql(SAMPLES, L1, "SELECT step, min(d) AS min, round(avg(d), 6) AS avg, round(quantile_cont(d, 0.5)::DOUBLE, 6) AS median, max(d) AS max, round(stddev_pop(d), 6) AS stddev, count(*) AS n FROM l1 GROUP BY step"),
+        sql(SAMPLES, L1, "SELECT sampler_id, step, min(d) AS min, round(avg(d), 6) AS avg, round(quantile_cont(d, 0.5)::DOUBLE, 6) AS median, max(d) AS max, round(stddev_pop(d), 6) AS stddev, count(*) AS n FROM l1 GROUP BY sampler_id, step"),
     ),
     "walk_lags": (lambda s, d: K.walk_lags(I.samples(s, d)), sql(SAMPLES, LAGS, "SELECT * FROM lags")),
     "dist_lag": (
@@ -96,10 +97,10 @@ QUERIES = {
             f"SELECT walk_id, lag, round(avg(t), 6) AS total, round(avg(t / {CELLS}::DOUBLE), 6) AS avg, round(avg(CASE WHEN k < {CELLS} THEN 0 ELSE lo END), 6) AS min, round(avg(hi), 6) AS max FROM p GROUP BY walk_id, lag"),
     ),
     "win_prev_step": (lambda s, d: K.prev_step(I.samples(s, d)), sql(SAMPLES, "SELECT walk_id, step, lag(step) OVER (PARTITION BY walk_id ORDER BY step) AS prev FROM (SELECT DISTINCT walk_id, step FROM samples)")),
-    "test_ks": (lambda s, d: R6(K.ks(I.samples(s, d), CELLS).select("walk_id", "step", "d"), "d"), sql(SAMPLES, KS, "SELECT walk_id, step, round(d, 6) AS d FROM ks")),
+    "test_ks": (lambda s, d: R6(K.ks(I.samples(s, d), CELLS), "d", "p"), sql(SAMPLES, KS, KS_P, "SELECT walk_id, step, round(d, 6) AS d, round(p, 6) AS p FROM ksp")),
     "test_ks_summary": (
-        lambda s, d: R6(K.ks_summary(K.ks(I.samples(s, d), CELLS)).select("step", "d_mean", "d_std", "d_min", "d_max"), "d_mean", "d_std", "d_min", "d_max"),
-        sql(SAMPLES, KS, "SELECT step, round(avg(d), 6) AS d_mean, round(stddev_pop(d), 6) AS d_std, round(min(d), 6) AS d_min, round(max(d), 6) AS d_max FROM ks GROUP BY step"),
+        lambda s, d: R6(K.ks_summary(K.ks(I.samples(s, d), CELLS)), "d_mean", "d_std", "d_min", "d_max", "p_mean", "p_std", "p_min", "p_max"),
+        sql(SAMPLES, KS, KS_P, "SELECT step, round(avg(d), 6) AS d_mean, round(stddev_pop(d), 6) AS d_std, round(min(d), 6) AS d_min, round(max(d), 6) AS d_max, round(avg(p), 6) AS p_mean, round(stddev_samp(p), 6) AS p_std, round(min(p), 6) AS p_min, round(max(p), 6) AS p_max FROM ksp GROUP BY step"),
     ),
     "test_wilcoxon": (
         lambda s, d: R6(K.wilcoxon(wilcoxon_pairs(s, d)), "w_plus", "w_minus", "z"),
@@ -114,8 +115,8 @@ QUERIES = {
     ),
     "validate_quorum": (lambda s, d: K.quorum(I.results(s, d)), sql(RESULTS, VALID, "SELECT wu_id, canonical_id, result_id, payload <> '' AND payload = p AS valid FROM results JOIN canon USING (wu_id)")),
     "validate_pair": (
-        lambda s, d: R6(K.validate_pair(K.sum_walk(I.samples(s, d).where("walk_id = 0"), 0), K.sum_walk(I.samples(s, d).where("walk_id = 1"), 0)), "avg"),
-        sql(SAMPLES, "x AS (SELECT seq_id, motif, pos, sum(n) AS n FROM samples WHERE walk_id = 0 GROUP BY ALL), y AS (SELECT seq_id, motif, pos, sum(n) AS n FROM samples WHERE walk_id = 1 GROUP BY ALL)", "e AS (SELECT CAST(abs(coalesce(x.n, 0) - coalesce(y.n, 0)) AS BIGINT) AS d FROM x FULL JOIN y USING (seq_id, motif, pos))",
+        lambda s, d: R6(K.validate_pair(K.sum_walk(I.samples(s, d).where("walk_id % 2 = 0").withColumn("walk_id", F.lit(0)), 0), K.sum_walk(I.samples(s, d).where("walk_id % 2 = 1").withColumn("walk_id", F.lit(1)), 0)), "avg"),
+        sql(SAMPLES, "x AS (SELECT seq_id, motif, pos, sum(n) AS n FROM samples WHERE walk_id % 2 = 0 GROUP BY ALL), y AS (SELECT seq_id, motif, pos, sum(n) AS n FROM samples WHERE walk_id % 2 = 1 GROUP BY ALL)", "e AS (SELECT CAST(abs(coalesce(x.n, 0) - coalesce(y.n, 0)) AS BIGINT) AS d FROM x FULL JOIN y USING (seq_id, motif, pos))",
             "SELECT CAST(sum(d) AS BIGINT) AS sum_diff, max(d) AS max_diff, count(*) FILTER (WHERE d > 100) AS n_over_100, round(avg(d), 6) AS avg, sum(d) = 0 AS match FROM e"),
     ),
     "agg_progress": (
@@ -155,11 +156,10 @@ QUERIES = {
         lambda s, d: V.locate(I.read(s, d, "orders").select((F.col("o_orderkey") * 37).cast("long").alias("point")), I.genes(s, d).groupBy("chrom").agg((F.max("g_end") + 1).alias("size"))),
         sql(GENES, "z AS (SELECT chrom, max(g_end) + 1 AS size FROM genes GROUP BY chrom), l AS (SELECT chrom, sum(size) OVER (ORDER BY chrom) - size AS lo, sum(size) OVER (ORDER BY chrom) AS hi FROM z)", "SELECT CAST(o_orderkey * 37 AS BIGINT) AS point, chrom, CAST(o_orderkey * 37 - lo AS BIGINT) AS local FROM orders JOIN l ON o_orderkey * 37 >= lo AND o_orderkey * 37 < hi"),
     ),
-    "src_chromosomes": (chunks, sql(SEQS, f"SELECT seq_id AS chrom, o AS chunk_start, substr(nt, o + 1, {V.CHUNK}) AS nt FROM (SELECT seq_id, nt, unnest(range(0, length(nt), {V.CHUNK})) AS o FROM seqs WHERE length(nt) > 0)")),
     "join_extract": (lambda s, d: V.extract(intervals(s, d), chunks(s, d)), sql(SEQS, 'SELECT seq_id AS chrom, length(nt) // 4 AS start, length(nt) // 4 + (length(nt) + 1) // 2 AS "end", substr(nt, length(nt) // 4 + 1, (length(nt) + 1) // 2) AS nt FROM seqs')),
     "join_control": (
-        lambda s, d: V.join_control(I.seqs(s, d), 100),
-        sql(SEQS, "SELECT a.seq_id, b.seq_id AS control_id, length(a.nt) = length(b.nt) AS ok FROM seqs a JOIN seqs b ON b.seq_id = a.seq_id + 100"),
+        lambda s, d: V.join_control(I.seqs(s, d)),
+        sql(SEQS, "SELECT a.seq_id, b.seq_id AS control_id, length(a.nt) = length(b.nt) AS ok FROM seqs a JOIN seqs b ON b.seq_id = a.seq_id + (SELECT (max(seq_id) + 1) // 2 FROM seqs)"),
     ),
     "join_position_priors": (
         lambda s, d: V.with_default(I.sites(I.seqs(s, d)).select("seq_id", "s_start"), I.samples(s, d).groupBy("seq_id", F.col("pos").alias("s_start")).agg((F.sum("n") / 1000).alias("prior")), ["seq_id", "s_start"], "prior", 0.25),

@@ -10,7 +10,8 @@ from helixlake.functions.nt import revcomp
 #: Letters map to bases in a cycle; q, x and z are masked.
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 CODED = "ACGTACGTACGTACGTXCGTACGXAXACGTACGTACGTACGTXCGTACGXAX"
-CHUNK = 256
+#: Windows of a piece that a sequence is cut into.
+CHUNK = 64
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,14 +24,29 @@ def seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("seq_id"), F.concat(F.lit("> doc"), F.col("doc_id").cast("string")).alias("name"), nt.alias("nt"))
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accumulated counts (walk_id, step, seq_id, motif, pos, n)."""
+#: Walks of a sampler, sequences that its walks share, motifs and positions of a sequence.
+SAMPLER_WALKS, SAMPLER_SEQS, MOTIFS, POSITIONS = 5, 4, 3, 50
+#: Cells of a walk's domain.
+CELLS = SAMPLER_SEQS * MOTIFS * POSITIONS
+
+
+def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sampler_id, walk_id, iter, seq_id, motif, pos, k): a drawn site for each event.
+
+    A user is a walk and five of them a sampler with sequences of its own, so walks, samplers and sequences grow with the table.
+    """
     e = read(spark, sf_dir, "events")
-    keyed = e.select(
-        (F.col("user_id") % 4).cast("long").alias("walk_id"), (10000 * F.floor(F.dayofmonth("ts") / 10)).cast("long").alias("step"), (F.col("event_id") % 20).cast("long").alias("seq_id"),
-        F.when(F.col("event_type") == "click", 0).when(F.col("event_type") == "view", 1).otherwise(2).cast("int").alias("motif"), (F.floor("value") % 50).cast("long").alias("pos"), (1 + F.col("event_id") % 7).cast("long").alias("k"),
+    sampler = F.floor(F.col("user_id") / SAMPLER_WALKS).cast("long")
+    return e.select(
+        sampler.alias("sampler_id"), F.col("user_id").cast("long").alias("walk_id"), F.dayofmonth("ts").cast("long").alias("iter"), (sampler * SAMPLER_SEQS + F.col("event_id") % SAMPLER_SEQS).cast("long").alias("seq_id"),
+        F.when(F.col("event_type") == "click", 0).when(F.col("event_type") == "view", 1).otherwise(2).cast("int").alias("motif"), (F.floor("value") % POSITIONS).cast("long").alias("pos"), (1 + F.col("event_id") % 7).cast("long").alias("k"),
     )
-    return keyed.groupBy("walk_id", "step", "seq_id", "motif", "pos").agg(F.sum("k").alias("n"))
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accumulated counts (sampler_id, walk_id, step, seq_id, motif, pos, n) with a snapshot of each walk every three iterations."""
+    step = (10000 * F.floor((F.col("iter") - 1) / 3)).cast("long")
+    return draws(spark, sf_dir).groupBy("sampler_id", "walk_id", step.alias("step"), "seq_id", "motif", "pos").agg(F.sum("k").alias("n"))
 
 
 def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,16 +74,25 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line.select(F.col("l_orderkey").cast("long").alias("wu_id"), F.col("l_linenumber").cast("long").alias("result_id"), payload.alias("payload"))
 
 
-def chunked(seqs: DataFrame, w: int, size: int = CHUNK) -> DataFrame:
-    """seq_id, at, part: pieces of size + w - 1 bases, so that no window of w is cut and no piece is long."""
-    starts = F.explode(F.sequence(F.lit(0), F.greatest(F.length("nt") - w, F.lit(0)), F.lit(size)))
-    return seqs.where(F.length("nt") >= w).select("seq_id", "nt", starts.alias("at")).select("seq_id", "at", F.substring(F.col("nt"), F.col("at") + 1, F.lit(size + w - 1)).alias("part"))
+def chunked(seqs: DataFrame, w: int, size: int = CHUNK, keep: list[str] | None = None) -> DataFrame:
+    """seq_id, keep, len, at, part: pieces of size + w - 1 bases, one each size bases, so that no window of w is cut.
+
+    One regular expression cuts a sequence in one pass, so a long one costs no more for each base than a short one.
+    """
+    pieces = F.regexp_extract_all("nt", F.lit(f"(?s)(?=(.{{1,{size + w - 1}}})).{{1,{size}}}"), F.lit(1))
+    # the outer form has no filters that would compute the pieces again
+    own = ["seq_id", *(keep or [])]
+    return seqs.select(*own, F.length("nt").alias("len"), F.posexplode_outer(pieces).alias("k", "part")).select(*own, "len", (F.col("k") * size).cast("long").alias("at"), "part")
 
 
-def windows(seqs: DataFrame, w: int) -> DataFrame:
-    """(seq_id, pos, site): every window of w bases, pos 0-based."""
-    i = F.explode(F.sequence(F.lit(0), F.least(F.length("part") - w, F.lit(CHUNK - 1))))
-    return chunked(seqs, w).select("seq_id", "at", "part", i.alias("i")).select("seq_id", (F.col("at") + F.col("i")).cast("long").alias("pos"), F.substring(F.col("part"), F.col("i") + 1, F.lit(w)).alias("site"))
+def windows(seqs: DataFrame, w: int, short: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """(seq_id, keep, len, pos, site): every window of w bases, pos 0-based; with short, a sequence of fewer bases is one window."""
+    own = ["seq_id", *(keep or []), "len"]
+    part = chunked(seqs, w, keep=keep)
+    full = F.when(F.length("part") >= w, F.sequence(F.lit(0), F.least(F.length("part") - w, F.lit(CHUNK - 1))))
+    if short:
+        full = full.when((F.col("at") == 0) & (F.length("part") > 0), F.array(F.lit(0)))
+    return part.select(*own, "at", "part", F.explode(full).alias("i")).select(*own, (F.col("at") + F.col("i")).alias("pos"), F.substring(F.col("part"), F.col("i") + 1, F.lit(w)).alias("site"))
 
 
 def bases(seqs: DataFrame) -> DataFrame:
@@ -76,12 +101,16 @@ def bases(seqs: DataFrame) -> DataFrame:
 
 
 def sites(seqs: DataFrame) -> DataFrame:
-    """Non-overlapping matches of CANNTG (seq_id, s_start, s_end, motif, strand, site), half-open."""
-    found = windows(seqs, 6).where(F.col("site").rlike("^CA[ACGT][ACGT]TG$"))
-    prev = F.lag("pos").over(Window.partitionBy("seq_id").orderBy("pos"))
-    kept = found.withColumn("prev", prev).where("prev is null or pos - prev >= 6")
+    """Non-overlapping matches of CANNTG (seq_id, s_start, s_end, motif, strand, site), half-open.
+
+    One pass cuts a sequence behind each match; only the matches move, to add up their lengths. Two matches can only overlap
+    by four bases, and the second of such a pair can't overlap a third, so leftmost matches are those wanted.
+    """
+    upto = F.regexp_extract_all("nt", F.lit("(?s).*?CA[ACGT]{2}TG"), F.lit(0))
+    each = seqs.select("seq_id", F.posexplode_outer(upto).alias("k", "m")).where("m is not null").select("seq_id", "k", F.length("m").alias("n"), F.right("m", F.lit(6)).alias("site"))
+    end = F.sum("n").over(Window.partitionBy("seq_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
     third = F.substring("site", 3, 1)
-    return kept.select(
-        "seq_id", F.col("pos").alias("s_start"), (F.col("pos") + 6).alias("s_end"), F.when(third.isin("A", "C"), 0).when(third == "G", 1).otherwise(2).alias("motif"),
+    return each.withColumn("s_end", end).select(
+        "seq_id", (F.col("s_end") - 6).alias("s_start"), "s_end", F.when(third.isin("A", "C"), 0).when(third == "G", 1).otherwise(2).alias("motif"),
         F.when(F.col("site") <= revcomp("site"), "F").otherwise("R").alias("strand"), "site",
     )

@@ -5,12 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df, written once under spark.checkpoint.dir and read back; a local folder only for a one-machine master without one."""
-    spark = df.sparkSession
+#: Spark's own setting: a job's shuffle files are removed when it ends, as nothing reads them after that.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A fresh path under spark.checkpoint.dir, deleted when the application ends; a local folder only for a one-machine master without one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
@@ -20,5 +23,17 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    df.write.parquet(path)
+    return path
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """df, written once and read back."""
+    spark = df.sparkSession
+    path = new_path(spark, tag)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -11,21 +11,63 @@ from pyspark.sql import functions as F
 from helixlake.functions import nt as N
 
 
+def _numbered(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """(line, value): records with their place among all files, in the order of file names.
+
+    Records are numbered within each split of a file as they are read, and each split begins where those before it
+    end; only one row for each split is put in order.
+    """
+    rows = spark.read.text(path, **options).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    splits = rows.groupBy("f", "b").agg(F.count("*").alias("n"), F.min("i").alias("first"))
+    w = Window.partitionBy().orderBy("f", "b").rowsBetween(Window.unboundedPreceding, -1)
+    begin = splits.select("f", "b", (F.coalesce(F.sum("n").over(w), F.lit(0)) - F.col("first")).alias("shift"))
+    return rows.join(begin, ["f", "b"]).select((F.col("i") + F.col("shift")).alias("line"), "value")
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value): lines with their place in the file, counted without moving them to one partition."""
-    rows = spark.read.text(path).rdd.zipWithIndex().map(lambda p: (p[1], p[0].value))
-    return spark.createDataFrame(rows, "line long, value string")
+    return _numbered(spark, path)
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """seqs: a record begins at each '>'; blank lines and carriage returns don't matter."""
-    records = spark.read.text(path, lineSep="\n>").rdd.zipWithIndex().map(lambda p: (p[1], p[0].value))
-    rows = spark.createDataFrame(records, "seq_id long, value string")
+    rows = _numbered(spark, path, lineSep="\n>").withColumnRenamed("line", "seq_id")
     name = F.trim(F.regexp_replace(N.strip_cr(F.substring_index("value", "\n", 1)), "^>", ""))
     body = F.regexp_extract("value", r"(?s)^[^\n]*\n(.*)$", 1)
     return rows.select("seq_id", F.concat(F.lit("> "), name).alias("name"), F.upper(F.regexp_replace(body, r"\s+", "")).alias("nt")).where(F.length("nt") > 0)
 
 
+def read_chromosomes(spark: SparkSession, path: str, size: int = 10_000) -> DataFrame:
+    """(chrom, chunk_start, nt) of a file with chromosomes, by lines, so that none is ever one string.
+
+    A line belongs to the last header before it; its bases begin after those of the lines before. Lines are cut at the bounds of
+    the chunks and put together there.
+    """
+    lines = _lines(spark, path).select("line", F.trim(N.strip_cr("value")).alias("value"))
+    head = F.col("value").startswith(">")
+    width = 1 << 16
+    blocked = lines.withColumn("block", F.floor(F.col("line") / width)).withColumn("head", F.when(head, F.struct("line", F.trim(F.substring("value", 2, 1 << 20)).alias("chrom"))))
+    sums = blocked.groupBy("block").agg(F.max("head").alias("last"), F.sum(F.when(~head, F.length("value")).otherwise(0)).alias("n"))
+    before = Window.partitionBy().orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select("block", F.last("last", ignorenulls=True).over(before).alias("carried"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    within = Window.partitionBy("block").orderBy("line")
+    n = F.when(head, 0).otherwise(F.length("value"))
+    placed = blocked.withColumn("own", F.last("head", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0))).withColumn("at", F.sum(n).over(within.rowsBetween(Window.unboundedPreceding, 0)) - n).join(carried, "block")
+    placed = placed.select("value", F.coalesce("own", "carried").alias("h"), (F.col("at") + F.col("offset")).alias("at"), head.alias("is_head"))
+    starts = placed.where("is_head").select(F.col("h.line").alias("hl"), F.col("at").alias("origin"))
+    bases = placed.where("not is_head and value != '' and h is not null").join(starts, F.col("h.line") == F.col("hl")).select("h.chrom", (F.col("at") - F.col("origin")).alias("pos"), F.upper("value").alias("value"))
+    cut = bases.withColumn("chunk_start", F.explode(F.sequence(F.floor(F.col("pos") / size) * size, F.floor((F.col("pos") + F.length("value") - 1) / size) * size, F.lit(size))))
+    lo = F.greatest(F.col("chunk_start") - F.col("pos"), F.lit(0))
+    part = F.substring("value", (lo + 1).cast("int"), (F.least(F.col("pos") + F.length("value"), F.col("chunk_start") + size) - F.col("pos") - lo).cast("int"))
+    met = cut.select("chrom", "chunk_start", "pos", part.alias("part")).groupBy("chrom", "chunk_start").agg(F.array_sort(F.collect_list(F.struct("pos", "part"))).alias("p"))
+    return met.select("chrom", "chunk_start", F.array_join("p.part", "").alias("nt"))
+
+
+def read_chrom_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """(chrom, size) of an index: the first two of tab-separated columns."""
+    part = F.split("value", "\t")
+    return spark.read.text(path).where(F.length(F.trim("value")) > 0).select(part[0].alias("chrom"), part[1].cast("long").alias("size"))
+
+
 def write_fasta(seqs: DataFrame, path: str) -> None:
     seqs.select(F.concat_ws("\n", F.concat(F.lit("> "), F.trim(F.regexp_replace("name", "^>", ""))), "nt", F.lit("")).alias("value")).write.text(path)
 
@@ -73,11 +115,11 @@ def read_samples(spark: SparkSession, path: str, n_motifs: int) -> DataFrame:
 
 
 def read_walk_files(spark: SparkSession, glob: str) -> DataFrame:
-    """(value, walk_id, step): lines of files named walk_<id>_steps_<n>, samples_<id>_<n> or motifs_<id>_<n>."""
-    name = F.col("_metadata.file_name")
-    pattern = r"(?:walk_(\d+)_steps_|(?:samples|motifs)_(\d+)_)(\d+)"
-    walk = F.coalesce(F.nullif(F.regexp_extract(name, pattern, 1), F.lit("")), F.regexp_extract(name, pattern, 2))
-    return spark.read.text(glob).select("value", walk.cast("long").alias("walk_id"), F.regexp_extract(name, pattern, 3).cast("long").alias("step")).where("step is not null")
+    """(value, walk_id, from_step, step): lines of files, or of folders of files, named walk_<id>_steps_<n>, walk_<id>_steps_range_<a>_<b>, samples_<id>_<n> or motifs_<id>_<n>; from_step is null but for ranges."""
+    name = F.col("_metadata.file_path")
+    pattern = r"/(?:walk_(\d+)_steps_(?:range_(\d+)_)?|(?:samples|motifs)_(\d+)_)(\d+)[^/]*(?:/[^/]*)?$"
+    got = lambda i: F.nullif(F.regexp_extract(name, pattern, i), F.lit(""))
+    return spark.read.text(glob).select("value", F.coalesce(got(1), got(3)).cast("long").alias("walk_id"), got(2).cast("long").alias("from_step"), got(4).cast("long").alias("step")).where("step is not null")
 
 
 def read_pwm_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -90,7 +132,7 @@ def read_pwm_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_motif_models(spark: SparkSession, path: str) -> DataFrame:
     """(model, type, direction, col, base, p): '>type' and four lines of weights in the order A, C, G, T; reverse-complement types give a second, mirrored model."""
-    rows = spark.createDataFrame(spark.read.text(path, lineSep="\n>").rdd.zipWithIndex().map(lambda p: (p[1], p[0].value)), "model long, value string")
+    rows = _numbered(spark, path, lineSep="\n>").withColumnRenamed("line", "model")
     kind = F.lower(F.trim(F.regexp_replace(F.substring_index("value", "\n", 1), "^>", "")))
     each = rows.select("model", kind.alias("type"), F.posexplode(F.slice(F.split("value", "\n"), 2, 4)).alias("k", "line"))
     cells = each.select("model", "type", F.element_at(F.array(*map(F.lit, N.BASES)), F.col("k") + 1).alias("base"), F.posexplode(F.split(F.trim("line"), r"[,\s]+")).alias("col", "v"))
@@ -111,14 +153,18 @@ def pwm_count_lines(counts: DataFrame) -> DataFrame:
     return body.select("motif", F.concat(F.lit(">motif"), F.col("motif").cast("string"), F.lit(" NORMAL "), F.col("w").cast("string"), F.lit("\n"), "b").alias("value"))
 
 
-LISTING = r"^\s*(\d+),\s*(\d+)\s+(\d+)\s+([a-z ]*)\s*([A-Z]+)\s*([a-z ]*)\s+(\d+)\s+([0-9.]+)\s+(>.*)$"
+#: The fields of a printed site, in their order: name, type, form and what stands behind it.
+FIELDS = (
+    ("seq_id", "long", r"\d+", r",\s*"), ("motif", "int", r"\d+", r"\s+"), ("start", "long", r"\d+", r"\s+"), ("left", "string", "[a-z ]*", r"\s*"), ("site", "string", "[A-Z]+", r"\s*"),
+    ("right", "string", "[a-z ]*", r"\s+"), ("end", "long", r"\d+", r"\s+"), ("frac", "double", "[0-9.]+", r"\s+"), ("header", "string", ">.*", ""),
+)
+LISTING = r"^\s*" + "".join(f"({form}){behind}" for _, _, form, behind in FIELDS) + "$"
 
 
 def read_site_listing(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(site rows, rejected lines) of a printed listing; headings that begin with F or R, and blank lines, are neither."""
     lines = spark.read.text(path).where(~F.col("value").rlike(r"^([FR]|\s*$)"))
-    names = {"seq_id": "long", "motif": "int", "start": "long", "left": "string", "site": "string", "right": "string", "end": "long", "frac": "double", "header": "string"}
-    rows = lines.where(F.col("value").rlike(LISTING)).select(*(F.trim(F.regexp_extract("value", LISTING, i + 1)).cast(t).alias(n) for i, (n, t) in enumerate(names.items())))
+    rows = lines.where(F.col("value").rlike(LISTING)).select(*(F.trim(F.regexp_extract("value", LISTING, i + 1)).cast(t).alias(n) for i, (n, t, _, _) in enumerate(FIELDS)))
     return rows, lines.where(~F.col("value").rlike(LISTING))
 
 
@@ -161,12 +207,14 @@ def read_table(spark: SparkSession, path: str, schema: str, normalise: tuple[str
     return rows
 
 
-def prior_lines(counts: DataFrame, n_sites: int) -> DataFrame:
-    """(motif, value): a fitted model as a prior, percent / 10 as pseudo-counts."""
+def prior_lines(counts: DataFrame) -> DataFrame:
+    """(motif, value): a fitted model as a prior, percent / 10 as pseudo-counts, then its raw counts; a row for each column and base that occurs."""
     total = F.sum("n").over(Window.partitionBy("motif", "col"))
-    each = counts.select("motif", "col", "base", F.round(10.0 * F.col("n") / total, 4).alias("pc"))
-    one = each.groupBy("motif").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "base", "pc"))), lambda s: F.concat_ws(" ", s["col"].cast("string"), s["base"], F.format_number(s["pc"], 4))), "\n").alias("v"))
-    return one.select("motif", F.concat(F.lit(">PSEUDO\n"), "v").alias("value"))
+    each = counts.select("motif", "col", "base", F.round(10.0 * F.col("n") / total, 4).alias("pc"), "n")
+    rows = F.array_sort(F.collect_list(F.struct("col", "base", "pc", "n")))
+    line = lambda last: lambda x: F.concat_ws(" ", x["col"].cast("string"), x["base"], last(x))
+    one = each.groupBy("motif").agg(rows.alias("r")).select("motif", F.array_join(F.transform("r", line(lambda x: F.format_number(x["pc"], 4))), "\n").alias("a"), F.array_join(F.transform("r", line(lambda x: x["n"].cast("string"))), "\n").alias("b"))
+    return one.select("motif", F.concat(F.lit(">PSEUDO\n"), "a", F.lit("\n>COUNTS\n"), "b").alias("value"))
 
 
 def flanked_sites(sites: DataFrame, seqs: DataFrame, k: int = 5) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -70,13 +70,32 @@ def advance(walks: DataFrame, units: DataFrame) -> DataFrame:
     )
 
 
+BUCKETS = 64
+
+
+def bucketed(walks: DataFrame) -> DataFrame:
+    """walks with the folder they are kept in."""
+    return walks.withColumn("bucket", F.pmod(F.xxhash64("walk_id"), F.lit(BUCKETS)).cast("int"))
+
+
+def create_walk_table(walks: DataFrame, table: str) -> None:
+    bucketed(walks).write.partitionBy("bucket").parquet(table)
+
+
 def walk_state_stream(units: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the latest version of a walk table, as Parquet folders numbered by batch under table; replayed batches change nothing."""
+    """Keeps a walk table in folders by a hash of the walk; a batch writes only the folders of the walks it has units for.
+
+    A replayed batch changes nothing, as a unit counts only where its walk stands.
+    """
+    from helixlake.sources.store import stored
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        walks = spark.read.parquet(f"{table}/v{number}")
-        advance(walks, batch).write.mode("overwrite").parquet(f"{table}/v{number + 1}")
+        walks = spark.read.parquet(table)
+        touched = [r.bucket for r in bucketed(batch.select("walk_id")).select("bucket").distinct().collect()]  # BUCKETS rows at most
+        if touched:
+            new = stored(bucketed(advance(walks.where(F.col("bucket").isin(touched)).drop("bucket"), batch)), "walks")
+            new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
 
     return units.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -86,20 +105,45 @@ def sample_stream(samples: DataFrame) -> DataFrame:
     return samples.groupBy("walk_id", "seq_id", "motif", "pos").agg(F.sum("n").alias("n"))
 
 
+def sample_sums(samples: DataFrame, results: str, checkpoint: str) -> StreamingQuery:
+    """Writes the running sums that each batch changed to results, by batch; the last batch of a cell has its sum (latest_sums)."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{results}/batch={number}")
+
+    return sample_stream(samples).writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_sums(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("walk_id", "seq_id", "motif", "pos").agg(F.max_by("n", "batch").alias("n"))
+
+
 def ks_stream(arrivals: DataFrame, samples: str, results: str, cells: int, checkpoint: str) -> StreamingQuery:
-    """Tests newly arrived (walk_id, step) snapshots only: those of the samples table that the results table hasn't yet."""
+    """Tests newly arrived snapshots (walk_id, step) against the one before, and anew the one behind an arrival in between.
+
+    Samples are kept in folders by a hash of the walk, and only those of the walks in the batch are read. A test is done
+    again when its pair of snapshots changes; the last batch of a (walk_id, step) has it (latest_tests). A snapshot arrives whole in one batch.
+    """
     from helixlake.operators.walks import ks
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{samples}/batch={number}")
-        tests = ks(spark.read.parquet(samples).drop("batch"), cells)
-        try:
-            old = spark.read.parquet(results).where(F.col("batch") != number).select("walk_id", "step")
-            tests = tests.join(old, ["walk_id", "step"], "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        new = bucketed(batch).withColumn("batch", F.lit(number))
+        if new.isEmpty():
+            return
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "bucket").parquet(samples)
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # BUCKETS rows at most
+        walks = batch.select("walk_id").distinct()
+        known = spark.read.parquet(samples).where(F.col("bucket").isin(touched)).join(walks, "walk_id", "left_semi")
+        steps = known.groupBy("walk_id", "step").agg(F.max("batch").alias("came"))
+        before = F.lag("came").over(Window.partitionBy("walk_id").orderBy("step"))
+        due = steps.withColumn("before", before).where((F.col("came") == number) | (F.col("before") == number)).select("walk_id", "step")
+        tests = ks(known.drop("batch", "bucket"), cells).join(due, ["walk_id", "step"], "left_semi")
         tests.write.mode("overwrite").parquet(f"{results}/batch={number}")
 
     return arrivals.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_tests(rows: DataFrame) -> DataFrame:
+    last = rows.groupBy("walk_id", "step").agg(F.max_by(F.struct("d", "p"), "batch").alias("t"))
+    return last.select("walk_id", "step", "t.d", "t.p")

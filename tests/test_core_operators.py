@@ -99,8 +99,58 @@ def test_chains_resume_and_repeat(spark):
     final = {(r[0], r[2]): r[4] for r in whole if r[1] == "final"}
     assert max(sum(abs(final.get((w, i), -99) - 47) <= 3 for i in range(25)) for w in range(2)) > 12
     assert not any(i == 25 for _, i in final)
-    blocked = G.gibbs_blocked(q, bg, cfg, 2).collect()
-    assert blocked and all("X" not in planted[r.seq_id][r.s_start : r.s_end] and r.s_end - r.s_start == 8 for r in blocked)
+    samples, sites, pwm = G.gibbs_blocked(q, bg, G.Config(widths=(8,), max_sites=1, burn_in=3, samples=2))
+    assert sites.count() and all("X" not in planted[r.seq_id][r.s_start : r.s_end] and r.s_end - r.s_start == 8 for r in sites.collect())
+    assert samples.agg(F.max("n")).first()[0] <= 2 and all(abs(r.s - 1) < 1e-9 for r in pwm.groupBy("motif", "col").agg(F.sum("p").alias("s")).collect())
+
+
+def test_shift_moves_of_a_walk():
+    """A shift that leaves a sequence, or meets a masked base or another site, isn't legal; a better place is proposed and taken."""
+    codes = G.codes_of("AACACGTGXA")
+    assert G.legal([(0, 7)], codes, (6,)) and not G.legal([(0, 8)], codes, (6,)) and not G.legal([(0, 4)], codes, (6,)) and not G.legal([(0, 4), (1, 5)], G.codes_of("ACGTACGT"), (3, 3))
+    bg, shifts = np.full(4, 0.25), (-1, 0, 1)
+    counts = np.full((1, 1, 3, 4, 4), 5.0)
+    counts[0, 0, 2] = np.eye(4) * 20
+    cfg = G.Config(widths=(4,), seed=3)
+    taken = [G.proposed(counts, np.zeros((1, 1, 3), bool), shifts, (4,), bg, cfg, [0], it)[0] for it in range(40)]
+    assert {0: 1} in taken and G.proposed(counts, np.ones((1, 1, 3), bool), shifts, (4,), bg, cfg, [0], 1) == [{}]
+
+
+def test_locations_and_groups(spark):
+    sizes = spark.createDataFrame([(1, 10), (2, 0), (3, 9_000_000), (4, 5)], "chrom long, size long")
+    points = [0, 9, 10, 11, 4_194_303, 4_194_304, 9_000_009, 9_000_010, 9_000_014, 9_000_015, -1]
+    got = sorted(tuple(r) for r in V.locate(spark.createDataFrame([(x,) for x in points], "point long"), sizes).collect())
+    assert got == [(0, 1, 0), (9, 1, 9), (10, 3, 0), (11, 3, 1), (4_194_303, 3, 4_194_293), (4_194_304, 3, 4_194_294), (9_000_009, 3, 8_999_999), (9_000_010, 4, 0), (9_000_014, 4, 4)]
+    q = spark.createDataFrame([(x,) for x in (0, 5, 9, 200_000, 400_000)], "seq_id long")
+    starts = spark.createDataFrame([(5,), (8,), (300_000,)], "start long")
+    assert sorted(tuple(r) for r in V.groups_of(q, starts).collect()) == [(0, None), (5, 5), (9, 8), (200_000, 8), (400_000, 300_000)]
+
+
+def test_masks_keep_other_letters(spark):
+    q = seqs(spark, "AANNAAAACC", "NNNNNAAAA")
+    assert [r.nt for r in S.mask_runs(q, 4).orderBy("seq_id").collect()] == ["AANNXXXXCC", "NNNNNXXXX"]
+    assert [r.nt for r in S.mask_runs(q, 4, mask_trailing=False).orderBy("seq_id").collect()] == ["AANNXXXXCC", "NNNNNAAAA"]
+    assert sorted(tuple(r) for r in S.find_runs(q, 4).select("seq_id", "base", "start", "run_len").collect()) == [(0, "A", 4, 4), (1, "A", 5, 4)]
+
+
+@pytest.mark.parametrize("w", [6, 9])
+def test_scan_by_brute_force(spark, w):
+    """Windows of short and long sequences, with tables of one and of two blocks of columns."""
+    rng = np.random.default_rng(1)
+    texts = ["".join(rng.choice(list("ACGTX"), n, p=[0.24, 0.24, 0.24, 0.24, 0.04])) for n in (0, 3, w, 70, 500)]
+    q = seqs(spark, *texts)
+    p = {m: rng.dirichlet(np.ones(4), w) for m in (2, 5)}
+    pwm = spark.createDataFrame([(m, c, b, float(p[m][c, i])) for m in p for c in range(w) for i, b in enumerate("ACGT")], "motif int, col int, base string, p double")
+    bg = spark.createDataFrame([(b, 0.25) for b in "ACGT"], "base string, p double")
+    want = {}
+    for k, t in enumerate(texts):
+        for i in range(1 if w == 1 else 0, len(t) - w + 1):
+            if "X" not in t[i : i + w]:
+                r = {m: np.prod([p[m][c, "ACGT".index(t[i + c])] / 0.25 for c in range(w)]) for m in p}
+                for m in p:
+                    want[k, i + w - 1, m] = (len(t) - i - w, r[m], sum(r.values()))
+    got = {(r.seq_id, r.end, r.motif): (r.dist_from_end, r.ratio, r.all_ratios) for r in M.pwm_scan(q, pwm, bg, w).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
 def test_models(spark, sf_dir):
@@ -137,7 +187,7 @@ def test_text_round_trips(spark, tmp_path):
     assert [tuple(r) for r in T.read_sites(spark, f"{tmp_path}/sites", 3).orderBy("seq_id", "slot").collect()] == [(0, 0, 0, 0, 3), (0, 1, 1, 5, 8), (2, 0, 1, 2, 5)]
     (tmp_path / "walk_7_steps_400").write_text("0,0,3\n1,0\n")
     got = T.read_walk_files(spark, f"{tmp_path}/walk_*").collect()
-    assert {(r.walk_id, r.step) for r in got} == {(7, 400)} and len(got) == 2
+    assert {(r.walk_id, r.from_step, r.step) for r in got} == {(7, None, 400)} and len(got) == 2
     assert [tuple(r) for r in T.read_samples(spark, f"{tmp_path}/walk_7_steps_400", 2).orderBy("motif").collect()] == [(0, 0, 2, 3), (0, 1, 0, 1)]
     (tmp_path / "pwm.csv").write_text("# a\n1,1,1,1\n\n2,0,0,2\n")
     assert {(r.col, r.base): r.p for r in T.read_pwm_csv(spark, f"{tmp_path}/pwm.csv").collect()}[1, "T"] == 0.5
@@ -180,13 +230,16 @@ def test_streams_end_as_batches(spark, tmp_path, sf_dir):
     assert sorted(map(tuple, spark.table("sums").collect())) == sorted(map(tuple, K.sum_walk(samples, 0).select("walk_id", "seq_id", "motif", "pos", "n").collect()))
 
     walks = spark.createDataFrame([(1, 1, 0, False), (2, 1, 10, False), (3, 1, 0, False)], "walk_id long, sampler_id long, current_steps long, had_error boolean")
-    walks.write.parquet(f"{tmp_path}/walks/v0")
+    streams.create_walk_table(walks, f"{tmp_path}/walks")
     units = spark.createDataFrame([(1, 0, 10, False), (1, 0, 10, False), (2, 0, 10, False), (3, 0, 10, True)], "walk_id long, from_steps long, steps long, failed boolean")
     units.coalesce(1).write.parquet(f"{tmp_path}/units")
     source = spark.readStream.schema(units.schema).parquet(f"{tmp_path}/units")
     streams.walk_state_stream(source, f"{tmp_path}/walks", f"{tmp_path}/c3").awaitTermination(90)
-    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/walks/v1").collect())) == [(1, 1, 10, False), (2, 1, 10, False), (3, 1, 0, True)]
-
-    source = spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/samples")
-    streams.ks_stream(source, f"{tmp_path}/arrived", f"{tmp_path}/tests", 3000, f"{tmp_path}/c4").awaitTermination(90)
-    assert spark.read.parquet(f"{tmp_path}/tests").select("walk_id", "step").distinct().count() == K.ks(samples, 3000).count()
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/walks").drop("bucket").collect())) == [(1, 1, 10, False), (2, 1, 10, False), (3, 1, 0, True)]
+
+    samples.repartition(4, "walk_id", "step").write.parquet(f"{tmp_path}/snapshots")
+    source = spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/snapshots")
+    streams.ks_stream(source, f"{tmp_path}/arrived", f"{tmp_path}/tests", I.CELLS, f"{tmp_path}/c4").awaitTermination(90)
+    got = {(r.walk_id, r.step): (r.d, r.p) for r in streams.latest_tests(spark.read.parquet(f"{tmp_path}/tests")).collect()}
+    want = {(r.walk_id, r.step): (r.d, r.p) for r in K.ks(samples, I.CELLS).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
