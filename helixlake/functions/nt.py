@@ -112,6 +112,20 @@ def ks_tail(d: Column, n1: Column, n2: Column, terms: int = 20) -> Column:
     return F.when(x < 0.2, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)))
 
 
+#: Coefficients of the rational approximation 7.1.26 of the error function in the public handbook of Abramowitz and Stegun.
+ERF_P, ERF_A = 0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+
+
+def normal_tail(z: Column) -> Column:
+    """Probability that a normal number is further from zero than z >= 0, within 1.5e-7."""
+    x = z / F.sqrt(F.lit(2.0))
+    t = 1 / (1 + ERF_P * x)
+    series = F.lit(0.0)
+    for a in reversed(ERF_A):
+        series = (series + a) * t
+    return series * F.exp(-x * x)
+
+
 def negative_binomial(k: Column, alpha: float, beta: float) -> Column:
     """Probability of k sites under a gamma(alpha, beta) mixed Poisson."""
     a = F.lit(float(alpha))

@@ -51,6 +51,17 @@ def locate(points: DataFrame, sizes: DataFrame) -> DataFrame:
     return met.crossJoin(total).where("point < total").select("point", F.col("s.chrom").alias("chrom"), (F.col("point") - F.col("s.lo")).alias("local"))
 
 
+def random_windows(sizes: DataFrame, chunks: DataFrame, n: int, width: int, seed: int, size: int = CHUNK) -> DataFrame:
+    """(draw, chrom, start, end, nt): the first n of 2n windows, drawn evenly from all chromosomes, that end on theirs and have no masked base."""
+    total = F.broadcast(sizes.agg(F.sum("size").alias("total")))  # one row
+    u = F.pmod(F.xxhash64(F.lit(seed), "draw"), F.lit(1 << 52)) / float(1 << 52)
+    drawn = sizes.sparkSession.range(2 * n).withColumnRenamed("id", "draw").crossJoin(total).select("draw", F.floor(u * F.col("total")).cast("long").alias("point"))
+    placed = locate(drawn.select("point").distinct(), sizes).join(drawn, "point").join(sizes, "chrom").where(F.col("local") + width <= F.col("size"))
+    spans = placed.select("draw", "chrom", F.col("local").alias("start"), (F.col("local") + width).alias("end"))
+    good = extract(spans, chunks, size).where(F.col("nt").rlike("^[ACGT]+$"))
+    return good.orderBy("draw").limit(n)
+
+
 def overlaps(a: DataFrame, b: DataFrame, bin_size: int = 64) -> DataFrame:
     """(seq_id, a_start, b_start, overlap): intervals of one sequence sharing over half of the longer; bins keep the join an equi-join."""
     left = a.select("seq_id", F.col("s_start").alias("a_start"), F.col("s_end").alias("a_end")).withColumn("bin", F.explode(F.sequence(F.floor(F.col("a_start") / bin_size), F.floor((F.col("a_end") - 1) / bin_size))))

@@ -125,19 +125,21 @@ def block_scores(pwm: DataFrame, bg: DataFrame, start: int, k: int) -> DataFrame
     return by_model.groupBy("site").agg(F.transform(F.array_sort(F.collect_list(F.struct("motif", "x"))), lambda m: m["x"]).alias("ln"))
 
 
-def pwm_scan(seqs: DataFrame, pwm: DataFrame, bg: DataFrame, w: int) -> DataFrame:
+def pwm_scan(seqs: DataFrame, pwm: DataFrame, bg: DataFrame, w: int, halved: tuple[int, ...] = ()) -> DataFrame:
     """(seq_id, end, dist_from_end, motif, ratio, all_ratios, models): product of foreground over background for every unmasked window.
 
     end is the inclusive 0-based end; all_ratios is the sum over the models at that place. A window is looked up
     in a table of all 4^BLOCK k-mers, or, if the models are wider, in one for each BLOCK columns; these are small
-    whatever is scanned, so windows don't move. Models of other widths than w are left out.
+    whatever is scanned, so windows don't move. Models of other widths than w are left out; those in halved, one for each strand,
+    count half.
     """
     fit = pwm.join(F.broadcast(pwm.groupBy("motif").agg((F.max("col") + 1).alias("w")).where(F.col("w") == w).select("motif")), "motif")
     names = F.broadcast(fit.select(F.array_sort(F.collect_set("motif")).alias("names")))
     place = F.col("pos") + w - 1
     found = windows(seqs, w).where(F.col("pos") + w > 1).select("seq_id", place.alias("end"), (F.col("len") - 1 - place).alias("dist_from_end"), F.col("site").alias("window"))
+    scored = lambda m, x: F.struct(m.alias("motif"), (F.exp(x) * F.when(m.isin(*halved), 0.5).otherwise(1.0) if halved else F.exp(x)).alias("ratio"))
     if w <= BLOCK:
-        one = block_scores(fit, bg, 0, w).crossJoin(names).select("site", F.arrays_zip(F.col("names").alias("motif"), F.transform("ln", F.exp).alias("ratio")).alias("z"))
+        one = block_scores(fit, bg, 0, w).crossJoin(names).select("site", F.zip_with("names", "ln", scored).alias("z"))
         flat = one.withColumn("all_ratios", F.aggregate("z", F.lit(0.0), lambda acc, m: acc + m["ratio"])).select("site", "all_ratios", F.size("z").alias("models"), F.explode("z").alias("z")).select("site", "all_ratios", "models", "z.motif", "z.ratio")
         return found.join(F.broadcast(flat), F.col("window") == F.col("site")).select("seq_id", "end", "dist_from_end", "motif", "ratio", "all_ratios", "models")
     total = None
@@ -146,9 +148,9 @@ def pwm_scan(seqs: DataFrame, pwm: DataFrame, bg: DataFrame, w: int) -> DataFram
         table = F.broadcast(block_scores(fit, bg, start, k).select(F.col("site").alias(f"_s{start}"), F.col("ln").alias(f"_l{start}")))
         found = found.join(table, F.substring("window", start + 1, k) == F.col(f"_s{start}"))
         total = F.col(f"_l{start}") if total is None else F.zip_with(total, f"_l{start}", lambda a, b: a + b)
-    each = found.select("seq_id", "end", "dist_from_end", F.transform(total, F.exp).alias("r")).crossJoin(names)
-    each = each.withColumn("all_ratios", F.aggregate("r", F.lit(0.0), lambda acc, x: acc + x))
-    return each.select("seq_id", "end", "dist_from_end", "all_ratios", F.size("r").alias("models"), F.explode(F.arrays_zip(F.col("names").alias("motif"), F.col("r").alias("ratio"))).alias("z")).select("seq_id", "end", "dist_from_end", "z.motif", "z.ratio", "all_ratios", "models")
+    each = found.crossJoin(names).select("seq_id", "end", "dist_from_end", F.zip_with("names", total, scored).alias("z"))
+    each = each.withColumn("all_ratios", F.aggregate("z", F.lit(0.0), lambda acc, m: acc + m["ratio"]))
+    return each.select("seq_id", "end", "dist_from_end", "all_ratios", F.size("z").alias("models"), F.explode("z").alias("z")).select("seq_id", "end", "dist_from_end", "z.motif", "z.ratio", "all_ratios", "models")
 
 
 def site_posterior(scan: DataFrame, prior: float) -> DataFrame:
@@ -313,17 +315,49 @@ def map_refine(sites: DataFrame, seqs: DataFrame, bg: DataFrame, w: int, weight:
     return sites.select("seq_id", "s_start", "s_end", "motif").unionByName(fresh)
 
 
-def em_refine(seqs: DataFrame, pwm: DataFrame, bg: DataFrame, w: int, steps: int = 3, prior: float = 0.001, pc: float = PSEUDO) -> DataFrame:
-    """The models after steps of EM on site probabilities. Each step is a scan and one aggregation; distinct sites carry all evidence."""
-    kinds = unmasked(windows(seqs, w)).groupBy("site").agg(F.count("*").alias("times"))
-    for _ in range(steps):
-        models = F.broadcast(log_odds(pwm, bg))
-        total = F.aggregate(F.sequence(F.lit(1), F.lit(w)), F.lit(0.0), lambda acc, i: acc + F.element_at("odds", F.concat((i - 1).cast("string"), F.substring(F.col("site"), i, F.lit(1)))))
-        scored = kinds.crossJoin(models).select("site", "times", "motif", (F.exp(total) * prior).alias("share"))
-        each = scored.withColumn("z", F.col("share") / (1 - F.count("*").over(Window.partitionBy("site")) * prior + F.sum("share").over(Window.partitionBy("site"))))
-        soft = each.select("motif", (F.col("z") * F.col("times")).alias("z"), F.posexplode(F.split("site", "")).alias("col", "base")).where("base != ''")
-        pwm = normalised(soft.groupBy("motif", "col", "base").agg(F.sum("z").alias("n")), pc)
-    return pwm
+def em_refine(seqs: DataFrame, pwm: DataFrame, bg: DataFrame, w: int, prior: float = 0.001, pc: float = PSEUDO, tol: float = 0.1, least: int = 50, most: int = 500) -> tuple[DataFrame, DataFrame]:
+    """(models, trace) of EM on site probabilities: trace(step, ll); the models have columns motif, col, base, p.
+
+    It ends when the log likelihoods of the last six of at least `least` steps differ by tol at most. A step scores the distinct
+    windows and adds up their evidence; the models, as many rows as they have cells, go round through the driver. The
+    posterior is site_posterior of a scan with the result.
+    """
+    spark = seqs.sparkSession
+    kinds = stored(unmasked(windows(seqs, w)).groupBy("site").agg(F.count("*").alias("times")), "kinds")
+    q = {r.base: r.p for r in bg.collect()}  # four rows
+    lls: list[float] = []
+    rows = [tuple(r) for r in pwm.select("motif", "col", "base", "p").collect()]
+    cell = lambda i: F.concat((i - 1).cast("string"), F.substring(F.col("site"), i, F.lit(1)))
+    odds = lambda m: F.aggregate(F.sequence(F.lit(1), F.lit(w)), F.lit(0.0), lambda acc, i: acc + F.element_at(m["odds"], cell(i)))
+    while len(lls) < most and not (len(lls) >= max(least, 6) and max(lls[-6:]) - min(lls[-6:]) <= tol):
+        tables: dict[int, dict[str, float]] = {}
+        for m, c, base, x in rows:
+            tables.setdefault(m, {})[f"{c}{base}"] = math.log(x / q[base])
+        models = spark.createDataFrame([(sorted(tables.items()),)], "models array<struct<motif: int, odds: map<string, double>>>")
+        scored = kinds.crossJoin(F.broadcast(models)).select("site", "times", F.transform("models", lambda m: F.struct(m["motif"].alias("motif"), (F.exp(odds(m)) * prior).alias("share"))).alias("m"))
+        rest = scored.withColumn("all", 1 - F.size("m") * prior + F.aggregate("m", F.lit(0.0), lambda acc, x: acc + x["share"]))
+        soft = rest.select("site", "times", "all", F.posexplode("m").alias("i", "x"))
+        cells = soft.select("x.motif", F.when(F.col("i") == 0, F.col("times") * F.ln("all")).otherwise(0.0).alias("ll"), (F.col("x.share") / F.col("all") * F.col("times")).alias("z"), F.posexplode(F.split("site", "")).alias("col", "base")).where("base != ''")
+        got = cells.groupBy("motif", "col", "base").agg(F.sum("z").alias("n"), F.sum(F.when(F.col("col") == 0, F.col("ll")).otherwise(0.0)).alias("ll")).collect()
+        lls.append(sum(r.ll for r in got))
+        sums: dict[tuple, float] = {}
+        for r in got:
+            sums[r.motif, r.col] = sums.get((r.motif, r.col), 4 * pc) + r.n
+        seen = {(r.motif, r.col, r.base): r.n for r in got}
+        rows = [(m, c, b, (seen.get((m, c, b), 0.0) + pc) / t) for (m, c), t in sums.items() for b in N.BASES]
+    return spark.createDataFrame(rows, pwm.select("motif", "col", "base", "p").schema), spark.createDataFrame(list(enumerate(lls)), "step long, ll double")
+
+
+def near_optimal(scan: DataFrame, prior: float, cutoff: float, n_draws: int, seed: int) -> DataFrame:
+    """(seq_id, end, motif, freq, class): how often each place of the pool is drawn under the fixed models; the pool has the places with a posterior of cutoff or more.
+
+    class is map (over half of the draws), maybe (a tenth or more) or discard.
+    """
+    pool = site_posterior(scan, prior).where(F.col("p") >= cutoff)
+    draw = F.explode(F.sequence(F.lit(1), F.lit(n_draws)))
+    u = (F.pmod(F.xxhash64(F.lit(seed), "seq_id", "end", "motif", "draw"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    drawn = pool.select("seq_id", "end", "motif", "p", draw.alias("draw")).groupBy("seq_id", "end", "motif").agg((F.count_if(u < F.col("p")) / n_draws).alias("freq"))
+    return drawn.withColumn("class", F.when(F.col("freq") > 0.5, "map").when(F.col("freq") >= 0.1, "maybe").otherwise("discard"))
 
 
 def covered(sites: DataFrame, seqs: DataFrame) -> DataFrame:
@@ -333,16 +367,25 @@ def covered(sites: DataFrame, seqs: DataFrame) -> DataFrame:
 
 
 def fitness(seqs: DataFrame, candidates: DataFrame, w: int, compat: bool = False) -> DataFrame:
-    """(candidate_id, fitness): fit of candidate models (candidate_id, col, base, p) to all windows, in one pass.
+    """(candidate_id, fitness): fit of candidate sets of models (candidate_id, model, col, base, p) to all windows, in one pass.
 
-    A window counts with the better of its product and that of its reverse complement (compat: of
-    the reversed window); the total is weighted by the product over bases of their largest column.
+    A window counts with the better of its product and that of its reverse complement (compat: of the reversed window). Models take
+    their part of it in their order, each from what those before have left, weighted by the product over bases of its
+    largest column. Without a column model each candidate is one model.
     """
+    if "model" not in candidates.columns:
+        candidates = candidates.withColumn("model", F.lit(0))
+    keys = ["candidate_id", "model"]
     key = F.concat(F.col("col").cast("string"), F.col("base"))
-    models = candidates.groupBy("candidate_id").agg(F.map_from_entries(F.collect_list(F.struct(key, "p"))).alias("m"))
-    top = candidates.groupBy("candidate_id", "base").agg(F.max("p").alias("p")).groupBy("candidate_id").agg(F.exp(F.sum(F.ln("p"))).alias("weight"))
+    models = candidates.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(key, "p"))).alias("m"))
+    top = candidates.groupBy(*keys, "base").agg(F.max("p").alias("p")).groupBy(*keys).agg(F.exp(F.sum(F.ln("p"))).alias("weight"))
     kinds = unmasked(windows(seqs, w)).groupBy("site").agg(F.count("*").alias("times"))
-    product = lambda s: F.aggregate(F.sequence(F.lit(1), F.lit(w)), F.lit(1.0), lambda acc, i: acc * F.element_at("m", F.concat((i - 1).cast("string"), F.substring(s, i, F.lit(1)))))
+    product = lambda x: F.aggregate(F.sequence(F.lit(1), F.lit(w)), F.lit(1.0), lambda acc, i: acc * F.element_at("m", F.concat((i - 1).cast("string"), F.substring(x, i, F.lit(1)))))
     other = F.reverse("site") if compat else N.revcomp("site")
-    scored = kinds.crossJoin(F.broadcast(models)).select("candidate_id", (F.greatest(product(F.col("site")), product(other)) * F.col("times")).alias("f"))
-    return scored.groupBy("candidate_id").agg(F.sum("f").alias("f")).join(top, "candidate_id").select("candidate_id", (F.col("f") * F.col("weight")).alias("fitness"))
+    # 4^w windows at most for few columns, so they go to the candidates, which may be many
+    met = models.join(top, keys).crossJoin(F.broadcast(kinds) if w <= BLOCK else kinds)
+    best = met.select(*keys, "site", "times", "weight", F.greatest(product(F.col("site")), product(other)).alias("b"))
+    sets = best.groupBy("candidate_id", "site", "times").agg(F.array_sort(F.collect_list(F.struct("model", "b", "weight"))).alias("models"))
+    start = F.struct(F.lit(1.0).alias("left"), F.lit(0.0).alias("total"))
+    each = F.aggregate("models", start, lambda acc, x: F.struct((acc["left"] * (1 - x["b"])).alias("left"), (acc["total"] + acc["left"] * x["b"] * x["weight"]).alias("total")), lambda acc: acc["total"])
+    return sets.select("candidate_id", (each * F.col("times")).alias("f")).groupBy("candidate_id").agg(F.sum("f").alias("fitness"))

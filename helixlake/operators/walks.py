@@ -143,7 +143,7 @@ def sampler_progress(samplers: DataFrame, walks: DataFrame) -> DataFrame:
 
 
 def wilcoxon(pairs: DataFrame) -> DataFrame:
-    """(motif, n, w_plus, w_minus, z): signed-rank test of pairs(motif, x, y); zero differences go, ties share their mean rank.
+    """(motif, n, w_plus, w_minus, z, p): signed-rank test of pairs(motif, x, y); zero differences go, ties share their mean rank; p is two-sided.
 
     Ranks come from the counts of the distinct absolute differences, so equal differences never meet in one row list.
     """
@@ -153,7 +153,7 @@ def wilcoxon(pairs: DataFrame) -> DataFrame:
     ranked = kinds.withColumn("rank", upto - (F.col("c") - 1) / 2)
     s = ranked.groupBy("motif").agg(F.sum("c").alias("n"), F.sum(F.col("rank") * F.col("plus")).alias("w_plus"), F.sum(F.col("rank") * (F.col("c") - F.col("plus"))).alias("w_minus"), F.sum(F.pow("c", F.lit(3)) - F.col("c")).alias("ties"))
     n = F.col("n")
-    return s.select("motif", "n", "w_plus", "w_minus", ((F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)).alias("z"))
+    return s.select("motif", "n", "w_plus", "w_minus", ((F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)).alias("z")).withColumn("p", N.normal_tail(F.abs("z")))
 
 
 def best_so_far(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:

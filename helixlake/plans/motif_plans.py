@@ -40,9 +40,15 @@ def pwm(s, d):
     return M.normalised(parts(s, d)[2])
 
 
-def scan(s, d):
+def scan(s, d, halved=()):
     q, _, c = parts(s, d)
-    return M.pwm_scan(q, M.normalised(c), S.background(q), 6)
+    return M.pwm_scan(q, M.normalised(c), S.background(q), 6, halved)
+
+
+def model_sets(s, d):
+    """All motifs as one set, then each alone."""
+    p = pwm(s, d).withColumnRenamed("motif", "model")
+    return p.withColumn("candidate_id", F.lit(0)).unionByName(p.withColumn("candidate_id", F.col("model") + 1))
 
 
 def spacing(s):
@@ -139,12 +145,18 @@ QUERIES = {
         sql(SEQS, SITES, "o AS (SELECT motif, CAST(row_number() OVER (PARTITION BY seq_id ORDER BY s_start, motif) AS INT) AS ord FROM sites)", "SELECT ord, motif, count(*) AS n, round(count(*) / (sum(count(*)) OVER (PARTITION BY ord))::DOUBLE, 6) AS p FROM o GROUP BY ord, motif"),
     ),
     "score_loglik": (lambda s, d: M.loglik(parts(s, d)[2], pwm(s, d)).withColumn("ll", F.round("ll", 3)), sql(*ALL, "SELECT motif, round(sum(counts.n * ln(p))::DOUBLE, 3) AS ll FROM counts JOIN pwm USING (motif, col, base) GROUP BY motif")),
-    "em_refine": (lambda s, d: M.em_refine(I.seqs(s, d), pwm(s, d), S.background(I.seqs(s, d)), 6), None),
+    "em_refine": (lambda s, d: R6(M.em_refine(I.seqs(s, d), pwm(s, d), S.background(I.seqs(s, d)), 6)[0], "p"), None),
+    "near_optimal_draws": (lambda s, d: M.near_optimal(scan(s, d), 0.001, 0.01, 50, 3), None),
+    "score_pwm_scan_strands": (
+        lambda s, d: per_motif(scan(s, d, (1, 2)), "ratio", 2),
+        sql(*ALL, BACKGROUND, SCAN, "SELECT seq_id, motif, count(*) AS n, round(sum(ratio / CASE WHEN motif = 0 THEN 1 ELSE 2 END)::DOUBLE, 2) AS total, round(max(ratio / CASE WHEN motif = 0 THEN 1 ELSE 2 END)::DOUBLE, 2) AS best FROM scan GROUP BY seq_id, motif"),
+    ),
     "score_fitness": (
-        lambda s, d: M.fitness(I.seqs(s, d), pwm(s, d).withColumnRenamed("motif", "candidate_id"), 6).withColumn("fitness", F.round("fitness", 3)),
-        sql(*ALL, "k AS (SELECT site, count(*) AS times FROM win6 WHERE regexp_full_match(site, '[ACGT]+') GROUP BY site)", "q AS (SELECT site, times, motif, exp(sum(ln(p.p))) AS f FROM (SELECT site, times, unnest(range(0, 6)) AS col FROM k) w JOIN pwm p ON p.col = w.col AND p.base = substr(w.site, w.col + 1, 1) GROUP BY ALL)",
-            f"rv AS (SELECT DISTINCT {REV.format('site')} AS site FROM k), g AS (SELECT site, motif, exp(sum(ln(p.p))) AS f FROM (SELECT site, unnest(range(0, 6)) AS col FROM rv) w JOIN pwm p ON p.col = w.col AND p.base = substr(w.site, w.col + 1, 1) GROUP BY ALL), b AS (SELECT q.motif, sum(q.times * greatest(q.f, g.f)) AS f FROM q JOIN g ON g.site = {REV.format('q.site')} AND g.motif = q.motif GROUP BY q.motif)",
-            "t AS (SELECT motif, exp(sum(ln(p))) AS w FROM (SELECT motif, base, max(p) AS p FROM pwm GROUP BY motif, base) GROUP BY motif)", "SELECT motif AS candidate_id, round((f * w)::DOUBLE, 3) AS fitness FROM b JOIN t USING (motif)"),
+        lambda s, d: M.fitness(I.seqs(s, d), model_sets(s, d), 6).withColumn("fitness", F.round("fitness", 3)),
+        sql(*ALL, "k AS (SELECT site, count(*) AS times FROM win6 WHERE regexp_full_match(site, '[ACGT]+') GROUP BY site)", f"o AS (SELECT site FROM k UNION SELECT {REV.format('site')} FROM k)", "q AS (SELECT site, motif, exp(sum(ln(p.p))) AS f FROM (SELECT site, unnest(range(0, 6)) AS col FROM o) w JOIN pwm p ON p.col = w.col AND p.base = substr(w.site, w.col + 1, 1) GROUP BY ALL)",
+            f"b AS (SELECT k.site, k.times, q.motif, greatest(q.f, r.f) AS b FROM k JOIN q ON q.site = k.site JOIN q r ON r.site = {REV.format('k.site')} AND r.motif = q.motif)", "t AS (SELECT motif, exp(sum(ln(p))) AS w FROM (SELECT motif, base, max(p) AS p FROM pwm GROUP BY motif, base) GROUP BY motif)",
+            "c AS (SELECT 0 AS candidate_id, motif FROM t UNION ALL SELECT motif + 1, motif FROM t)", "x AS (SELECT candidate_id, times, b * w * coalesce(exp(sum(ln(1 - b)) OVER (PARTITION BY candidate_id, site ORDER BY motif ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS v FROM c JOIN b USING (motif) JOIN t USING (motif))",
+            "SELECT candidate_id, round(sum(times * v)::DOUBLE, 3) AS fitness FROM x GROUP BY candidate_id"),
     ),
     "join_overlap": (
         lambda s, d: V.overlaps(parts(s, d)[1], shifted(parts(s, d)[1])),

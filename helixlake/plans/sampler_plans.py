@@ -14,6 +14,7 @@ from helixlake.operators import walks as K
 from helixlake.plans.duck import BACKGROUND, COUNTS, PWM, REV, SAMPLES, SEQS, SITES, sql
 from helixlake.sources import inputs as I
 from helixlake.sources import text as T
+from helixlake.sources.store import stored
 
 CFG = G.Config()
 R6 = lambda df, *cols: df.withColumns({c: F.round(c, 6) for c in cols})
@@ -60,12 +61,12 @@ def distances(s, d):
 
 
 def seeds(s, d):
-    """Log likelihood of the sites that each walk ended with; the best walk is kept."""
+    """The score of the sites that each walk ended with; the best walk is kept."""
     q, _, _, b = base(s, d)
-    final = chains(s, d).where("kind = 'final'").select("walk_id", "seq_id", "motif", (F.col("end") - 5).alias("s_start"), (F.col("end") + 1).alias("s_end"))
-    counts = M.site_rows(final, q).select("walk_id", "motif", F.posexplode(F.split("site", "")).alias("col", "base")).where("base != ''").groupBy("walk_id", "motif", "col", "base").agg(F.count("*").alias("n"))
-    t = F.sum("n").over(Window.partitionBy("walk_id", "motif", "col"))
-    return counts.withColumn("t", t).join(F.broadcast(b.withColumnRenamed("p", "q")), "base").groupBy("walk_id").agg(F.sum(F.col("n") * F.ln(F.col("n") / F.col("t") / F.col("q"))).alias("map")).agg(F.max_by("walk_id", "map").alias("walk_id"), F.max("map").alias("map"))
+    final = stored(chains(s, d).where("kind = 'final'").select("walk_id", "seq_id", "motif", (F.col("end") - 5).alias("s_start"), (F.col("end") + 1).alias("s_end")), "final")
+    rows = M.site_rows(final, q)
+    terms = M.map_terms(rows, q.crossJoin(F.broadcast(four_walks(s))), b, 6, BLOCKS, by=["walk_id"])
+    return terms.groupBy("walk_id").agg(F.sum("value").alias("map")).agg(F.max_by("walk_id", "map").alias("walk_id"), F.max("map").alias("map"))
 
 
 BLOCKS = [0.2, 0.3, 0.5]
@@ -101,18 +102,24 @@ def bayes_factor(s, d):
 
 
 def population(s, d):
-    """Four candidates for each motif: the models of the sites, more and more sharpened."""
+    """Four sets of all motifs: the models of the sites, more and more sharpened."""
     _, _, p, _ = base(s, d)
-    w = Window.partitionBy("candidate_id", "col")
-    many = p.crossJoin(F.broadcast(four_walks(s))).select((F.col("walk_id") * 10 + F.col("motif")).alias("candidate_id"), "col", "base", F.pow("p", 1 + F.col("walk_id") / 4).alias("x"))
-    return M.fitness(I.seqs(s, d), many.select("candidate_id", "col", "base", (F.col("x") / F.sum("x").over(w)).alias("p")), 6)
+    w = Window.partitionBy("candidate_id", "model", "col")
+    many = p.crossJoin(F.broadcast(four_walks(s))).select(F.col("walk_id").alias("candidate_id"), F.col("motif").alias("model"), "col", "base", F.pow("p", 1 + F.col("walk_id") / 4).alias("x"))
+    return M.fitness(I.seqs(s, d), many.select("candidate_id", "model", "col", "base", (F.col("x") / F.sum("x").over(w)).alias("p")), 6).withColumn("fitness", F.round("fitness", 3))
 
 
-def random_windows(s, d, width: int = 1000):
-    """A start in each long sequence by a hashed number, kept where the window has no masked run."""
-    q = I.seqs(s, d).where(F.length("nt") >= width)
-    at = F.pmod(F.xxhash64(F.lit(5), "seq_id"), F.length("nt") - width + 1)
-    return q.select("seq_id", at.alias("start"), F.substring(F.col("nt"), (at + 1).cast("int"), F.lit(width)).alias("nt")).where(~F.col("nt").contains("XX"))
+def genome(s, d, size: int = 10_000):
+    """(sizes, chunks): each document's bases are a chromosome."""
+    q = I.seqs(s, d).where(F.length("nt") > 0)
+    chunks = I.chunked(q, 1, size).where("part is not null").select(F.col("seq_id").alias("chrom"), F.col("at").alias("chunk_start"), F.col("part").alias("nt"))
+    return q.select(F.col("seq_id").alias("chrom"), F.length("nt").cast("long").alias("size")), chunks
+
+
+def random_windows(s, d, width: int = 60):
+    """A window for each ten sequences, out of twice as many drawn from the whole genome."""
+    sizes, chunks = genome(s, d)
+    return V.random_windows(sizes, chunks, max(1, sizes.count() // 10), width, 5)
 
 
 def columns(s, d):
@@ -169,7 +176,12 @@ QUERIES = {
     "score_map": (map_score, sql(*ALL, BACKGROUND, map_sql("m"), "SELECT term, round(value, 3) AS value FROM m")),
     "score_map_by_sequence": (map_by_sequence, sql(*ALL, BACKGROUND, map_sql("m", "seq_id"), "SELECT seq_id, count(*) AS n_terms, round(sum(value), 4) AS value FROM m GROUP BY seq_id")),
     "score_bayes_factor": (bayes_factor, sql(*ALL, BACKGROUND, map_sql("m"), map_sql("g", "grp"), "SELECT term, round(t - value, 3) AS bf FROM m JOIN (SELECT term, sum(value) AS t FROM g GROUP BY term) USING (term)")),
-    "score_population": (population, None),
+    "score_population": (
+        population,
+        sql(*ALL, "k AS (SELECT site, count(*) AS times FROM win6 WHERE regexp_full_match(site, '[ACGT]+') GROUP BY site)", f"o AS (SELECT site FROM k UNION SELECT {REV.format('site')} FROM k)", "s AS (SELECT c, motif, col, base, pow(p, 1 + c / 4.0::DOUBLE) / sum(pow(p, 1 + c / 4.0::DOUBLE)) OVER (PARTITION BY c, motif, col) AS p FROM pwm CROSS JOIN range(4) r(c))",
+            "q AS (SELECT c, site, motif, exp(sum(ln(p.p))) AS f FROM (SELECT site, unnest(range(0, 6)) AS col FROM o) w JOIN s p ON p.col = w.col AND p.base = substr(w.site, w.col + 1, 1) GROUP BY ALL)", f"b AS (SELECT q.c, k.site, k.times, q.motif, greatest(q.f, r.f) AS b FROM k JOIN q ON q.site = k.site JOIN q r ON r.site = {REV.format('k.site')} AND r.motif = q.motif AND r.c = q.c)",
+            "t AS (SELECT c, motif, exp(sum(ln(p))) AS w FROM (SELECT c, motif, base, max(p) AS p FROM s GROUP BY ALL) GROUP BY c, motif)", "x AS (SELECT c, times, b * w * coalesce(exp(sum(ln(1 - b)) OVER (PARTITION BY c, site ORDER BY motif ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS v FROM b JOIN t USING (c, motif))", "SELECT c AS candidate_id, round(sum(times * v)::DOUBLE, 3) AS fitness FROM x GROUP BY c"),
+    ),
     "sample_genome_windows": (random_windows, None),
     "centroid_sites": (lambda s, d: G.centroid_sites(I.samples(s, d).groupBy("seq_id", (F.col("pos") % 8 + 6).alias("end")).agg(F.sum("n").alias("n")), None, 6), None),
     "credibility": (

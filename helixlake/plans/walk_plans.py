@@ -103,11 +103,12 @@ QUERIES = {
         sql(SAMPLES, KS, KS_P, "SELECT step, round(avg(d), 6) AS d_mean, round(stddev_pop(d), 6) AS d_std, round(min(d), 6) AS d_min, round(max(d), 6) AS d_max, round(avg(p), 6) AS p_mean, round(stddev_samp(p), 6) AS p_std, round(min(p), 6) AS p_min, round(max(p), 6) AS p_max FROM ksp GROUP BY step"),
     ),
     "test_wilcoxon": (
-        lambda s, d: R6(K.wilcoxon(wilcoxon_pairs(s, d)), "w_plus", "w_minus", "z"),
+        lambda s, d: R6(K.wilcoxon(wilcoxon_pairs(s, d)), "w_plus", "w_minus", "z", "p"),
         sql(SAMPLES, "df AS (SELECT motif, n - (pos % 13 + 1) AS d FROM samples WHERE n <> pos % 13 + 1)", "r AS (SELECT motif, d, rank() OVER (PARTITION BY motif ORDER BY abs(d)) + (count(*) OVER (PARTITION BY motif, abs(d)) - 1) / 2.0::DOUBLE AS r FROM df)",
             "t AS (SELECT motif, sum(c * c * c - c) AS ties FROM (SELECT motif, abs(d) AS a, count(*)::DOUBLE AS c FROM df GROUP BY ALL) GROUP BY motif)",
             "w AS (SELECT motif, count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS p, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS m FROM r GROUP BY motif)",
-            "SELECT motif, n, round(p, 6) AS w_plus, round(m, 6) AS w_minus, round((p - n * (n + 1) / 4.0::DOUBLE) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0::DOUBLE - ties / 48), 6) AS z FROM w JOIN t USING (motif)"),
+            "y AS (SELECT motif, n, p, m, (p - n * (n + 1) / 4.0::DOUBLE) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0::DOUBLE - ties / 48) AS z FROM w JOIN t USING (motif))", "e AS (SELECT *, 1 / (1 + 0.3275911 * abs(z) / sqrt(2.0::DOUBLE)) AS u FROM y)",
+            "SELECT motif, n, round(p, 6) AS w_plus, round(m, 6) AS w_minus, round(z, 6) AS z, round(((((1.061405429::DOUBLE * u - 1.453152027) * u + 1.421413741) * u - 0.284496736) * u + 0.254829592) * u * exp(-z * z / 2), 6) AS p FROM e"),
     ),
     "win_ranks": (
         lambda s, d: wilcoxon_pairs(s, d).groupBy("motif", F.abs(F.col("x") - F.col("y")).alias("a")).agg(F.count("*").alias("c")).select("motif", "a", "c", (F.sum("c").over(Window.partitionBy("motif").orderBy("a").rowsBetween(Window.unboundedPreceding, 0)) - (F.col("c") - 1) / 2).alias("rank")),

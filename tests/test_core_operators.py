@@ -89,11 +89,11 @@ def test_chains_resume_and_repeat(spark):
     q = seqs(spark, *planted)
     bg = S.background(q)
     walks = spark.range(2).withColumnRenamed("id", "walk_id")
-    cfg = G.Config(widths=(8,), max_sites=1, burn_in=25, samples=10, blocks=(0.02, 0.98))
+    cfg = G.Config(widths=(8,), max_sites=1, burn_in=16, samples=4, blocks=(0.02, 0.98))
     whole = sorted(map(tuple, G.gibbs_walks(q, walks, bg, cfg).collect()))
     again = sorted(map(tuple, G.gibbs_walks(q.repartition(5), walks.repartition(2), bg, cfg).collect()))
-    half = G.gibbs_walks(q, walks, bg, cfg, until=20)
-    assert whole == again == sorted(map(tuple, G.gibbs_walks(q, walks, bg, cfg, half, done=20).collect()))
+    half = G.gibbs_walks(q, walks, bg, cfg, until=13)
+    assert whole == again == sorted(map(tuple, G.gibbs_walks(q, walks, bg, cfg, half, done=13).collect()))
     samples = [r for r in whole if r[1] == "sample"]
     assert all(r[5] <= cfg.samples for r in samples)
     final = {(r[0], r[2]): r[4] for r in whole if r[1] == "final"}
@@ -158,12 +158,35 @@ def test_models(spark, sf_dir):
 
     q = I.seqs(spark, sf_dir)
     counts = M.motif_counts(I.sites(q))
-    for pwm in (M.normalised(counts), M.pwm_palindromic(counts), M.em_refine(q, M.normalised(counts), S.background(q), 6, steps=2)):
+    for pwm in (M.normalised(counts), M.pwm_palindromic(counts), M.em_refine(q, M.normalised(counts), S.background(q), 6, least=6, most=8)[0]):
         assert all(abs(r.s - 1) < 1e-9 for r in pwm.groupBy("motif", "col").agg(F.sum("p").alias("s")).collect())
     got = M.fitness(q, M.normalised(counts).withColumnRenamed("motif", "candidate_id"), 6, compat=True)
     assert got.where("fitness <= 0").count() == 0
 
 
+def test_em_stops_and_rises(spark, sf_dir):
+    from helixlake.sources import inputs as I
+
+    q = I.seqs(spark, sf_dir).where("seq_id < 40")
+    pwm, trace = M.em_refine(q, M.normalised(M.motif_counts(I.sites(q))), S.background(q), 6, tol=1e9, least=7)
+    lls = [r.ll for r in trace.orderBy("step").collect()]
+    assert len(lls) == 7 and lls[-1] > lls[0]
+
+
+def test_best_places_apart(spark):
+    rows = [(1, 0, 0, 1.0), (1, 1, 0, 0.6), (1, 2, 0, 2.0), (1, 5, 1, 1.5), (1, 20, 0, 1.0), (1, 23, 0, 1.0), (1, 40, 0, 9.0)]
+    out = M.apart(spark.createDataFrame(rows, "seq_id long, s_start long, motif int, gain double"), spark.createDataFrame([(1, 42)], "seq_id long, s_start long"), 6)
+    assert sorted((r.s_start, r.motif) for r in out.collect()) == [(2, 0), (20, 0)]
+
+
+def test_random_windows(spark):
+    sizes = spark.createDataFrame([(1, 30), (2, 25), (3, 4)], "chrom long, size long")
+    nt = {1: "ACGTACGTACGTACGTACGTACGTACGTAC", 2: "ACGTAXGTACGTACGTACGTACGTA", 3: "ACGT"}
+    chunks = spark.createDataFrame([(c, i, t[i : i + 10]) for c, t in nt.items() for i in range(0, len(t), 10)], "chrom long, chunk_start long, nt string")
+    out = V.random_windows(sizes, chunks, 40, 6, 1, 10).collect()
+    assert 20 < len(out) <= 40 and all(r.nt == nt[r.chrom][r.start : r.end] and len(r.nt) == 6 and "X" not in r.nt for r in out)
+
+
 def test_centroid(spark):
     draws = spark.createDataFrame([(1, 10, 6), (1, 11, 3), (1, 30, 2), (1, 50, 9)], "seq_id long, end long, n long")
     assert [(r.s_start, r.s_end, r.p) for r in G.centroid_sites(draws, 10, 6).collect()] == [(5, 11, 0.9), (45, 51, 0.9)]
