@@ -19,6 +19,7 @@ texts and words without white space are cut into chunks of CHUNK_BYTES.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -37,6 +38,8 @@ SPACES = b" \t\n\x0b\x0c\r"
 SPACE_BYTES = tuple(SPACES[i : i + 1] for i in range(len(SPACES)))
 #: Bytes of text that are encoded at once.
 SLICE = 2 << 20
+#: Pieces that a worker remembers.
+MEMO = 400_000
 #: Bits of the index into the bitmap of chunks that occur in several texts.
 MAP_BITS = 26
 
@@ -119,14 +122,44 @@ def encoded_chunks(docs: DataFrame, shared: DataFrame, vocabulary: str) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(K.signed(h[at])), pa.array([t.data[lo[i] : hi[i]].tobytes() for i in at.tolist()], pa.binary())], ["h", "chunk"])
 
     def encode(batches):
-        enc = encoder(vocabulary, False)
+        enc = encoder(vocabulary, False, MEMO)
+        kind = stored_kind(enc)
         for batch in K.row_slices(batches, 2000):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(enc.encode(batch.column(1).to_pylist()), pa.binary())], ["h", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.frombuffer(x, "<u4").astype(kind).tobytes() for x in enc.encode(batch.column(1).to_pylist())], pa.binary())], ["h", "ids"])
 
     once = docs.select("text").mapInArrow(find, "h long, chunk binary").groupBy("h").agg(F.min("chunk").alias("chunk"))
     return once.mapInArrow(encode, "h long, ids binary")
 
 
+def stored_kind(enc) -> str:
+    """Numbers that the table of chunks holds ids in."""
+    return "<u2" if len(enc.tokens) <= 1 << 16 else "<u4"
+
+
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text, k) with z, the text under zstandard, in place of text: what moves through a shuffle is half as large."""
+
+    def run(batches):
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in K.row_slices(batches):
+            texts = batch.column(1).cast(pa.large_binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([None if t is None else press.compress(t) for t in texts], pa.binary())], ["doc_id", "k", "z"])
+
+    return docs.select("doc_id", "text", "k").mapInArrow(run, "doc_id long, k long, z binary")
+
+
+def unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, reused) of rows (doc_id, z, reused), few at a time."""
+    import zstandard
+
+    press = zstandard.ZstdDecompressor()
+    for batch in K.row_slices(batches):
+        texts = pa.array([None if z is None else press.decompress(z) for z in batch.column(1).to_pylist()], pa.large_binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), texts, batch.column(2)], ["doc_id", "text", "reused"])
+
+
 def joined(text: bytes, parts: list[tuple[int, int, bytes]], encode) -> bytes:
     """ids of text from those of its parts (start, end, ids), each encoded alone; encode gives a text's ids."""
     out = b""
@@ -153,16 +186,17 @@ def encode_chunked(docs: DataFrame, vocabulary: str, decode: bool = False) -> Da
     dropped(hashes, shared, once)
 
     def run(batches):
-        enc = encoder(vocabulary, False)
+        enc = encoder(vocabulary, False, MEMO)
+        kind = stored_kind(enc)
         one = lambda text: enc.encode([text])[0]
-        for t in K.slices(batches, limit=SLICE):
+        for t in K.slices(unpacked(batches), limit=SLICE):
             lo, hi, doc = chunk_bounds(t)
             h = K.signed(K.spans_hash(t.data, lo, hi, K.EXACT)).tolist()
             first = np.searchsorted(doc, np.arange(t.n + 1)).tolist()
             starts, lo, hi = t.bounds[:-1].tolist(), lo.tolist(), hi.tolist()
             plans, stretches = [], []
             for i, reused in enumerate(t.ids("reused").to_pylist()):
-                known, plan, run_from = {x["h"]: x["ids"] for x in reused or ()}, [], None
+                known, plan, run_from = {x["h"]: np.frombuffer(x["ids"], kind).astype("<u4").tobytes() for x in reused or ()}, [], None
                 for c in range(first[i], first[i + 1]):
                     ids = known.get(h[c])
                     if ids is None:
@@ -188,7 +222,7 @@ def encode_chunked(docs: DataFrame, vocabulary: str, decode: bool = False) -> Da
                 out["decoded"] = pa.array([enc.decode(x) for x in ids], pa.binary())
             yield pa.RecordBatch.from_pydict(out)
 
-    met = full.join(own, "k", "left").select("doc_id", "text", "reused")
+    met = packed_texts(full).join(own, "k", "left").select("doc_id", "z", "reused")
     return met.mapInArrow(run, "doc_id long, ids binary" + ", decoded binary" * decode)
 
 
