@@ -106,7 +106,7 @@ def sites(seqs: DataFrame) -> DataFrame:
     One pass cuts a sequence behind each match; only the matches move, to add up their lengths. Two matches can only overlap
     by four bases, and the second of such a pair can't overlap a third, so leftmost matches are those wanted.
     """
-    upto = F.regexp_extract_all("nt", F.lit("(?s).*?CA[ACGT]{2}TG"), F.lit(0))
+    upto = F.regexp_extract_all("nt", F.lit(r"(?s)\G.*?CA[ACGT]{2}TG"), F.lit(0))
     each = seqs.select("seq_id", F.posexplode_outer(upto).alias("k", "m")).where("m is not null").select("seq_id", "k", F.length("m").alias("n"), F.right("m", F.lit(6)).alias("site"))
     end = F.sum("n").over(Window.partitionBy("seq_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
     third = F.substring("site", 3, 1)
