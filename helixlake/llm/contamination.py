@@ -3,9 +3,9 @@
 Terms are words; a window is 10 consecutive words of a benchmark item (all words of a
 shorter item). One pass over the training texts counts the benchmark's terms. Each
 window is then anchored at its RAREST terms; a second pass stores the postings of these
-terms only: term, document, position and the words around it. Offset-adjusted posting lists
-are intersected, rarest first, on (document, window, start), and survivors are compared
-word by word with the words stored beside the rarest posting. So texts are never
+terms only, a row for each document: term, position and the words around it. Offset-adjusted posting lists
+are intersected, rarest first, within the row, and survivors are compared
+word by word with the words stored beside the rarest posting. So neither texts nor postings are
 shuffled, and the index holds rare terms, not the corpus. Proximity matches come from the same lists: the two
 rarest terms that occur stand within SLOP words of their distance in the window, and so many of its terms (NEAR_SHARE)
 within SLOP words of their places.
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixlake.llm import kernel as K
-from helixlake.llm.shared import id_text, saved, table
+from helixlake.llm.shared import dropped, id_text, saved, table
 
 WIDTH, RAREST, MAX_WINDOWS, SLOP, NEAR_SHARE = 10, 2, 100_000, 3, 0.8
 
@@ -109,67 +109,121 @@ def _array(rows: DataFrame) -> np.ndarray:
     return np.sort(np.array([r[0] for r in rows.collect()], dtype=np.int64).view(K.U64))
 
 
-def _block_matches(index: DataFrame, anchored: DataFrame) -> DataFrame:
-    anchored = anchored.where("exact")
-    small = F.broadcast(anchored.select("wid", "term", "off", "rank", F.least(F.size("terms"), F.lit(RAREST)).alias("need")))
-    each = index.select("doc_id", F.explode("postings").alias("p")).select("doc_id", "p.term", "p.pos", "p.near")
-    lists = each.join(small, "term").select("doc_id", "wid", (F.col("pos") - F.col("off")).alias("start"), "rank", "off", "need", F.when(F.col("rank") == 1, F.col("near")).alias("near"))
-    met = lists.where("start >= 0").groupBy("doc_id", "wid", "start", "need").agg(F.count("*").alias("n"), F.max("near").alias("near"), F.max(F.when(F.col("rank") == 1, F.col("off"))).alias("off")).where("n = need")
-    full = F.broadcast(anchored.where("rank = 1").select("wid", "terms"))
-    size = F.size("terms")
-    same = F.slice("near", F.lit(WIDTH) - F.col("off"), size) == F.col("terms")
-    return met.join(full, "wid").where(same).select("doc_id", "wid", "start", (F.col("start") + size).alias("end"))
-
+class Anchors:
+    """The windows of a block (MAX_WINDOWS at most) with their rarest terms, as arrays sorted by term; sent to all tasks."""
+
+    def __init__(self, anchored: DataFrame):
+        rows = anchored.toArrow()
+        term = rows["term"].to_numpy().view(K.U64)
+        order = np.argsort(term, kind="stable")
+        self.term, self.off, self.rank = term[order], rows["off"].to_numpy()[order].astype(np.int64), rows["rank"].to_numpy()[order]
+        self.wids, first, of = np.unique(rows["wid"].to_numpy(), return_index=True, return_inverse=True)
+        self.window = of[order]
+        lists = rows["terms"].combine_chunks()
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)[first]
+        begin = (lists.offsets.to_numpy()[:-1].astype(np.int64) - lists.offsets.to_numpy()[0])[first]
+        flat = lists.flatten().to_numpy().view(K.U64)
+        self.terms, self.sizes = np.zeros((len(first), WIDTH), K.U64), sizes
+        for i in range(WIDTH):
+            has = sizes > i
+            self.terms[has, i] = flat[begin[has] + i]
+        self.exact = rows["exact"].to_numpy(zero_copy_only=False)[first]
+
+    def lists(self, term: np.ndarray, pos: np.ndarray, doc: np.ndarray):
+        """(rank, posting, document, window, offset-adjusted start) of each place of a posting's term in a window."""
+        lo, hi = np.searchsorted(self.term, term), np.searchsorted(self.term, term, side="right")
+        n = hi - lo
+        posting = np.repeat(np.arange(len(term)), n)
+        at = np.arange(len(posting)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        return self.rank[at], posting, doc[posting], self.window[at], pos[posting] - self.off[at], self.off[at]
+
+
+HIT = "doc_id long, wid long, start long, end long, gap long, n_near long, exact boolean"
+
+
+def intersected(index: DataFrame, anchored: DataFrame, slop: int = SLOP, share: float = NEAR_SHARE) -> DataFrame:
+    """(doc_id, wid, start, end, gap, n_near, exact): the matches of windows in documents; start is where the window begins by its rarest term.
+
+    A document's posting lists are in one row, so the lists of a window's rarest terms, moved by their offsets, meet in the row: where
+    they are gap <= slop words apart. Then the words beside the rarest posting are compared: exact, if all are those of the
+    window in place; and n_near of them are within slop words of their places. Kept are exact matches, and those with the
+    given share of words near.
+    """
+    shared = index.sparkSession.sparkContext.broadcast(Anchors(anchored))
+    kinds = pa.schema([("doc_id", pa.int64()), ("wid", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("gap", pa.int64()), ("n_near", pa.int64()), ("exact", pa.bool_())])
 
-def matches(docs: DataFrame, found: DataFrame, slop: int = SLOP) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, n_words) of all documents, (doc_id, wid, start, end) of every exact occurrence of a window, and the proximity matches."""
+    def run(batches):
+        w = shared.value
+        for batch in K.row_slices(batches):
+            lists = batch.column(1)
+            rows = lists.flatten()
+            doc = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            term, pos = rows.field(0).to_numpy().view(K.U64), rows.field(1).to_numpy()
+            near = rows.field(2).flatten().to_numpy().view(K.U64).reshape(-1, 2 * WIDTH - 1)
+            rank, posting, d, window, start, off = w.lists(term, pos, doc)
+            key = (d * max(len(w.wids), 1) + window) * (1 << 32) + start + WIDTH
+            second = np.sort(key[rank == 2])
+            one = np.flatnonzero(rank == 1)
+            low = np.searchsorted(second, key[one] - slop)
+            met = (low < np.searchsorted(second, key[one] + slop, side="right")) | (w.sizes[window[one]] == 1)
+            one, low = one[met], low[met]
+            gap = np.zeros(len(one), np.int64)
+            if len(second):
+                right = np.searchsorted(second, key[one])
+                gap = np.minimum(np.abs(second[np.minimum(right, len(second) - 1)] - key[one]), np.abs(second[np.maximum(right - 1, 0)] - key[one]))
+            gap[w.sizes[window[one]] == 1] = 0
+            g, o, beside = window[one], off[one], near[posting[one]]
+            same, found = np.ones(len(one), bool), np.zeros(len(one), np.int64)
+            for i in range(WIDTH):
+                has = w.sizes[g] > i
+                there = np.zeros(len(one), bool)
+                for j in range(-slop, slop + 1):
+                    at = WIDTH - 1 + i - o + j
+                    inside = has & (at >= 0) & (at < 2 * WIDTH - 1)
+                    hit = inside & (beside[np.arange(len(one)), np.clip(at, 0, 2 * WIDTH - 2)] == w.terms[g, i])
+                    there |= hit
+                    if j == 0:
+                        same &= hit | ~has
+                found += there
+            exact = same & w.exact[g] & (start[one] >= 0) & (gap == 0)
+            keep = exact | (found >= np.ceil(share * w.sizes[g] - 1e-9)) & (w.sizes[g] > 1)
+            s = start[one][keep]
+            ids = batch.column(0).take(pa.array(d[one][keep]))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(w.wids[g[keep]]), pa.array(s), pa.array(s + w.sizes[g[keep]]), pa.array(gap[keep]), pa.array(found[keep]), pa.array(exact[keep])], schema=kinds)
+
+    return index.select("doc_id", "postings").mapInArrow(run, HIT)
+
+
+def matches(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_words) of all documents, and the exact and proximity matches of every window."""
     distinct = saved(found.select("wid", "terms").distinct(), "windows")
     blocks = max(1, -(-distinct.count() // MAX_WINDOWS))
-    sizes, hits, near = None, None, None
+    sizes, hits = None, None
     for b in range(blocks):
         part = distinct.where(F.pmod("wid", F.lit(blocks)) == b)
         counts = saved(term_counts(docs, _array(part.select(F.explode("terms")).distinct())), "terms")
         anchored = saved(anchors(part, counts), "anchors")
         index = saved(postings(docs, _array(anchored.select("term").distinct())), "postings")
-        more = _block_matches(index, anchored)
-        sizes = index.select("doc_id", "n_words") if sizes is None else sizes
+        more = saved(intersected(index, anchored), "hits")
+        if sizes is None:
+            sizes = saved(index.select("doc_id", "n_words"), "sizes")
         hits = more if hits is None else hits.union(more)
-        close = proximity_matches(index, anchored, slop)
-        near = close if near is None else near.union(close)
-    return sizes, saved(hits, "hits"), near
-
-
-def proximity_matches(index: DataFrame, anchored: DataFrame, slop: int, share: float = NEAR_SHARE) -> DataFrame:
-    """(doc_id, wid, start, gap, n_near): the two rarest terms of a window, gap <= slop words nearer or farther apart than in it, with n_near of its terms near their places.
-
-    index: as from postings(); anchored: as from anchors(). Positions are grouped into strips as wide as
-    the slop, so that only neighbouring strips meet. A term is looked for within slop words of its place, beside the rarest one.
-    """
-    each = index.select("doc_id", F.explode("postings").alias("p")).select("doc_id", "p.term", "p.pos", "p.near")
-    small = F.broadcast(anchored.select("wid", "term", "off", "rank"))  # MAX_WINDOWS windows at most
-    lists = each.join(small, "term").select("doc_id", "wid", "rank", "off", (F.col("pos") - F.col("off")).alias("start"), F.when(F.col("rank") == 1, F.col("near")).alias("near"))
-    strip = F.floor(F.col("start") / F.lit(slop + 1))
-    a = lists.where("rank = 1").withColumn("strip", F.explode(F.array(strip - 1, strip, strip + 1)))
-    b = lists.where("rank = 2").select("doc_id", "wid", F.col("start").alias("other"), strip.alias("strip"))
-    gap = F.abs(F.col("start") - F.col("other"))
-    met = a.join(b, ["doc_id", "wid", "strip"]).where(gap <= slop).groupBy("doc_id", "wid", "start").agg(F.min(gap).alias("gap"), F.first("off").alias("off"), F.first("near").alias("near"))
-    met = met.join(F.broadcast(anchored.where("rank = 1").select("wid", "terms")), "wid")
-    there = lambda t, i: F.exists(F.sequence(F.lit(-slop), F.lit(slop)), lambda j: F.coalesce(F.get("near", F.lit(WIDTH - 1) + i - F.col("off") + j) == t, F.lit(False)))
-    found = F.size(F.filter(F.transform("terms", there), lambda x: x))
-    return met.withColumn("n_near", found).where(F.col("n_near") >= F.ceil(F.lit(share) * F.size("terms"))).select("doc_id", "wid", "start", "gap", "n_near")
+        dropped(index)
+    return sizes, hits
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (sorted as strings), contaminated and n_near (windows with a proximity match) for each document."""
     found = saved(windows(items), "items")
-    sizes, hits, near = matches(docs, found)
+    sizes, all_hits = matches(docs, found)
+    hits = all_hits.where("exact")
     per_start = hits.groupBy("doc_id", "start").agg(F.max("end").alias("end"))
     w = Window.partitionBy("doc_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(F.max("end").over(w), F.lit(0))))
     covered = per_start.select("doc_id", fresh.alias("fresh")).groupBy("doc_id").agg(F.sum("fresh").alias("n_hit"))
     of_doc = hits.select("doc_id", "wid").distinct().join(found.select("wid", "item_id"), "wid").select("doc_id", "item_id").distinct()
     named = of_doc.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("items"))
-    close = near.groupBy("doc_id").agg(F.countDistinct("wid").alias("n_near"))
+    close = all_hits.where((F.col("n_near") >= F.ceil(F.lit(NEAR_SHARE) * (F.col("end") - F.col("start")))) & (F.col("end") - F.col("start") > 1)).groupBy("doc_id").agg(F.countDistinct("wid").alias("n_near"))
     out = sizes.join(covered, "doc_id", "left").join(named, "doc_id", "left").join(close, "doc_id", "left")
     n_hit, names = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), names.alias("items"), (n_hit > 0).alias("contaminated"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
