@@ -112,7 +112,7 @@ def test_proximity(spark):
     found = contamination.windows(items)
     terms = contamination._array(found.select(F.explode("terms")))
     anchored = contamination.anchors(found, contamination.term_counts(docs, terms))
-    out = contamination.proximity_matches(contamination.postings(docs, terms), anchored, 2)
+    out = contamination.intersected(contamination.postings(docs, terms), anchored, 2)
     assert sorted((r.doc_id, r.gap, r.n_near) for r in out.collect()) == [(1, 2, 2), (3, 0, 2)]
 
 
