@@ -111,7 +111,8 @@ def kmer_canonical(seqs: DataFrame, k: int = 6) -> DataFrame:
 
 
 def common_kmers(kmers: DataFrame, min_total: int = 2, min_bases: int = 4) -> DataFrame:
-    return kmers.where((F.col("total") >= min_total) & (N.distinct_bases("kmer") >= min_bases))
+    # one condition on the total and the k-mer: a condition on the k-mer alone would be pushed down to every window
+    return kmers.where(F.when(F.col("total") >= min_total, N.distinct_bases("kmer")).otherwise(0) >= min_bases)
 
 
 def sort_kmers(kmers: DataFrame) -> DataFrame:
