@@ -376,6 +376,38 @@ def test_licenses_with_inserted_and_replaced_words(spark):
     assert 8 not in got and sorted(got[9]) == mit(*((5, 5 * i, 5 * i + 5) for i in range(400)))
 
 
+def test_license_query(spark):
+    """Over a whole table: each occurrence of a notice is reported whole, and what is reported is that common subsequence of its span."""
+    import json
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    words = {name: ALNUM.findall(t.translate(LOWER)) for name, t in licenses.TEMPLATES.items()}
+    folder = "/root/testdata/sf0.01"
+    texts = given(spark, folder)
+    got = {r.doc_id: json.loads(r.matches or "[]") for r in licenses.op5_licenses(spark, folder).collect()}
+    assert got.keys() == texts.keys()
+    n = 0
+    for d, t in texts.items():
+        w = ALNUM.findall((t or "").translate(LOWER))
+        for name, own in words.items():
+            spans = [(m["first_word"], m["end_word"]) for m in got[d] if m["license"] == name]
+            for i in (i for i in range(len(w) - len(own) + 1) if w[i] == own[0] and w[i : i + len(own)] == own):
+                n += 1
+                assert any(a <= i and i + len(own) <= b for a, b in spans), (d, name)
+        for m in got[d]:
+            own = words[m["license"]]
+            assert m["matched"] == common(own, w[m["first_word"] : m["end_word"]]) >= licenses.LEAST_COVERAGE * len(own) - 1e-9
+    assert n > 10
+
+
 def test_alignment_is_a_banded_common_subsequence():
     import numpy as np
 
@@ -511,6 +543,37 @@ def test_quality(spark, sf_dir, awkward, empty):
     assert quality.quality(empty).count() == 0
 
 
+def test_quality_verdicts(spark):
+    """Verdicts by plain quantiles of the groups' rates in buckets, on a table where groups of both sizes occur."""
+    q = quality
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    docs = docs.withColumn("source", F.when(F.col("doc_id") % 2 == 0, F.lit("half")).otherwise(F.col("source")))
+    rows = [r.asDict() for r in q.text_counts(docs).collect()]
+    rate = {
+        "symbol_rate": lambda r: r["n_symbols"] / max(r["word_chars"], 1), "dup_line_rate": lambda r: r["n_dup_lines"] / max(r["n_lines"], 1),
+        "repeat_rate": lambda r: r["n_repeat_words"] / max(r["n_words"], 1), "upper_rate": lambda r: r["n_upper"] / max(r["n_letters"], 1),
+    }
+    failed = {r["doc_id"]: r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"] for r in rows}
+    step = math.log1p(q.ERROR)
+    zero = math.ceil(math.log(q.LEAST) / step)
+
+    def fence(values):
+        b = sorted(math.ceil(math.log(max(v, q.LEAST)) / step) for v in values)
+        at = lambda share: (lambda k: 0.0 if k <= zero else math.exp(k * step))(b[math.ceil(share * len(b)) - 1])
+        return at(q.HIGH_Q) + q.SPREAD * (at(q.HIGH_Q) - at(q.MIDDLE_Q))
+
+    good = [r for r in rows if not failed[r["doc_id"]]]
+    group, lang = defaultdict(list), defaultdict(list)
+    for r in good:
+        group[r["lang"], r["source"]].append(r)
+        lang[r["lang"]].append(r)
+    limit = {(g, k): max(q.FLOORS[k], fence([f(r) for r in (rs if len(rs) >= q.MIN_GROUP else lang[g[0]])])) for g, rs in group.items() for k, f in rate.items()}
+    assert len({v for (_, k), v in limit.items() if k == "upper_rate"}) > 2 and {len(rs) >= q.MIN_GROUP for rs in group.values()} == {True, False}
+    want = {r["doc_id"]: not failed[r["doc_id"]] and all(f(r) <= limit.get(((r["lang"], r["source"]), k), q.FLOORS[k]) for k, f in rate.items()) for r in rows}
+    got = {r.doc_id: r.kept for r in q.quality(docs).collect()}
+    assert got == want and 0 < sum(want.values()) < len(want) - sum(failed.values())
+
+
 def test_quality_sketches_merge(spark):
     """Quantiles of merged sketches are those of all values, within the sketch's error."""
     rows = [(i, "en", f"s{i % 3}", 100, 1000, i % 101, 0, 0, 10, 0, 100) for i in range(3000)]
