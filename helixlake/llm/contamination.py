@@ -154,7 +154,7 @@ def intersected(index: DataFrame, anchored: DataFrame, slop: int = SLOP, share:
 
     def run(batches):
         w = shared.value
-        for batch in K.row_slices(batches):
+        for batch in K.row_slices(batches, 16):
             lists = batch.column(1)
             rows = lists.flatten()
             doc = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
@@ -204,7 +204,8 @@ def matches(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
         counts = saved(term_counts(docs, _array(part.select(F.explode("terms")).distinct())), "terms")
         anchored = saved(anchors(part, counts), "anchors")
         index = saved(postings(docs, _array(anchored.select("term").distinct())), "postings")
-        more = saved(intersected(index, anchored), "hits")
+        # a document with a passage of the benchmark has many postings, so few rows go to a worker at once
+        more = saved(intersected(index, anchored), "hits", 64)
         if sizes is None:
             sizes = saved(index.select("doc_id", "n_words"), "sizes")
         hits = more if hits is None else hits.union(more)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 #: Spark's own setting: a job's shuffle files are removed when it ends, as nothing reads them after that.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,15 +40,18 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def saved(df: DataFrame, tag: str) -> DataFrame:
-    """df, written once to the shared folder and read back; the job's shuffle files go when it has ended."""
+def saved(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """df, written once to the shared folder and read back; the job's shuffle files go when it has ended. rows: most rows that Python workers get at once."""
     spark = df.sparkSession
-    path, before = new_path(spark, tag), spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    path, own = new_path(spark, tag), {CLEANUP: "true"} | ({} if rows is None else {BATCH: str(rows)})
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
