@@ -350,13 +350,18 @@ def shift_move(sites: DataFrame, seqs: DataFrame, bg: DataFrame, w: int, max_shi
     """Sites with each motif moved by the shift of -max_shift..max_shift that a draw by its model's likelihood picks.
 
     One exploded aggregation counts the columns of all shifts. A shift under which a site would leave its
-    sequence or meet a masked base is not possible.
+    sequence, or meet a masked base or a site of another motif, is not possible.
     """
     shifts = F.explode(F.sequence(F.lit(-max_shift), F.lit(max_shift)))
     met = sites.select("seq_id", "motif", "s_start").join(seqs.select("seq_id", "nt"), "seq_id").withColumn("shift", shifts)
     at = F.col("s_start") + F.col("shift")
     moved = met.withColumn("site", F.when((at >= 0) & (at + w <= F.length("nt")), F.substring(F.col("nt"), (at + 1).cast("int"), F.lit(w))))
     ok = moved.groupBy("motif", "shift").agg(F.min(F.coalesce(F.col("site").rlike("^[ACGT]+$"), F.lit(False))).alias("ok")).where("ok")
+    wide = max(w, 64)
+    bins = lambda c: F.explode(F.array_distinct(F.array(F.floor(c / wide), F.floor((c + w - 1) / wide))))
+    others = sites.select("seq_id", F.col("motif").alias("om"), F.col("s_start").alias("os"), bins(F.col("s_start")).alias("bin"))
+    clash = moved.where("shift != 0").select("seq_id", "motif", "shift", at.alias("at"), bins(at).alias("bin")).join(others, ["seq_id", "bin"]).where((F.col("om") != F.col("motif")) & (F.abs(F.col("at") - F.col("os")) < w))
+    ok = ok.join(clash.select("motif", "shift").distinct(), ["motif", "shift"], "left_anti")
     counts = moved.join(ok.select("motif", "shift"), ["motif", "shift"], "left_semi").select("motif", "shift", F.posexplode(F.split("site", "")).alias("col", "base")).where("base != ''").groupBy("motif", "shift", "col", "base").agg(F.count("*").alias("n"))
     q = F.broadcast(bg.withColumnRenamed("p", "q"))
     total = F.sum("n").over(Window.partitionBy("motif", "shift", "col"))

@@ -200,6 +200,16 @@ def test_shift_keeps_sites_legal(spark):
     assert len({r.s_start - s for r, s in zip(sorted(out, key=lambda r: r.seq_id), (1, 1, 0))}) == 1 and all(0 <= r.s_start and r.s_end <= 10 for r in out)
 
 
+def test_shift_stops_at_other_motifs(spark):
+    """Two motifs side by side can't move towards each other, however the draw falls."""
+    q = seqs(spark, "ACGTACGTACGTACGT")
+    bg = spark.createDataFrame([(b, 0.25) for b in "ACGT"], "base string, p double")
+    sites = spark.createDataFrame([(0, 0, 4, 8), (0, 1, 8, 12)], "seq_id long, motif int, s_start long, s_end long")
+    for seed in range(6):
+        at = {r.motif: r.s_start for r in G.shift_move(sites, q, bg, 4, 2, seed).collect()}
+        assert at[0] <= 4 and at[1] >= 8
+
+
 def test_text_round_trips(spark, tmp_path):
     q = seqs(spark, "ACGTX", "GGGA", "TTTTTTTT")
     T.write_fasta(q.coalesce(1), f"{tmp_path}/fa")
