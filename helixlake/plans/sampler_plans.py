@@ -10,7 +10,6 @@ from helixlake.operators import intervals as V
 from helixlake.operators import motifs as M
 from helixlake.operators import samplers as G
 from helixlake.operators import sequences as S
-from helixlake.operators import walks as K
 from helixlake.plans.duck import BACKGROUND, COUNTS, PWM, REV, SAMPLES, SEQS, SITES, sql
 from helixlake.sources import inputs as I
 from helixlake.sources import text as T
