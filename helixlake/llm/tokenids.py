@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import struct
 import uuid
-import zlib
 
 import numpy as np
 import pyarrow as pa
