@@ -1,0 +1,236 @@
+"""Operators 11 to 13 against brute force and SQL, on given tables and on awkward rows."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+from pathlib import Path
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from helixlake.llm import langid, registry, trie, vector_codes
+from helixlake.llm.shared import table
+
+SPACED = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def rows_of(df, *cols):
+    return sorted((tuple(r) for r in df.select(*cols).collect()), key=repr)
+
+
+@pytest.mark.parametrize("name", ["op11_prefix_trie", "op13_vector_codes"])
+def test_agrees_with_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for t in ("conversations", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    out = registry.queries()[name](spark, sf_dir)
+    want = con.sql(registry.oracle_sql()[name])
+    assert out.columns == want.columns
+    assert rows_of(out, *out.columns) == sorted(want.fetchall(), key=repr)
+
+
+# 11
+
+TRIE = ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def brute_trie(rows):
+    by = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            by[c].append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [t[2:] for t in sorted(v)] for c, v in by.items()}
+    full = {}
+    for c, t in own.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        full[c] = own.get(c - int(math.fmod(c, 20)), [])[:h] + t[h:]
+    members, ends = defaultdict(list), defaultdict(list)
+    for c, t in full.items():
+        ends[tuple(t)].append(c)
+        for d in range(len(t) + 1):
+            members[tuple(t[:d])].append(c)
+    kids = Counter(k[:-1] for k in members if k)
+    leaves, saved = Counter(), Counter()
+    for k, m in members.items():
+        own_saved = (len(m) - 1) * len(SPACED.findall(k[-1][1])) if k else 0
+        for d in range(len(k) + 1):
+            leaves[k[:d]] += not kids[k]
+            saved[k[:d]] += own_saved
+    digest = lambda k: hashlib.sha256(",".join(map(str, sorted(ends[k]))).encode()).hexdigest()
+    return sorted(((min(m), len(k), min(members[k[:-1]]) if k else None, len(m), kids[k], leaves[k], saved[k], digest(k)) for k, m in members.items()), key=repr)
+
+
+def conversations(spark, rows):
+    return spark.createDataFrame([(*r, 1, "key") for r in rows], "conv_id long, turn long, role string, text string, n long, key string").repartition(5)
+
+
+def awkward_conversations():
+    rows = [(None, 0, "user", "lost"), (0, None, "user", "first"), (0, 0, None, None), (0, 1, "user", "x" * 50_000), (0, 1, "user", "a  b"), (0, 1, "assistant", "z"), (0, 1, "user", "a  b")]
+    rows += [(-3, 0, "user", "neg"), (-20, 1, "user", "base of it"), (17, 0, "user", None), (5, 2, "", "\n"), (41, 0, "user", "no base"), (2**40, 3, "user", "far")]
+    for c in range(60, 300):  # copies and shared beginnings over many pieces
+        rows += [(c, k, "user" if k % 2 == 0 else "assistant", f"turn {k}" if c % 3 else f"turn {min(k, 2)} of {c % 7}") for k in range(6)]
+    return rows + [(500, k, "user", f"deep {k}") for k in range(300)] + [(501, k, "user", f"deep {k}") for k in range(299)]
+
+
+@pytest.mark.parametrize("most", [1, 40, trie.CODES])
+def test_trie_brute_force(spark, most):
+    rows = awkward_conversations()
+    assert rows_of(trie.conversation_trie(conversations(spark, rows), most), *TRIE) == brute_trie(rows)
+
+
+def test_trie_of_given_table(spark, sf_dir):
+    rows = [tuple(r) for r in table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").collect()]
+    assert rows_of(trie.op11_prefix_trie(spark, sf_dir), *TRIE) == brute_trie(rows)
+
+
+def test_trie_of_nothing(spark):
+    frame = conversations(spark, [(1, 0, "user", "x")])
+    assert trie.conversation_trie(frame.where("false")).count() == 0
+    assert trie.conversation_trie(frame.where("conv_id is null")).count() == 0
+
+
+def test_search_tree_is_balanced():
+    """Siblings inserted by median stand at a depth of their logarithm."""
+    tree = trie.SearchTree()
+    trie.balanced(tree, [([k], [1], [k]) for k in range(1023)])
+
+    def height(node):
+        return 0 if node < 0 else 1 + max(height(tree.lo[node]), height(tree.hi[node]))
+
+    assert height(tree.eq[0]) == 10 and tree.members[0] == 1023
+    assert [tree.child(0, k) >= 0 for k in (0, 511, 1022, 1023)] == [True, True, True, False]
+
+
+# 12
+
+
+def brute_languages(docs, dimensions):
+    """Vectors as Python lists, bound and added letter by letter."""
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    vectors = {}
+
+    def letter(c):
+        if c not in vectors:
+            code = 0 if c == " " else ord(c)
+            words = [mix(mix((code * 0x5851F42D4C957F2D + j * 0x9E3779B97F4A7C15) & mask)) for j in range(1, dimensions // 64 + 1)]
+            raw = b"".join(w.to_bytes(8, "little") for w in words)
+            vectors[c] = [1 - 2 * (raw[i // 8] >> (7 - i % 8) & 1) for i in range(dimensions)]
+        return vectors[c]
+
+    def bundle(text):
+        folded = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text or "")
+        padded = f" {' '.join(folded.split())} "
+        total = np.zeros(dimensions)
+        for i in range(len(padded) - 2 if padded.strip() else 0):
+            a, b, c = (np.array(letter(x)) for x in padded[i : i + 3])
+            total += np.roll(a, 2) * np.roll(b, 1) * c
+        return total
+
+    held = {d: zlib.crc32(b"" if d is None else str(d).encode()) % 5 == 0 for d, _, _ in docs}
+    sums = {}
+    for d, text, lang in docs:
+        if not held[d] and text is not None and lang is not None:
+            sums[lang] = sums.get(lang, 0) + bundle(text)
+    units = {k: v / np.linalg.norm(v) for k, v in sorted(sums.items()) if v.any()}
+    mean = sum(units.values()) / len(units) if len(units) > 1 else 0
+    out = []
+    for d, text, _ in docs:
+        own = bundle(text)
+        if not own.any() or not units:
+            out.append((d, held[d], "und", 0.0))
+            continue
+        close = {k: float(own @ (v - mean) / np.linalg.norm(own) / np.linalg.norm(v - mean)) for k, v in units.items()}
+        best = max(close, key=close.get)
+        out.append((d, held[d], best, round(min(max(close[best], 0), 1), 6)))
+    return sorted(out, key=repr)
+
+
+LETTERS = [
+    (1, "the house and the garden of the king", "en"), (2, "das haus und der garten des königs", "de"), (3, "la maison et le jardin du roi", "fr"), (4, "THE KING, and his houses!", "en"), (5, None, "en"), (6, "", "de"),
+    (7, "123 ... 45", "fr"), (8, "Der König ist nicht hier", "de"), (9, "漢字 かな İstanbul ǅ", "xx"), (10, "le roi n'est pas ici", None), (None, "and the rest of them", "en"), (12, "a", "en"), (12, "a", "en"), (13, "und so weiter " * 4000, "de"),
+]
+
+
+@pytest.mark.parametrize("block", [1, 2, 500])
+def test_languages_brute_force(spark, block):
+    docs = spark.createDataFrame([(*r, 0.5, "s") for r in LETTERS], "doc_id long, text string, lang string, score double, cosine string").repartition(3)
+    got = langid.languages(docs, 128, block).withColumn("score", F.round("score", 6))
+    assert rows_of(got, "doc_id", "held_out", "lang_pred", "score") == brute_languages(LETTERS, 128)
+    assert langid.languages(docs.where("false")).count() == 0
+    assert {r.lang_pred for r in langid.languages(docs.withColumn("lang", F.lit(None))).collect()} == {"und"}
+
+
+def test_many_letters_and_rare_grams(spark, monkeypatch):
+    """More letters than a table of n-grams takes, and more n-grams than are bound at once."""
+    wide = "".join(chr(0x4E00 + (i * 7919) % 9000) for i in range(12_000))
+    docs = [(1, wide, "zh"), (2, "plain words", "en"), (3, wide[:300], None), (4, wide[5000:5400], "zh"), (7, "more plain words", "en")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    got = langid.languages(frame, 64).withColumn("score", F.round("score", 6))
+    assert rows_of(got, "doc_id", "held_out", "lang_pred", "score") == brute_languages(docs, 64)
+
+
+def test_language_accuracy(spark, sf_dir):
+    docs = table(spark, str(Path(sf_dir).with_name("sf0.01")), "documents")
+    met = langid.languages(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert len(met) > 150 and sum(r.lang == r.lang_pred for r in met) >= 0.98 * len(met)
+    assert all(0 <= r.score <= 1 for r in met)
+
+
+# 13
+
+
+def brute_codes(rows):
+    kept = [(i, tuple(math.floor(1024 * x) for x in v), lab) for i, v, lab in rows if v is not None and all(x is not None and math.isfinite(x) and abs(x) < 2**18 for x in v)]
+    kept.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    kept = [r for r in kept if len(r[1]) == len(kept[0][1])]
+    n = len(kept[0][1])
+    cut = [sum(n // 4 + (j < n % 4) for j in range(p)) for p in range(5)]
+    part = lambda v, p: v[cut[p] : cut[p + 1]]
+    books = [[part(r[1], p) for r in kept[:256]] for p in range(4)]
+    near = lambda v, p: min((sum((a - b) ** 2 for a, b in zip(part(v, p), e)), i) for i, e in enumerate(books[p]))
+    for _ in range(4):
+        new = []
+        for p in range(4):
+            own = defaultdict(list)
+            for r in kept:
+                own[near(r[1], p)[1]].append(part(r[1], p))
+            new.append([tuple(sum(c) // len(own[i]) for c in zip(*own[i])) if i in own else e for i, e in enumerate(books[p])])
+        books = new
+    digest = hashlib.sha256(",".join(str(x) for b in books for e in b for x in e).encode()).hexdigest()
+    found = [(r[0], "".join(f"{near(r[1], p)[1]:02x}" for p in range(4)), sum(near(r[1], p)[0] for p in range(4)), r[2]) for r in kept]
+    by = Counter()
+    for r in found:
+        by[r[3]] += r[2]
+    return sorted(((i, c, e, by[lab], digest) for i, c, e, lab in found), key=repr)
+
+
+CODES = ("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+@pytest.mark.parametrize("length", [0, 1, 6, 8])
+def test_vector_codes_brute_force(spark, length):
+    draw = np.random.default_rng(length)
+    rows = [(i, [float(x) for x in draw.normal(0, 0.01, length)], i % 5) for i in range(600)]
+    rows += [(3, [0.25] * length, None), (3, [0.25] * length, None), (None, [-0.5] * length, 2), (700, None, 1), (701, [1.0] * (length + 1), 1)]
+    if length:
+        bad = (None, math.nan, math.inf, -math.inf, 1e30)
+        rows += [(-5 - k, [x] + [0.0] * (length - 1), 1) for k, x in enumerate(bad)] + [(800, [200_000.0] * length, None), (801, [-200_000.0] * length, None)]
+    frame = spark.createDataFrame([(*r, "clash", 1) for r in rows], "vec_id long, embedding array<double>, label int, code string, part int").repartition(4)
+    assert rows_of(vector_codes.vector_codes(frame), *CODES) == brute_codes(rows)
+
+
+def test_vector_codes_of_little(spark):
+    frame = spark.createDataFrame([(1, [0.5, 0.5, 0.5, 0.5], None), (2, [0.5, 0.5, 0.5, 0.75], None)], "vec_id long, embedding array<float>, label int")
+    assert [r[:2] for r in rows_of(vector_codes.vector_codes(frame), *CODES)] == [(1, "00000000"), (2, "00000001")]
+    assert vector_codes.vector_codes(frame.where("false")).count() == 0
+    assert vector_codes.vector_codes(frame.withColumn("embedding", F.lit(None).cast("array<float>"))).count() == 0
