@@ -255,13 +255,12 @@ def map_terms(sites: DataFrame, seqs: DataFrame, bg: DataFrame, w: int, blocks:
     cols = sites.select(*keys, "motif", F.posexplode(F.split("site", "")).alias("col", "base")).where("base != ''").groupBy(*keys, "motif", "col", "base").agg(F.count("*").cast("double").alias("n"))
     dense = four(cols, *keys, "motif", "col").join(cols, [*keys, "motif", "col", "base"], "left").join(q, "base").withColumn("n", F.coalesce("n", F.lit(0.0)))
     motif = dirichlet(F.col("n"), F.col("a"), [*keys, "motif", "col"], dense, "v").groupBy(*keys).agg(F.sum("v").alias("value")).withColumn("term", F.lit("motif"))
-    counted = F.explode(F.array(*(F.struct(F.lit(b).alias("base"), (F.length("nt") - F.length(F.replace("nt", F.lit(b), F.lit("")))).cast("double").alias("n")) for b in N.BASES)))
-    total = seqs.select(*keys, counted.alias("c")).groupBy(*keys, "c.base").agg(F.sum("c.n").alias("n"))
+    total = base_totals(seqs, *keys)
     inside = cols.groupBy(*keys, "base").agg(F.sum("n").alias("i"))
     both = total.join(inside, [*keys, "base"], "left").join(q, "base").withColumn("out", F.col("n") - F.coalesce("i", F.lit(0.0)))
     background = dirichlet(F.col("out"), F.col("a"), keys, both, "value").withColumn("term", F.lit("background"))
     null = dirichlet(F.col("n"), F.col("a"), keys, both, "value").withColumn("value", -F.col("value")).withColumn("term", F.lit("null"))
-    places = unmasked(windows(seqs, w, keep=[k for k in keys if k != "seq_id"])).where(F.col("pos") + w > 1).groupBy(*keys).agg(F.count("*").cast("double").alias("P"))
+    places = possible_places(seqs, w, *keys)
     k = sites.groupBy(*keys, "motif").agg(F.count("*").cast("double").alias("k"))
     met = k.join(places, keys) if keys else k.crossJoin(F.broadcast(places))  # one row
     beta = N.ln_gamma(F.col("k") + 1) + N.ln_gamma(F.col("P") - F.col("k") + 1) - N.ln_gamma(F.col("P") + 2)
@@ -279,6 +278,18 @@ def map_terms(sites: DataFrame, seqs: DataFrame, bg: DataFrame, w: int, blocks:
     return out
 
 
+def base_totals(seqs: DataFrame, *keys: str) -> DataFrame:
+    """(keys, base, n) over all sequences, for each of the four bases."""
+    counted = F.explode(F.array(*(F.struct(F.lit(b).alias("base"), (F.length("nt") - F.length(F.replace("nt", F.lit(b), F.lit("")))).cast("double").alias("n")) for b in N.BASES)))
+    return seqs.select(*keys, counted.alias("c")).groupBy(*keys, "c.base").agg(F.sum("c.n").alias("n"))
+
+
+def possible_places(seqs: DataFrame, w: int, *keys: str) -> DataFrame:
+    """(keys, P): places without a masked base where a site may stand."""
+    rows = unmasked(windows(seqs, w, keep=[k for k in keys if k != "seq_id"])).where(F.col("pos") + w > 1)
+    return rows.groupBy(*keys).agg(F.count("*").cast("double").alias("P")) if keys else rows.agg(F.count("*").cast("double").alias("P"))
+
+
 def apart(candidates: DataFrame, chosen: DataFrame, w: int) -> DataFrame:
     """Of candidates(seq_id, s_start, motif, gain), the best ones that don't overlap one another or chosen(seq_id, s_start); all of width w.
 
@@ -298,23 +309,6 @@ def apart(candidates: DataFrame, chosen: DataFrame, w: int) -> DataFrame:
             return state.where("gain is not null").select("seq_id", "s_start", "motif", "gain")
 
 
-def map_refine(sites: DataFrame, seqs: DataFrame, bg: DataFrame, w: int, weight: float = 4.0) -> DataFrame:
-    """sites(seq_id, s_start, s_end, motif, site) with the further places that raise the log posterior.
-
-    What one more site adds follows from the counts: its columns under the model of the motif's sites against the bases
-    outside all sites, and the odds of one more place being taken. Places are taken best first, none overlapping.
-    """
-    counts = motif_counts(sites)
-    dense = four(counts, "motif", "col").join(counts, ["motif", "col", "base"], "left").join(F.broadcast(bg.withColumnRenamed("p", "q")), "base").withColumn("n", F.coalesce("n", F.lit(0)))
-    pwm = dense.select("motif", "col", "base", ((F.col("n") + F.col("q") * weight) / F.sum(F.col("n") + F.col("q") * weight).over(Window.partitionBy("motif", "col"))).alias("p"))
-    outside = background_sitefree(seqs, counts, 0)
-    places = F.broadcast(unmasked(windows(seqs, w)).where(F.col("pos") + w > 1).agg(F.count("*").alias("P")))  # one row
-    odds = F.broadcast(sites.groupBy("motif").agg(F.count("*").alias("k")).crossJoin(places).select("motif", F.ln((F.col("k") + 1) / (F.col("P") - F.col("k"))).alias("odds")))
-    gains = pwm_scan(seqs, pwm, outside, w).join(odds, "motif").select("seq_id", (F.col("end") + 1 - w).alias("s_start"), "motif", (F.ln("ratio") + F.col("odds")).alias("gain")).where("gain > 0")
-    fresh = apart(gains, sites, w).select("seq_id", "s_start", (F.col("s_start") + w).alias("s_end"), "motif")
-    return sites.select("seq_id", "s_start", "s_end", "motif").unionByName(fresh)
-
-
 def em_refine(seqs: DataFrame, pwm: DataFrame, bg: DataFrame, w: int, prior: float = 0.001, pc: float = PSEUDO, tol: float = 0.1, least: int = 50, most: int = 500) -> tuple[DataFrame, DataFrame]:
     """(models, trace) of EM on site probabilities: trace(step, ll); the models have columns motif, col, base, p.
 
@@ -348,24 +342,6 @@ def em_refine(seqs: DataFrame, pwm: DataFrame, bg: DataFrame, w: int, prior: flo
     return spark.createDataFrame(rows, pwm.select("motif", "col", "base", "p").schema), spark.createDataFrame(list(enumerate(lls)), "step long, ll double")
 
 
-def near_optimal(scan: DataFrame, prior: float, cutoff: float, n_draws: int, seed: int) -> DataFrame:
-    """(seq_id, end, motif, freq, class): how often each place of the pool is drawn under the fixed models; the pool has the places with a posterior of cutoff or more.
-
-    class is map (over half of the draws), maybe (a tenth or more) or discard.
-    """
-    pool = site_posterior(scan, prior).where(F.col("p") >= cutoff)
-    draw = F.explode(F.sequence(F.lit(1), F.lit(n_draws)))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "seq_id", "end", "motif", "draw"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    drawn = pool.select("seq_id", "end", "motif", "p", draw.alias("draw")).groupBy("seq_id", "end", "motif").agg((F.count_if(u < F.col("p")) / n_draws).alias("freq"))
-    return drawn.withColumn("class", F.when(F.col("freq") > 0.5, "map").when(F.col("freq") >= 0.1, "maybe").otherwise("discard"))
-
-
-def covered(sites: DataFrame, seqs: DataFrame) -> DataFrame:
-    """Bases that lie in a site."""
-    inside = sites.select("seq_id", F.explode(F.sequence("s_start", F.col("s_end") - 1)).alias("pos"))
-    return bases(seqs).join(inside, ["seq_id", "pos"], "left_semi")
-
-
 def fitness(seqs: DataFrame, candidates: DataFrame, w: int, compat: bool = False) -> DataFrame:
     """(candidate_id, fitness): fit of candidate sets of models (candidate_id, model, col, base, p) to all windows, in one pass.
 

@@ -1,11 +1,8 @@
 """Gibbs samplers over sequences, as Spark jobs.
 
 A sequence's dynamic program is a few cumulative sums: s_k = cumsum(sum over models of ratio * s_{k-1}
-shifted by the width), so it runs in NumPy inside tasks. A sweep draws the sites of all sequences, for
-all walks, against the counts of the sweep before less the sequence's own: one pass over the sequences and one small
-aggregation, whatever their number, so neither the driver nor a task holds them all. Random numbers
-come from counters (seed, walk, iteration, sequence), so results don't depend on partitions and a resumed
-chain equals an uninterrupted one.
+shifted by the width), so it runs in NumPy inside tasks. Random numbers come from counters (seed, walk, iteration,
+sequence), so results don't depend on partitions. Chains over many sequences and walks are in chains.py.
 """
 
 from __future__ import annotations
@@ -69,34 +66,36 @@ def ratios(codes: np.ndarray, log_odds: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def forward(r: list[np.ndarray], widths, k: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """s[k][j]: weight of k sites that end at j or before; step[k][m, j]: of those whose last site is of model m and ends at j."""
-    n = len(r[0])
-    s, steps = [np.ones(n)], [np.zeros((len(r), n))]
+    """s[k][..., j]: weight of k sites that end at j or before; step[k][m, ..., j]: of those whose last site is of model m and ends at j. Axes before the last are independent."""
+    shape, n = r[0].shape, r[0].shape[-1]
+    s, steps = [np.ones(shape)], [np.zeros((len(r), *shape))]
     for _ in range(k):
-        step = np.zeros((len(r), n))
+        step = np.zeros((len(r), *shape))
         for m, w in enumerate(widths):
-            before = np.ones(n) if len(s) == 1 else np.concatenate([np.zeros(min(w, n)), s[-1][: max(n - w, 0)]])
-            step[m] = r[m] * before
+            step[m] = r[m]
+            if len(s) > 1:
+                step[m][..., : min(w, n)] = 0
+                step[m][..., w:] *= s[-1][..., : max(n - w, 0)]
         steps.append(step)
-        s.append(np.cumsum(step.sum(0)))
+        s.append(np.cumsum(step.sum(0), axis=-1))
     return s, steps
 
 
-def draw_sites(r, widths, cfg: Config, rng) -> list[tuple[int, int]]:
-    """(model, inclusive end) of a draw of sites, by tracing back the forward sums."""
-    n = len(r[0])
+def site_weights(totals: list[float], places: list[float], cfg: Config) -> np.ndarray:
+    """Weights of 0, 1, ... sites from the summed odds and the number of placements of as many."""
+    if cfg.k_mode == "prior":
+        return cfg.prior() * np.array([float(x > 0) for x in places])
+    return cfg.prior() * np.array([x / max(y, 1) for x, y in zip(totals, places)])
+
+
+def traced(s, steps, widths, weight: np.ndarray, most: int, rng) -> list[tuple[int, int]]:
+    """(model, inclusive end) of one draw of sites, by tracing back the forward sums."""
+    n = len(s[0])
     if not n:
         return []
-    s, steps = forward(r, widths, cfg.max_sites)
-    if cfg.k_mode == "prior":
-        c, _ = forward([(x > 0).astype(float) for x in r], widths, cfg.max_sites)
-        weight = cfg.prior() * np.array([float(x[-1] > 0) for x in c])
-    else:
-        c, _ = forward([(x > 0).astype(float) for x in r], widths, cfg.max_sites)
-        weight = cfg.prior() * np.array([x[-1] / max(y[-1], 1) for x, y in zip(s, c)])
     k = int(np.searchsorted(np.cumsum(weight), rng.random() * weight.sum(), side="right"))
     out, limit = [], n - 1
-    for j in range(min(k, cfg.max_sites), 0, -1):
+    for j in range(min(k, most), 0, -1):
         total = s[j][limit] if limit >= 0 else 0
         if total <= 0:
             break
@@ -108,16 +107,13 @@ def draw_sites(r, widths, cfg: Config, rng) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def count_sites(codes: np.ndarray, sites, widths) -> list[np.ndarray]:
-    counts = [np.zeros((w, 4)) for w in widths]
-    for m, end in sites:
-        w = widths[m]
-        counts[m][np.arange(w), codes[end + 1 - w : end + 1]] += 1
-    return counts
-
-
-def log_odds_of(counts: list[np.ndarray], bg: np.ndarray) -> list[np.ndarray]:
-    return [np.log((c + PSEUDO) / (c + PSEUDO).sum(1, keepdims=True) / bg) for c in counts]
+def draw_sites(r, widths, cfg: Config, rng) -> list[tuple[int, int]]:
+    """A draw of sites by the ratios of one sequence."""
+    if not len(r[0]):
+        return []
+    s, steps = forward(r, widths, cfg.max_sites)
+    c, _ = forward([(x > 0).astype(float) for x in r], widths, cfg.max_sites)
+    return traced(s, steps, widths, site_weights([x[-1] for x in s], [x[-1] for x in c], cfg), cfg.max_sites, rng)
 
 
 def background_array(bg: DataFrame) -> np.ndarray:
@@ -190,186 +186,48 @@ def one_site(scan: DataFrame, seed: int) -> DataFrame:
     return scan.groupBy("seq_id", "motif").agg(F.max_by("end", F.ln("ratio") - F.ln(-F.ln(u))).alias("end"))
 
 
-#: A sequence with the sites of each walk: (number of the walk, motif, inclusive end), one after another.
-STATE = "seq_id long, nt string, found array<int>"
-
-
-def by_walk(flat, n_walks: int) -> list[list[tuple[int, int]]]:
-    out: list[list[tuple[int, int]]] = [[] for _ in range(n_walks)]
-    for i in range(0, len(flat), 3):
-        out[flat[i]].append((int(flat[i + 1]), int(flat[i + 2])))
-    return out
-
-
-def moved(sites: list[tuple[int, int]], by: dict[int, int]) -> list[tuple[int, int]]:
-    return [(m, end + by.get(m, 0)) for m, end in sites]
-
-
-def legal(sites: list[tuple[int, int]], codes: np.ndarray, widths) -> bool:
-    """Whether all sites lie on unmasked bases of the sequence and none overlap."""
-    spans = sorted((end + 1 - widths[m], end + 1) for m, end in sites)
-    return all(0 <= s and e <= len(codes) and (codes[s:e] < 4).all() for s, e in spans) and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
-
-
-def swept(state: DataFrame, walks: list[int], models: list[list[np.ndarray]] | None, moves: list[dict[int, int]], bg: np.ndarray, cfg: Config, it: int) -> DataFrame:
-    """The state after sweep it; models: the counts of each walk (None: draws uniform over placements); moves: shifts of the sites as they were."""
+def shift_move(sites: DataFrame, seqs: DataFrame, bg: DataFrame, w: int, max_shift: int, seed: int) -> DataFrame:
+    """Sites, none overlapping, with each motif in turn moved by the shift of -max_shift..max_shift that a draw by its model's likelihood picks.
 
-    def run(frames):
-        for f in frames:
-            rows = []
-            for seq, nt, old in zip(f.seq_id, f.nt, f.found):
-                codes, flat = codes_of(nt), []
-                before = by_walk(old, len(walks))
-                uniform = ratios(codes, [np.zeros((w, 4)) for w in cfg.widths]) if models is None else None
-                for k, walk in enumerate(walks):
-                    r = uniform
-                    if models is not None:
-                        own = count_sites(codes, moved(before[k], moves[k]), cfg.widths)
-                        r = ratios(codes, log_odds_of([np.maximum(a - b, 0) for a, b in zip(models[k], own)], bg))
-                    flat += [x for m, end in draw_sites(r, cfg.widths, cfg, rng_of(cfg.seed, walk, it, seq)) for x in (k, m, end)]
-                rows.append((seq, nt, flat))
-            yield pd.DataFrame(rows, columns=["seq_id", "nt", "found"])
-
-    return stored(state.mapInPandas(run, STATE), "sweep")
-
-
-def tallied(state: DataFrame, n_walks: int, widths, shifts: tuple[int, ...] = (0,)) -> tuple[np.ndarray, np.ndarray]:
-    """(counts[walk, motif, shift, col, base], blocked[walk, motif, shift]) of the sites moved by each shift.
-
-    A shift of a motif is blocked where it takes a site out of its sequence, onto a masked base or onto
-    another site. As many rows as the models have cells come to the driver.
+    A site stays where it would leave its sequence, meet a masked base, or overlap the next site on its way, be it of another motif or
+    one of its own that stays itself; the others move. One aggregation counts the columns of all shifts.
     """
-    top = max(widths)
-    shape = (n_walks, len(widths), len(shifts), top, 4)
-
-    def run(frames):
-        n, no = np.zeros(shape, np.int64), np.zeros(shape[:3], np.int64)
-        for f in frames:
-            for nt, flat in zip(f.nt, f.found):
-                codes = codes_of(nt)
-                for k, sites in enumerate(by_walk(flat, n_walks)):
-                    for m in {m for m, _ in sites}:
-                        for j, shift in enumerate(shifts):
-                            at = moved(sites, {m: shift})
-                            if shift and not legal(at, codes, widths):
-                                no[k, m, j] += 1
-                                continue
-                            for x, end in at:
-                                if x == m:
-                                    n[k, m, j, np.arange(widths[m]), codes[end + 1 - widths[m] : end + 1]] += 1
-        cells, bad = np.flatnonzero(n), np.flatnonzero(no)
-        yield pd.DataFrame({"what": np.repeat([0, 1], [len(cells), len(bad)]), "cell": np.concatenate([cells, bad]), "n": np.concatenate([n.ravel()[cells], no.ravel()[bad]])})
-
-    rows = state.select("nt", "found").mapInPandas(run, "what int, cell long, n long").groupBy("what", "cell").agg(F.sum("n").alias("n")).toPandas()
-    counts, blocked = np.zeros(shape), np.zeros(shape[:3], bool)
-    counts.ravel()[rows.cell[rows.what == 0]] = rows.n[rows.what == 0]
-    blocked.ravel()[rows.cell[rows.what == 1]] = True
-    return counts, blocked
-
-
-def proposed(counts: np.ndarray, blocked: np.ndarray, shifts: tuple[int, ...], widths, bg: np.ndarray, cfg: Config, walks: list[int], it: int) -> list[dict[int, int]]:
-    """For each walk, the accepted shift of each motif: one of the others is proposed and taken by the Metropolis rule on the models' log odds."""
-    out: list[dict[int, int]] = []
-    stay = shifts.index(0)
-    for k, walk in enumerate(walks):
-        rng, taken = rng_of(cfg.seed, walk, it, 1 << 30), {}
-        for m, w in enumerate(widths):
-            gain = [float((c[:w] * log_odds_of([c[:w]], bg)[0]).sum()) for c in counts[k, m]]
-            j = int(rng.integers(len(shifts) - 1))
-            j += j >= stay
-            u = rng.random()
-            if not blocked[k, m, j] and counts[k, m, stay].any() and np.log(u) < gain[j] - gain[stay]:
-                taken[m] = shifts[j]
-                break  # another motif's sites may now be in the way
-        out.append(taken)
+    out = sites
+    for m in sorted(r.motif for r in sites.select("motif").distinct().collect()):  # as many as there are models
+        out = stored(shifted_motif(out, m, seqs, bg, w, max_shift, seed), "shifted")
     return out
 
 
-def site_rows_of(state: DataFrame, walks: list[int]) -> DataFrame:
-    """(walk_id, seq_id, motif, end) of a state."""
-    i = F.explode(F.sequence(F.lit(0), (F.size("found") / 3 - 1).cast("int")))
-    each = state.where(F.size("found") > 0).select("seq_id", "found", i.alias("i"))
-    at = lambda k: F.element_at("found", (3 * F.col("i") + k).cast("int"))
-    return each.select(F.element_at(F.array(*(F.lit(w).cast("long") for w in walks)), at(1) + 1).alias("walk_id"), "seq_id", at(2).alias("motif"), at(3).cast("long").alias("end"))
-
-
-def started(seqs: DataFrame, walks: list[int], resume: DataFrame | None) -> DataFrame:
-    """The state before the first sweep: no sites, or those of resume's 'final' rows."""
-    rows = seqs.select("seq_id", "nt")
-    if resume is None:
-        return rows.select("seq_id", "nt", F.array().cast("array<int>").alias("found"))
-    number = F.coalesce(*(F.when(F.col("walk_id") == w, F.lit(k)) for k, w in enumerate(walks)))
-    old = resume.where("kind = 'final'").select("seq_id", number.alias("k"), "motif", "end").where("k is not null")
-    flat = old.groupBy("seq_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "end", "motif"))), lambda x: F.array(x["k"], x["motif"], x["end"].cast("int")))).alias("found"))
-    return rows.join(flat, "seq_id", "left").select("seq_id", "nt", F.coalesce("found", F.array().cast("array<int>")).alias("found"))
-
-
-def gibbs_walks(seqs: DataFrame, walks: DataFrame, bg: DataFrame, cfg: Config, resume: DataFrame | None = None, done: int = 0, until: int | None = None) -> DataFrame:
-    """(walk_id, kind, seq_id, motif, end, n): 'sample' rows with counts after burn-in and 'final' rows, the sites of the last sweep.
-
-    walks(walk_id): a number for each chain; resume: 'final' rows of an earlier call that ended after sweep done. Every
-    shift_period sweeps the motifs may move by a shift before they are drawn.
-    """
-    p = background_array(bg)
-    ids = sorted(r.walk_id for r in walks.select("walk_id").distinct().collect())
-    last = 1 + cfg.burn_in + cfg.samples if until is None else until + 1
-    state = started(seqs, ids, resume)
-    if not done:
-        state = swept(state, ids, None, [{}] * len(ids), p, cfg, 0)
-    shifts = tuple(range(-cfg.max_shift, cfg.max_shift + 1))
-    kept = []
-    for it in range(done + 1, last):
-        shifting = bool(cfg.shift_period) and it % cfg.shift_period == 0 and cfg.max_shift > 0
-        counts, blocked = tallied(state, len(ids), cfg.widths, shifts if shifting else (0,))
-        moves = proposed(counts, blocked, shifts, cfg.widths, p, cfg, ids, it) if shifting else [{}] * len(ids)
-        pick = lambda k, m: shifts.index(moves[k].get(m, 0)) if shifting else 0  # noqa: B023, E731
-        models = [[counts[k, m, pick(k, m), :w] for m, w in enumerate(cfg.widths)] for k in range(len(ids))]
-        state = swept(state, ids, models, moves, p, cfg, it)
-        if it > cfg.burn_in:
-            kept.append(state)
-    final = site_rows_of(state, ids).select("walk_id", F.lit("final").alias("kind"), "seq_id", "motif", "end", F.lit(1).cast("long").alias("n"))
-    seen = None
-    for s in kept:
-        seen = site_rows_of(s, ids) if seen is None else seen.union(site_rows_of(s, ids))
-    if seen is None:
-        return final
-    return seen.groupBy("walk_id", F.lit("sample").alias("kind"), "seq_id", "motif", "end").agg(F.count("*").alias("n")).union(final)
-
-
-def gibbs_blocked(seqs: DataFrame, bg: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(samples, sites, pwm) of one walk: counts after burn-in, the sites of the last sweep and their models."""
-    rows = stored(gibbs_walks(seqs, seqs.sparkSession.range(1).withColumnRenamed("id", "walk_id"), bg, cfg), "chain")
-    w = F.element_at(F.array(*map(F.lit, cfg.widths)), F.col("motif") + 1)
-    sites = rows.where("kind = 'final'").select("seq_id", "motif", (F.col("end") + 1 - w).alias("s_start"), (F.col("end") + 1).alias("s_end"))
-    from helixlake.operators.motifs import motif_counts, normalised, site_rows
-
-    return rows.where("kind = 'sample'").select("seq_id", "motif", "end", "n"), sites, normalised(motif_counts(site_rows(sites, seqs)))
-
-
-def shift_move(sites: DataFrame, seqs: DataFrame, bg: DataFrame, w: int, max_shift: int, seed: int) -> DataFrame:
-    """Sites with each motif moved by the shift of -max_shift..max_shift that a draw by its model's likelihood picks.
-
-    One exploded aggregation counts the columns of all shifts. A shift under which a site would leave its
-    sequence, or meet a masked base or a site of another motif, is not possible.
-    """
-    shifts = F.explode(F.sequence(F.lit(-max_shift), F.lit(max_shift)))
-    met = sites.select("seq_id", "motif", "s_start").join(seqs.select("seq_id", "nt"), "seq_id").withColumn("shift", shifts)
-    at = F.col("s_start") + F.col("shift")
-    moved = met.withColumn("site", F.when((at >= 0) & (at + w <= F.length("nt")), F.substring(F.col("nt"), (at + 1).cast("int"), F.lit(w))))
-    ok = moved.groupBy("motif", "shift").agg(F.min(F.coalesce(F.col("site").rlike("^[ACGT]+$"), F.lit(False))).alias("ok")).where("ok")
-    wide = max(w, 64)
-    bins = lambda c: F.explode(F.array_distinct(F.array(F.floor(c / wide), F.floor((c + w - 1) / wide))))
-    others = sites.select("seq_id", F.col("motif").alias("om"), F.col("s_start").alias("os"), bins(F.col("s_start")).alias("bin"))
-    clash = moved.where("shift != 0").select("seq_id", "motif", "shift", at.alias("at"), bins(at).alias("bin")).join(others, ["seq_id", "bin"]).where((F.col("om") != F.col("motif")) & (F.abs(F.col("at") - F.col("os")) < w))
-    ok = ok.join(clash.select("motif", "shift").distinct(), ["motif", "shift"], "left_anti")
-    counts = moved.join(ok.select("motif", "shift"), ["motif", "shift"], "left_semi").select("motif", "shift", F.posexplode(F.split("site", "")).alias("col", "base")).where("base != ''").groupBy("motif", "shift", "col", "base").agg(F.count("*").alias("n"))
-    q = F.broadcast(bg.withColumnRenamed("p", "q"))
-    total = F.sum("n").over(Window.partitionBy("motif", "shift", "col"))
-    ll = counts.withColumn("t", total).join(q, "base").groupBy("motif", "shift").agg(F.sum(F.col("n") * F.ln((F.col("n") + PSEUDO) / (F.col("t") + 4 * PSEUDO) / F.col("q"))).alias("ll"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "motif", "shift"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    best = ll.groupBy("motif").agg(F.max_by("shift", F.struct(F.col("ll") - F.ln(-F.ln(u)), -F.abs("shift"))).alias("shift"))
-    out = sites.join(F.broadcast(best), "motif", "left").withColumn("shift", F.coalesce("shift", F.lit(0)))
-    return out.withColumns({"s_start": F.col("s_start") + F.col("shift"), "s_end": F.col("s_end") + F.col("shift")}).drop("shift")
+def shifted_motif(sites: DataFrame, motif: int, seqs: DataFrame, bg: DataFrame, w: int, max_shift: int, seed: int) -> DataFrame:
+    """shift_move of one motif."""
+    low = F.greatest(F.col("s_start") - max_shift, F.lit(0))
+    # only a site's surroundings go with its shifts
+    near = sites.join(seqs.select("seq_id", F.length("nt").alias("_len"), "nt"), "seq_id").withColumn("_low", low).withColumn("_part", F.substring(F.col("nt"), (low + 1).cast("int"), F.lit(w + 2 * max_shift))).drop("nt")
+    each = near.withColumn("_shift", F.explode(F.sequence(F.lit(-max_shift), F.lit(max_shift))))
+    at, own = F.col("s_start") + F.col("_shift"), F.col("motif") == motif
+    inside = F.when((at >= 0) & (at + w <= F.col("_len")), F.substring(F.col("_part"), (at - F.col("_low") + 1).cast("int"), F.lit(w)))
+    ahead_first = Window.partitionBy("seq_id", "_shift").orderBy(F.signum("_shift") * F.col("s_start") * -1)
+    each = each.withColumn("_ahead", F.lag(F.struct("motif", "s_start")).over(ahead_first)).withColumn("_site", inside)
+    meets = F.col("_ahead").isNotNull() & (F.abs(at - F.col("_ahead.s_start")) < w)
+    tight = F.coalesce(own & (F.col("_ahead.motif") == motif) & meets, F.lit(False))
+    stuck = ~own | ~F.coalesce(F.col("_site").rlike("^[ACGT]+$"), F.lit(False)) | (meets & (F.col("_ahead.motif") != motif))
+    # sites that can only move together follow one another; behind one that stays all stay
+    each = each.withColumn("_chain", F.sum(F.when(tight, 0).otherwise(1)).over(ahead_first.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_stuck", stuck)
+    behind = Window.partitionBy("seq_id", "_shift", "_chain").orderBy(F.signum("_shift") * F.col("s_start") * -1).rowsBetween(Window.unboundedPreceding, 0)
+    by = F.when(F.max("_stuck").over(behind), 0).otherwise(F.col("_shift"))
+    each = each.withColumn("_by", by).withColumn("_now", F.substring(F.col("_part"), (F.col("s_start") + F.col("_by") - F.col("_low") + 1).cast("int"), F.lit(w)))
+    each = stored(each.drop("_part", "_site", "_ahead", "_chain", "_stuck", "_len", "_low"), "shifts")
+    counts = each.where(own).select("_shift", F.posexplode(F.split("_now", "")).alias("col", "base")).where("base != ''").groupBy("_shift", "col", "base").agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy("_shift", "col"))
+    ll = counts.withColumn("t", total).join(F.broadcast(bg.withColumnRenamed("p", "q")), "base").groupBy("_shift").agg(F.sum(F.col("n") * F.ln((F.col("n") + PSEUDO) / (F.col("t") + 4 * PSEUDO) / F.col("q"))).alias("ll"))
+    u = (F.pmod(F.xxhash64(F.lit(seed), F.lit(motif), "_shift"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    best = ll.agg(F.max_by("_shift", F.struct(F.col("ll") - F.ln(-F.ln(u)), -F.abs("_shift"))).alias("_shift"))  # one row
+    out = each.join(F.broadcast(best), "_shift").withColumn("s_start", F.col("s_start") + F.col("_by"))
+    if "s_end" in sites.columns:
+        out = out.withColumn("s_end", F.col("s_start") + w)
+    if "site" in sites.columns:
+        out = out.withColumn("site", F.col("_now"))
+    return out.select(*sites.columns)
 
 
 def centroid_sites(samples: DataFrame, n_samples: int | None, width: int) -> DataFrame:

@@ -146,7 +146,6 @@ QUERIES = {
     ),
     "score_loglik": (lambda s, d: M.loglik(parts(s, d)[2], pwm(s, d)).withColumn("ll", F.round("ll", 3)), sql(*ALL, "SELECT motif, round(sum(counts.n * ln(p))::DOUBLE, 3) AS ll FROM counts JOIN pwm USING (motif, col, base) GROUP BY motif")),
     "em_refine": (lambda s, d: R6(M.em_refine(I.seqs(s, d), pwm(s, d), S.background(I.seqs(s, d)), 6)[0], "p"), None),
-    "near_optimal_draws": (lambda s, d: M.near_optimal(scan(s, d), 0.001, 0.01, 50, 3), None),
     "score_pwm_scan_strands": (
         lambda s, d: per_motif(scan(s, d, (1, 2)), "ratio", 2),
         sql(*ALL, BACKGROUND, SCAN, "SELECT seq_id, motif, count(*) AS n, round(sum(ratio / CASE WHEN motif = 0 THEN 1 ELSE 2 END)::DOUBLE, 2) AS total, round(max(ratio / CASE WHEN motif = 0 THEN 1 ELSE 2 END)::DOUBLE, 2) AS best FROM scan GROUP BY seq_id, motif"),

@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from helixlake.functions import nt as N
+from helixlake.operators import alignments as A
+from helixlake.operators import chains as C
 from helixlake.operators import intervals as V
 from helixlake.operators import motifs as M
 from helixlake.operators import samplers as G
@@ -37,14 +39,14 @@ def four_walks(s):
 def chains(s, d):
     """Four short chains over all sequences."""
     q, _, _, b = base(s, d)
-    return G.gibbs_walks(q, four_walks(s), b, CFG)
+    return C.gibbs_walks(q, four_walks(s), b, CFG)
 
 
 def resumed(s, d):
     """The same chains stopped after two sweeps and continued."""
     q, _, _, b = base(s, d)
     walks = four_walks(s)
-    return G.gibbs_walks(q, walks, b, CFG, G.gibbs_walks(q, walks, b, CFG, until=2), done=2)
+    return C.gibbs_walks(q, walks, b, CFG, C.gibbs_walks(q, walks, b, CFG, until=2), done=2)
 
 
 def fifty(s, d):
@@ -60,21 +62,43 @@ def distances(s, d):
 
 
 def seeds(s, d):
-    """The score of the sites that each walk ended with; the best walk is kept."""
+    """The sites that the best of four walks ended with, and their score."""
     q, _, _, b = base(s, d)
-    final = stored(chains(s, d).where("kind = 'final'").select("walk_id", "seq_id", "motif", (F.col("end") - 5).alias("s_start"), (F.col("end") + 1).alias("s_end")), "final")
-    rows = M.site_rows(final, q)
-    terms = M.map_terms(rows, q.crossJoin(F.broadcast(four_walks(s))), b, 6, BLOCKS, by=["walk_id"])
-    return terms.groupBy("walk_id").agg(F.sum("value").alias("map")).agg(F.max_by("walk_id", "map").alias("walk_id"), F.max("map").alias("map"))
+    final = chains(s, d).where("kind = 'final'").select("walk_id", "seq_id", "motif", (F.col("end") - 5).alias("s_start"))
+    return A.best_walk(stored(final, "final"), q, b, 6, BLOCKS).withColumn("map", F.round("map", 3))
+
+
+def blocked(s, d):
+    """Counts after burn-in, last sites and models of one walk."""
+    samples, sites, pwm = C.gibbs_blocked(I.seqs(s, d), base(s, d)[3], CFG)
+    nothing = lambda kind: F.lit(None).cast(kind)
+    out = samples.select(F.lit("sample").alias("kind"), "seq_id", "motif", F.col("end").alias("at"), nothing("string").alias("base"), F.col("n").cast("double").alias("value"))
+    out = out.union(sites.select(F.lit("site"), "seq_id", "motif", "s_start", nothing("string"), F.lit(1.0)))
+    return out.union(pwm.select(F.lit("pwm"), nothing("long"), "motif", F.col("col").cast("long"), "base", F.round("p", 6)))
 
 
 BLOCKS = [0.2, 0.3, 0.5]
 
 
+#: Alignments of up to four sites of the three motifs.
+ALIGNED = G.Config(widths=(6, 6, 6), max_sites=4, blocks=(0.2, 0.2, 0.2, 0.2, 0.2))
+
+
+def few(s, d):
+    """The first four sites of a sequence."""
+    n = F.row_number().over(Window.partitionBy("seq_id").orderBy("s_start"))
+    return I.sites(I.seqs(s, d)).withColumn("k", n).where("k <= 4").select("seq_id", "s_start", "motif")
+
+
 def refined(s, d):
-    """Every second site with the places that the rest of them make likely."""
-    q, st, _, b = base(s, d)
-    return M.map_refine(st.where("s_start % 2 = 0"), q, b, 6)
+    """The best alignment near every second of the first sites."""
+    q, _, _, b = base(s, d)
+    return A.map_refine(few(s, d).where("s_start % 2 = 0"), q, b, 6, ALIGNED, 40, rounds=6)[0]
+
+
+def near(s, d):
+    q, _, _, b = base(s, d)
+    return A.near_optimal(few(s, d), q, b, 6, ALIGNED, 100).drop("draws")
 
 
 def map_score(s, d):
@@ -167,11 +191,12 @@ QUERIES = {
     "sample_sites": (lambda s, d: G.sample_sites(I.seqs(s, d), base(s, d)[2], base(s, d)[3], CFG), None),
     "gibbs_walks": (chains, None),
     "resume_walk": (resumed, None),
-    "gibbs_blocked": (lambda s, d: G.gibbs_blocked(I.seqs(s, d), base(s, d)[3], CFG)[0], None),
+    "gibbs_blocked": (blocked, None),
     "one_site_sampler": (lambda s, d: G.one_site(scan(s, d), 3), None),
     "shift_move": (lambda s, d: G.shift_move(base(s, d)[1].select("seq_id", "motif", "s_start", "s_end"), I.seqs(s, d), base(s, d)[3], 6, 2, 5), None),
     "multi_seed_best": (seeds, None),
     "map_refine": (refined, None),
+    "near_optimal_draws": (near, None),
     "score_map": (map_score, sql(*ALL, BACKGROUND, map_sql("m"), "SELECT term, round(value, 3) AS value FROM m")),
     "score_map_by_sequence": (map_by_sequence, sql(*ALL, BACKGROUND, map_sql("m", "seq_id"), "SELECT seq_id, count(*) AS n_terms, round(sum(value), 4) AS value FROM m GROUP BY seq_id")),
     "score_bayes_factor": (bayes_factor, sql(*ALL, BACKGROUND, map_sql("m"), map_sql("g", "grp"), "SELECT term, round(t - value, 3) AS bf FROM m JOIN (SELECT term, sum(value) AS t FROM g GROUP BY term) USING (term)")),

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Spark's own setting: a job's shuffle files are removed when it ends, as nothing reads them after that.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
@@ -26,14 +27,24 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df, written once and read back."""
+def stored(df: DataFrame, tag: str = "table", path: str | None = None, rows: int | None = None) -> DataFrame:
+    """df, written once and read back. path: where, if not at a fresh one; rows: most rows that Python workers get at once."""
     spark = df.sparkSession
-    path = new_path(spark, tag)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    path = path or new_path(spark, tag)
+    own = {CLEANUP: "true"} | ({} if rows is None else {BATCH: str(rows)})
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(spark: SparkSession, *paths: str) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for path in paths:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixlake.functions import nt as N
+from helixlake.operators import chains as C
 from helixlake.operators import intervals as V
 from helixlake.operators import motifs as M
 from helixlake.operators import samplers as G
@@ -90,32 +91,20 @@ def test_chains_resume_and_repeat(spark):
     bg = S.background(q)
     walks = spark.range(2).withColumnRenamed("id", "walk_id")
     cfg = G.Config(widths=(8,), max_sites=1, burn_in=16, samples=4, blocks=(0.02, 0.98))
-    whole = sorted(map(tuple, G.gibbs_walks(q, walks, bg, cfg).collect()))
-    again = sorted(map(tuple, G.gibbs_walks(q.repartition(5), walks.repartition(2), bg, cfg).collect()))
-    half = G.gibbs_walks(q, walks, bg, cfg, until=13)
-    assert whole == again == sorted(map(tuple, G.gibbs_walks(q, walks, bg, cfg, half, done=13).collect()))
+    whole = sorted(map(tuple, C.gibbs_walks(q, walks, bg, cfg).collect()))
+    again = sorted(map(tuple, C.gibbs_walks(q.repartition(5), walks.repartition(2), bg, cfg).collect()))
+    half = C.gibbs_walks(q, walks, bg, cfg, until=13)
+    assert whole == again == sorted(map(tuple, C.gibbs_walks(q, walks, bg, cfg, half, done=13).collect()))
     samples = [r for r in whole if r[1] == "sample"]
     assert all(r[5] <= cfg.samples for r in samples)
     final = {(r[0], r[2]): r[4] for r in whole if r[1] == "final"}
     assert max(sum(abs(final.get((w, i), -99) - 47) <= 3 for i in range(25)) for w in range(2)) > 12
     assert not any(i == 25 for _, i in final)
-    samples, sites, pwm = G.gibbs_blocked(q, bg, G.Config(widths=(8,), max_sites=1, burn_in=3, samples=2))
+    samples, sites, pwm = C.gibbs_blocked(q, bg, G.Config(widths=(8,), max_sites=1, burn_in=3, samples=2))
     assert sites.count() and all("X" not in planted[r.seq_id][r.s_start : r.s_end] and r.s_end - r.s_start == 8 for r in sites.collect())
     assert samples.agg(F.max("n")).first()[0] <= 2 and all(abs(r.s - 1) < 1e-9 for r in pwm.groupBy("motif", "col").agg(F.sum("p").alias("s")).collect())
 
 
-def test_shift_moves_of_a_walk():
-    """A shift that leaves a sequence, or meets a masked base or another site, isn't legal; a better place is proposed and taken."""
-    codes = G.codes_of("AACACGTGXA")
-    assert G.legal([(0, 7)], codes, (6,)) and not G.legal([(0, 8)], codes, (6,)) and not G.legal([(0, 4)], codes, (6,)) and not G.legal([(0, 4), (1, 5)], G.codes_of("ACGTACGT"), (3, 3))
-    bg, shifts = np.full(4, 0.25), (-1, 0, 1)
-    counts = np.full((1, 1, 3, 4, 4), 5.0)
-    counts[0, 0, 2] = np.eye(4) * 20
-    cfg = G.Config(widths=(4,), seed=3)
-    taken = [G.proposed(counts, np.zeros((1, 1, 3), bool), shifts, (4,), bg, cfg, [0], it)[0] for it in range(40)]
-    assert {0: 1} in taken and G.proposed(counts, np.ones((1, 1, 3), bool), shifts, (4,), bg, cfg, [0], 1) == [{}]
-
-
 def test_locations_and_groups(spark):
     sizes = spark.createDataFrame([(1, 10), (2, 0), (3, 9_000_000), (4, 5)], "chrom long, size long")
     points = [0, 9, 10, 11, 4_194_303, 4_194_304, 9_000_009, 9_000_010, 9_000_014, 9_000_015, -1]
@@ -192,24 +181,6 @@ def test_centroid(spark):
     assert [(r.s_start, r.s_end, r.p) for r in G.centroid_sites(draws, 10, 6).collect()] == [(5, 11, 0.9), (45, 51, 0.9)]
 
 
-def test_shift_keeps_sites_legal(spark):
-    q = seqs(spark, "AACACGTGAA", "CCCACGTGCC", "CACGTGTTTT")
-    bg = spark.createDataFrame([(b, 0.25) for b in "ACGT"], "base string, p double")
-    sites = spark.createDataFrame([(0, 0, 1, 7), (1, 0, 1, 7), (2, 0, 0, 6)], "seq_id long, motif int, s_start long, s_end long")
-    out = G.shift_move(sites, q, bg, 6, 2, 1).collect()
-    assert len({r.s_start - s for r, s in zip(sorted(out, key=lambda r: r.seq_id), (1, 1, 0))}) == 1 and all(0 <= r.s_start and r.s_end <= 10 for r in out)
-
-
-def test_shift_stops_at_other_motifs(spark):
-    """Two motifs side by side can't move towards each other, however the draw falls."""
-    q = seqs(spark, "ACGTACGTACGTACGT")
-    bg = spark.createDataFrame([(b, 0.25) for b in "ACGT"], "base string, p double")
-    sites = spark.createDataFrame([(0, 0, 4, 8), (0, 1, 8, 12)], "seq_id long, motif int, s_start long, s_end long")
-    for seed in range(6):
-        at = {r.motif: r.s_start for r in G.shift_move(sites, q, bg, 4, 2, seed).collect()}
-        assert at[0] <= 4 and at[1] >= 8
-
-
 def test_text_round_trips(spark, tmp_path):
     q = seqs(spark, "ACGTX", "GGGA", "TTTTTTTT")
     T.write_fasta(q.coalesce(1), f"{tmp_path}/fa")
