@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixlake.operators import prefix as P
+from helixlake.sources.store import stored
+
 #: Bases of a chromosome in one row.
 CHUNK = 10_000
 
@@ -12,16 +15,24 @@ CHUNK = 10_000
 def merge_overlaps(genes: DataFrame, end_rule: str = "max") -> DataFrame:
     """(chrom, g_start, g_end, members): overlapping genes of a chromosome joined; touching ones stay apart.
 
-    end_rule "max" takes the furthest end so far; "last" the end of the gene before, in start order.
+    end_rule "max" takes the furthest end so far; "last" the end of the gene before, in start order. Genes are cut into ranges of
+    (chromosome, start), so one chromosome spreads over all tasks; a range takes the reach of those before it.
     """
-    w = Window.partitionBy("chrom").orderBy("g_start", "g_end", "gene")
-    reach = F.max("g_end").over(w.rowsBetween(Window.unboundedPreceding, -1)) if end_rule == "max" else F.lag("g_end").over(w)
-    marked = genes.withColumn("new", F.when(reach.isNull() | (F.col("g_start") >= reach), 1).otherwise(0)).withColumn("at", F.row_number().over(w))
-    grouped = marked.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    end = F.max("g_end") if end_rule == "max" else F.max_by("g_end", "at")
+    order = ("g_start", "g_end", "gene")
+    parts = P.ranged(genes.select("chrom", "gene", "g_start", "g_end", "tss", "strand"), "chrom", *order)
+    reached = P.segmented_before(parts, "chrom", "g_end", "reach", *order, latest=end_rule != "max")
+    marked = reached.withColumn("new", F.when(F.col("reach").isNull() | (F.col("g_start") >= F.col("reach")), 1).otherwise(0))
+    marked = stored(marked.drop("reach"), "marked")
+    grouped = P.running_sum(marked, "new", "island", "chrom", *order)
+    end = F.max("g_end") if end_rule == "max" else F.max_by("g_end", F.struct(*order))
     return grouped.groupBy("chrom", "island").agg(F.min("g_start").alias("g_start"), end.alias("g_end"), F.array_sort(F.collect_list(F.struct("gene", "tss", "strand"))).alias("members")).drop("island")
 
 
+def laid_out(sizes: DataFrame) -> DataFrame:
+    """(chrom, size, upto): chromosomes laid end to end in their order; upto is where each ends."""
+    return P.prefix_sum(sizes.select("chrom", "size"), "size", "upto", "chrom")
+
+
 def extract(intervals: DataFrame, chunks: DataFrame, size: int = CHUNK) -> DataFrame:
     """intervals(chrom, start, end, ...) with nt from chunks(chrom, chunk_start, nt); an interval may span chunks."""
     cols = intervals.columns
@@ -37,8 +48,7 @@ def locate(points: DataFrame, sizes: DataFrame) -> DataFrame:
     Starts and points stand in one order, cut into ranges of equal width, and each point takes the last start before it; a range
     without a start of its own takes the last one of the ranges before. So nothing is compared with all chromosomes.
     """
-    w = Window.partitionBy().orderBy("chrom").rowsBetween(Window.unboundedPreceding, 0)
-    laid = sizes.select("chrom", (F.sum("size").over(w) - F.col("size")).alias("lo"), F.sum("size").over(w).alias("hi"))
+    laid = stored(laid_out(sizes).select("chrom", (F.col("upto") - F.col("size")).alias("lo"), F.col("upto").alias("hi")), "laid")
     width = 1 << 22
     block = lambda c: F.floor(F.col(c) / width)
     cut = laid.where("hi > lo").withColumn("b", F.explode(F.sequence(block("lo"), F.floor((F.col("hi") - 1) / width))))
@@ -47,19 +57,20 @@ def locate(points: DataFrame, sizes: DataFrame) -> DataFrame:
     asked = points.where(F.col("point") >= 0).select(block("point").alias("b"), F.col("point").alias("at"), F.lit(None).cast(starts.schema["s"].dataType).alias("s"), "point", F.lit(1).alias("kind"))
     last = F.last("s", ignorenulls=True).over(Window.partitionBy("b").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
     met = starts.union(asked).withColumn("s", last).where("kind = 1 and s is not null")
-    total = F.broadcast(sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total")))
+    total = F.broadcast(laid.agg(F.coalesce(F.max("hi"), F.lit(0)).alias("total")))  # one row
     return met.crossJoin(total).where("point < total").select("point", F.col("s.chrom").alias("chrom"), (F.col("point") - F.col("s.lo")).alias("local"))
 
 
 def random_windows(sizes: DataFrame, chunks: DataFrame, n: int, width: int, seed: int, size: int = CHUNK) -> DataFrame:
     """(draw, chrom, start, end, nt): the first n of 2n windows, drawn evenly from all chromosomes, that end on theirs and have no masked base."""
+    sizes = stored(sizes, "sizes")
     total = F.broadcast(sizes.agg(F.sum("size").alias("total")))  # one row
     u = F.pmod(F.xxhash64(F.lit(seed), "draw"), F.lit(1 << 52)) / float(1 << 52)
     drawn = sizes.sparkSession.range(2 * n).withColumnRenamed("id", "draw").crossJoin(total).select("draw", F.floor(u * F.col("total")).cast("long").alias("point"))
     placed = locate(drawn.select("point").distinct(), sizes).join(drawn, "point").join(sizes, "chrom").where(F.col("local") + width <= F.col("size"))
     spans = placed.select("draw", "chrom", F.col("local").alias("start"), (F.col("local") + width).alias("end"))
     good = extract(spans, chunks, size).where(F.col("nt").rlike("^[ACGT]+$"))
-    return good.orderBy("draw").limit(n)
+    return P.first_rows(good, n, "draw")
 
 
 def overlaps(a: DataFrame, b: DataFrame, bin_size: int = 64) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,40 +119,83 @@ def log_odds(pwm: DataFrame, bg: DataFrame) -> DataFrame:
 BLOCK = 8
 
 
-def block_scores(pwm: DataFrame, bg: DataFrame, start: int, k: int) -> DataFrame:
-    """(site, ln): the log ratios of columns start to start + k of each model, in the order of models, for all 4^k k-mers."""
-    odds = pwm.join(F.broadcast(bg.withColumnRenamed("p", "q")), "base").select("motif", "col", "base", F.ln(F.col("p") / F.col("q")).alias("x"))
-    each = kmers(pwm.sparkSession, k).select("site", F.posexplode(F.split("site", "")).alias("col", "base")).where("base != ''").withColumn("col", F.col("col") + start)
-    by_model = each.join(F.broadcast(odds), ["col", "base"]).groupBy("site", "motif").agg(F.sum("x").alias("x"))
-    return by_model.groupBy("site").agg(F.transform(F.array_sort(F.collect_list(F.struct("motif", "x"))), lambda m: m["x"]).alias("ln"))
+def block_tables(logs: list[np.ndarray]) -> list[np.ndarray]:
+    """For each BLOCK columns of the models (arrays column x base, of one width), the summed log ratios of all k-mers by model; a k-mer's number has two bits for each base."""
+    out = []
+    for start in range(0, len(logs[0]), BLOCK):
+        part = [m[start : start + BLOCK] for m in logs]
+        table = np.zeros((1, len(logs)))
+        for col in range(len(part[0])):
+            table = (table[:, None, :] + np.array([m[col] for m in part]).T[None, :, :]).reshape(-1, len(logs))
+        out.append(table)
+    return out
+
+
+def window_numbers(codes: np.ndarray, w: int, start: int, k: int) -> np.ndarray:
+    """The number of columns start to start + k of each window of w bases."""
+    n = len(codes) - w + 1
+    out = np.zeros(n, np.int32)
+    for j in range(start, start + k):
+        out = out * 4 + codes[j : j + n]
+    return out
+
+
+#: Windows of a row batch that leaves a Python worker.
+SCANNED = 1 << 16
 
 
 def pwm_scan(seqs: DataFrame, pwm: DataFrame, bg: DataFrame, w: int, halved: tuple[int, ...] = ()) -> DataFrame:
     """(seq_id, end, dist_from_end, motif, ratio, all_ratios, models): product of foreground over background for every unmasked window.
 
-    end is the inclusive 0-based end; all_ratios is the sum over the models at that place. A window is looked up
-    in a table of all 4^BLOCK k-mers, or, if the models are wider, in one for each BLOCK columns; these are small
-    whatever is scanned, so windows don't move. Models of other widths than w are left out; those in halved, one for each strand,
-    count half.
+    end is the inclusive 0-based end; all_ratios is the sum over the models at that place. A window is a number of two bits for each
+    base, which is its place in an array of the scores of all 4^BLOCK k-mers, or, if the models are wider, in one for each BLOCK columns. These
+    arrays and the models (a few dozen rows, collected) are small whatever is scanned, and windows don't move. Models of other widths than w are
+    left out; those in halved, one for each strand, count half.
     """
-    fit = pwm.join(F.broadcast(pwm.groupBy("motif").agg((F.max("col") + 1).alias("w")).where(F.col("w") == w).select("motif")), "motif")
-    names = F.broadcast(fit.select(F.array_sort(F.collect_set("motif")).alias("names")))
-    place = F.col("pos") + w - 1
-    found = windows(seqs, w).where(F.col("pos") + w > 1).select("seq_id", place.alias("end"), (F.col("len") - 1 - place).alias("dist_from_end"), F.col("site").alias("window"))
-    scored = lambda m, x: F.struct(m.alias("motif"), (F.exp(x) * F.when(m.isin(*halved), 0.5).otherwise(1.0) if halved else F.exp(x)).alias("ratio"))
-    if w <= BLOCK:
-        one = block_scores(fit, bg, 0, w).crossJoin(names).select("site", F.zip_with("names", "ln", scored).alias("z"))
-        flat = one.withColumn("all_ratios", F.aggregate("z", F.lit(0.0), lambda acc, m: acc + m["ratio"])).select("site", "all_ratios", F.size("z").alias("models"), F.explode("z").alias("z")).select("site", "all_ratios", "models", "z.motif", "z.ratio")
-        return found.join(F.broadcast(flat), F.col("window") == F.col("site")).select("seq_id", "end", "dist_from_end", "motif", "ratio", "all_ratios", "models")
-    total = None
-    for start in range(0, w, BLOCK):
-        k = min(BLOCK, w - start)
-        table = F.broadcast(block_scores(fit, bg, start, k).select(F.col("site").alias(f"_s{start}"), F.col("ln").alias(f"_l{start}")))
-        found = found.join(table, F.substring("window", start + 1, k) == F.col(f"_s{start}"))
-        total = F.col(f"_l{start}") if total is None else F.zip_with(total, f"_l{start}", lambda a, b: a + b)
-    each = found.crossJoin(names).select("seq_id", "end", "dist_from_end", F.zip_with("names", total, scored).alias("z"))
-    each = each.withColumn("all_ratios", F.aggregate("z", F.lit(0.0), lambda acc, m: acc + m["ratio"]))
-    return each.select("seq_id", "end", "dist_from_end", "all_ratios", F.size("z").alias("models"), F.explode("z").alias("z")).select("seq_id", "end", "dist_from_end", "z.motif", "z.ratio", "all_ratios", "models")
+    q = {r.base: r.p for r in bg.collect()}  # four rows
+    logs: dict[int, np.ndarray] = {}
+    for r in pwm.select("motif", "col", "base", "p").collect():
+        logs.setdefault(r.motif, np.full((512, 4), np.nan))[r.col, N.BASES.index(r.base)] = math.log(r.p / q[r.base])
+    logs = {m: x[: int((~np.isnan(x[:, 0])).sum())] for m, x in sorted(logs.items())}
+    names = [m for m, x in logs.items() if len(x) == w]
+    out = "seq_id long, end long, dist_from_end long, all_ratios double, z array<double>"
+    rows = seqs.select(F.col("seq_id").cast("long").alias("seq_id"), "nt")
+    if not names:
+        kinds = pwm.schema["motif"].dataType.simpleString()
+        return seqs.sparkSession.createDataFrame([], f"seq_id long, end long, dist_from_end long, motif {kinds}, ratio double, all_ratios double, models int")
+    tables, half = block_tables([logs[m] for m in names]), np.array([0.5 if m in halved else 1.0 for m in names])
+    # scores of a single array need no logarithms
+    ready = np.exp(tables[0]) * half if len(tables) == 1 else None
+    code = np.full(256, 4, np.int8)
+    code[np.frombuffer("".join(N.BASES).encode(), np.uint8)] = np.arange(4)
+
+    def run(batches):
+        for batch in batches:
+            for seq, nt in zip(batch.column(0).to_pylist(), batch.column(1)):
+                codes = code[np.frombuffer(nt.as_buffer(), np.uint8)] if nt.is_valid else np.zeros(0, np.int8)
+                if len(codes) < w:
+                    continue
+                bad = np.concatenate([[0], np.cumsum(codes > 3)])
+                ok = bad[w:] == bad[:-w]
+                if w == 1:
+                    ok[0] = False  # the first place ends no site
+                clean = np.minimum(codes, 3).astype(np.int32)
+                starts = np.flatnonzero(ok)
+                for at in range(0, len(starts), SCANNED):
+                    here = starts[at : at + SCANNED]
+                    part = clean[here[0] : here[-1] + w]
+                    if ready is not None:
+                        z = ready[window_numbers(part, w, 0, w)[here - here[0]]]
+                    else:
+                        z = np.exp(sum(t[window_numbers(part, w, i * BLOCK, min(BLOCK, w - i * BLOCK))[here - here[0]]] for i, t in enumerate(tables))) * half
+                    end = here + w - 1
+                    flat = pa.ListArray.from_arrays(pa.array(np.arange(0, z.size + 1, len(names), dtype=np.int32)), pa.array(z.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(here), seq)), pa.array(end), pa.array(len(codes) - 1 - end), pa.array(z.sum(axis=1)), flat], [c.split()[0] for c in out.split(", ")])
+
+    found = rows.mapInArrow(run, out)
+    each = found.select("seq_id", "end", "dist_from_end", "all_ratios", F.posexplode("z").alias("i", "ratio"))
+    motif = F.element_at(F.array(*(F.lit(m) for m in names)), F.col("i") + 1).cast(pwm.schema["motif"].dataType)
+    return each.select("seq_id", "end", "dist_from_end", motif.alias("motif"), "ratio", "all_ratios", F.lit(len(names)).alias("models"))
 
 
 def site_posterior(scan: DataFrame, prior: float) -> DataFrame:

@@ -10,6 +10,7 @@ from helixlake.operators import motifs as M
 from helixlake.operators import sequences as S
 from helixlake.plans.duck import BACKGROUND, BASES, COUNTS, PWM, REV, SEQS, SITES, sql, win
 from helixlake.sources import inputs as I
+from helixlake.sources.store import stored
 
 DP = 6
 R6 = lambda df, *cols: df.withColumns({c: F.round(c, DP) for c in cols})
@@ -42,7 +43,8 @@ def pwm(s, d):
 
 def scan(s, d, halved=()):
     q, _, c = parts(s, d)
-    return M.pwm_scan(q, M.normalised(c), S.background(q), 6, halved)
+    # counts are stored, so that the models are one scan of the sequences, the background another and the scan a third
+    return M.pwm_scan(q, M.normalised(stored(c, "counts")), S.background(q), 6, halved)
 
 
 def model_sets(s, d):

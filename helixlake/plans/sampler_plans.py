@@ -24,7 +24,7 @@ R6 = lambda df, *cols: df.withColumns({c: F.round(c, 6) for c in cols})  # noqa:
 def base(s, d):
     q = I.seqs(s, d)
     st = I.sites(q)
-    return q, st, M.normalised(M.motif_counts(st)), S.background(q)
+    return q, st, M.normalised(stored(M.motif_counts(st), "counts")), S.background(q)
 
 
 def scan(s, d):
