@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixlake.functions import nt as N
 from helixlake.operators import prefix as P
+from helixlake.sources.inputs import CHUNK as CHUNK_WINDOWS
+from helixlake.sources.inputs import chunked
 from helixlake.sources.store import stored
 
 #: Bases of a chromosome in one row.
@@ -103,6 +106,47 @@ def with_default(rows: DataFrame, values: DataFrame, keys: list[str], column: st
     return rows.join(values, keys, "left").withColumn(column, F.coalesce(column, F.lit(default)))
 
 
+def position_arrays(rows: DataFrame, value: str, w: int = 1, size: int = CHUNK_WINDOWS) -> DataFrame:
+    """(seq_id, at, <value>s): rows(seq_id, pos, value) as arrays aligned with the pieces that windows of w bases come from.
+
+    A piece at place at has size + w - 1 positions, so one at the beginning of a piece also stands at the end of the one before. Entry i is the
+    value at place at + i, null where there is none.
+    """
+    own = F.floor(F.col("pos") / size) * size
+    at = F.explode(F.filter(F.array(own, F.when((F.col("pos") - own < w - 1) & (own > 0), own - size)), lambda x: x.isNotNull()))
+    each = rows.where(F.col("pos") >= 0).select("seq_id", "pos", value, at.alias("at"))
+    found = each.groupBy("seq_id", "at").agg(F.map_from_entries(F.collect_list(F.struct((F.col("pos") - F.col("at")).cast("int"), value))).alias("m"))
+    return found.select("seq_id", "at", F.transform(F.sequence(F.lit(0), F.lit(size + w - 2)), lambda i: F.element_at("m", i)).alias(f"{value}s"))
+
+
+def with_position_priors(seqs: DataFrame, w: int, background: DataFrame, bg: DataFrame, spacing: DataFrame, weights: DataFrame) -> DataFrame:
+    """(seq_id, pos, site, weight, spacing, ln_bg) of each unmasked window of w bases, its three priors attached by piece, not by position.
+
+    background(seq_id, pos, p: array of A, C, G, T) or, where it has no row, bg(base, p) gives the log probability ln_bg of the window; spacing(dist_from_end,
+    p), 0 where it has no row, the prior of its last base; weights(seq_id, w), or 1, the weight of its sequence.
+    """
+    codes = F.create_map(*(x for i, b in enumerate(N.BASES) for x in (F.lit(b), F.lit(i))))
+    usual = F.broadcast(bg.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("base", "p"))).alias("usual")))  # one row
+    near = F.broadcast(spacing.groupBy().agg(F.map_from_entries(F.collect_list(F.struct(F.col("dist_from_end").cast("long"), "p"))).alias("near")))  # one table of a few hundred places
+    piece = chunked(seqs, w).where("part is not null").join(position_arrays(background, "p", w), ["seq_id", "at"], "left").join(weights.select("seq_id", F.col("w").alias("weight")), "seq_id", "left")
+    piece = piece.crossJoin(usual).crossJoin(near)
+    one = lambda i: F.ln(F.coalesce(F.element_at(F.element_at("ps", i), F.element_at(codes, F.substring(F.col("part"), i, F.lit(1))) + 1), F.element_at("usual", F.substring(F.col("part"), i, F.lit(1)))))
+    # each base of a piece is looked up once; a window is the difference of two running sums
+    logs = F.transform(F.sequence(F.lit(1), F.length("part")), one)
+    each = piece.withColumn("logs", logs).where(F.length("part") >= w).select("seq_id", "len", "at", "part", "logs", "weight", "near", F.explode(F.sequence(F.lit(0), F.least(F.length("part") - w, F.lit(CHUNK_WINDOWS - 1)))).alias("i"))
+    site = F.substring(F.col("part"), F.col("i") + 1, F.lit(w))
+    ln = F.aggregate(F.slice("logs", F.col("i") + 1, F.lit(w)), F.lit(0.0), lambda a, x: a + x)
+    pos = F.col("at") + F.col("i")
+    out = each.select("seq_id", pos.alias("pos"), site.alias("site"), F.coalesce("weight", F.lit(1.0)).alias("weight"), F.coalesce(F.element_at("near", F.col("len") - pos - w), F.lit(0.0)).alias("spacing"), ln.alias("ln_bg"))
+    return out.where(F.col("site").rlike("^[ACGT]+$"))
+
+
+def at_positions(rows: DataFrame, arrays: DataFrame, values: str, default: float, size: int = CHUNK_WINDOWS) -> DataFrame:
+    """rows(seq_id, pos, ...) with p from arrays(seq_id, at, values), or the default; the join has a key for each size positions."""
+    met = rows.withColumn("at", F.floor(F.col("pos") / size) * size).join(arrays.select("seq_id", "at", F.col(values).alias("_v")), ["seq_id", "at"], "left")
+    return met.withColumn("p", F.coalesce(F.try_element_at("_v", (F.col("pos") - F.col("at") + 1).cast("int")), F.lit(default))).drop("_v", "at")
+
+
 def groups_of(seqs: DataFrame, starts: DataFrame, width: int = 1 << 16) -> DataFrame:
     """(seq_id, grp): the last group start that isn't after the sequence, null before the first.
 

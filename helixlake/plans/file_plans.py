@@ -12,7 +12,7 @@ from helixlake.operators import walks as K
 from helixlake.plans.duck import BACKGROUND, BASES, COUNTS, GENES, PWM, SAMPLES, SEQS, SITES, sql, win
 from helixlake.sources import inputs as I
 from helixlake.sources import text as T
-from helixlake.sources.store import new_path
+from helixlake.sources.store import new_path, stored
 
 R6 = lambda df, *cols: df.withColumns({c: F.round(c, 6) for c in cols})
 
@@ -78,19 +78,18 @@ def pwm_file(s, d):
 
 
 def walk_files(s, d):
-    """Lines of the samples, in folders by walk and step whose files carry both in their names."""
+    """Lines of the samples, in a folder for each walk that carries its number and steps in its name."""
     rows = K.sum_walk(I.samples(s, d), 0)
-    lines = rows.select(F.concat_ws(",", "seq_id", "motif", "pos", "n").alias("value"), "walk_id", "to_step").where("walk_id < 3")
-    base = new_path(s, "walks")
-    for walk in range(3):
-        lines.where(F.col("walk_id") == walk).select("value").write.text(f"{base}/" + ("walk_0_steps_range_0_90000", "walk_1_steps_90000", "samples_2_90000")[walk])
-    return base
+    name = F.when(F.col("walk_id") % 3 == 0, F.format_string("walk_%d_steps_range_0_90000", "walk_id")).when(F.col("walk_id") % 3 == 1, F.format_string("walk_%d_steps_90000", "walk_id")).otherwise(F.format_string("samples_%d_90000", "walk_id"))
+    return written(s, rows.select(F.concat_ws(",", "seq_id", "motif", "pos", "n").alias("value"), name.alias("file")).repartition("file"), "file")
 
 
 def conv_file(s, d):
-    c = K.conv_stats(K.l1_walks(I.samples(s, d))).where("sampler_id = 0")
-    lines = c.select(F.concat_ws(" ", F.col("step").cast("string"), *(F.format_string("%.6f", F.col(x).cast("double")) for x in ("min", "avg", "median", "max", "stddev")), F.col("n").cast("string")).alias("value"))
-    return T.read_conv_stats(s, written(s, s.createDataFrame([("walks of a sampler",), ("",)], "value string").union(lines)))
+    """The statistics of each sampler in a folder of its own, between lines that are none."""
+    c = stored(K.conv_stats(K.l1_walks(I.samples(s, d))), "stats")
+    lines = c.select(F.concat_ws(" ", F.col("step").cast("string"), *(F.format_string("%.6f", F.col(x).cast("double")) for x in ("min", "avg", "median", "max", "stddev")), F.col("n").cast("string")).alias("value"), "sampler_id")
+    noise = c.select("sampler_id").distinct().select(F.explode(F.array(F.lit("walks of a sampler"), F.lit(""))).alias("value"), "sampler_id")
+    return T.read_conv_stats(s, written(s, noise.union(lines), "sampler_id")).withColumn("sampler_id", F.col("sampler_id").cast("long"))
 
 
 def table_file(s, rows, names, schema, normalise=None):
@@ -109,11 +108,37 @@ def stats_file(s, d, fmt):
 
 def position_background(s, d):
     """Base probabilities by position, from a file; a row that doesn't add up to one is left to the global background."""
-    n = I.bases(I.seqs(s, d)).where("base != 'X' and pos < 500").groupBy("pos").pivot("base", list(N.BASES)).count().na.fill(0)
+    n = I.bases(I.seqs(s, d)).where("base != 'X'").groupBy("pos").pivot("base", list(N.BASES)).count().na.fill(0)
     total = F.col("A") + F.col("C") + F.col("G") + F.col("T")
     bad = F.when(F.col("pos") % 7 == 0, 2.0).otherwise(1.0)
     table = table_file(s, n.select("pos", *((F.col(b) * bad / total).alias(b) for b in N.BASES)), ["pos", *N.BASES], "pos long, A double, C double, G double, T double")
-    return M.position_background(table, S.background(I.seqs(s, d)), I.seqs(s, d).select(F.explode(F.sequence(F.lit(0), F.lit(499))).alias("pos")).distinct())
+    longest = I.seqs(s, d).agg(F.max(F.length("nt"))).first()[0] or 0
+    return M.position_background(table, S.background(I.seqs(s, d)), s.range(longest).select(F.col("id").alias("pos")))
+
+
+def conservation(s, d):
+    """A file of made-up conservation, ten numbers a line, for all sequences but every fifth; read as arrays."""
+    q = I.seqs(s, d).where("seq_id % 5 != 0 and length(nt) > 0")
+    value = lambda i: ((i * 7 + F.col("seq_id")) % 100 / 100).cast("string")
+    pieces = I.chunked(q, 1, 10, keep=["name"]).where("part is not null").select("seq_id", (F.col("at") + 1).alias("k"), F.array_join(F.transform(F.sequence(F.col("at"), F.col("at") + F.length("part") - 1), value), " ").alias("value"))
+    heads = q.select("seq_id", F.lit(0).cast("long").alias("k"), F.concat(F.lit(">"), F.substring("name", 3, 100)).alias("value"))
+    path = new_path(s, "conservation")
+    T.write_lines(pieces.unionByName(heads), path, "seq_id", "k")
+    found = T.read_conservation(s, path)
+    return found.join(I.seqs(s, d).select("seq_id", "name"), "name").select("seq_id", "at", "values")
+
+
+def position_priors(s, d):
+    """Three priors at each window: a file with the background of each position of two thirds of the sequences, some rows bad, spacing and weights."""
+    q = I.seqs(s, d)
+    raw = I.bases(q.where("seq_id % 3 != 0")).withColumn("x", ((F.col("pos") + F.col("seq_id")) % 10 + 1) / 100)
+    p = [0.25 + F.col("x"), 0.25 - F.col("x"), F.when(F.col("pos") % 11 == 0, 0.75).otherwise(0.25), F.lit(0.25)]
+    lines = raw.select(F.concat_ws(" ", (F.col("seq_id") + 1).cast("string"), F.lit("-"), *(F.round(c, 6).cast("string") for c in p), (F.col("pos") + 1).cast("string")).alias("value"))
+    good, _ = T.read_position_background(s, written(s, lines))
+    spacing = s.range(558).select(F.col("id").alias("dist_from_end"), (0.001 + F.col("id") / 1000000).alias("p"))
+    weights = I.read(s, d, "labels").select(F.col("doc_id").alias("seq_id"), (0.5 + F.col("quality") / 2).alias("w"))
+    rows = V.with_position_priors(q, 6, good, S.background(q), spacing, weights)
+    return rows.groupBy("seq_id", "weight").agg(F.count("*").alias("n"), F.round(F.sum("spacing"), 6).alias("spacing"), F.round(F.sum("ln_bg"), 3).alias("ln_bg"), F.round(F.min("ln_bg"), 5).alias("least"))
 
 
 K_TABLE = "k AS (SELECT seq_id, count(s_start) AS k FROM seqs LEFT JOIN sites USING (seq_id) GROUP BY seq_id)"
@@ -121,7 +146,7 @@ STATS = "SELECT gene, motif, count(*) AS n, round(sum(pct), 6) AS total, round(a
 ROWS = "srows AS (SELECT 'g' || seq_id AS gene, motif, pos, 100.0::DOUBLE * n / (10 + pos) AS pct FROM samples)"
 L1 = """cell AS (SELECT a.sampler_id, a.step, a.walk_id AS walk_a, b.walk_id AS walk_b, sum(least(a.n, b.n)) AS m FROM samples a JOIN samples b USING (sampler_id, step, seq_id, motif, pos) WHERE a.walk_id < b.walk_id GROUP BY ALL),
 tot AS (SELECT sampler_id, step, walk_id, sum(n) AS t FROM samples GROUP BY ALL),
-l1 AS (SELECT a.step, CAST(a.t + b.t - 2 * coalesce(m, 0) AS BIGINT) AS d FROM tot a JOIN tot b ON a.sampler_id = b.sampler_id AND a.step = b.step AND a.walk_id < b.walk_id LEFT JOIN cell c ON c.step = a.step AND c.walk_a = a.walk_id AND c.walk_b = b.walk_id WHERE a.sampler_id = 0)"""
+l1 AS (SELECT a.sampler_id, a.step, CAST(a.t + b.t - 2 * coalesce(m, 0) AS BIGINT) AS d FROM tot a JOIN tot b ON a.sampler_id = b.sampler_id AND a.step = b.step AND a.walk_id < b.walk_id LEFT JOIN cell c ON c.step = a.step AND c.walk_a = a.walk_id AND c.walk_b = b.walk_id)"""
 QUERIES = {
     "src_fasta": (lambda s, d: fasta(s, d).select("name", "nt"), sql(SEQS, "SELECT name, nt FROM seqs WHERE length(nt) > 0")),
     "src_genes": (lambda s, d: T.read_genes(s, gene_file(s, d)).withColumn("chrom", F.col("chrom").cast("long")), sql(GENES, "SELECT * FROM genes")),
@@ -142,11 +167,11 @@ QUERIES = {
     "src_pwm_csv": (lambda s, d: R6(pwm_file(s, d), "p"), sql(SEQS, SITES, COUNTS, PWM, "SELECT col, base, round(n / (sum(n) OVER (PARTITION BY col))::DOUBLE, 6) AS p FROM dense WHERE motif = 1")),
     "src_walk_files": (
         lambda s, d: T.read_walk_files(s, walk_files(s, d) + "/*/*"),
-        sql(SAMPLES, "SELECT seq_id || ',' || motif || ',' || pos || ',' || CAST(sum(n) AS BIGINT) AS value, walk_id, CASE WHEN walk_id = 0 THEN CAST(0 AS BIGINT) END AS from_step, CAST(90000 AS BIGINT) AS step FROM samples WHERE walk_id < 3 GROUP BY walk_id, seq_id, motif, pos"),
+        sql(SAMPLES, "SELECT seq_id || ',' || motif || ',' || pos || ',' || CAST(sum(n) AS BIGINT) AS value, walk_id, CASE WHEN walk_id % 3 = 0 THEN CAST(0 AS BIGINT) END AS from_step, CAST(90000 AS BIGINT) AS step FROM samples GROUP BY walk_id, seq_id, motif, pos"),
     ),
     "src_conv_stats": (
         lambda s, d: R6(conv_file(s, d), "min", "avg", "median", "max", "stddev"),
-        sql(SAMPLES, L1, "SELECT step AS depth, round(min(d)::DOUBLE, 6) AS min, round(avg(d), 6) AS avg, round(quantile_cont(d, 0.5)::DOUBLE, 6) AS median, round(max(d)::DOUBLE, 6) AS max, round(stddev_pop(d), 6) AS stddev, count(*) AS n FROM l1 GROUP BY step"),
+        sql(SAMPLES, L1, "SELECT sampler_id, step AS depth, round(min(d)::DOUBLE, 6) AS min, round(avg(d), 6) AS avg, round(quantile_cont(d, 0.5)::DOUBLE, 6) AS median, round(max(d)::DOUBLE, 6) AS max, round(stddev_pop(d), 6) AS stddev, count(*) AS n FROM l1 GROUP BY sampler_id, step"),
     ),
     "snk_motif_stats": (lambda s, d: stats_file(s, d, "tsv"), sql(SAMPLES, ROWS, STATS)),
     "snk_motif_stats_json": (lambda s, d: stats_file(s, d, "json"), sql(SAMPLES, ROWS, STATS)),
@@ -169,7 +194,21 @@ QUERIES = {
     ),
     "src_bkgnd_positions": (
         lambda s, d: R6(position_background(s, d), "p"),
-        sql(SEQS, BASES, BACKGROUND, "c AS (SELECT pos, base, count(*) AS n FROM bases WHERE base <> 'X' AND pos < 500 GROUP BY ALL)", "SELECT CAST(q.pos AS BIGINT) AS pos, bg.base, round(CASE WHEN q.pos % 7 = 0 OR t IS NULL THEN bg.p ELSE coalesce(n, 0) / t::DOUBLE END, 6) AS p FROM range(500) q(pos) CROSS JOIN bg LEFT JOIN (SELECT pos, sum(n) AS t FROM c GROUP BY pos) t ON t.pos = q.pos LEFT JOIN c ON c.pos = q.pos AND c.base = bg.base"),
+        sql(SEQS, BASES, BACKGROUND, "c AS (SELECT pos, base, count(*) AS n FROM bases WHERE base <> 'X' GROUP BY ALL)", "SELECT CAST(q.pos AS BIGINT) AS pos, bg.base, round(CASE WHEN q.pos % 7 = 0 OR t IS NULL THEN bg.p ELSE coalesce(n, 0) / t::DOUBLE END, 6) AS p FROM (SELECT unnest(range(0, (SELECT max(length(nt)) FROM seqs))) AS pos) q CROSS JOIN bg LEFT JOIN (SELECT pos, sum(n) AS t FROM c GROUP BY pos) t ON t.pos = q.pos LEFT JOIN c ON c.pos = q.pos AND c.base = bg.base"),
+    ),
+    "src_conservation": (
+        lambda s, d: V.at_positions(I.sites(I.seqs(s, d)).select("seq_id", F.col("s_start").alias("pos")), conservation(s, d), "values", 0.5).withColumnRenamed("pos", "s_start"),
+        sql(SEQS, SITES, "SELECT seq_id, s_start, CASE WHEN seq_id % 5 = 0 THEN 0.5::DOUBLE ELSE (s_start * 7 + seq_id) % 100 / 100.0::DOUBLE END AS p FROM sites"),
+    ),
+    "src_conservation_arrays": (
+        lambda s, d: conservation(s, d).groupBy("seq_id").agg(F.count("*").alias("n_arrays"), F.sum(F.size("values")).alias("n"), F.round(F.sum(F.aggregate("values", F.lit(0.0), lambda a, x: a + x)), 4).alias("total")),
+        sql(SEQS, "SELECT seq_id, CAST(ceil(length(nt) / 64.0) AS BIGINT) AS n_arrays, length(nt) AS n, round(list_sum([(i * 7 + seq_id) % 100 / 100.0::DOUBLE FOR i IN range(length(nt))]), 4) AS total FROM seqs WHERE seq_id % 5 <> 0 AND length(nt) > 0"),
+    ),
+    "join_position_priors": (
+        position_priors,
+        sql(SEQS, BACKGROUND, win(6), "o AS (SELECT seq_id, pos, site, unnest(range(0, 6)) AS j FROM win6 WHERE regexp_full_match(site, '[ACGT]+'))",
+            "l AS (SELECT o.seq_id, o.pos, sum(ln(CASE WHEN o.seq_id % 3 = 0 OR (o.pos + j) % 11 = 0 THEN bg.p ELSE 0.25 + CASE bg.base WHEN 'A' THEN 1 WHEN 'C' THEN -1 ELSE 0 END * ((o.pos + j + o.seq_id) % 10 + 1) / 100.0::DOUBLE END)) AS ln_bg FROM o JOIN bg ON bg.base = substr(site, j + 1, 1) GROUP BY ALL)",
+            "SELECT l.seq_id, coalesce(0.5 + quality / 2.0::DOUBLE, 1.0) AS weight, count(*) AS n, round(sum(CASE WHEN length(nt) - pos - 6 < 558 THEN 0.001 + (length(nt) - pos - 6) / 1000000.0::DOUBLE ELSE 0 END), 6) AS spacing, round(sum(ln_bg)::DOUBLE, 3) AS ln_bg, round(min(ln_bg)::DOUBLE, 5) AS least FROM l JOIN seqs USING (seq_id) LEFT JOIN labels ON doc_id = l.seq_id GROUP BY ALL"),
     ),
     "snk_prior": (
         lambda s, d: T.prior_lines(M.motif_counts(I.sites(I.seqs(s, d)))),

@@ -248,10 +248,6 @@ QUERIES = {
         lambda s, d: T.flanked_sites(base(s, d)[1], I.seqs(s, d)),
         sql(SEQS, SITES, "f AS (SELECT seq_id, s_start, strand, substr(nt, CAST(greatest(s_start - 5, 0) + 1 AS BIGINT), CAST(s_end + 5 - greatest(s_start - 5, 0) AS BIGINT)) AS t FROM sites JOIN seqs USING (seq_id))", f"SELECT seq_id, s_start, CASE WHEN strand = 'R' THEN {REV.format('t')} ELSE t END AS value FROM f"),
     ),
-    "src_conservation": (
-        lambda s, d: V.with_default(base(s, d)[1].select("seq_id", "s_start"), I.samples(s, d).groupBy("seq_id").agg((F.max("n") / 100).alias("p")), ["seq_id"], "p", 0.5),
-        sql(SEQS, SITES, SAMPLES, "c AS (SELECT seq_id, max(n) / 100.0::DOUBLE AS p FROM samples GROUP BY seq_id)", "SELECT seq_id, s_start, coalesce(p, 0.5) AS p FROM sites LEFT JOIN c USING (seq_id)"),
-    ),
     "src_prior_layout": (
         lambda s, d: R6(M.transitions(base(s, d)[1]).groupBy("prev").pivot("cur", ["0", "1", "2", "end"]).agg(F.first("p")).na.fill(0.0).withColumnsRenamed({"0": "to_0", "1": "to_1", "2": "to_2", "end": "to_end"}), "to_0", "to_1", "to_2", "to_end"),
         sql(SEQS, SITES, "t AS (SELECT coalesce(lag(motif::VARCHAR) OVER w, 'begin') AS prev, motif::VARCHAR AS cur, lead(motif) OVER w AS nxt FROM sites WINDOW w AS (PARTITION BY seq_id ORDER BY s_start, motif)), u AS (SELECT prev, cur FROM t UNION ALL SELECT cur, 'end' FROM t WHERE nxt IS NULL)",

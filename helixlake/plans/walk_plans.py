@@ -160,10 +160,6 @@ QUERIES = {
         lambda s, d: V.join_control(I.seqs(s, d)),
         sql(SEQS, "SELECT a.seq_id, b.seq_id AS control_id, length(a.nt) = length(b.nt) AS ok FROM seqs a JOIN seqs b ON b.seq_id = a.seq_id + (SELECT (max(seq_id) + 1) // 2 FROM seqs)"),
     ),
-    "join_position_priors": (
-        lambda s, d: V.with_default(I.sites(I.seqs(s, d)).select("seq_id", "s_start"), I.samples(s, d).groupBy("seq_id", F.col("pos").alias("s_start")).agg((F.sum("n") / 1000).alias("prior")), ["seq_id", "s_start"], "prior", 0.25),
-        sql(SEQS, SITES, SAMPLES, "pr AS (SELECT seq_id, pos AS s_start, sum(n) / 1000.0::DOUBLE AS prior FROM samples GROUP BY ALL)", "SELECT seq_id, s_start, coalesce(prior, 0.25) AS prior FROM sites LEFT JOIN pr USING (seq_id, s_start)"),
-    ),
     "src_seq_weights": (
         lambda s, d: V.with_default(I.seqs(s, d).select("seq_id"), I.read(s, d, "labels").select(F.col("doc_id").alias("seq_id"), (0.5 + F.col("quality") / 2).alias("w")), ["seq_id"], "w", 1.0),
         sql(SEQS, "SELECT seq_id, coalesce(0.5 + quality / 2.0::DOUBLE, 1.0) AS w FROM seqs LEFT JOIN labels ON doc_id = seq_id"),

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixlake.functions import nt as N
+from helixlake.operators import prefix as P
+from helixlake.sources.inputs import CHUNK
+from helixlake.sources.store import stored
 
 
 def _numbered(spark: SparkSession, path: str, **options: str) -> DataFrame:
@@ -28,6 +31,11 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return _numbered(spark, path)
 
 
+def write_lines(rows: DataFrame, path: str, *order: str) -> None:
+    """A text file whose lines are the values of rows(value, order...) in the order: ranges of rows are files whose names ascend, so that _numbered restores the place of each line."""
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.text(path)
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """seqs: a record begins at each '>'; blank lines and carriage returns don't matter."""
     rows = _numbered(spark, path, lineSep="\n>").withColumnRenamed("line", "seq_id")
@@ -117,7 +125,7 @@ def read_samples(spark: SparkSession, path: str, n_motifs: int) -> DataFrame:
 def read_walk_files(spark: SparkSession, glob: str) -> DataFrame:
     """(value, walk_id, from_step, step): lines of files, or of folders of files, named walk_<id>_steps_<n>, walk_<id>_steps_range_<a>_<b>, samples_<id>_<n> or motifs_<id>_<n>; from_step is null but for ranges."""
     name = F.col("_metadata.file_path")
-    pattern = r"/(?:walk_(\d+)_steps_(?:range_(\d+)_)?|(?:samples|motifs)_(\d+)_)(\d+)[^/]*(?:/[^/]*)?$"
+    pattern = r"[/=](?:walk_(\d+)_steps_(?:range_(\d+)_)?|(?:samples|motifs)_(\d+)_)(\d+)[^/]*(?:/[^/]*)?$"
     got = lambda i: F.nullif(F.regexp_extract(name, pattern, i), F.lit(""))
     return spark.read.text(glob).select("value", F.coalesce(got(1), got(3)).cast("long").alias("walk_id"), got(2).cast("long").alias("from_step"), got(4).cast("long").alias("step")).where("step is not null")
 
@@ -191,9 +199,45 @@ def read_genes(spark: SparkSession, path: str, limit: int | None = None) -> Data
 
 
 def read_conv_stats(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of seven numbers; others are skipped. Folders named column=value give further columns."""
     names = {"depth": "long", "min": "double", "avg": "double", "median": "double", "max": "double", "stddev": "double", "n": "long"}
     p = F.split(F.trim("value"), r"\s+")
-    return spark.read.text(path).where(F.col("value").rlike(r"^\s*\d+(\s+[-0-9.e+]+){6}\s*$")).select(*(p[i].cast(t).alias(n) for i, (n, t) in enumerate(names.items())))
+    rows = spark.read.text(path)
+    folders = [c for c in rows.columns if c != "value"]
+    return rows.where(F.col("value").rlike(r"^\s*\d+(\s+[-0-9.e+]+){6}\s*$")).select(*folders, *(p[i].cast(t).alias(n) for i, (n, t) in enumerate(names.items())))
+
+
+def read_conservation(spark: SparkSession, path: str, size: int = CHUNK) -> DataFrame:
+    """(name, at, values): probabilities by position, as arrays of size positions each; at is the first one's place.
+
+    A record is a header line with '>' and lines of white-space separated numbers, as many as there are positions. A line's
+    place follows from running sums over all lines; lines are cut at the bounds of the arrays and put together there.
+    """
+    lines = _lines(spark, path).select("line", F.trim(N.strip_cr("value")).alias("value")).where("value != ''")
+    head = F.col("value").startswith(">")
+    parts = P.ranged(lines.withColumn("head", head.cast("long")).withColumn("n", F.when(head, 0).otherwise(F.size(F.split("value", r"\s+"))).cast("long")), "line")
+    placed = P.running_sum(P.running_sum(parts, "head", "record", "line"), "n", "upto", "line")
+    placed = stored(placed.select("record", "value", "head", (F.col("upto") - F.col("n")).alias("first")), "lines")
+    heads = placed.where("head = 1").select("record", F.concat(F.lit("> "), F.trim(F.substring("value", 2, 1 << 20))).alias("name"), F.col("first").alias("origin"))
+    body = placed.where("head = 0").join(heads, "record").select("name", (F.col("first") - F.col("origin")).alias("first"), F.transform(F.split("value", r"\s+"), lambda v: v.cast("double")).alias("v"))
+    return arrays_of(body, ["name"], size)
+
+
+def arrays_of(lines: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """(keys, at, values): arrays of size places from pieces (keys, first, v) of arrays, which follow one another without gaps."""
+    last = F.col("first") + F.size("v") - 1
+    cut = lines.where(F.size("v") > 0).withColumn("at", F.explode(F.sequence(F.floor(F.col("first") / size) * size, F.floor(last / size) * size, F.lit(size))))
+    lo, hi = F.greatest("first", "at"), F.least(last + 1, F.col("at") + size)
+    piece = cut.select(*keys, "at", lo.alias("lo"), F.slice("v", (lo - F.col("first") + 1).cast("int"), (hi - lo).cast("int")).alias("v"))
+    return piece.groupBy(*keys, "at").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("lo", "v"))), lambda x: x["v"])).alias("values"))
+
+
+def read_position_background(spark: SparkSession, path: str, slack: float = 0.001) -> tuple[DataFrame, DataFrame]:
+    """((seq_id, pos, p), rejected (seq_id, pos, p)): lines of sequence and position, 1-based, around four probabilities in the order of the bases; lines that don't add up to one are rejected."""
+    v = F.split(F.trim("value"), r"[\s,]+")
+    rows = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#|$)")).select((v[0].cast("long") - 1).alias("seq_id"), (v[6].cast("long") - 1).alias("pos"), F.transform(F.slice(v, 3, 4), lambda x: x.cast("double")).alias("p"))
+    good = F.abs(F.aggregate("p", F.lit(0.0), lambda a, x: a + x) - 1) <= slack
+    return rows.where(good), rows.where(~F.coalesce(good, F.lit(False)))
 
 
 def read_table(spark: SparkSession, path: str, schema: str, normalise: tuple[str, list[str]] | None = None) -> DataFrame:
