@@ -230,41 +230,50 @@ def shifted_motif(sites: DataFrame, motif: int, seqs: DataFrame, bg: DataFrame,
     return out.select(*sites.columns)
 
 
-def centroid_sites(samples: DataFrame, n_samples: int | None, width: int) -> DataFrame:
-    """(seq_id, s_start, s_end, p): the sites that disagree least with all draws.
+def centroid_sites(samples: DataFrame, n_samples: int | None, widths: int | tuple[int, ...]) -> DataFrame:
+    """(seq_id, motif, s_start, s_end, p): the sites that disagree least with all draws.
 
-    samples(seq_id, end, n); n_samples draws, or as many as a sequence has sites if it is None (draws of one site). Of sets
-    that score alike the one with more draws at the very place wins. A site scores 2 * overlaps - draws, where a draw overlaps when it
-    shares more than half of the width; the best set that doesn't overlap is a weighted interval choice.
+    samples(seq_id, motif, end, n), motif being 0 without that column; widths: of each motif; n_samples draws, or as many as a sequence has sites if it
+    is None (draws of one site). A site of any drawn place scores 2 * overlaps - draws, where a draw overlaps when it shares more than
+    half of the wider of both; the best set that doesn't overlap is a weighted interval choice over the places in order. Of sets that score
+    alike the one with more draws at the very places wins, then the one with the earlier last site.
     """
+    width_of = (widths,) if isinstance(widths, int) else tuple(widths)
+    if "motif" not in samples.columns:
+        samples = samples.withColumn("motif", F.lit(0))
 
     def choose(f: pd.DataFrame) -> pd.DataFrame:
-        n = f.groupby("end").n.sum()
-        lo, hi = int(n.index.min()), int(n.index.max())
-        dense = np.zeros(hi - lo + 1)
-        dense[n.index.to_numpy() - lo] = n.to_numpy()
-        reach = width - (width // 2 + 1)
-        sums = np.concatenate([[0], np.cumsum(dense)])
-        i = np.arange(len(dense))
-        near = sums[np.minimum(i + reach + 1, len(dense))] - sums[np.maximum(i - reach, 0)]
-        draws = n_samples or int(dense.sum())
-        gain = 2 * near - draws + dense * 1e-9
-        best, take = np.zeros(len(dense) + 1), np.zeros(len(dense), bool)
-        for j in range(len(dense)):
-            with_j = gain[j] + best[max(j + 1 - width, 0)]
-            take[j] = with_j > best[j]
-            best[j + 1] = max(best[j], with_j)
-        rows, j = [], len(dense) - 1
-        while j >= 0:
-            if take[j]:
-                end = j + lo
-                rows.append((int(f.seq_id.iloc[0]), end + 1 - width, end + 1, float(min(near[j] / draws, 1.0))))
-                j -= width
+        n = f.groupby(["end", "motif"]).n.sum().sort_index()
+        ends, motifs, times = (np.asarray(x, dtype=np.int64) for x in (n.index.get_level_values(0), n.index.get_level_values(1), n.to_numpy()))
+        low = int(ends.min()) - max(width_of)
+        sums = np.zeros((len(width_of), int(ends.max()) - low + 2), np.int64)
+        np.add.at(sums, (motifs, ends - low + 1), times)
+        sums = np.cumsum(sums, axis=1)  # sums[m, x - low + 1]: draws of motif m that end at x or before
+        near = np.zeros(len(ends), np.int64)
+        for i, (end, m) in enumerate(zip(ends.tolist(), motifs.tolist())):
+            for other, w2 in enumerate(width_of):
+                need = max(width_of[m], w2) // 2 + 1
+                if need <= min(width_of[m], w2):
+                    first, last = end - width_of[m] + need, end + w2 - need
+                    near[i] += sums[other, min(last - low + 1, sums.shape[1] - 1)] - sums[other, max(first - low, 0)]
+        draws = n_samples or int(times.sum())
+        best: list[tuple[int, int]] = [(0, 0)]
+        taken, before = [], np.searchsorted(ends, ends - np.array([width_of[m] for m in motifs]), side="right").tolist()
+        for i in range(len(ends)):
+            score, same = best[before[i]]
+            with_i = (score + 2 * int(near[i]) - draws, same + int(times[i]))
+            taken.append(with_i > best[-1])
+            best.append(max(best[-1], with_i))
+        rows, i = [], len(ends) - 1
+        while i >= 0:
+            if taken[i]:
+                rows.append((int(f.seq_id.iloc[0]), int(motifs[i]), int(ends[i]) + 1 - width_of[motifs[i]], int(ends[i]) + 1, float(min(near[i] / draws, 1.0))))
+                i = before[i] - 1
             else:
-                j -= 1
-        return pd.DataFrame(rows[::-1], columns=["seq_id", "s_start", "s_end", "p"])
+                i -= 1
+        return pd.DataFrame(rows[::-1], columns=["seq_id", "motif", "s_start", "s_end", "p"])
 
-    return samples.select("seq_id", "end", "n").groupBy("seq_id").applyInPandas(choose, "seq_id long, s_start long, s_end long, p double")
+    return samples.select("seq_id", F.col("motif").cast("int").alias("motif"), "end", "n").groupBy("seq_id").applyInPandas(choose, "seq_id long, motif int, s_start long, s_end long, p double")
 
 
 def credibility(distances: DataFrame, q: float = 0.95) -> DataFrame:
@@ -272,43 +281,3 @@ def credibility(distances: DataFrame, q: float = 0.95) -> DataFrame:
     w = Window.partitionBy("seq_id").orderBy("distance", "sample")
     ranked = distances.withColumn("i", F.row_number().over(w) - 1).withColumn("at", F.least(F.floor(F.lit(q) * F.count("*").over(Window.partitionBy("seq_id"))), F.count("*").over(Window.partitionBy("seq_id")) - 1))
     return ranked.groupBy("seq_id").agg(F.lit(q).alias("q"), F.max(F.when(F.col("i") == F.col("at"), F.col("distance"))).alias("distance"), F.avg("distance").alias("mean"))
-
-
-def tree_column(columns: DataFrame, tree: list[tuple[str, str | None, float, str | None]], pi: dict[str, float]) -> DataFrame:
-    """(col, likelihood): Felsenstein pruning of columns(col, leaf, base) over a tree of (node, parent, length, leaf).
-
-    One join and aggregation for each level of the tree, all columns together; a leaf without a row, or with a masked base,
-    is unknown.
-    """
-    spark = columns.sparkSession
-    k = 1 / (1 - sum(v * v for v in pi.values()))
-    depth = {n: 0 for n, parent, _, _ in tree if parent is None}
-    while len(depth) < len(tree):
-        more = {n: depth[p] + 1 for n, p, _, _ in tree if n not in depth and p in depth}
-        if not more:
-            raise ValueError("the tree has a cycle or a missing parent")
-        depth |= more
-    trans = [(n, p, b, a, (np.exp(-k * t) if a == b else 0.0) + (1 - np.exp(-k * t)) * pi[b]) for n, p, t, _ in tree if p is not None for a in N.BASES for b in N.BASES]
-    edges = spark.createDataFrame([tuple(map(lambda v: float(v) if isinstance(v, np.floating) else v, r)) for r in trans], "node string, parent string, base string, up string, p double")
-    leaves = spark.createDataFrame([(n, leaf) for n, _, _, leaf in tree if leaf], "node string, leaf string")
-    all_cols = columns.select("col").distinct()
-    seen = all_cols.crossJoin(F.broadcast(leaves)).join(columns, ["col", "leaf"], "left")
-    bases = F.explode(F.array(*map(F.lit, N.BASES)))
-    part = seen.select("col", "node", F.col("base").alias("own"), bases.alias("base")).select("col", "node", "base", F.when(F.col("own").isNull() | ~F.col("own").isin(*N.BASES) | (F.col("own") == F.col("base")), 1.0).otherwise(0.0).alias("l"))
-    for level in range(max(depth.values()), 0, -1):
-        at = [n for n in depth if depth[n] == level]
-        low = part.where(F.col("node").isin(at)).join(F.broadcast(edges), ["node", "base"]).groupBy("col", "node", "parent", "up").agg(F.sum(F.col("l") * F.col("p")).alias("l"))
-        up = low.groupBy("col", F.col("parent").alias("node"), F.col("up").alias("base")).agg(F.product("l").alias("l"))
-        # part is read twice in a level, so it is written once for each
-        part = stored(part.where(~F.col("node").isin(at)).unionByName(up.select("col", "node", "base", "l")), "level")
-    root = F.lit(0.0)
-    for b, v in pi.items():
-        root = root + F.when(F.col("base") == b, F.col("l") * v).otherwise(0.0)
-    return part.groupBy("col").agg(F.sum(root).alias("likelihood"))
-
-
-def tree_unmatched(leaves: DataFrame, seqs: DataFrame) -> DataFrame:
-    """(what, id): leaves(leaf) without a sequence and sequences without a leaf."""
-    a = leaves.join(seqs.select(F.col("seq_id").alias("leaf")), "leaf", "left_anti").select(F.lit("leaf").alias("what"), F.col("leaf").alias("id"))
-    b = seqs.select(F.col("seq_id").alias("leaf")).join(leaves, "leaf", "left_anti").select(F.lit("sequence").alias("what"), F.col("leaf").alias("id"))
-    return a.union(b)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,11 +57,19 @@ def mask_runs(seqs: DataFrame, min_len: int, mask_trailing: bool = True) -> Data
     return out.withColumn("nt", F.concat(F.left("nt.masked", F.length("nt.own") - F.length(last)), last))
 
 
+def valid_stretches(seqs: DataFrame) -> DataFrame:
+    """(seq_id, start, n): maximal stretches without a masked base; one expression cuts a sequence, and only its pieces move, to add up their lengths."""
+    found = F.regexp_extract_all("nt", F.lit("X+|[^X]+"), F.lit(0))
+    each = seqs.select("seq_id", F.posexplode_outer(found).alias("k", "piece")).where("piece is not null").select("seq_id", "k", F.length("piece").alias("n"), F.startswith("piece", F.lit("X")).alias("masked"))
+    upto = F.sum("n").over(Window.partitionBy("seq_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    return each.withColumn("start", upto - F.col("n")).where("not masked").select("seq_id", F.col("start").cast("long").alias("start"), F.col("n").cast("long").alias("n"))
+
+
 def valid_runs(seqs: DataFrame) -> DataFrame:
-    """(seq_id, pos, run): unmasked bases up to each position, 0 at a masked one; a running maximum of the last masked position."""
-    w = Window.partitionBy("seq_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.max(F.when(F.col("base") == "X", F.col("pos"))).over(w)
-    return bases(seqs).select("seq_id", "pos", (F.col("pos") - F.coalesce(last, F.lit(-1))).alias("run"))
+    """(seq_id, pos, run): unmasked bases up to each position, 0 at a masked one."""
+    pieces = F.regexp_extract_all("nt", F.lit("X+|[^X]+"), F.lit(0))
+    runs_ = F.flatten(F.transform(pieces, lambda p: F.when(F.startswith(p, F.lit("X")), F.array_repeat(F.lit(0), F.length(p))).otherwise(F.sequence(F.lit(1), F.length(p)))))
+    return seqs.select("seq_id", F.posexplode(runs_).alias("pos", "run")).select("seq_id", F.col("pos").cast("long").alias("pos"), F.col("run").cast("long").alias("run"))
 
 
 def seq_stats(seqs: DataFrame) -> DataFrame:
@@ -132,9 +142,47 @@ def possible_sites(seqs: DataFrame, w: int) -> DataFrame:
     return n.select(F.lit(w).cast("long").alias("w"), "n")
 
 
+#: Rounds and multipliers of the keyed permutation.
+ROUNDS, MIX1, MIX2 = 4, 2654435761, 40503
+
+
+def permuted(n: int, key: int) -> np.ndarray:
+    """A permutation of 0 to n - 1 by a key: a Feistel network on the smallest square of a power of two that holds n, places beyond n walking on until they are inside."""
+    half = 1
+    while 1 << 2 * half < n:
+        half += 1
+    mask = (1 << half) - 1
+
+    def network(x: np.ndarray) -> np.ndarray:
+        left, right = x >> half, x & mask
+        for r in range(ROUNDS):
+            mixed = (right * MIX1 + ((key + r * 104729) & 0xFFFFFFFF)) & 0xFFFFFFFF
+            left, right = right, left ^ ((((mixed * MIX2) & 0xFFFFFFFF) >> 13) & mask)
+        return left << half | right
+
+    out = network(np.arange(n, dtype=np.int64))
+    while len(beyond := np.flatnonzero(out >= n)):
+        out[beyond] = network(out[beyond])
+    return out
+
+
 def shuffled_control(seqs: DataFrame, seed: int) -> DataFrame:
-    """Each sequence with its bases in another order; masked bases become random ones. The same seed gives the same rows."""
-    u = F.pmod(F.xxhash64(F.lit(seed), "seq_id", "pos"), F.lit(4))
-    base = F.when(F.col("base").isin("X", "N"), F.element_at(F.array(*map(F.lit, N.BASES)), (u + 1).cast("int"))).otherwise(F.col("base"))
-    rows = bases(seqs).select("seq_id", F.xxhash64(F.lit(seed + 1), "seq_id", "pos").alias("k"), "pos", base.alias("base"))
-    return rows.groupBy("seq_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "pos", "base"))), lambda s: s["base"]), "").alias("nt"))
+    """Each sequence with its bases in another order; masked bases become random ones. The same seed gives the same rows.
+
+    Base i goes to place permuted(i), so a shuffle is a projection of its row.
+    """
+    letters = np.frombuffer("".join(N.BASES).encode(), np.uint8)
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for seq, nt in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own, key = np.frombuffer((nt or "").encode(), np.uint8).copy(), (seed * 1000003 + seq * 7919) & 0xFFFFFFFF
+                masked = np.flatnonzero((own == ord("X")) | (own == ord("N")))
+                own[masked] = letters[((((masked * MIX1 + key) & 0xFFFFFFFF) * MIX2) & 0xFFFFFFFF) >> 20 & 3]
+                to = np.empty_like(own)
+                to[permuted(len(own), key)] = own
+                out.append(to.tobytes().decode())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["seq_id", "nt"])
+
+    return seqs.select(F.col("seq_id").cast("long").alias("seq_id"), "nt").mapInArrow(run, "seq_id long, nt string")

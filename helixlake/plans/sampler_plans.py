@@ -12,7 +12,8 @@ from helixlake.operators import intervals as V
 from helixlake.operators import motifs as M
 from helixlake.operators import samplers as G
 from helixlake.operators import sequences as S
-from helixlake.plans.duck import BACKGROUND, COUNTS, PWM, REV, SAMPLES, SEQS, SITES, sql
+from helixlake.operators import trees as Y
+from helixlake.plans.duck import BACKGROUND, BASES, COUNTS, PWM, REV, SAMPLES, SEQS, SITES, sql
 from helixlake.sources import inputs as I
 from helixlake.sources import text as T
 from helixlake.sources.store import stored
@@ -174,6 +175,15 @@ def map_sql(name: str, by: str = "") -> str:
 
 TREE = [("r", None, 0.0, None), ("x", "r", 0.1, None), ("y", "r", 0.2, None), ("a", "x", 0.1, "a"), ("b", "x", 0.3, "b"), ("c", "y", 0.2, "c"), ("d", "y", 0.1, "d")]
 PI = {"A": 0.3, "C": 0.2, "G": 0.2, "T": 0.3}
+#: The commonest base of each group of sources at each place, the groups' bases as a pattern, and the pruning of the patterns over TREE for each of the equilibria eq(e, base, p).
+LEAVES = """lf AS (SELECT pos AS col, leaf, base, count(*) AS n FROM bases JOIN (SELECT doc_id AS seq_id, CASE WHEN right(source, 1) IN ('0', '1', '2') THEN 'a' WHEN right(source, 1) IN ('3', '4', '5') THEN 'b' WHEN right(source, 1) IN ('6', '7') THEN 'c' ELSE 'd' END AS leaf FROM documents) USING (seq_id) WHERE base <> 'X' GROUP BY ALL),
+top AS (SELECT col, leaf, max({'n': n, 'b': base}).b AS b FROM lf GROUP BY col, leaf),
+pat AS (SELECT col, coalesce(max(CASE WHEN leaf = 'a' THEN b END), '-') || coalesce(max(CASE WHEN leaf = 'b' THEN b END), '-') || coalesce(max(CASE WHEN leaf = 'c' THEN b END), '-') || coalesce(max(CASE WHEN leaf = 'd' THEN b END), '-') AS pattern FROM top GROUP BY col)"""
+PRUNED = """k AS (SELECT e, 1 / (1 - sum(p * p)) AS k FROM eq GROUP BY e),
+tip AS (SELECT pattern, e, s.base, i, CASE WHEN c = '-' THEN 1 ELSE exp(-k * t) * (CASE WHEN s.base = c THEN 1 ELSE 0 END) + (1 - exp(-k * t)) * o.p END AS v FROM (SELECT DISTINCT pattern, i, t, substr(pattern, i, 1) AS c FROM pat CROSS JOIN (VALUES (1, 0.1::DOUBLE), (2, 0.3), (3, 0.2), (4, 0.1)) l(i, t)) x CROSS JOIN eq s JOIN k USING (e) LEFT JOIN eq o ON o.e = s.e AND o.base = c),
+mid AS (SELECT pattern, e, base, product(v) FILTER (WHERE i < 3) AS x, product(v) FILTER (WHERE i > 2) AS y FROM tip GROUP BY ALL),
+mean AS (SELECT pattern, e, sum(x * p) AS mx, sum(y * p) AS my FROM mid JOIN eq USING (e, base) GROUP BY ALL),
+lik AS (SELECT pattern, e, sum(p * (exp(-k * 0.1) * x + (1 - exp(-k * 0.1)) * mx) * (exp(-k * 0.2) * y + (1 - exp(-k * 0.2)) * my)) AS v FROM mid JOIN mean USING (pattern, e) JOIN eq USING (e, base) JOIN k USING (e) GROUP BY ALL)"""
 ALL = (SEQS, SITES, COUNTS, PWM)
 QUERIES = {
     "count_placements": (
@@ -207,15 +217,23 @@ QUERIES = {
             "t AS (SELECT c, motif, exp(sum(ln(p))) AS w FROM (SELECT c, motif, base, max(p) AS p FROM s GROUP BY ALL) GROUP BY c, motif)", "x AS (SELECT c, times, b * w * coalesce(exp(sum(ln(1 - b)) OVER (PARTITION BY c, site ORDER BY motif ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS v FROM b JOIN t USING (c, motif))", "SELECT c AS candidate_id, round(sum(times * v)::DOUBLE, 3) AS fitness FROM x GROUP BY c"),
     ),
     "sample_genome_windows": (random_windows, None),
-    "centroid_sites": (lambda s, d: G.centroid_sites(I.samples(s, d).groupBy("seq_id", (F.col("pos") % 8 + 6).alias("end")).agg(F.sum("n").alias("n")), None, 6), None),
+    "centroid_sites": (lambda s, d: G.centroid_sites(I.samples(s, d).groupBy("seq_id", "motif", (F.col("pos") % 8 + 6).alias("end")).agg(F.sum("n").alias("n")), None, (6, 5, 6)), None),
     "credibility": (
         lambda s, d: R6(G.credibility(distances(s, d), 0.5), "mean").select("seq_id", "distance", "mean"),
         sql(SAMPLES, "k AS (SELECT seq_id, walk_id, count(DISTINCT (motif, pos)) AS k FROM samples GROUP BY ALL), p AS (SELECT seq_id, count(DISTINCT (motif, pos)) AS a FROM samples GROUP BY ALL), x AS (SELECT seq_id, walk_id, a - k AS dist, row_number() OVER (PARTITION BY seq_id ORDER BY a - k, walk_id) - 1 AS i, count(*) OVER (PARTITION BY seq_id) AS c FROM k JOIN p USING (seq_id))",
             "SELECT seq_id, max(CASE WHEN i = least(floor(0.5 * c), c - 1) THEN dist END) AS distance, round(avg(dist), 6) AS mean FROM x GROUP BY seq_id"),
     ),
-    "score_tree_column": (lambda s, d: G.tree_column(columns(s, d), TREE, PI), None),
+    "score_tree_column": (
+        lambda s, d: Y.tree_column(columns(s, d), s.createDataFrame(TREE, Y.EDGES), PI).withColumn("likelihood", F.round("likelihood", 8)),
+        sql(SEQS, BASES, LEAVES, "eq AS (SELECT 0 AS e, * FROM (VALUES ('A', 0.3::DOUBLE), ('C', 0.2), ('G', 0.2), ('T', 0.3)) t(base, p))", PRUNED, "SELECT col, round(v, 8) AS likelihood FROM pat JOIN lik USING (pattern)"),
+    ),
+    "score_tree_ratio": (
+        lambda s, d: Y.tree_ratio(columns(s, d).withColumn("aln", F.lit(0)), s.createDataFrame(TREE, Y.EDGES), stored(base(s, d)[2], "pwm"), base(s, d)[3]).select("start", "motif", F.round("ln_ratio", 4).alias("ln_ratio")),
+        sql(*ALL, BACKGROUND, BASES, LEAVES, "eq AS (SELECT 0 AS e, base, p::DOUBLE AS p FROM bg UNION ALL SELECT 1 + motif * 6 + col, base, p::DOUBLE FROM pwm)", PRUNED, "g AS (SELECT a.pattern, a.e, ln(a.v / b.v) AS x FROM lik a JOIN lik b ON b.pattern = a.pattern AND b.e = 0 WHERE a.e > 0)",
+            "SELECT CAST(col - (e - 1) % 6 AS BIGINT) AS start, CAST((e - 1) // 6 AS INT) AS motif, round(sum(x), 4) AS ln_ratio FROM pat JOIN g USING (pattern) GROUP BY ALL HAVING count(*) = 6"),
+    ),
     "tree_unmatched": (
-        lambda s, d: G.tree_unmatched(I.read(s, d, "labels").select(F.col("doc_id").alias("leaf")), I.seqs(s, d)),
+        lambda s, d: Y.tree_unmatched(I.read(s, d, "labels").select(F.col("doc_id").alias("leaf")), I.seqs(s, d)),
         sql(SEQS, "SELECT 'leaf' AS what, doc_id AS id FROM labels WHERE doc_id NOT IN (SELECT seq_id FROM seqs) UNION ALL SELECT 'sequence', seq_id FROM seqs WHERE seq_id NOT IN (SELECT doc_id FROM labels)"),
     ),
     "sort_pwms": (

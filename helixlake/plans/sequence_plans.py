@@ -35,6 +35,30 @@ def masked(spark, d):
     return S.mask_runs(S.validate(I.seqs(spark, d))[0], 4)
 
 
+def stretch_digest(s, d):
+    """The longest run of each sequence, the sum of the runs of all places, and the last place of a longest run; sequences without a base have zeros at their last place."""
+    each = S.valid_stretches(I.seqs(s, d)).groupBy("seq_id").agg(F.max("n").alias("longest"), F.sum(F.col("n") * (F.col("n") + 1) / 2).cast("long").alias("total"), F.max_by(F.col("start") + F.col("n") - 1, F.struct("n", "start")).alias("at"))
+    q = I.seqs(s, d).where(F.length("nt") > 0).select("seq_id", F.length("nt").cast("long").alias("len"))
+    zero = F.lit(0).cast("long")
+    return q.join(each, "seq_id", "left").select("seq_id", F.coalesce("longest", zero).alias("longest"), F.coalesce("total", zero).alias("total"), F.coalesce("at", F.col("len") - 1).alias("at"))
+
+
+def feistel(x: str) -> str:
+    """The keyed network as SQL; half and key are columns."""
+    left, right = f"({x}) >> half", f"({x}) & ((1 << half) - 1)"
+    sides = f"{{'l': {left}, 'r': {right}}}"
+    step = f"lambda a, r: {{'l': a.r, 'r': xor(a.l, (((((a.r * {S.MIX1} + ((key + r.l * 104729) & 4294967295)) & 4294967295) * {S.MIX2}) & 4294967295) >> 13) & ((1 << half) - 1))}}"
+    rounds = ", ".join(f"{{'l': {i}::BIGINT, 'r': 0::BIGINT}}" for i in range(S.ROUNDS))
+    folded = f"list_reduce([{sides}, {rounds}], {step})"
+    return f"(({folded}).l << half) | ({folded}).r"
+
+
+CONTROL = f"""WITH RECURSIVE {SEQS},
+q AS (SELECT seq_id, nt, length(nt) AS n, CAST(greatest(1, ceil(log2(greatest(length(nt), 1)) / 2)) AS BIGINT) AS half, (7 * 1000003 + seq_id * 7919) & 4294967295 AS key FROM seqs),
+b AS (SELECT seq_id, n, half, key, i, substr(nt, CAST(i + 1 AS BIGINT), 1) AS c FROM (SELECT *, unnest(range(n)) AS i FROM q)),
+walk AS (SELECT seq_id, n, half, key, i, {feistel('i')} AS x FROM b UNION ALL SELECT seq_id, n, half, key, i, {feistel('x')} FROM walk WHERE x >= n),
+o AS (SELECT seq_id, x, CASE WHEN c = 'X' THEN substr('ACGT', CAST((((((i * {S.MIX1} + key) & 4294967295) * {S.MIX2}) & 4294967295) >> 20 & 3) + 1 AS BIGINT), 1) ELSE c END AS c FROM walk JOIN b USING (seq_id, n, half, key, i) WHERE x < n)
+SELECT q.seq_id, coalesce(string_agg(c, '' ORDER BY x), '') AS nt FROM q LEFT JOIN o USING (seq_id) GROUP BY q.seq_id"""
 QUERIES = {
     "src_seqs": (lambda s, d: I.seqs(s, d), sql(SEQS, "SELECT seq_id, name, nt FROM seqs")),
     "fn_validate_nt": (
@@ -56,11 +80,12 @@ QUERIES = {
         sql(SEQS, win(7), NMER, "SELECT nmer, CAST(list_sum([(position(substr(nmer, i, 1) IN 'ATCG') - 1) * CAST(pow(4, i - 1) AS BIGINT) FOR i IN range(1, 8)]) AS BIGINT) AS idx FROM nm"),
     ),
     "fn_valid_run": (
-        lambda s, d: S.valid_runs(I.seqs(s, d)).groupBy("seq_id").agg(F.max("run").alias("longest"), F.sum("run").alias("total"), F.max_by("pos", F.struct("run", "pos")).alias("at")),
+        lambda s, d: stretch_digest(s, d),
         sql(SEQS, BASES, "r AS (SELECT seq_id, pos, pos - coalesce(max(CASE WHEN base = 'X' THEN pos END) OVER (PARTITION BY seq_id ORDER BY pos), -1) AS run FROM bases)", "SELECT seq_id, CAST(max(run) AS BIGINT) AS longest, CAST(sum(run) AS BIGINT) AS total, CAST(arg_max(pos, run * 10000000 + pos) AS BIGINT) AS at FROM r GROUP BY seq_id"),
     ),
     "fn_possible_end": (
-        lambda s, d: S.valid_runs(I.seqs(s, d)).where(N.possible_end("run", "pos", 8)).groupBy("seq_id").agg(F.count("*").alias("n")),
+        # a stretch of n bases has n - 7 windows of eight
+        lambda s, d: S.valid_stretches(I.seqs(s, d)).where("n >= 8").groupBy("seq_id").agg(F.sum(F.col("n") - 7).alias("n")),
         sql(SEQS, win(8), "SELECT seq_id, count(*) AS n FROM win8 WHERE regexp_full_match(site, '[ACGT]+') AND pos + 8 > 1 GROUP BY 1"),
     ),
     "fn_math": (
@@ -108,7 +133,7 @@ QUERIES = {
         lambda s, d: I.genes(s, d).agg(F.countDistinct("chrom").alias("n_chrom")).crossJoin(I.windows(I.seqs(s, d), 6).agg(F.countDistinct("site").alias("n_kmers"))),
         sql(SEQS, win(6), "SELECT (SELECT count(DISTINCT l_suppkey) FROM lineitem) AS n_chrom, (SELECT count(DISTINCT site) FROM win6) AS n_kmers"),
     ),
-    "gen_control": (lambda s, d: S.shuffled_control(I.seqs(s, d), 7), None),
+    "gen_control": (lambda s, d: S.shuffled_control(I.seqs(s, d), 7), CONTROL),
     "set_union_control": (
         lambda s, d: I.seqs(s, d).select("seq_id", F.length("nt").alias("n"), F.lit(False).alias("is_control")).unionByName(S.shuffled_control(I.seqs(s, d), 7).select("seq_id", F.length("nt").alias("n"), F.lit(True).alias("is_control"))).groupBy("is_control").agg(F.count("*").alias("n_seq"), F.sum("n").alias("n_nt")),
         sql(SEQS, "SELECT c AS is_control, count(*) AS n_seq, CAST(sum(length(nt)) AS BIGINT) AS n_nt FROM seqs CROSS JOIN (VALUES (true), (false)) t(c) GROUP BY c"),

@@ -12,6 +12,7 @@ from helixlake.operators import intervals as V
 from helixlake.operators import motifs as M
 from helixlake.operators import samplers as G
 from helixlake.operators import sequences as S
+from helixlake.operators import trees as Y
 from helixlake.operators import walks as K
 from helixlake.sources import text as T
 
@@ -63,7 +64,7 @@ def test_tree_columns(spark):
     cols = spark.createDataFrame([(0, "x", "A"), (0, "y", "A"), (1, "x", "A"), (1, "y", "C")], "col long, leaf string, base string")
     for length, want in ((0.0, {0: 0.3, 1: 0.0}), (60.0, {0: 0.09, 1: 0.06})):
         tree = [("r", None, 0.0, None), ("a", "r", length, "x"), ("b", "r", length, "y")]
-        got = {r.col: r.likelihood for r in G.tree_column(cols, tree, pi).collect()}
+        got = {r.col: r.likelihood for r in Y.tree_column(cols, tree, pi).collect()}
         assert got == pytest.approx(want, abs=1e-9)
 
 
