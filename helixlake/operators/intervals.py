@@ -161,6 +161,17 @@ def groups_of(seqs: DataFrame, starts: DataFrame, width: int = 1 << 16) -> DataF
     return both.withColumn("own", own).where("kind = 1").join(carried, "b").select(F.col("at").alias("seq_id"), F.coalesce("own", "before").alias("grp"))
 
 
+def species_weights(seqs: DataFrame, table: DataFrame, default: float = 1.0) -> DataFrame:
+    """(seq_id, w) of seqs(seq_id, grp, species): the weight of a sequence's species in the set of species that its group has.
+
+    table(code, species, w): code has a bit for each species of the set; a set or species that it lacks takes the default.
+    """
+    bit = F.expr("shiftleft(1L, cast(species as int))")
+    sets = seqs.groupBy("grp").agg(F.bit_or(bit).alias("code"))
+    met = seqs.join(sets, "grp").join(table, ["code", "species"], "left")
+    return met.select("seq_id", F.coalesce("w", F.lit(default)).alias("w"))
+
+
 def motif_stats(rows: DataFrame) -> DataFrame:
     """(gene, motif, n, total, avg, max, min, std) of site rows(gene, motif, pct)."""
     return rows.groupBy("gene", "motif").agg(F.count("*").alias("n"), F.sum("pct").alias("total"), F.avg("pct").alias("avg"), F.max("pct").alias("max"), F.min("pct").alias("min"), F.stddev_pop("pct").alias("std"))

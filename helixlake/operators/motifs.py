@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from helixlake.functions import nt as N
 from helixlake.operators.sequences import kmers, unmasked
-from helixlake.sources.inputs import bases, windows
+from helixlake.sources.inputs import windows
 from helixlake.sources.store import stored
 
 #: Pseudo-count of a model cell.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixlake.functions import nt as N
-from helixlake.sources.inputs import bases, windows
+from helixlake.sources.inputs import windows
 
 
 def validate(seqs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -50,9 +50,9 @@ def mask_runs(seqs: DataFrame, min_len: int, mask_trailing: bool = True) -> Data
     # each repeated base is matched as a whole run, then written as that many X
     token = F.regexp_extract_all(F.upper("nt"), F.lit(RUN), F.lit(0))
     masked = F.array_join(F.transform(token, lambda r: F.when((F.length(r) >= min_len) & F.substring(r, 1, 1).isin(*N.BASES), F.repeat(F.lit("X"), F.length(r))).otherwise(r)), "")
-    out = seqs.withColumn("nt", F.struct(F.upper("nt").alias("own"), masked.alias("masked")))
     if mask_trailing:
-        return out.withColumn("nt", F.col("nt.masked"))
+        return seqs.withColumn("nt", masked)
+    out = seqs.withColumn("nt", F.struct(F.upper("nt").alias("own"), masked.alias("masked")))
     last = F.regexp_extract("nt.own", "(A+|C+|G+|T+)$", 1)
     return out.withColumn("nt", F.concat(F.left("nt.masked", F.length("nt.own") - F.length(last)), last))
 

@@ -123,10 +123,19 @@ def quorum(results: DataFrame, need: int = 2) -> DataFrame:
     return met.select("wu_id", F.col("c.first").alias("canonical_id"), "result_id", (F.col("payload") == F.col("c.same")).alias("valid"))
 
 
-def validate_pair(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(sum_diff, max_diff, n_over_100, avg, match) of two sample tables."""
+def validate_pair(a: DataFrame, b: DataFrame, sites_a: DataFrame | None = None, sites_b: DataFrame | None = None) -> DataFrame:
+    """(sum_diff, max_diff, n_over_100, avg, n_sites_diff, match) of two sample tables and, if given, two tables of sites(seq_id, motif, s_start).
+
+    They match if no count differs and no site is in one alone; sites given more than once count once.
+    """
     met = a.select(*CELL, F.col("n").alias("x")).join(b.select(*CELL, F.col("n").alias("y")), CELL, "full").select(F.abs(F.coalesce("x", F.lit(0)) - F.coalesce("y", F.lit(0))).alias("d"))
-    return met.agg(F.coalesce(F.sum("d"), F.lit(0)).alias("sum_diff"), F.coalesce(F.max("d"), F.lit(0)).alias("max_diff"), F.count_if(F.col("d") > 100).alias("n_over_100"), F.avg("d").alias("avg"), (F.coalesce(F.sum("d"), F.lit(0)) == 0).alias("match"))
+    counts = met.agg(F.coalesce(F.sum("d"), F.lit(0)).alias("sum_diff"), F.coalesce(F.max("d"), F.lit(0)).alias("max_diff"), F.count_if(F.col("d") > 100).alias("n_over_100"), F.avg("d").alias("avg"))
+    if sites_a is None or sites_b is None:
+        return counts.withColumn("n_sites_diff", F.lit(0).cast("long")).withColumn("match", F.col("sum_diff") == 0)
+    keys = ["seq_id", "motif", "s_start"]
+    sides = sites_a.select(*keys, F.lit(1).alias("side")).union(sites_b.select(*keys, F.lit(2))).groupBy(*keys).agg(F.countDistinct("side").alias("k"))
+    alone = sides.agg(F.count_if(F.col("k") == 1).alias("n_sites_diff"))  # one row
+    return counts.crossJoin(F.broadcast(alone)).withColumn("match", (F.col("sum_diff") == 0) & (F.col("n_sites_diff") == 0))
 
 
 def progress(samplers: DataFrame, walks: DataFrame) -> DataFrame:

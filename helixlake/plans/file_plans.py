@@ -9,7 +9,7 @@ from helixlake.operators import intervals as V
 from helixlake.operators import motifs as M
 from helixlake.operators import sequences as S
 from helixlake.operators import walks as K
-from helixlake.plans.duck import BACKGROUND, BASES, COUNTS, GENES, PWM, SAMPLES, SEQS, SITES, sql, win
+from helixlake.plans.duck import BACKGROUND, BASES, COUNTS, GENES, PWM, REV, SAMPLES, SEQS, SITES, sql, win
 from helixlake.sources import inputs as I
 from helixlake.sources import text as T
 from helixlake.sources.store import new_path, stored
@@ -141,6 +141,93 @@ def position_priors(s, d):
     return rows.groupBy("seq_id", "weight").agg(F.count("*").alias("n"), F.round(F.sum("spacing"), 6).alias("spacing"), F.round(F.sum("ln_bg"), 3).alias("ln_bg"), F.round(F.min("ln_bg"), 5).alias("least"))
 
 
+def ranked(rows, *order: str):
+    """rows with seq_id as the place of the sequence, as files have it."""
+    from helixlake.operators import prefix as P
+
+    ids = rows.select("seq_id").distinct().withColumn("one", F.lit(1).cast("long"))
+    return rows.join(P.prefix_sum(ids, "one", "at", "seq_id").select("seq_id", (F.col("at") - 1).alias("place")), "seq_id").withColumn("seq_id", F.col("place")).drop("place")
+
+
+def sites_file(s, d):
+    path, q = new_path(s, "sites"), I.seqs(s, d)
+    T.write_sites(I.sites(q), q, path)
+    return path
+
+
+def bad_site_file(s, d):
+    """Every tenth sequence has its sites far beyond its end, every eleventh a motif that isn't there; two lines are too many."""
+    q = stored(ranked(I.seqs(s, d)), "ranked")
+    st = I.sites(q).withColumn("s_end", F.when(F.col("seq_id") % 10 == 3, F.col("s_end") + 10_000_000).otherwise(F.col("s_end"))).withColumn("motif", F.when(F.col("seq_id") % 11 == 4, 7).otherwise(F.col("motif")))
+    path, n = new_path(s, "sites"), q.count()
+    more = s.createDataFrame([(n, 0, 0, 5), (n + 1, 0, 0, 5)], "seq_id long, motif int, s_start long, s_end long")
+    T.write_sites(st.select("seq_id", "motif", "s_start", "s_end").union(more), q.select("seq_id").union(more.select("seq_id")), path)
+    return T.bad_sites(T.read_sites(s, path, 6), q, 3).groupBy("seq_id", "reason").agg(F.count("*").alias("n"))
+
+
+def fifty(s, d):
+    """The sequences of the samples by their place, with the positions that these have, and their counts."""
+    cells = stored(ranked(I.samples(s, d).groupBy("seq_id", "motif", "pos").agg(F.sum("n").alias("n"))), "cells")
+    return cells.select("seq_id").distinct().withColumn("nt", F.repeat(F.lit("A"), F.lit(I.POSITIONS))), cells
+
+
+def flanked_file(s, d):
+    path, q = new_path(s, "flanked"), I.seqs(s, d)
+    T.write_lines(T.flanked_sites(I.sites(q), q), path, "seq_id", "s_start")
+    return T._lines(s, path)
+
+
+def samples_file(s, d):
+    path, (q, cells) = new_path(s, "samples"), fifty(s, d)
+    T.write_samples(cells, q, 3, path)
+    return path
+
+
+def bad_samples(s, d):
+    """Every seventh line has a value too many, and every eleventh three too few."""
+    path, (q, cells) = new_path(s, "samples"), fifty(s, d)
+    lines = T.sample_lines(cells, q, 3)
+    value = F.when(F.col("line") % 7 == 3, F.concat("value", F.lit(",0"))).when(F.col("line") % 11 == 5, F.regexp_replace("value", r"(,\d+){3}$", "")).otherwise(F.col("value"))
+    T.write_lines(lines.select("line", value.alias("value")), path, "line")
+    return T.bad_sample_lines(T._lines(s, path), q, 3).select("seq_id", "line", "k", F.col("len").cast("long").alias("len"))
+
+
+def counts_file(s, d):
+    """The models of the sites at even and odd places, as those of two steps; lines with the folders they are in."""
+    path, st = new_path(s, "counts"), I.sites(I.seqs(s, d))
+    each = st.withColumn("step", F.col("s_start") % 2)
+    counts = stored(each.select("step", "motif", F.posexplode(F.split("site", "")).alias("col", "base")).where("base != ''").groupBy("step", "motif", "col", "base").agg(F.count("*").alias("n")), "counts")
+    T.write_pwm_counts(counts, path)
+    return s.read.text(path).select(F.col("step").cast("long").alias("step"), "direction", "value")
+
+
+def layouts(s, d):
+    """Seven small tables, each written and read back, as (kind, key, value)."""
+    q = I.seqs(s, d)
+    st = stored(I.sites(q), "sites")
+    t = stored(M.transitions(st), "transitions")
+    tables = {
+        "transitions": t.select("prev", "cur", "n"),
+        "ends": t.where("prev = 'begin'").select(F.lit("begin").alias("place"), F.col("cur").alias("motif"), "n").union(t.where("cur = 'end'").select(F.lit("end"), "prev", "n")),
+        "positions": M.position_matrix(st).select("ord", "motif", "n"),
+        "sites": st.groupBy("motif").agg(F.count("*").alias("n")),
+        "mask": s.range(6).select(F.col("id").alias("col"), (F.col("id") % 2).alias("used")),
+        "background": S.base_counts(q).where("base != 'X'").select("base", "n"),
+        "initial": st.where("s_start < 50").select("seq_id", "motif", "s_start"),
+    }
+    out = None
+    for kind, rows in tables.items():
+        path = written(s, rows.select(F.concat_ws(" ", *(F.col(c).cast("string") for c in rows.columns)).alias("value")))
+        found = T.read_layout(s, path, kind)
+        *keys, last = found.columns
+        part = found.select(F.lit(kind).alias("kind"), F.concat_ws(" ", *(F.col(k).cast("string") for k in keys)).alias("key"), F.round(F.col(last).cast("double"), 6).alias("value"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+RANKS = "rk AS (SELECT seq_id, row_number() OVER (ORDER BY seq_id) - 1 AS place FROM seqs)"
+CELL_RANKS = "sr AS (SELECT seq_id, row_number() OVER (ORDER BY seq_id) - 1 AS place FROM (SELECT DISTINCT seq_id FROM samples)), c AS (SELECT place AS seq_id, motif, pos, CAST(sum(n) AS BIGINT) AS n FROM samples JOIN sr USING (seq_id) GROUP BY ALL)"
+TRANSITIONS = "t AS (SELECT coalesce(lag(motif::VARCHAR) OVER w, 'begin') AS prev, motif::VARCHAR AS cur, lead(motif) OVER w AS nxt FROM sites WINDOW w AS (PARTITION BY seq_id ORDER BY s_start, motif)), u AS (SELECT prev, cur, count(*) AS n FROM (SELECT prev, cur FROM t UNION ALL SELECT cur, 'end' FROM t WHERE nxt IS NULL) GROUP BY ALL)"
 K_TABLE = "k AS (SELECT seq_id, count(s_start) AS k FROM seqs LEFT JOIN sites USING (seq_id) GROUP BY seq_id)"
 STATS = "SELECT gene, motif, count(*) AS n, round(sum(pct), 6) AS total, round(avg(pct), 6) AS avg, round(max(pct), 6) AS max, round(min(pct), 6) AS min, round(stddev_pop(pct), 6) AS std FROM srows GROUP BY ALL"
 ROWS = "srows AS (SELECT 'g' || seq_id AS gene, motif, pos, 100.0::DOUBLE * n / (10 + pos) AS pct FROM samples)"
@@ -210,8 +297,41 @@ QUERIES = {
             "l AS (SELECT o.seq_id, o.pos, sum(ln(CASE WHEN o.seq_id % 3 = 0 OR (o.pos + j) % 11 = 0 THEN bg.p ELSE 0.25 + CASE bg.base WHEN 'A' THEN 1 WHEN 'C' THEN -1 ELSE 0 END * ((o.pos + j + o.seq_id) % 10 + 1) / 100.0::DOUBLE END)) AS ln_bg FROM o JOIN bg ON bg.base = substr(site, j + 1, 1) GROUP BY ALL)",
             "SELECT l.seq_id, coalesce(0.5 + quality / 2.0::DOUBLE, 1.0) AS weight, count(*) AS n, round(sum(CASE WHEN length(nt) - pos - 6 < 558 THEN 0.001 + (length(nt) - pos - 6) / 1000000.0::DOUBLE ELSE 0 END), 6) AS spacing, round(sum(ln_bg)::DOUBLE, 3) AS ln_bg, round(min(ln_bg)::DOUBLE, 5) AS least FROM l JOIN seqs USING (seq_id) LEFT JOIN labels ON doc_id = l.seq_id GROUP BY ALL"),
     ),
+    "snk_sites": (
+        lambda s, d: T._lines(s, sites_file(s, d)),
+        sql(SEQS, SITES, RANKS, "SELECT CAST(place AS BIGINT) AS line, coalesce(string_agg(motif || ',' || (s_end - 1), ':' ORDER BY s_start), '') || '.' AS value FROM rk LEFT JOIN sites USING (seq_id) GROUP BY place"),
+    ),
+    "src_sites": (lambda s, d: T.read_sites(s, sites_file(s, d), 6).select("seq_id", "motif", "s_start", "s_end"), sql(SEQS, SITES, RANKS, "SELECT CAST(place AS BIGINT) AS seq_id, motif, s_start, s_end FROM sites JOIN rk USING (seq_id)")),
+    "src_sites_bad": (
+        bad_site_file,
+        sql(SEQS, SITES, RANKS, "b AS (SELECT place, CASE WHEN place % 11 = 4 THEN 'motif' WHEN place % 10 = 3 THEN 'range' END AS reason FROM sites JOIN rk USING (seq_id))", "SELECT CAST(place AS BIGINT) AS seq_id, reason, count(*) AS n FROM b WHERE reason IS NOT NULL GROUP BY ALL UNION ALL SELECT (SELECT count(*) FROM seqs) + i, 'sequence', 1 FROM range(2) t(i)"),
+    ),
+    "snk_samples": (
+        lambda s, d: T._lines(s, samples_file(s, d)),
+        sql(SAMPLES, CELL_RANKS, "SELECT CAST(q.place * 3 + m.i AS BIGINT) AS line, string_agg(coalesce(n, 0)::VARCHAR, ',' ORDER BY p.i) AS value FROM sr q CROSS JOIN range(3) m(i) CROSS JOIN range(50) p(i) LEFT JOIN c ON c.seq_id = q.place AND c.motif = m.i AND c.pos = p.i GROUP BY q.place, m.i"),
+    ),
+    "src_samples": (lambda s, d: T.read_samples(s, samples_file(s, d), 3), sql(SAMPLES, CELL_RANKS, "SELECT CAST(seq_id AS BIGINT) AS seq_id, motif, pos, n FROM c")),
+    "src_samples_bad": (
+        bad_samples,
+        sql(SAMPLES, CELL_RANKS, "SELECT CAST(place AS BIGINT) AS seq_id, CAST(line AS BIGINT) AS line, CASE WHEN line % 7 = 3 THEN 51 ELSE 47 END AS k, CAST(50 AS BIGINT) AS len FROM (SELECT place, place * 3 + m.i AS line FROM sr CROSS JOIN range(3) m(i)) WHERE line % 7 = 3 OR line % 11 = 5"),
+    ),
+    "snk_pwm_counts": (
+        counts_file,
+        sql(SEQS, SITES, "n AS (SELECT step, motif, col, base, count(*) AS n FROM (SELECT s_start % 2 AS step, motif, col, substr(site, CAST(col + 1 AS BIGINT), 1) AS base FROM (SELECT *, unnest(range(0, 6)) AS col FROM sites)) GROUP BY ALL), g AS (SELECT DISTINCT step, motif, c.i AS col, b.base FROM n CROSS JOIN range(6) c(i) CROSS JOIN (VALUES ('A'), ('C'), ('G'), ('T')) b(base))",
+            "l AS (SELECT step, motif, string_agg(coalesce(n, 0)::VARCHAR, ' ' ORDER BY col) AS value FROM g LEFT JOIN n USING (step, motif, col, base) GROUP BY step, motif, base UNION ALL SELECT DISTINCT step, motif, '>motif' || motif || ' NORMAL 6' FROM n)", "SELECT CAST(step AS BIGINT) AS step, CASE WHEN motif % 2 = 0 THEN 'forward' ELSE 'reverse' END AS direction, value FROM l"),
+    ),
+    "snk_flanked_sites": (
+        lambda s, d: flanked_file(s, d),
+        sql(SEQS, SITES, "f AS (SELECT row_number() OVER (ORDER BY seq_id, s_start) - 1 AS line, strand, substr(nt, CAST(greatest(s_start - 5, 0) + 1 AS BIGINT), CAST(s_end + 5 - greatest(s_start - 5, 0) AS BIGINT)) AS t FROM sites JOIN seqs USING (seq_id))", f"SELECT CAST(line AS BIGINT) AS line, CASE WHEN strand = 'R' THEN {REV.format('t')} ELSE t END AS value FROM f"),
+    ),
+    "src_prior_layout": (
+        layouts,
+        sql(SEQS, SITES, BASES, TRANSITIONS, "o AS (SELECT motif, row_number() OVER (PARTITION BY seq_id ORDER BY s_start, motif) AS ord FROM sites), p AS (SELECT ord, motif, count(*) AS n FROM o GROUP BY ALL), e AS (SELECT 'begin' AS place, cur AS motif, n FROM u WHERE prev = 'begin' UNION ALL SELECT 'end', prev, n FROM u WHERE cur = 'end'), g AS (SELECT base, count(*) AS n FROM bases WHERE base <> 'X' GROUP BY base)",
+            "SELECT 'transitions' AS kind, prev || ' ' || cur AS key, round(n / (sum(n) OVER (PARTITION BY prev))::DOUBLE, 6) AS value FROM u UNION ALL SELECT 'ends', place || ' ' || motif, round(n / (sum(n) OVER (PARTITION BY place))::DOUBLE, 6) FROM e UNION ALL SELECT 'positions', ord || ' ' || motif, round(n / (sum(n) OVER (PARTITION BY ord))::DOUBLE, 6) FROM p "
+            "UNION ALL SELECT 'sites', motif::VARCHAR, count(*)::DOUBLE FROM sites GROUP BY motif UNION ALL SELECT 'mask', i::VARCHAR, (i % 2)::DOUBLE FROM range(6) t(i) UNION ALL SELECT 'background', base, round(n / (sum(n) OVER ())::DOUBLE, 6) FROM g UNION ALL SELECT 'initial', seq_id || ' ' || motif, s_start::DOUBLE FROM sites WHERE s_start < 50"),
+    ),
     "snk_prior": (
-        lambda s, d: T.prior_lines(M.motif_counts(I.sites(I.seqs(s, d)))),
-        sql(SEQS, SITES, COUNTS, "r AS (SELECT *, round(10.0 * n / (sum(n) OVER (PARTITION BY motif, col))::DOUBLE, 4) AS pc FROM counts)", "SELECT motif, '>PSEUDO' || chr(10) || string_agg(col || ' ' || base || ' ' || format('{:.4f}', pc), chr(10) ORDER BY col, base) || chr(10) || '>COUNTS' || chr(10) || string_agg(col || ' ' || base || ' ' || n, chr(10) ORDER BY col, base) AS value FROM r GROUP BY motif"),
+        lambda s, d: s.read.text(written(s, T.prior_lines(M.motif_counts(I.sites(I.seqs(s, d)))), "motif")).select("motif", "value"),
+        sql(SEQS, SITES, COUNTS, "r AS (SELECT *, round(10.0 * n / (sum(n) OVER (PARTITION BY motif, col))::DOUBLE, 4) AS pc FROM counts)", "SELECT motif, col || ' ' || base || ' ' || format('{:.4f}', pc) AS value FROM r UNION ALL SELECT motif, col || ' ' || base || ' ' || n FROM r UNION ALL SELECT DISTINCT motif, unnest(['>PSEUDO', '>COUNTS']) FROM counts"),
     ),
 }

@@ -15,7 +15,6 @@ from helixlake.operators import sequences as S
 from helixlake.operators import trees as Y
 from helixlake.plans.duck import BACKGROUND, BASES, COUNTS, PWM, REV, SAMPLES, SEQS, SITES, sql
 from helixlake.sources import inputs as I
-from helixlake.sources import text as T
 from helixlake.sources.store import stored
 
 CFG = G.Config()
@@ -50,11 +49,6 @@ def resumed(s, d):
     return C.gibbs_walks(q, walks, b, CFG, C.gibbs_walks(q, walks, b, CFG, until=2), done=2)
 
 
-def fifty(s, d):
-    """The sequences of the samples, with the positions that these have."""
-    return I.samples(s, d).select("seq_id").distinct().withColumn("nt", F.repeat(F.lit("A"), F.lit(I.POSITIONS)))
-
-
 def distances(s, d):
     """Each walk's cells against the pooled ones, by sequence."""
     cells = I.samples(s, d).groupBy("seq_id", "walk_id").agg(F.countDistinct("motif", "pos").alias("k"))
@@ -245,30 +239,4 @@ QUERIES = {
         lambda s, d: R6(M.sites_per_seq(base(s, d)[1], I.seqs(s, d)).select("k", N.poisson(F.col("k"), 2.5).alias("poisson"), N.negative_binomial(F.col("k"), 2.0, 0.8).alias("negbin")), "poisson", "negbin"),
         sql(SEQS, SITES, "k AS (SELECT count(s_start) AS k FROM seqs LEFT JOIN sites USING (seq_id) GROUP BY seq_id)", "SELECT DISTINCT k, round(exp(k * ln(2.5::DOUBLE) - 2.5 - lgamma(k + 1)), 6) AS poisson, round(exp(lgamma(k + 2.0::DOUBLE) - lgamma(2.0::DOUBLE) - lgamma(k + 1.0::DOUBLE) + 2 * ln(0.8 / 1.8::DOUBLE) + k * ln(1 / 1.8::DOUBLE)), 6) AS negbin FROM k"),
     ),
-    "snk_sites": (
-        lambda s, d: T.site_lines(base(s, d)[1], I.seqs(s, d)),
-        sql(SEQS, SITES, "SELECT seq_id, coalesce(string_agg(motif || ',' || (s_end - 1), ':' ORDER BY s_start), '') || '.' AS value FROM seqs LEFT JOIN sites USING (seq_id) GROUP BY seq_id"),
-    ),
-    "src_sites": (lambda s, d: T.parse_site_lines(T.site_lines(base(s, d)[1], I.seqs(s, d)), 6).select("seq_id", "motif", "s_start", "s_end"), sql(SEQS, SITES, "SELECT seq_id, motif, s_start, s_end FROM sites")),
-    "snk_samples": (
-        lambda s, d: T.sample_lines(I.samples(s, d).groupBy("seq_id", "motif", "pos").agg(F.sum("n").alias("n")), fifty(s, d), 3),
-        sql(SAMPLES, "c AS (SELECT seq_id, motif, pos, CAST(sum(n) AS BIGINT) AS n FROM samples GROUP BY ALL)", "SELECT CAST(q.i * 3 + m.i AS BIGINT) AS line, string_agg(coalesce(n, 0)::VARCHAR, ',' ORDER BY p.i) AS value FROM (SELECT DISTINCT seq_id AS i FROM samples) q CROSS JOIN range(3) m(i) CROSS JOIN range(50) p(i) LEFT JOIN c ON c.seq_id = q.i AND c.motif = m.i AND c.pos = p.i GROUP BY q.i, m.i"),
-    ),
-    "src_samples": (
-        lambda s, d: T.parse_sample_lines(T.sample_lines(I.samples(s, d).groupBy("seq_id", "motif", "pos").agg(F.sum("n").alias("n")), fifty(s, d), 3), 3),
-        sql(SAMPLES, "SELECT seq_id, motif, pos, CAST(sum(n) AS BIGINT) AS n FROM samples GROUP BY ALL"),
-    ),
-    "snk_pwm_counts": (
-        lambda s, d: T.pwm_count_lines(M.motif_counts(base(s, d)[1])),
-        sql(*ALL, "l AS (SELECT motif, base, string_agg(n::VARCHAR, ' ' ORDER BY col) AS l FROM dense GROUP BY ALL)", "SELECT motif, '>motif' || motif || ' NORMAL 6' || chr(10) || string_agg(l, chr(10) ORDER BY base) AS value FROM l GROUP BY motif"),
-    ),
-    "snk_flanked_sites": (
-        lambda s, d: T.flanked_sites(base(s, d)[1], I.seqs(s, d)),
-        sql(SEQS, SITES, "f AS (SELECT seq_id, s_start, strand, substr(nt, CAST(greatest(s_start - 5, 0) + 1 AS BIGINT), CAST(s_end + 5 - greatest(s_start - 5, 0) AS BIGINT)) AS t FROM sites JOIN seqs USING (seq_id))", f"SELECT seq_id, s_start, CASE WHEN strand = 'R' THEN {REV.format('t')} ELSE t END AS value FROM f"),
-    ),
-    "src_prior_layout": (
-        lambda s, d: R6(M.transitions(base(s, d)[1]).groupBy("prev").pivot("cur", ["0", "1", "2", "end"]).agg(F.first("p")).na.fill(0.0).withColumnsRenamed({"0": "to_0", "1": "to_1", "2": "to_2", "end": "to_end"}), "to_0", "to_1", "to_2", "to_end"),
-        sql(SEQS, SITES, "t AS (SELECT coalesce(lag(motif::VARCHAR) OVER w, 'begin') AS prev, motif::VARCHAR AS cur, lead(motif) OVER w AS nxt FROM sites WINDOW w AS (PARTITION BY seq_id ORDER BY s_start, motif)), u AS (SELECT prev, cur FROM t UNION ALL SELECT cur, 'end' FROM t WHERE nxt IS NULL)",
-            "SELECT prev, round(count(*) FILTER (WHERE cur = '0') / count(*)::DOUBLE, 6) AS to_0, round(count(*) FILTER (WHERE cur = '1') / count(*)::DOUBLE, 6) AS to_1, round(count(*) FILTER (WHERE cur = '2') / count(*)::DOUBLE, 6) AS to_2, round(count(*) FILTER (WHERE cur = 'end') / count(*)::DOUBLE, 6) AS to_end FROM u GROUP BY prev"),
-    ),
 }

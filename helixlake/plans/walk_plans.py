@@ -9,7 +9,7 @@ from helixlake.functions import nt as N
 from helixlake.operators import intervals as V
 from helixlake.operators import motifs as M
 from helixlake.operators import walks as K
-from helixlake.plans.duck import DRAWS, GENES, RESULTS, SAMPLERS, SAMPLES, SEQS, SITES, WALKS, sql
+from helixlake.plans.duck import DRAWS, GENES, RESULTS, SAMPLERS, SAMPLES, SEQS, WALKS, sql
 from helixlake.sources import inputs as I
 
 CELLS = I.CELLS
@@ -44,6 +44,16 @@ def merged(s, d, rule="max"):
     return m.select("chrom", "g_start", "g_end", F.size("members").cast("long").alias("k"), F.array_join("members.gene", ",").alias("genes"), F.array_join(F.transform("members.tss", lambda t: t.cast("string")), ",").alias("tss"))
 
 
+def half(s, d, k):
+    """The samples of the walks of even or odd number, as those of one walk."""
+    return I.samples(s, d).where(F.col("walk_id") % 2 == k).withColumn("walk_id", F.lit(k))
+
+
+def drawn_sites(s, d, k):
+    """The places that these walks drew in the first iteration."""
+    return I.draws(s, d).where((F.col("walk_id") % 2 == k) & (F.col("iter") == 1)).select("seq_id", "motif", F.col("pos").alias("s_start"))
+
+
 def site_rows(s, d):
     return I.samples(s, d).select(F.concat(F.lit("g"), F.col("seq_id").cast("string")).alias("gene"), F.col("motif"), "pos", (100.0 * F.col("n") / (10 + F.col("pos"))).alias("pct"))
 
@@ -114,9 +124,14 @@ QUERIES = {
     ),
     "validate_quorum": (lambda s, d: K.quorum(I.results(s, d)), sql(RESULTS, VALID, "SELECT wu_id, canonical_id, result_id, payload <> '' AND payload = p AS valid FROM results JOIN canon USING (wu_id)")),
     "validate_pair": (
-        lambda s, d: R6(K.validate_pair(K.sum_walk(I.samples(s, d).where("walk_id % 2 = 0").withColumn("walk_id", F.lit(0)), 0), K.sum_walk(I.samples(s, d).where("walk_id % 2 = 1").withColumn("walk_id", F.lit(1)), 0)), "avg"),
-        sql(SAMPLES, "x AS (SELECT seq_id, motif, pos, sum(n) AS n FROM samples WHERE walk_id % 2 = 0 GROUP BY ALL), y AS (SELECT seq_id, motif, pos, sum(n) AS n FROM samples WHERE walk_id % 2 = 1 GROUP BY ALL)", "e AS (SELECT CAST(abs(coalesce(x.n, 0) - coalesce(y.n, 0)) AS BIGINT) AS d FROM x FULL JOIN y USING (seq_id, motif, pos))",
-            "SELECT CAST(sum(d) AS BIGINT) AS sum_diff, max(d) AS max_diff, count(*) FILTER (WHERE d > 100) AS n_over_100, round(avg(d), 6) AS avg, sum(d) = 0 AS match FROM e"),
+        lambda s, d: R6(K.validate_pair(K.sum_walk(half(s, d, 0), 0), K.sum_walk(half(s, d, 1), 0), drawn_sites(s, d, 0), drawn_sites(s, d, 1)), "avg"),
+        sql(DRAWS, SAMPLES.removeprefix(DRAWS + ",\n"), "x AS (SELECT seq_id, motif, pos, sum(n) AS n FROM samples WHERE walk_id % 2 = 0 GROUP BY ALL), y AS (SELECT seq_id, motif, pos, sum(n) AS n FROM samples WHERE walk_id % 2 = 1 GROUP BY ALL)", "e AS (SELECT CAST(abs(coalesce(x.n, 0) - coalesce(y.n, 0)) AS BIGINT) AS d FROM x FULL JOIN y USING (seq_id, motif, pos))",
+            "t AS (SELECT seq_id, motif, pos FROM draws WHERE iter = 1 GROUP BY ALL HAVING count(DISTINCT walk_id % 2) = 1)",
+            "SELECT CAST(sum(d) AS BIGINT) AS sum_diff, max(d) AS max_diff, count(*) FILTER (WHERE d > 100) AS n_over_100, round(avg(d), 6) AS avg, (SELECT count(*) FROM t) AS n_sites_diff, sum(d) = 0 AND (SELECT count(*) FROM t) = 0 AS match FROM e"),
+    ),
+    "validate_pair_same": (
+        lambda s, d: K.validate_pair(K.sum_walk(half(s, d, 0), 0), K.sum_walk(half(s, d, 0), 0), drawn_sites(s, d, 0), drawn_sites(s, d, 0)),
+        sql(SAMPLES, "SELECT CAST(0 AS BIGINT) AS sum_diff, CAST(0 AS BIGINT) AS max_diff, CAST(0 AS BIGINT) AS n_over_100, 0::DOUBLE AS avg, CAST(0 AS BIGINT) AS n_sites_diff, count(*) > 0 AS match FROM samples"),
     ),
     "agg_progress": (
         lambda s, d: R6(K.sampler_progress(I.samplers(s, d), I.walks(s, d)), "avg_steps"),
@@ -164,6 +179,13 @@ QUERIES = {
         lambda s, d: V.with_default(I.seqs(s, d).select("seq_id"), I.read(s, d, "labels").select(F.col("doc_id").alias("seq_id"), (0.5 + F.col("quality") / 2).alias("w")), ["seq_id"], "w", 1.0),
         sql(SEQS, "SELECT seq_id, coalesce(0.5 + quality / 2.0::DOUBLE, 1.0) AS w FROM seqs LEFT JOIN labels ON doc_id = seq_id"),
     ),
+    "src_seq_weights_sets": (
+        # four sequences are a group, in which every sixth is missing; the table has all sets of four species but one
+        lambda s, d: R6(V.species_weights(
+            I.seqs(s, d).where("seq_id % 6 != 5").select("seq_id", F.floor(F.col("seq_id") / 4).alias("grp"), (F.col("seq_id") % 4).alias("species")),
+            s.range(1, 16).where("id != 7").select(F.col("id").alias("code"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("species")).select("code", "species", (1 / (1 + F.col("code") % 5 + F.col("species"))).alias("w"))), "w"),
+        sql(SEQS, "q AS (SELECT seq_id, seq_id // 4 AS grp, seq_id % 4 AS species FROM seqs WHERE seq_id % 6 <> 5), c AS (SELECT grp, bit_or(CAST(1 AS BIGINT) << CAST(species AS INT)) AS code FROM q GROUP BY grp)", "SELECT seq_id, round(CASE WHEN code = 7 THEN 1.0::DOUBLE ELSE 1 / (1 + code % 5 + species)::DOUBLE END, 6) AS w FROM q JOIN c USING (grp)"),
+    ),
     "src_groups": (
         lambda s, d: V.groups_of(I.seqs(s, d), I.read(s, d, "nation").select((F.col("n_nationkey") * 17).cast("long").alias("start"))),
         sql(SEQS, "SELECT seq_id, CAST(max(n_nationkey * 17) AS BIGINT) AS grp FROM seqs LEFT JOIN nation ON n_nationkey * 17 <= seq_id GROUP BY seq_id"),

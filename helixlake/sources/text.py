@@ -94,10 +94,25 @@ def parse_site_lines(lines: DataFrame, width: int) -> DataFrame:
     return each.where(end > 0).select("seq_id", "slot", part[0].cast("int").alias("motif"), (end - width).alias("s_start"), end.alias("s_end"))
 
 
+def write_sites(sites: DataFrame, seqs: DataFrame, path: str) -> None:
+    """A file whose line i has the sites of the i-th sequence by seq_id."""
+    write_lines(site_lines(sites, seqs), path, "seq_id")
+
+
 def read_sites(spark: SparkSession, path: str, width: int) -> DataFrame:
+    """sites of a file in which line i is sequence i."""
     return parse_site_lines(_lines(spark, path).withColumnRenamed("line", "seq_id"), width)
 
 
+def bad_sites(sites: DataFrame, seqs: DataFrame, n_motifs: int) -> DataFrame:
+    """(seq_id, slot, reason) of sites(seq_id, slot, motif, s_start, s_end) that can't be: no such sequence or motif, out of range, masked, or overlapping the site before."""
+    before = F.max("s_end").over(Window.partitionBy("seq_id").orderBy("s_start", "slot").rowsBetween(Window.unboundedPreceding, -1))
+    met = sites.withColumn("before", before).join(seqs.select("seq_id", "nt"), "seq_id", "left")
+    part = F.substring("nt", (F.col("s_start") + 1).cast("int"), (F.col("s_end") - F.col("s_start")).cast("int"))
+    reason = F.when(F.col("nt").isNull(), "sequence").when(~F.col("motif").between(0, n_motifs - 1), "motif").when((F.col("s_start") < 0) | (F.col("s_end") > F.length("nt")), "range").when(part.contains("X"), "masked").when(F.col("before") > F.col("s_start"), "overlap")
+    return met.select("seq_id", "slot", reason.alias("reason")).where("reason is not null")
+
+
 def sample_lines(samples: DataFrame, seqs: DataFrame, n_motifs: int) -> DataFrame:
     """(line, value): a line of comma-joined counts for each sequence and motif, zeros included."""
     cells = samples.groupBy("seq_id", "motif").agg(F.map_from_entries(F.collect_list(F.struct(F.col("pos").cast("long"), "n"))).alias("m"))
@@ -118,6 +133,11 @@ def bad_sample_lines(lines: DataFrame, seqs: DataFrame, n_motifs: int) -> DataFr
     return found.join(seqs.select("seq_id", F.length("nt").alias("len")), "seq_id", "left").where("len is null or k != len")
 
 
+def write_samples(samples: DataFrame, seqs: DataFrame, n_motifs: int, path: str) -> None:
+    """A file with n_motifs lines for each sequence, those of the i-th sequence by seq_id from line i * n_motifs on."""
+    write_lines(sample_lines(samples, seqs, n_motifs), path, "line")
+
+
 def read_samples(spark: SparkSession, path: str, n_motifs: int) -> DataFrame:
     return parse_sample_lines(_lines(spark, path), n_motifs)
 
@@ -161,6 +181,36 @@ def pwm_count_lines(counts: DataFrame) -> DataFrame:
     return body.select("motif", F.concat(F.lit(">motif"), F.col("motif").cast("string"), F.lit(" NORMAL "), F.col("w").cast("string"), F.lit("\n"), "b").alias("value"))
 
 
+def write_pwm_counts(counts: DataFrame, path: str) -> None:
+    """Records of counts(step, motif, col, base, n), in a folder for each step and direction; motifs of even number are forward."""
+    steps = [r.step for r in counts.select("step").distinct().orderBy("step").collect()]  # a dump has a few steps
+    out = None
+    for step in steps:
+        lines = pwm_count_lines(counts.where(F.col("step") == step).drop("step")).withColumn("step", F.lit(step))
+        out = lines if out is None else out.union(lines)
+    if out is not None:
+        direction = F.when(F.col("motif") % 2 == 0, "forward").otherwise("reverse")
+        out.select("value", "step", direction.alias("direction")).write.partitionBy("step", "direction").text(path)
+
+
+#: Small keyed tables of a prior file by kind: columns, and what is made to add up to one for which keys.
+LAYOUTS: dict[str, tuple[str, tuple[str, list[str]] | None]] = {
+    "transitions": ("prev string, cur string, p double", ("p", ["prev"])),
+    "ends": ("place string, motif int, p double", ("p", ["place"])),
+    "positions": ("ord int, motif int, p double", ("p", ["ord"])),
+    "sites": ("motif int, n double", None),
+    "mask": ("col int, used int", None),
+    "background": ("base string, p double", ("p", [])),
+    "initial": ("seq_id long, motif int, s_start long", None),
+}
+
+
+def read_layout(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """One of the LAYOUTS."""
+    schema, normalise = LAYOUTS[kind]
+    return read_table(spark, path, schema, normalise)
+
+
 #: The fields of a printed site, in their order: name, type, form and what stands behind it.
 FIELDS = (
     ("seq_id", "long", r"\d+", r",\s*"), ("motif", "int", r"\d+", r"\s+"), ("start", "long", r"\d+", r"\s+"), ("left", "string", "[a-z ]*", r"\s*"), ("site", "string", "[A-Z]+", r"\s*"),

@@ -30,7 +30,7 @@ def quorum_stream(results: DataFrame, need: int = 2, max_errors: int = 8, max_to
         seen = {p: (f, n) for p, f, n in zip(names, firsts, counts)}
         out = []
         for f in frames:
-            for r in f.sort_values("result_id").itertuples():
+            for r in f.sort_values(["result_id", "payload"]).itertuples():
                 if done:
                     continue
                 total += 1
