@@ -22,11 +22,11 @@ def merge_overlaps(genes: DataFrame, end_rule: str = "max") -> DataFrame:
     (chromosome, start), so one chromosome spreads over all tasks; a range takes the reach of those before it.
     """
     order = ("g_start", "g_end", "gene")
-    parts = P.ranged(genes.select("chrom", "gene", "g_start", "g_end", "tss", "strand"), "chrom", *order)
+    # one exchange by range serves all windows, whose orders agree
+    parts = P.ranged(genes.select("chrom", "gene", "g_start", "g_end", "tss", "strand"), "chrom", *order).repartition(P.PART)
     reached = P.segmented_before(parts, "chrom", "g_end", "reach", *order, latest=end_rule != "max")
     marked = reached.withColumn("new", F.when(F.col("reach").isNull() | (F.col("g_start") >= F.col("reach")), 1).otherwise(0))
-    marked = stored(marked.drop("reach"), "marked")
-    grouped = P.running_sum(marked, "new", "island", "chrom", *order)
+    grouped = P.running_sum(marked.drop("reach"), "new", "island", "chrom", *order)
     end = F.max("g_end") if end_rule == "max" else F.max_by("g_end", F.struct(*order))
     return grouped.groupBy("chrom", "island").agg(F.min("g_start").alias("g_start"), end.alias("g_end"), F.array_sort(F.collect_list(F.struct("gene", "tss", "strand"))).alias("members")).drop("island")
 

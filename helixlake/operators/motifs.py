@@ -144,8 +144,8 @@ def window_numbers(codes: np.ndarray, w: int, start: int, k: int) -> np.ndarray:
 SCANNED = 1 << 16
 
 
-def pwm_scan(seqs: DataFrame, pwm: DataFrame, bg: DataFrame, w: int, halved: tuple[int, ...] = ()) -> DataFrame:
-    """(seq_id, end, dist_from_end, motif, ratio, all_ratios, models): product of foreground over background for every unmasked window.
+def scan_arrays(seqs: DataFrame, pwm: DataFrame, bg: DataFrame, w: int, halved: tuple[int, ...] = ()) -> tuple[DataFrame, list[int]]:
+    """((seq_id, end, dist_from_end, all_ratios, z), motifs): for every unmasked window the products of foreground over background, one for each of motifs.
 
     end is the inclusive 0-based end; all_ratios is the sum over the models at that place. A window is a number of two bits for each
     base, which is its place in an array of the scores of all 4^BLOCK k-mers, or, if the models are wider, in one for each BLOCK columns. These
@@ -161,8 +161,7 @@ def pwm_scan(seqs: DataFrame, pwm: DataFrame, bg: DataFrame, w: int, halved: tup
     out = "seq_id long, end long, dist_from_end long, all_ratios double, z array<double>"
     rows = seqs.select(F.col("seq_id").cast("long").alias("seq_id"), "nt")
     if not names:
-        kinds = pwm.schema["motif"].dataType.simpleString()
-        return seqs.sparkSession.createDataFrame([], f"seq_id long, end long, dist_from_end long, motif {kinds}, ratio double, all_ratios double, models int")
+        return seqs.sparkSession.createDataFrame([], out), names
     tables, half = block_tables([logs[m] for m in names]), np.array([0.5 if m in halved else 1.0 for m in names])
     # scores of a single array need no logarithms
     ready = np.exp(tables[0]) * half if len(tables) == 1 else None
@@ -192,10 +191,30 @@ def pwm_scan(seqs: DataFrame, pwm: DataFrame, bg: DataFrame, w: int, halved: tup
                     flat = pa.ListArray.from_arrays(pa.array(np.arange(0, z.size + 1, len(names), dtype=np.int32)), pa.array(z.ravel()))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(here), seq)), pa.array(end), pa.array(len(codes) - 1 - end), pa.array(z.sum(axis=1)), flat], [c.split()[0] for c in out.split(", ")])
 
-    found = rows.mapInArrow(run, out)
+    return rows.mapInArrow(run, out), names
+
+
+def by_motif(names: list[int], i, kind):
+    """The motif of entry i, counted from 0."""
+    return F.element_at(F.array(*map(F.lit, names)), i + 1).cast(kind) if names else F.lit(None).cast(kind)
+
+
+def pwm_scan(seqs: DataFrame, pwm: DataFrame, bg: DataFrame, w: int, halved: tuple[int, ...] = ()) -> DataFrame:
+    """(seq_id, end, dist_from_end, motif, ratio, all_ratios, models): scan_arrays with a row for each motif."""
+    found, names = scan_arrays(seqs, pwm, bg, w, halved)
     each = found.select("seq_id", "end", "dist_from_end", "all_ratios", F.posexplode("z").alias("i", "ratio"))
-    motif = F.element_at(F.array(*(F.lit(m) for m in names)), F.col("i") + 1).cast(pwm.schema["motif"].dataType)
-    return each.select("seq_id", "end", "dist_from_end", motif.alias("motif"), "ratio", "all_ratios", F.lit(len(names)).alias("models"))
+    return each.select("seq_id", "end", "dist_from_end", by_motif(names, F.col("i"), pwm.schema["motif"].dataType).alias("motif"), "ratio", "all_ratios", F.lit(len(names)).alias("models"))
+
+
+def scan_totals(found: DataFrame, names: list[int], value=None, kind="int") -> DataFrame:
+    """(seq_id, motif, n, total, best): number, sum and best of the values at the places of each sequence, of scan_arrays.
+
+    value(ratio, row's all_ratios, number of models) is what counts, the ratio itself without it. Rows are added up before motifs become rows.
+    """
+    x = [value(F.col("z")[i], F.col("all_ratios"), len(names)) if value else F.col("z")[i] for i in range(len(names))]
+    sums = found.groupBy("seq_id").agg(F.count("*").alias("n"), *(F.sum(v).alias(f"_s{i}") for i, v in enumerate(x)), *(F.max(v).alias(f"_m{i}") for i, v in enumerate(x)))
+    rows = F.array(*(F.struct(F.lit(m).cast(kind).alias("motif"), F.col("n"), F.col(f"_s{i}").alias("total"), F.col(f"_m{i}").alias("best")) for i, m in enumerate(names)))
+    return sums.select("seq_id", F.inline(rows)) if names else sums.select("seq_id", F.lit(None).cast(kind).alias("motif"), "n", F.lit(None).cast("double").alias("total"), F.lit(None).cast("double").alias("best")).where("false")
 
 
 def site_posterior(scan: DataFrame, prior: float) -> DataFrame:

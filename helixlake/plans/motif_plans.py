@@ -47,6 +47,17 @@ def scan(s, d, halved=()):
     return M.pwm_scan(q, M.normalised(stored(c, "counts")), S.background(q), 6, halved)
 
 
+def totals(s, d, dp, value=None, halved=()):
+    """Places, sum and best value of each sequence and motif."""
+    q, _, c = parts(s, d)
+    found, names = M.scan_arrays(q, M.normalised(stored(c, "counts")), S.background(q), 6, halved)
+    return M.scan_totals(found, names, value).withColumns({"total": F.round("total", dp), "best": F.round("best", dp)})
+
+
+def posterior(x, every, k):
+    return x * 0.001 / (1 - k * 0.001 + every * 0.001)
+
+
 def model_sets(s, d):
     """All motifs as one set, then each alone."""
     p = pwm(s, d).withColumnRenamed("motif", "model")
@@ -100,9 +111,9 @@ QUERIES = {
         lambda s, d: R6(M.kl_pwm(pwm(s, d)), "kl_ab", "kl_ba", "sym"),
         sql(*ALL, "kl AS (SELECT a.motif AS model_a, b.motif AS model_b, sum(a.p * log2(a.p / b.p)) AS x, sum(b.p * log2(b.p / a.p)) AS y FROM pwm a JOIN pwm b USING (col, base) WHERE a.motif < b.motif GROUP BY ALL)", "SELECT model_a, model_b, round(x::DOUBLE, 6) AS kl_ab, round(y::DOUBLE, 6) AS kl_ba, round((x + y)::DOUBLE / 2, 6) AS sym FROM kl"),
     ),
-    "score_pwm_scan": (lambda s, d: per_motif(scan(s, d), "ratio", 2), sql(*ALL, BACKGROUND, SCAN, 'SELECT seq_id, motif, count(*) AS n, round(sum(ratio)::DOUBLE, 2) AS total, round(max(ratio)::DOUBLE, 2) AS best FROM scan GROUP BY ALL')),
+    "score_pwm_scan": (lambda s, d: totals(s, d, 2), sql(*ALL, BACKGROUND, SCAN, 'SELECT seq_id, motif, count(*) AS n, round(sum(ratio)::DOUBLE, 2) AS total, round(max(ratio)::DOUBLE, 2) AS best FROM scan GROUP BY ALL')),
     "score_site_posterior": (
-        lambda s, d: per_motif(M.site_posterior(scan(s, d), 0.001), "p", 5),
+        lambda s, d: totals(s, d, 5, posterior),
         sql(*ALL, BACKGROUND, SCAN, 'p AS (SELECT seq_id, motif, ratio * 0.001 / (1 - count(*) OVER w * 0.001 + sum(ratio * 0.001) OVER w) AS p FROM scan WINDOW w AS (PARTITION BY seq_id, "end"))', "SELECT seq_id, motif, count(*) AS n, round(sum(p)::DOUBLE, 5) AS total, round(max(p)::DOUBLE, 5) AS best FROM p GROUP BY ALL"),
     ),
     "score_spacing_posterior": (
@@ -149,7 +160,7 @@ QUERIES = {
     "score_loglik": (lambda s, d: M.loglik(parts(s, d)[2], pwm(s, d)).withColumn("ll", F.round("ll", 3)), sql(*ALL, "SELECT motif, round(sum(counts.n * ln(p))::DOUBLE, 3) AS ll FROM counts JOIN pwm USING (motif, col, base) GROUP BY motif")),
     "em_refine": (lambda s, d: R6(M.em_refine(I.seqs(s, d), pwm(s, d), S.background(I.seqs(s, d)), 6)[0], "p"), None),
     "score_pwm_scan_strands": (
-        lambda s, d: per_motif(scan(s, d, (1, 2)), "ratio", 2),
+        lambda s, d: totals(s, d, 2, None, (1, 2)),
         sql(*ALL, BACKGROUND, SCAN, "SELECT seq_id, motif, count(*) AS n, round(sum(ratio / CASE WHEN motif = 0 THEN 1 ELSE 2 END)::DOUBLE, 2) AS total, round(max(ratio / CASE WHEN motif = 0 THEN 1 ELSE 2 END)::DOUBLE, 2) AS best FROM scan GROUP BY seq_id, motif"),
     ),
     "score_fitness": (
