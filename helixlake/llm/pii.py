@@ -49,7 +49,8 @@ NAMES = {
 TITLES = ("Mr", "Mrs", "Ms", "Dr", "Herr", "Frau", "Monsieur", "Madame", "Señor", "Señora")
 GIVEN = {n: k for k, names in NAMES.items() for n in names}
 _CAP = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zà-öø-ÿа-яё]+(?:-[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zà-öø-ÿа-яё]+)?"
-EMAIL = re.compile(r"[A-Za-z0-9](?:[\w.+-]*\w)?@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]*[A-Za-z0-9])+")
+#: What follows the @ of an address.
+DOMAIN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]*[A-Za-z0-9])+")
 NUMBERS = re.compile(
     r"(?P<secret>(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z]))"
     r"|(?P<ip>(?<![0-9.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?![0-9]|\.[0-9]))"
@@ -64,21 +65,36 @@ WORD = re.compile(r"\w+")
 NAME_WORDS = frozenset(GIVEN).union(TITLES)
 
 
+def local_start(text: str, at: int, low: int) -> int:
+    """Where the address whose @ is at begins, at low or behind; at itself if nothing before it can be one. Each character is looked at for one @ only."""
+    if at <= low or not (text[at - 1].isalnum() or text[at - 1] == "_"):
+        return at
+    i = at
+    while i > low and (text[i - 1].isalnum() or text[i - 1] in "._+-"):
+        i -= 1
+    while i < at and not (text[i].isascii() and text[i].isalnum()):
+        i += 1
+    return i
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, key) of each entity, in order; key is the same for all spellings of one entity."""
     if not text:
         return []
     out = []
-    at = text.find("@")
+    at, done = text.find("@"), 0
     while at >= 0:
-        lo = max(text.rfind(c, 0, at) for c in " \n\t") + 1
-        m = next((m for m in EMAIL.finditer(text, lo, min(len(text), at + 256)) if m.start() < at < m.end()), None)
-        if m:
-            out.append((m.start(), m.end(), "email", canonical("email", m[0])))
-        at = text.find("@", max(at + 1, m.end() if m else 0))
+        m = DOMAIN.match(text, at + 1)
+        lo = local_start(text, at, done) if m else at
+        if lo < at:
+            done = m.end()
+            out.append((lo, done, "email", canonical("email", text[lo:done])))
+        at = text.find("@", max(at + 1, done))
     if DIGIT.search(text):
-        for m in (*NUMBERS.finditer(text), *TOKENS.finditer(text)):
+        for m in NUMBERS.finditer(text):
             out.append((m.start(), m.end(), m.lastgroup, canonical(m.lastgroup, m[0])))
+    for m in TOKENS.finditer(text):  # these may be letters alone
+        out.append((m.start(), m.end(), m.lastgroup, canonical(m.lastgroup, m[0])))
     if not NAME_WORDS.isdisjoint(WORD.findall(text)):  # PERSON begins and ends each of these at a word's bounds
         for m in PERSON.finditer(text):
             for group in ("surname", "given", "last"):
