@@ -409,7 +409,8 @@ def em_refine(seqs: DataFrame, pwm: DataFrame, bg: DataFrame, w: int, prior: flo
 def fitness(seqs: DataFrame, candidates: DataFrame, w: int, compat: bool = False) -> DataFrame:
     """(candidate_id, fitness): fit of candidate sets of models (candidate_id, model, col, base, p) to all windows, in one pass.
 
-    A window counts with the better of its product and that of its reverse complement (compat: of the reversed window). Models take
+    A window counts with the better of its product and that of its reverse complement. compat: of the reversed window that begins one base
+    further, either being 0 if masked, so that the last window of a sequence doesn't count. Models take
     their part of it in their order, each from what those before have left, weighted by the product over bases of its
     largest column. Without a column model each candidate is one model.
     """
@@ -419,12 +420,13 @@ def fitness(seqs: DataFrame, candidates: DataFrame, w: int, compat: bool = False
     key = F.concat(F.col("col").cast("string"), F.col("base"))
     models = candidates.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(key, "p"))).alias("m"))
     top = candidates.groupBy(*keys, "base").agg(F.max("p").alias("p")).groupBy(*keys).agg(F.exp(F.sum(F.ln("p"))).alias("weight"))
-    kinds = unmasked(windows(seqs, w)).groupBy("site").agg(F.count("*").alias("times"))
-    product = lambda x: F.aggregate(F.sequence(F.lit(1), F.lit(w)), F.lit(1.0), lambda acc, i: acc * F.element_at("m", F.concat((i - 1).cast("string"), F.substring(x, i, F.lit(1)))))
-    other = F.reverse("site") if compat else N.revcomp("site")
-    # 4^w windows at most for few columns, so they go to the candidates, which may be many
-    met = models.join(top, keys).crossJoin(F.broadcast(kinds) if w <= BLOCK else kinds)
-    best = met.select(*keys, "site", "times", "weight", F.greatest(product(F.col("site")), product(other)).alias("b"))
+    found = windows(seqs, w + 1) if compat else unmasked(windows(seqs, w))
+    kinds = found.groupBy("site").agg(F.count("*").alias("times"))
+    product = lambda x: F.aggregate(F.sequence(F.lit(1), F.lit(w)), F.lit(1.0), lambda acc, i: acc * F.coalesce(F.element_at("m", F.concat((i - 1).cast("string"), F.substring(x, i, F.lit(1)))), F.lit(0.0)))
+    own, other = (F.left("site", F.lit(w)), F.reverse(F.right("site", F.lit(w)))) if compat else (F.col("site"), N.revcomp("site"))
+    # 5^BLOCK windows at most for few columns, so they go to the candidates, which may be many
+    met = models.join(top, keys).crossJoin(F.broadcast(kinds) if w + compat <= BLOCK else kinds)
+    best = met.select(*keys, "site", "times", "weight", F.greatest(product(own), product(other)).alias("b"))
     sets = best.groupBy("candidate_id", "site", "times").agg(F.array_sort(F.collect_list(F.struct("model", "b", "weight"))).alias("models"))
     start = F.struct(F.lit(1.0).alias("left"), F.lit(0.0).alias("total"))
     each = F.aggregate("models", start, lambda acc, x: F.struct((acc["left"] * (1 - x["b"])).alias("left"), (acc["total"] + acc["left"] * x["b"] * x["weight"]).alias("total")), lambda acc: acc["total"])

@@ -13,7 +13,7 @@ from helixlake.operators import motifs as M
 from helixlake.operators import samplers as G
 from helixlake.operators import sequences as S
 from helixlake.operators import trees as Y
-from helixlake.plans.duck import BACKGROUND, BASES, COUNTS, PWM, REV, SAMPLES, SEQS, SITES, sql
+from helixlake.plans.duck import BACKGROUND, BASES, COUNTS, PWM, REV, SAMPLES, SEQS, SITES, sql, win
 from helixlake.sources import inputs as I
 from helixlake.sources.store import stored
 
@@ -232,8 +232,8 @@ QUERIES = {
     ),
     "sort_pwms": (
         lambda s, d: M.fitness(I.seqs(s, d), base(s, d)[2].withColumnRenamed("motif", "candidate_id"), 6, compat=True).orderBy(F.desc("fitness"), "candidate_id").select("candidate_id", F.round("fitness", 3).alias("fitness")),
-        sql(*ALL, "k AS (SELECT site, count(*) AS times FROM win6 WHERE regexp_full_match(site, '[ACGT]+') GROUP BY site)", "q AS (SELECT site, motif, exp(sum(ln(p.p))) AS f FROM (SELECT site, unnest(range(0, 6)) AS col FROM (SELECT site FROM k UNION SELECT reverse(site) FROM k)) w JOIN pwm p ON p.col = w.col AND p.base = substr(w.site, w.col + 1, 1) GROUP BY ALL)",
-            "b AS (SELECT q.motif, sum(k.times * greatest(q.f, r.f)) AS f FROM k JOIN q ON q.site = k.site JOIN q r ON r.site = reverse(k.site) AND r.motif = q.motif GROUP BY q.motif)", "t AS (SELECT motif, exp(sum(ln(p))) AS w FROM (SELECT motif, base, max(p) AS p FROM pwm GROUP BY motif, base) GROUP BY motif)", "SELECT motif AS candidate_id, round((f * w)::DOUBLE, 3) AS fitness FROM b JOIN t USING (motif)"),
+        sql(*ALL, win(7), "k AS (SELECT left(site, 6) AS f, reverse(right(site, 6)) AS r, count(*) AS times FROM win7 GROUP BY ALL)", "q AS (SELECT site, motif, exp(sum(ln(p.p))) AS f FROM (SELECT site, unnest(range(0, 6)) AS col FROM (SELECT f AS site FROM k UNION SELECT r FROM k) WHERE regexp_full_match(site, '[ACGT]+')) w JOIN pwm p ON p.col = w.col AND p.base = substr(w.site, w.col + 1, 1) GROUP BY ALL)",
+            "b AS (SELECT m.motif, sum(k.times * greatest(coalesce(q.f, 0), coalesce(r.f, 0))) AS f FROM k CROSS JOIN (SELECT DISTINCT motif FROM pwm) m LEFT JOIN q ON q.site = k.f AND q.motif = m.motif LEFT JOIN q r ON r.site = k.r AND r.motif = m.motif GROUP BY m.motif)", "t AS (SELECT motif, exp(sum(ln(w))) AS w FROM (SELECT motif, base, max(p) AS w FROM pwm GROUP BY motif, base) GROUP BY motif)", "SELECT motif AS candidate_id, round((f * w)::DOUBLE, 3) AS fitness FROM b JOIN t USING (motif)"),
     ),
     "fn_site_priors": (
         lambda s, d: R6(M.sites_per_seq(base(s, d)[1], I.seqs(s, d)).select("k", N.poisson(F.col("k"), 2.5).alias("poisson"), N.negative_binomial(F.col("k"), 2.0, 0.8).alias("negbin")), "poisson", "negbin"),

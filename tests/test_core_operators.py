@@ -154,6 +154,35 @@ def test_models(spark, sf_dir):
     assert got.where("fitness <= 0").count() == 0
 
 
+@pytest.mark.parametrize("compat", [False, True])
+def test_fitness_by_brute_force(spark, compat):
+    """Sets of models over all windows; the compatible form compares a window with the reversed one that begins one base further."""
+    rng, w = np.random.default_rng(8), 4
+    texts = ["".join(rng.choice(list("ACGTX"), n, p=[0.24, 0.24, 0.24, 0.24, 0.04])) for n in (0, 3, 4, 5, 90)]
+    p = {(c, m): rng.dirichlet(np.ones(4), w) for c, m in ((0, 0), (0, 1), (1, 0))}
+    rows = [(c, m, i, b, float(p[c, m][i, k])) for c, m in p for i in range(w) for k, b in enumerate("ACGT")]
+
+    def product(model, site):
+        return 0.0 if "X" in site else float(np.prod([model[i, "ACGT".index(b)] for i, b in enumerate(site)]))
+
+    want = {0: 0.0, 1: 0.0}
+    for t in texts:
+        for i in range(len(t) - w + (not compat)):
+            site = t[i : i + w]
+            if not compat and "X" in site:
+                continue
+            other = t[i + 1 : i + 1 + w][::-1] if compat else site[::-1].translate(str.maketrans("ACGT", "TGCA"))
+            for c in want:
+                left = 1.0
+                for m in sorted(m for k, m in p if k == c):
+                    b = max(product(p[c, m], site), product(p[c, m], other))
+                    want[c] += left * b * float(np.prod(p[c, m].max(axis=0)))
+                    left *= 1 - b
+    df = spark.createDataFrame(rows, "candidate_id int, model int, col int, base string, p double")
+    got = {r.candidate_id: r.fitness for r in M.fitness(seqs(spark, *texts), df, w, compat).collect()}
+    assert got == pytest.approx(want)
+
+
 def test_em_stops_and_rises(spark, sf_dir):
     from helixlake.sources import inputs as I
 
