@@ -14,9 +14,10 @@ Windows are taken in blocks of MAX_WINDOWS at most, so what is broadcast has a f
 a larger benchmark takes more passes.
 
 Edge cases: null or blank texts have no words and no hits; blank items make no window;
-equal windows of several items count for each of them; repeated rows with their own
-doc_id are treated one by one; empty tables give zero hits or no rows; other columns are
-ignored.
+equal windows of several items count for each of them; rows are treated one by one, also
+where doc_ids are null or repeated (row_key tells them apart); very long texts are read whole;
+of equally frequent terms the earlier in a window anchors it; empty tables give zero hits or
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixlake.llm import kernel as K
-from helixlake.llm.shared import dropped, id_text, saved, table
+from helixlake.llm.shared import dropped, id_text, row_key, saved, table
 
 WIDTH, RAREST, MAX_WINDOWS, SLOP, NEAR_SHARE = 10, 2, 100_000, 3, 0.8
 
@@ -214,7 +215,17 @@ def matches(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (sorted as strings), contaminated and n_near (windows with a proximity match) for each document."""
+    """doc_id, n_words, n_hit, n_items, items (sorted as strings), contaminated and n_near (windows with a proximity match) for each row of docs(doc_id, text)."""
+    key, unique = row_key(docs)
+    if unique:
+        return contaminated_keys(docs, items)
+    rows = docs.select(key.alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    scores = contaminated_keys(rows.select(F.col("row_key").alias("doc_id"), "text"), items).withColumnRenamed("doc_id", "row_key")
+    return rows.select("row_key", "doc_id").distinct().join(scores, "row_key").select("doc_id", *scores.columns[1:])
+
+
+def contaminated_keys(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """contamination, where doc_id is known and differs wherever texts do."""
     found = saved(windows(items), "items")
     sizes, all_hits = matches(docs, found)
     hits = all_hits.where("exact")

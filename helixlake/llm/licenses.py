@@ -12,7 +12,8 @@ larger sets are taken in blocks of MAX_TEMPLATES. Every text is scanned whole.
 
 Edge cases: null and empty texts match nothing; a template shorter than GRAM is one run of
 its own length; equal templates each report; several matches in a text each report, those of one template
-without overlap; empty tables give no rows; other columns are ignored.
+without overlap; of equally good alignments the shorter span, then the earlier one, is told; rows are
+treated one by one, also where doc_ids are null or repeated; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixlake.llm import kernel as K
-from helixlake.llm.shared import id_text, table
+from helixlake.llm.shared import id_text, row_key, table
 
 GRAM, WINDOW, BAND, LEAST_COVERAGE, MAX_TEMPLATES = 3, 3, 12, 0.8, 500
 #: Public license notices and opening clauses.
@@ -163,6 +164,14 @@ def _scan_block(docs: DataFrame, templates: list[tuple[str, str]], least: float)
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document: how many license passages it has and the matches (license, matched, coverage, span)."""
-    docs = table(spark, sf_dir, "documents")
-    each = scan(docs, sorted(TEMPLATES.items())).groupBy("doc_id").agg(F.count("*").alias("n_matches"), F.array_sort(F.collect_list(F.struct("first_word", "end_word", "license", "matched", "coverage"))).alias("matches"))
-    return docs.select("doc_id").join(each, "doc_id", "left").select("doc_id", F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"), F.to_json("matches").alias("matches"))
+    return license_rows(table(spark, sf_dir, "documents"))
+
+
+def license_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, n_matches and matches for each row of docs(doc_id, text); doc_ids may be null or repeated."""
+    key, unique = row_key(docs)
+    rows = docs.select(key.alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    matched = scan(rows.select(F.col("row_key").alias("doc_id"), "text"), sorted(TEMPLATES.items())).withColumnRenamed("doc_id", "row_key")
+    # rows alike in id and text share a key: their matches are told once
+    each = (matched if unique else matched.distinct()).groupBy("row_key").agg(F.count("*").alias("n_matches"), F.array_sort(F.collect_list(F.struct("first_word", "end_word", "license", "matched", "coverage"))).alias("matches"))
+    return rows.select("row_key", "doc_id").join(each, "row_key", "left").select("doc_id", F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"), F.to_json("matches").alias("matches"))

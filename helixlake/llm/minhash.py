@@ -14,8 +14,11 @@ join two components is lost. Links are confirmed on full shingle sets (64-bit fi
 
 Edge cases: null, empty and blank texts have no shingles, are linked with nothing and are
 kept; under five words the whole sequence is the one shingle; ties go to the smaller
-doc_id; an empty table gives an empty result; other columns are ignored. doc_id must be
-unique.
+doc_id; very long texts are read whole; an empty table gives an empty result; other columns
+are ignored. doc_ids may be null or repeated: rows are then told apart by row_key, a group's
+component_id is its smallest known doc_id (null where none is known), and the row of the
+smallest doc_id (null last), then row_key, is kept; rows alike in doc_id and text are one
+document and share its verdict.
 """
 
 from __future__ import annotations
@@ -24,12 +27,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixlake.llm import kernel as K
 from helixlake.llm.graph import components
-from helixlake.llm.shared import dropped, id_text, saved, table
+from helixlake.llm.shared import dropped, id_text, row_key, saved, table
 
 ROWS, BANDS, SHINGLE = 5, 24, 5
 #: Link when 100 * intersection >= PERCENT * union.
@@ -204,14 +207,34 @@ def represented(sketch: DataFrame, classes: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs(doc_id, text)."""
-    sketch = saved(sketches(docs), "sketch")
+    return near_duplicate_rows(docs, *row_key(docs)).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def near_duplicate_rows(docs: DataFrame, key: Column, unique: bool) -> DataFrame:
+    """near_duplicates with row_key; key and unique as row_key(docs) gives them."""
+    if unique:
+        return grouped(docs).withColumn("row_key", F.col("doc_id"))
+    rows = saved(docs.select(key.alias("row_key"), F.col("doc_id").cast("long").alias("doc_id")), "rows")
+    found = saved(grouped(docs.select(key.alias("doc_id"), "text"), True).select(F.col("doc_id").alias("row_key"), "n_shingles", F.col("component_id").alias("of")), "grouped")
+    first = rows.distinct().join(found, "row_key").groupBy("of").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first"))
+    named = found.join(first, "of").select("row_key", "n_shingles", F.col("first.doc_id").alias("component_id"), (F.col("row_key") == F.col("first.row_key")).alias("kept"))
+    return rows.join(named, "row_key").select("doc_id", "n_shingles", "component_id", "kept", "row_key")
+
+
+def grouped(docs: DataFrame, repeated: bool = False) -> DataFrame:
+    """near_duplicates, where doc_id is known and differs wherever texts do; if repeated, one row for each doc_id."""
+
+    def once(df: DataFrame) -> DataFrame:
+        return df.dropDuplicates(["doc_id"]) if repeated else df
+
+    sketch = saved(once(sketches(docs)), "sketch")
     classes = sketch.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"))
     reps = sketch.join(classes.select("rep"), sketch.doc_id == F.col("rep"), "left_semi")
     buckets = reps.select("doc_id", F.explode("keys").alias("key"))
     pivot = buckets.groupBy("key").agg(F.min("doc_id").alias("c"), F.count("*").alias("m")).where("m > 1").select("key", "c")
     star = saved(rooted(buckets.join(pivot, "key").select("c", "doc_id").distinct()), "star")
     ids = star.select("doc_id").distinct()
-    sets = saved(full_sets(id_text(docs).join(ids, "doc_id", "left_semi")), "sets")
+    sets = saved(once(full_sets(id_text(docs).join(ids, "doc_id", "left_semi"))), "sets")
     profile = saved(profiles(star, sets), "profiles")
     dropped(star)
     common = F.col("n") - F.col("r")

@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -67,6 +67,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Column, bool]:
+    """A long that tells the rows of docs apart, and whether it is the id itself.
+
+    It is the id where every row has one of its own. Else it is a hash of id and text, computed beside each row and
+    checked to be distinct by a second hash, so no text moves; rows alike in id and text share it.
+    """
+    own, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    if docs.select(own.alias("i")).groupBy("i").agg(F.count("*").alias("n")).where("i is null or n > 1").isEmpty():
+        return own, True
+    seed = 0
+    while True:
+        key, other = (F.xxhash64(F.lit(seed + s), own.isNull(), own, text.isNull(), text) for s in (0, 1))
+        both = docs.select(key.alias("k"), other.alias("o")).groupBy("k").agg(F.min("o").alias("lo"), F.max("o").alias("hi"))
+        if both.where("lo < hi").isEmpty():
+            return key, False
+        seed += 2
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
     """Only the columns an operator reads, so that other columns can't clash with its own."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
