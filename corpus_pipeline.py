@@ -2,20 +2,20 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns the rows that the
 next stage reads, with the columns of documents, but for the last, which returns token ids. Rows
-without text are clean for every stage and end as rows without ids. Decisions on rows go by doc_id,
-which is unique.
+without text are clean for every stage and end as rows without ids. doc_ids may be null or
+repeated: decisions on rows then go by row_key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixlake.llm.chunks import encode_chunked, word_vocabulary
-from helixlake.llm.contamination import contamination
-from helixlake.llm.minhash import near_duplicates
-from helixlake.llm.pii import replace_entities, session_key
-from helixlake.llm.shared import saved, table
+from helixlake.llm.contamination import contaminated_keys
+from helixlake.llm.minhash import near_duplicate_rows
+from helixlake.llm.pii import free_name, replace_entities, session_key
+from helixlake.llm.shared import row_key, saved, table
 from helixlake.llm.toxicity import drop_toxic, learned
 
 
@@ -24,20 +24,30 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_toxic(docs, learned(spark, sf_dir, docs))
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id isn't in gone."""
-    ids = saved(gone.select("doc_id"), "gone")
-    return docs.join(ids, docs["doc_id"] == ids["doc_id"], "left_anti")
+def without(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose key isn't in the one column of gone."""
+    name = free_name("_gone", docs.columns)
+    return docs.join(saved(gone.toDF(name), "gone"), key == F.col(name), "left_anti")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest doc_id."""
-    return without(docs, near_duplicates(docs).where("not kept"))
+    """One document of each group of near-duplicates: that of the smallest doc_id; of rows alike in doc_id and text, any one."""
+    key, unique = row_key(docs)
+    found = near_duplicate_rows(docs, key, unique)
+    if unique:
+        return without(docs, key, found.where("not kept").select("row_key"))
+    found = saved(found, "found")
+    again = saved(found.where("kept and n_shingles > 0").groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").select("row_key"), "again")
+    rest = without(docs, key, found.where("not kept").select("row_key").union(again))
+    name = free_name("_row_key", docs.columns)
+    return rest.union(docs.join(again.toDF(name), key == F.col(name)).dropDuplicates([name]).select(*docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the texts that hold a window of a benchmark item."""
-    return without(docs, contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    key, _ = row_key(docs)
+    found = contaminated_keys(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return without(docs, key, found.where("contaminated").select("doc_id"))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
