@@ -3,8 +3,10 @@
 Entities are e-mail addresses, phone numbers, card numbers, IP addresses, secrets and person
 names. A surrogate is drawn from an HMAC of the entity under a key, and has the entity's
 form: letters stay letters of their case and script, digits stay digits, card numbers keep a
-valid check digit if they had one, IP addresses stay valid, given names keep gender and script, and
-e-mail addresses of one domain get one domain. The key is a parameter, or the session's setting
+valid check digit if they had one, IP addresses stay valid, phone numbers stay in the detector's
+grammar, secrets keep their known prefix, given names keep gender and script, and
+e-mail addresses of one domain get one domain. A surname found behind a title or given name is
+replaced wherever its text has it. The key is a parameter, or the session's setting
 ``helixlake.pii.key``.
 
 All occurrences of an entity in the corpus get the same surrogate (coreference), and no two
@@ -52,15 +54,16 @@ _CAP = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zà-öø-ÿа-яё]+(?:-[A-ZÀ-ÖØ-ÞА-ЯЁ]
 #: What follows the @ of an address.
 DOMAIN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]*[A-Za-z0-9])+")
 NUMBERS = re.compile(
-    r"(?P<secret>(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z]))"
-    r"|(?P<ip>(?<![0-9.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?![0-9]|\.[0-9]))"
+    r"(?P<ip>(?<![0-9.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?![0-9]|\.[0-9]))"
     r"|(?P<card>(?<![0-9])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?![0-9]))"
     r"|(?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![\w(])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])"
-    r"|(?<![\w.,-])[2-9][0-9]{2}([-.])[0-9]{3}\5[0-9]{4}(?![\w-])|(?<![\w.,-])0[1-9][0-9]{1,3}[ /-][0-9]{5,8}(?![\w-]))"
+    r"|(?<![\w.,-])[2-9][0-9]{2}([-.])[0-9]{3}\4[0-9]{4}(?![\w-])|(?<![\w.,-])0[1-9][0-9]{1,3}[ /-][0-9]{5,8}(?![\w-]))"
 )
-TOKENS = re.compile(r"(?P<secret>(?<![0-9A-Za-z])(?:sk|pk|ghp|gho|xoxb|AKIA)[-_]?[0-9A-Za-z]{16,64}(?![0-9A-Za-z]))")
+TOKENS = re.compile(r"(?P<secret>(?<![0-9A-Za-z])(?:(?:sk|pk|ghp|gho|xoxb|AKIA)[-_]?[0-9A-Za-z]{16,64}|[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z]))")
 PERSON = re.compile(r"\b(?:" + "|".join(TITLES) + r")\.? +(?P<surname>" + _CAP + r")|\b(?P<given>" + "|".join(sorted(GIVEN, key=len, reverse=True)) + r") +(?P<last>" + _CAP + r")")
 DIGIT = re.compile("[0-9]")
+PREFIX = re.compile(r"(?:sk|pk|ghp|gho|xoxb|akia)[-_]?")
+CAPITALISED = re.compile(r"\b" + _CAP)
 WORD = re.compile(r"\w+")
 NAME_WORDS = frozenset(GIVEN).union(TITLES)
 
@@ -101,6 +104,10 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
                 if m[group]:
                     gender, script = GIVEN.get(m[group], ("", ""))
                     out.append((m.start(group), m.end(group), f"given {gender} {script}" if group == "given" else "surname", m[group]))
+        # a surname told once is one wherever the text has it
+        surnames = {e[3] for e in out if e[2] == "surname"}
+        if surnames:
+            out += [(m.start(), m.end(), "surname", m[0]) for m in CAPITALISED.finditer(text) if m[0] in surnames]
     out.sort(key=lambda e: (e[0], -e[1]))
     kept, last = [], 0
     for e in out:
@@ -168,10 +175,21 @@ def surrogate(key: bytes, kind: str, entity: str, draw: int) -> str:
         body = entity[0] + "".join(str(next(nums) % 10) for _ in entity[1:-1])
         return body + (_check_digit(body) if _check_digit(entity[:-1]) == entity[-1] else str(next(nums) % 10))
     if kind == "phone":
+        # the first digits decide which grammars a number fits: 0 and then 1 to 9, 2 to 9, or a country's code
         keep = max(0, len(entity) - 10)
-        return entity[:keep] + "".join(str(next(nums) % 10) for _ in entity[keep:])
+        new = list(entity[:keep]) + [str(next(nums) % 10) for _ in entity[keep:]]
+        if not keep:
+            new[0] = entity[0] if entity[0] in "01" else str(2 + next(nums) % 8)
+            if entity[0] == "0" and entity[1] != "0":
+                new[1] = str(1 + next(nums) % 9)
+        elif entity[0] == "0" and keep == 1 and entity[1] != "0":
+            new[1] = str(1 + next(nums) % 9)
+        return "".join(new)
     if kind == "secret":
-        return "".join(c if not c.isalnum() else "0123456789abcdef"[next(nums) % 16] if re.fullmatch("[0-9a-f]+", entity) else _like(c, _number(nums)) for c in entity)
+        if re.fullmatch("[0-9a-f]+", entity):
+            return "".join("0123456789abcdef"[next(nums) % 16] for _ in entity)
+        prefix = PREFIX.match(entity)[0]
+        return prefix + "".join(_like(c, _number(nums)) for c in entity[len(prefix):])
     if kind == "email":
         local, _, domain = entity.partition("@")
         # addresses of one domain stay together; its last label stays as it is
@@ -188,7 +206,7 @@ def in_form(kind: str, original: str, new: str) -> str:
         return "".join(next(digits) if c.isdigit() else c for c in original)
     if kind in ("email", "secret") and original.isupper():
         return new.upper()
-    if kind == "email":
+    if kind in ("email", "secret"):
         return "".join(n.upper() if o.isupper() else n for o, n in zip(original, new))
     return new
 
