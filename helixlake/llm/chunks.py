@@ -109,7 +109,7 @@ def marked(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[(at >> K.U64(6)).astype(np.int64)] >> (at & K.U64(63))) & K.U64(1) == 1
 
 
-def encoded_chunks(docs: DataFrame, shared: DataFrame, vocabulary: str) -> DataFrame:
+def encoded_chunks(docs: DataFrame, shared: DataFrame, vocabulary: str, memo: int = MEMO) -> DataFrame:
     """(h, ids) of the chunks in shared(h), each encoded once, on its own."""
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(shared))
 
@@ -122,7 +122,7 @@ def encoded_chunks(docs: DataFrame, shared: DataFrame, vocabulary: str) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(K.signed(h[at])), pa.array([t.data[lo[i] : hi[i]].tobytes() for i in at.tolist()], pa.binary())], ["h", "chunk"])
 
     def encode(batches):
-        enc = encoder(vocabulary, False, MEMO)
+        enc = encoder(vocabulary, False, memo)
         kind = stored_kind(enc)
         for batch in K.row_slices(batches, 2000):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.frombuffer(x, "<u4").astype(kind).tobytes() for x in enc.encode(batch.column(1).to_pylist())], pa.binary())], ["h", "ids"])
@@ -175,18 +175,18 @@ def joined(text: bytes, parts: list[tuple[int, int, bytes]], encode) -> bytes:
     return out
 
 
-def encode_chunked(docs: DataFrame, vocabulary: str, decode: bool = False) -> DataFrame:
-    """doc_id and ids (binary, unsigned 32-bit) of every row of docs(doc_id, text); with decode, also the text that the ids decode to."""
+def encode_chunked(docs: DataFrame, vocabulary: str, decode: bool = False, memo: int = MEMO) -> DataFrame:
+    """doc_id and ids (binary, unsigned 32-bit) of every row of docs(doc_id, text); with decode, also the text that the ids decode to. memo: pieces that a worker remembers, also between stages."""
     full = keyed(docs)
     hashes = saved(chunk_hashes(full), "chunks")
     shared = saved(hashes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "shared")
-    once = saved(encoded_chunks(full, shared, vocabulary), "encoded")
+    once = saved(encoded_chunks(full, shared, vocabulary, memo), "encoded")
     own = hashes.join(once, "h").groupBy("k").agg(F.collect_list(F.struct("h", "ids")).alias("reused"))
     own = saved(own, "reused")
     dropped(hashes, shared, once)
 
     def run(batches):
-        enc = encoder(vocabulary, False, MEMO)
+        enc = encoder(vocabulary, False, memo)
         kind = stored_kind(enc)
         one = lambda text: enc.encode([text])[0]
         for t in K.slices(unpacked(batches), limit=SLICE):
