@@ -58,10 +58,13 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (unsigned 32-bit, little-endian) and digests of the ids and of the text they decode to."""
-    both = encode_chunked(docs, word_vocabulary(), decode=True)
+    both = encode_chunked(docs, word_vocabulary(), decode=True, memo=MEMO)
     return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+#: Pieces that the encoder of a worker remembers: workers outlive the stage, so this stays in memory beside other stages.
+MEMO = 100_000
+
 STAGES = [("toxicity", toxicity), ("minhash_near_dedup", near_dedup), ("benchmark_decontamination", decontaminate), ("pii", private), ("bpe", encode)]
 #: A trained classifier and byte-pair merges have no SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
