@@ -7,10 +7,12 @@ shares none of the BANDS buckets with probability (1 - 0.85^5)^24 = 8e-7.
 
 No bucket is expanded into all its pairs. Equal shingle sets collapse into one class first.
 Each document of a bucket is then compared with the bucket's pivot only, and linked
-documents take one label. Two documents of different labels in a bucket can only be linked
-if they share shingles that the pivot lacks, or if both are close to the pivot in a way
-that their sizes show (open_pairs); only such pairs are compared, so no link that could
-join two components is lost. Links are confirmed on full shingle sets (64-bit fingerprints).
+documents take one label. Documents of different labels differ where their differences from
+the pivot do, so these are indexed, rarest first (difference_index): what comes before
+the first common difference tells pairs apart without their texts. The first document of each
+difference is compared with the others of it, labels are merged, and only pairs
+still of different labels that may be linked are compared, so no link that could join two
+components is lost. Links are confirmed on full shingle sets (64-bit fingerprints).
 
 Edge cases: null, empty and blank texts have no shingles, are linked with nothing and are
 kept; under five words the whole sequence is the one shingle; ties go to the smaller
@@ -27,7 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixlake.llm import kernel as K
@@ -37,9 +39,6 @@ from helixlake.llm.shared import dropped, id_text, row_key, saved, table
 ROWS, BANDS, SHINGLE = 5, 24, 5
 #: Link when 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Linked sets x, y differ in GAP * (n_x + n_y) elements at most; GAP_TOP * n_x bounds that for the largest y.
-GAP = (100 - PERCENT) / (100 + PERCENT)
-GAP_TOP = GAP * (1 + 100 / PERCENT)
 #: Exact copies from which a class is dealt out over SPREAD tasks when its documents are told their representative.
 COPIES, SPREAD = 1000, 32
 U32 = np.uint32
@@ -142,44 +141,63 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return saved(right.join(left, "a").where(100 * common >= PERCENT * (F.size("x") + F.size("y") - common)).select("a", "b"), "linked")
 
 
-def fits(a: str, b: str):
-    """Sizes between which a similarity of PERCENT is possible."""
-    return (100 * F.least(a, b) >= PERCENT * F.greatest(a, b))
+def linkable(apart: Column, n: Column, o_n: Column) -> Column:
+    """Whether sets of n and o_n elements may be linked if apart elements are in one of them only; the exact rule, where apart is exact."""
+    return (100 + PERCENT) * apart <= (100 - PERCENT) * (n + o_n)
 
 
 def profiles(star: DataFrame, sets: DataFrame) -> DataFrame:
-    """How each document of star(c, doc_id) differs from its pivot c.
-
-    n and c_n are the set sizes, r counts shingles that the pivot lacks, m those that the document
-    lacks, and rest has the r shingles, cut to as many as two linkable documents must share one of:
-    linkable sets differ in at most GAP_TOP of n elements, so all but that many are common.
-    """
+    """How each document of star(c, doc_id) differs from its pivot c: n and c_n are the set sizes, diff has the shingles that one of both lacks."""
     own = sets.join(star, "doc_id").select("c", "doc_id", F.col("shingles").alias("y"))
     pivots = sets.join(star.select("c").distinct(), sets.doc_id == F.col("c"), "left_semi").select(F.col("doc_id").alias("c"), F.col("shingles").alias("x"))
-    both = own.join(pivots, "c").select("c", "doc_id", F.size("y").alias("n"), F.size("x").alias("c_n"), F.array_except("y", "x").alias("rest"))
-    r = F.size("rest")
-    return both.select("c", "doc_id", "n", "c_n", r.alias("r"), (F.col("c_n") - F.col("n") + r).alias("m"), F.slice("rest", 1, F.floor(F.col("n") * GAP_TOP).cast("int") + 1).alias("rest"))
+    return own.join(pivots, "c").select("c", "doc_id", F.size("y").alias("n"), F.size("x").alias("c_n"), F.concat(F.array_except("y", "x"), F.array_except("x", "y")).alias("diff"))
+
+
+def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows(c, doc_id, ...) with the labels of the document and, as c_label, of the pivot; an id without one is its own."""
+    of = lambda c, label: labels.select(F.col("id").alias(c), F.col("label").alias(label))
+    both = rows.join(of("doc_id", "label"), "doc_id", "left").join(of("c", "c_label"), "c", "left")
+    return both.withColumn("label", F.coalesce("label", "doc_id")).withColumn("c_label", F.coalesce("c_label", "c"))
 
 
-def open_pairs(profile: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different labels under one pivot that may be similar enough.
+def difference_index(profile: DataFrame, labels: DataFrame) -> DataFrame:
+    """(c, e, doc_id, n, d, i): element e of a document's differences from its pivot, d in all, i of them before e.
 
-    Two sets x and y may differ in GAP * (n_x + n_y) elements. Either they share a shingle that the
-    pivot lacks: an equi-join on such shingles finds them. Or they don't, and then
-    r_x + r_y + |m_x - m_y| is a lower bound of their difference, which must fit.
+    Under a pivot, rarer elements come first. x and y differ exactly where their differences from c do, so all before the first common
+    element are in one of both only, and PERCENT times their number is (100 - PERCENT) * n at most if x and y can be linked (y has 100 / PERCENT
+    times as many as x at most). Elements of one label only are left out.
     """
-    now = profile.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    shared = now.select("c", "doc_id", "n", "label", F.explode("rest").alias("e"))
-    mixed = shared.groupBy("c", "e").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("c", "e")
-    shared = shared.join(mixed, ["c", "e"], "left_semi")
-    y = [F.col("doc_id").alias("o_id"), F.col("n").alias("o_n"), F.col("label").alias("o_label")]
-    differs = (F.col("doc_id") < F.col("o_id")) & (F.col("label") != F.col("o_label")) & fits("n", "o_n")
-    met = shared.join(shared.select("c", "e", *y), ["c", "e"]).where(differs)
+    now = labelled(profile, labels)
     split = now.groupBy("c").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("c")
-    light = now.where(F.col("r") <= F.floor(F.col("n") * GAP_TOP)).join(split, "c", "left_semi").select("c", "doc_id", "n", "label", "r", "m")
-    apart = F.col("r") + F.col("o_r") + F.abs(F.col("m") - F.col("o_m"))
-    near = light.join(light.select("c", *y, F.col("r").alias("o_r"), F.col("m").alias("o_m")), "c").where(differs & ((100 + PERCENT) * apart <= (100 - PERCENT) * (F.col("n") + F.col("o_n"))))
-    return met.select("doc_id", "o_id").union(near.select("doc_id", "o_id")).distinct().select(F.col("doc_id").alias("a"), F.col("o_id").alias("b"))
+    each = now.join(split, "c", "left_semi").select("c", "doc_id", "n", F.size("diff").alias("d"), "label", F.explode("diff").alias("e"))
+    often = each.groupBy("c", "e").agg(F.count("*").alias("k"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    before = F.row_number().over(Window.partitionBy("c", "doc_id").orderBy("k", "e")) - 1
+    return each.join(often, ["c", "e"]).withColumn("i", before).where((PERCENT * F.col("i") <= (100 - PERCENT) * F.col("n")) & (F.col("lo") < F.col("hi"))).select("c", "e", "doc_id", "n", "d", "i")
+
+
+def open_pairs(index: DataFrame, labels: DataFrame, hubs: bool) -> DataFrame:
+    """Pairs (a, b) of different labels under one pivot that may be similar enough; with hubs, only those with the first document of an element.
+
+    Sets without a common difference from the pivot are linked only if both are linked with the pivot, by their sizes, so they have
+    its label. Of any other pair one document doesn't have the pivot's label, and of one of both (light) few elements for its size
+    come before the first common one. Documents that share an element are met by these two rules, and kept by what their places in
+    both differences tell.
+    """
+    now = labelled(index, labels).withColumn("light", (100 + PERCENT) * F.col("i") <= (100 - PERCENT) * F.col("n"))
+    own = ["doc_id", "n", "d", "i", "label"]
+    mixed = now.groupBy("c", "e").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct("i", "doc_id", "n", "d", "label")).alias("hub")).where("lo < hi and hub is not null")
+    if hubs:
+        met = now.select("c", "e", *own).join(mixed.select("c", "e", *(F.col(f"hub.{x}").alias(f"o_{x}") for x in own)), ["c", "e"])
+        once = F.lit(True)
+    else:
+        now = now.join(mixed, ["c", "e"], "left_semi")
+        apart = now.where("label != c_label").select("c", "e", *own, F.explode(F.when(F.col("light"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias("light"), F.col("light").alias("x_light"))
+        met = apart.join(now.select("c", "e", "light", *(F.col(x).alias(f"o_{x}") for x in own), (F.col("label") != F.col("c_label")).alias("o_apart")), ["c", "e", "light"])
+        # a pair that both sides would find is taken once
+        once = ~(F.col("o_apart") & (F.col("doc_id") > F.col("o_doc_id")))
+    rest = F.abs(F.col("d") - F.col("i") - F.col("o_d") + F.col("o_i"))
+    met = met.where((F.col("label") != F.col("o_label")) & once & linkable(F.col("i") + F.col("o_i") + rest, F.col("n"), F.col("o_n")))
+    return met.select(F.least("doc_id", "o_doc_id").alias("a"), F.greatest("doc_id", "o_doc_id").alias("b")).distinct()
 
 
 def rooted(star: DataFrame, hops: int = 2) -> DataFrame:
@@ -237,12 +255,14 @@ def grouped(docs: DataFrame, repeated: bool = False) -> DataFrame:
     sets = saved(once(full_sets(id_text(docs).join(ids, "doc_id", "left_semi"))), "sets")
     profile = saved(profiles(star, sets), "profiles")
     dropped(star)
-    common = F.col("n") - F.col("r")
-    found = profile.where((F.col("c") != F.col("doc_id")) & (100 * common >= PERCENT * (F.col("n") + F.col("c_n") - common))).select(F.col("c").alias("a"), F.col("doc_id").alias("b"))
+    found = profile.where((F.col("c") != F.col("doc_id")) & linkable(F.size("diff"), F.col("n"), F.col("c_n"))).select(F.col("c").alias("a"), F.col("doc_id").alias("b"))
     labels = components(found)
-    more = confirm(open_pairs(profile, labels), sets)
-    if not more.isEmpty():
-        labels = components(labels.select(F.col("label").alias("a"), F.col("id").alias("b")).union(more))
+    index = saved(difference_index(profile, labels), "index")
+    dropped(profile)
+    for hubs in (True, False):
+        more = confirm(open_pairs(index, labels, hubs), sets)
+        if not more.isEmpty():
+            labels = components(labels.select(F.col("label").alias("a"), F.col("id").alias("b")).union(more))
     of_class = represented(sketch, classes)
     of_class = of_class.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("label", "rep"))
     return of_class.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
