@@ -19,12 +19,17 @@ def arriving(s, rows, parts: int, *key: str):
     return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def in_turn(s, rows, turn, turns: int):
-    """rows as a stream of one file after another: those of turn 0, 1, ..."""
+def in_turn(s, rows, turn, turns: int, *key: str):
+    """rows as a stream of those of turn 0, 1, ... one after another: a file for each, or with a key as many as tasks.
+
+    Rows that are equal in key share a file of a turn, so they come in turn even where a batch takes files of two turns, a turn having fewer files.
+    """
     path = new_path(s, "turns")
+    files = max(int(s.conf.get("spark.sql.shuffle.partitions")), 2 * s.sparkContext.defaultParallelism) if key else 1
     for k in range(turns):
-        rows.where(turn == k).coalesce(1).write.mode("append").parquet(path)
-    return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        of = rows.where(turn == k)
+        (of.repartition(files, *key) if key else of.coalesce(1)).write.mode("append").parquet(path)
+    return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def drained(s, start, **conf: str) -> None:
@@ -43,9 +48,9 @@ def drained(s, start, **conf: str) -> None:
 def quorum(s, d):
     """Results come in the order of their ids, in three batches."""
     turn = F.when(F.col("result_id") < 3, 0).when(F.col("result_id") < 5, 1).otherwise(2)
-    source = in_turn(s, I.results(s, d), turn, 3)
+    source = in_turn(s, I.results(s, d), turn, 3, "wu_id")
     out = new_path(s, "decided")
-    drained(s, lambda c: X.quorum_stream(source).writeStream.format("parquet").option("path", out).option("checkpointLocation", c).outputMode("append").trigger(availableNow=True).start())
+    drained(s, lambda c: X.quorum_shards(source).writeStream.format("parquet").option("path", out).option("checkpointLocation", c).outputMode("append").trigger(availableNow=True).start())
     return s.read.schema(X.QUORUM_ROWS).parquet(out).select("wu_id", "canonical_id", "payload", "n_results", "state")
 
 
